@@ -21,9 +21,9 @@ of any length is cut into chunks of at most MAX_IDS ids.
 
 from __future__ import annotations
 
-import hashlib
 import zlib
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
@@ -32,43 +32,51 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .shared import id_text, map_slices, table, work_folder
-from .tokens import library_encoder
+from .tokens import ids_bytes, library_encoder
 
 VOCABULARY, END_ID = "word_bpe_49k.json", 1
 #: Chunk sizes in ids: least, mean beyond the least (a power of two), most.
 MIN_IDS, MEAN_IDS, MAX_IDS = 128, 1024, 8192
 WINDOW = 16
 #: Hashes a task remembers so as not to send a payload twice; a full set is emptied.
-SEEN = 500_000
+SEEN = 200_000
+#: Documents cut and passed on together.
+SLICE = 500
 
 
 def _gear(ids: np.ndarray) -> np.ndarray:
-    """A fixed pseudo-random u64 for each id (splitmix64)."""
+    """A fixed pseudo-random u32 for each id (splitmix64's upper half)."""
     z = ids.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)
     z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return z ^ (z >> np.uint64(31))
+    return ((z ^ (z >> np.uint64(31))) >> np.uint64(32)).astype(np.uint32)
 
 
-def cut_points(ids: np.ndarray, least: int = MIN_IDS, mean: int = MEAN_IDS, most: int = MAX_IDS) -> list[int]:
-    """Ends of the chunks of an id stream; the last is its length."""
-    n = len(ids)
-    if n <= least:
-        return [n]
+_GEARS: list[np.ndarray] = []
+
+
+def marks_of(ids: np.ndarray, mean: int = MEAN_IDS) -> np.ndarray:
+    """Places after which the hash of the last WINDOW ids says "cut"."""
     with np.errstate(over="ignore"):
-        roll = _gear(ids)
+        if not _GEARS:
+            _GEARS.append(_gear(np.arange(1 << 16, dtype=np.uint32)))
+        roll = _GEARS[0][ids] if len(ids) and int(ids.max()) < 1 << 16 else _gear(ids)
         span = 1
         while span < WINDOW:  # the sum of the last WINDOW gears, each shifted by its age, by doubling
             later = roll.copy()
-            later[span:] += roll[:-span] << np.uint64(span)
+            later[span:] += roll[:-span] << np.uint32(span)
             roll, span = later, span * 2
-    marks = np.flatnonzero((roll >> np.uint64(20)) & np.uint64(mean - 1) == 0) + 1
+    return np.flatnonzero((roll >> np.uint32(20)) & np.uint32(mean - 1) == 0) + 1
+
+
+def cut_points(n: int, marks: list[int], least: int = MIN_IDS, most: int = MAX_IDS) -> list[int]:
+    """Ends of the chunks of a stream of n ids with these marks; the last end is n."""
     ends, last = [], 0
-    for m in marks.tolist():
+    for m in marks:
         while m - last > most:
             last += most
             ends.append(last)
-        if m - last >= least and n - m > 0:
+        if m - last >= least and m < n:
             ends.append(m)
             last = m
     while n - last > most:
@@ -77,39 +85,46 @@ def cut_points(ids: np.ndarray, least: int = MIN_IDS, mean: int = MEAN_IDS, most
     return [*ends, n]
 
 
-def chunk_address(ids: np.ndarray) -> bytes:
-    return hashlib.blake2b(ids.astype("<u4").tobytes(), digest_size=16).digest()
-
-
 def merkle_root(leaves: list[bytes]) -> bytes:
     """Pairwise BLAKE2b tree; an odd node is carried up unchanged."""
     level = list(leaves) or [b""]
     while len(level) > 1:
-        level = [hashlib.blake2b(b"".join(level[i : i + 2]), digest_size=16).digest() if i + 1 < len(level) else level[i] for i in range(0, len(level), 2)]
+        level = [blake2b(b"".join(level[i : i + 2]), digest_size=16).digest() if i + 1 < len(level) else level[i] for i in range(0, len(level), 2)]
     return level[0]
 
 
 def _cut(vocabulary: str, end_id: int):
+    end = ids_bytes([end_id])
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder, seen = library_encoder(vocabulary), set()
         for batch in batches:
-            rows = []
-            for row, (doc, text) in enumerate(zip(batch["doc_id"].tolist(), batch["text"])):
-                ids = np.concatenate([np.frombuffer(encoder.encode(text), "<u4"), np.array([end_id], "<u4")])
-                last, got = 0, []
-                for end in cut_points(ids):
-                    piece, last = ids[last:end], end
-                    h = chunk_address(piece)
-                    payload = None
-                    if h not in seen:
-                        if len(seen) >= SEEN:
-                            seen.clear()
-                        seen.add(h)
-                        payload = piece.astype("<u2").tobytes() if int(piece.max()) < 65536 else piece.tobytes()
-                    got.append((h, len(piece), payload))
-                root = merkle_root([h for h, _, _ in got])
-                rows += [(doc, root, batch["row"].iat[row], k, h, n, p) for k, (h, n, p) in enumerate(got)]
-            yield pd.DataFrame(rows, columns=["doc_id", "root", "row", "ord", "hash", "n", "payload"])
+            for first in range(0, len(batch), SLICE):
+                part = batch.iloc[first : first + SLICE]
+                streams = [b + end for b in encoder.encode_many(part["text"].tolist())]
+                ids = np.frombuffer(b"".join(streams), "<u4")
+                # Documents are hashed in one array: what the window takes from the document before lies within MIN_IDS, where nothing is cut.
+                marks = marks_of(ids)
+                ends = np.cumsum([len(b) // 4 for b in streams])
+                at = np.searchsorted(marks, ends, side="right")
+                rows, start, mark = [], 0, 0
+                for k, (doc, row, stop, to) in enumerate(zip(part["doc_id"].tolist(), part["row"].tolist(), ends.tolist(), at.tolist())):
+                    data, got, last = streams[k], [], 0
+                    for cut in cut_points(stop - start, (marks[mark:to] - start).tolist()):
+                        piece = data[4 * last : 4 * cut]
+                        h, payload = blake2b(piece, digest_size=16).digest(), None
+                        if h not in seen:
+                            if len(seen) >= SEEN:
+                                seen.clear()
+                            seen.add(h)
+                            own = ids[start + last : start + cut]
+                            payload = own.astype("<u2").tobytes() if int(own.max()) < 1 << 16 else piece
+                        got.append((h, cut - last, payload))
+                        last = cut
+                    root = merkle_root([h for h, _, _ in got])
+                    rows += [(doc, root, row, o, h, n, p) for o, (h, n, p) in enumerate(got)]
+                    start, mark = stop, to
+                yield pd.DataFrame(rows, columns=["doc_id", "root", "row", "ord", "hash", "n", "payload"])
 
     return run
 
@@ -205,7 +220,7 @@ def _check_chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         crc = []
         for h, n, p in zip(batch["hash"], batch["n"].tolist(), batch["payload"]):
             raw = _payload_ids(p, n).tobytes()
-            if hashlib.blake2b(raw, digest_size=16).digest() != bytes(h):
+            if blake2b(raw, digest_size=16).digest() != bytes(h):
                 raise ValueError("a chunk's ids don't have its address")
             crc.append(zlib.crc32(raw))
         yield pd.DataFrame({"hash": batch["hash"], "crc": pd.Series(crc, dtype="int64")})

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import id_text, table
-from .tokens import PieceEncoder, ids_bytes, load_tokenizer
+from .tokens import PieceEncoder, byte_characters, ids_bytes, load_tokenizer
 
 VOCABULARY = "byte_bpe_50k.json"
 #: The pre-token pattern of byte-level BPE (a fixed value of the format).
@@ -34,13 +34,6 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 PAIRS = 1_000_000
 
 
-def byte_alphabet() -> dict[str, int]:
-    """The printable character that stands for each byte in byte-level vocabularies, as character -> byte."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [b for b in range(256) if b not in plain]
-    return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
-
-
 class BacktrackingEncoder(PieceEncoder):
     def __init__(self, name: str = VOCABULARY):
         import ahocorasick
@@ -50,7 +43,7 @@ class BacktrackingEncoder(PieceEncoder):
         model = json.loads(tok.to_str())["model"]
         self.added = {t.content: i for i, t in tok.get_added_tokens_decoder().items()}
         super().__init__(list(self.added), keep_space=True)
-        alphabet = byte_alphabet()
+        alphabet = {c: b for b, c in enumerate(byte_characters())}
         as_bytes = lambda s: bytes(alphabet[c] for c in s)
         self.token: dict[int, bytes] = {i: as_bytes(s) for s, i in model["vocab"].items() if s not in self.added}
         self.id_of = {b: i for i, b in self.token.items()}
@@ -205,8 +198,7 @@ def encode_decode(docs: DataFrame, vocabulary: str = VOCABULARY, with_values: bo
         bpe = encoder(vocabulary)
         for batch in batches:
             rows = []
-            for doc, text in zip(batch["doc_id"].tolist(), batch["text"]):
-                ids = bpe.encode(text)
+            for doc, ids in zip(batch["doc_id"].tolist(), bpe.encode_many(batch["text"].tolist())):
                 text = as_text(bpe.decode(ids))
                 row = (doc, len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(text.encode()).hexdigest())
                 rows.append((*row, np.frombuffer(ids, "<u4").astype("int64"), text) if with_values else row)

@@ -41,8 +41,8 @@ def token_pieces(docs: DataFrame, vocabulary: str = VOCABULARY, end_id: int = EN
         encoder, end = library_encoder(vocabulary), ids_bytes([end_id])
         for batch in batches:
             rows = []
-            for doc, row, text in zip(batch["doc_id"].tolist(), batch["row"].tolist(), batch["text"]):
-                ids = encoder.encode(text) + end
+            for doc, row, ids in zip(batch["doc_id"].tolist(), batch["row"].tolist(), encoder.encode_many(batch["text"].tolist())):
+                ids += end
                 n = len(ids) // 4
                 first = n % capacity or capacity
                 ends = range(first, n + 1, capacity)

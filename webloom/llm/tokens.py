@@ -20,6 +20,9 @@ CACHE_PIECES = 800_000
 #: Pieces longer than this are encoded but not kept, which bounds the cache in bytes.
 CACHE_PIECE_CHARS = 48
 
+#: Characters of text whose pieces are looked up together.
+GROUP_CHARS = 400_000
+
 _UNSURE = re.compile(r" (?:\s|\Z)")
 
 
@@ -66,49 +69,136 @@ class PieceEncoder:
     def encode_whole(self, text: str) -> bytes:
         return self.encode_pieces([text])[0]
 
-    def _lookup(self, cache: dict[str, bytes], words: list[str], prefix: str) -> bytes:
-        try:
-            return b"".join(map(cache.__getitem__, words))
-        except KeyError:
-            pass
+    def _learn(self, cache: dict[str, bytes], words: set[str], prefix: str) -> dict[str, bytes]:
+        """Makes the cache answer for all words; those too long to keep are returned."""
+        unseen = [w for w in words if w not in cache]
+        if not unseen:
+            return {}
         if len(cache) > self.limit:
             cache.clear()
-            if not self.keep_space or not prefix:
+            if not (self.keep_space and prefix):
                 cache[""] = b""
-        unseen = [w for w in dict.fromkeys(words) if w not in cache]
-        got = dict(zip(unseen, self.encode_pieces([prefix + w for w in unseen] if prefix else unseen)))
-        short = {w: b for w, b in got.items() if len(w) <= CACHE_PIECE_CHARS}
-        cache.update(short)
-        if len(short) == len(got):
-            return b"".join(map(cache.__getitem__, words))
-        return b"".join(cache[w] if w in cache else got[w] for w in words)
+            unseen = [w for w in words if w not in cache]
+        got = self.encode_pieces([prefix + w for w in unseen] if prefix else unseen)
+        long = {}
+        for w, b in zip(unseen, got):
+            (cache if len(w) <= CACHE_PIECE_CHARS else long)[w] = b
+        return long
+
+    def encode_many(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of each text; unseen pieces of GROUP_CHARS at a time go to the encoder together."""
+        out, group, size = [], [], 0
+        for t in texts:
+            group.append(t)
+            size += len(t or "")
+            if size > GROUP_CHARS:
+                out += self._encode_group(group)
+                group, size = [], 0
+        return out + self._encode_group(group)
+
+    def _encode_group(self, texts: list[str | None]) -> list[bytes]:
+        parts: list = []
+        first: set[str] = set()
+        rest: set[str] = set()
+        for t in texts:
+            if not t:
+                parts.append(b"")
+            elif self.special is not None and "<|" in t and self.special.search(t) or self.keep_space and _UNSURE.search(t):
+                parts.append(self.encode_whole(t))
+            elif self.keep_space:
+                head, *words = t.split(" ")
+                first.add(head)
+                rest.update(words)
+                parts.append((head, words))
+            else:
+                words = t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+                first.update(words)
+                parts.append((None, words))
+        long_first, long_rest = self._learn(self.first, first, ""), self._learn(self.rest, rest, " ") if self.keep_space else {}
+        out = []
+        for p in parts:
+            if isinstance(p, bytes):
+                out.append(p)
+                continue
+            head, words = p
+            cache, long = (self.first, long_first) if head is None else (self.rest, long_rest)
+            found = b"".join([cache[w] if w in cache else long[w] for w in words] if long else map(cache.__getitem__, words))
+            if head is not None:
+                found = (self.first[head] if head in self.first else long_first[head]) + found
+            out.append(found)
+        return out
 
     def encode(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        if self.special is not None and "<|" in text and self.special.search(text):
-            return self.encode_whole(text)
-        if not self.keep_space:
-            words = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-            return self._lookup(self.first, words, "")
-        if _UNSURE.search(text):
-            return self.encode_whole(text)
-        words = text.split(" ")
-        return self._lookup(self.first, words[:1], "") + self._lookup(self.rest, words[1:], " ")
+        return self._encode_group([text])[0]
+
+
+#: Pieces that are one run of Latin letters and one run of ASCII marks: two pre-tokens at most, the same under NFC.
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]*)([!-/:-@\[-`{-~]*)")
+_PROBES = ("Hello", "hello,", "Ça!", "weiß", "ÉTÉ!!", "***", "'s", "o''", "e.g", "Ñandú...", "x<|", "THE!!", "étioneux.", "||", "a")
+
+
+def byte_characters() -> list[str]:
+    """The printable character that stands for each byte in byte-level vocabularies."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    spare = iter(range(256, 512))
+    return [chr(b) if b in plain else chr(next(spare)) for b in range(256)]
 
 
 class LibraryEncoder(PieceEncoder):
-    """The tokenizers library behind the cache: equal to encode(text, add_special_tokens=False).ids."""
+    """The tokenizers library behind the cache: equal to encode(text, add_special_tokens=False).ids.
+
+    Plain pieces go straight to the library's BPE model, without its normalizer
+    and pre-tokenizer, if probes show that both ways agree for this vocabulary.
+    """
 
     def __init__(self, name: str, cache_pieces: int = CACHE_PIECES):
         self.tok = load_tokenizer(name)
+        self.model = self.tok.model
+        self.bytes = dict(enumerate(byte_characters()))
+        self.lower = self.tok.normalizer is not None
+        self.runs: dict[str, bytes] = {}
         added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         keep = "byte" in type(self.tok.pre_tokenizer).__name__.lower()
         super().__init__(added, keep, cache_pieces)
+        self.direct = all(self._plain(p) in (None, self._slow([p])[0]) for w in _PROBES for p in ((w, " " + w) if keep else (w,)))
 
-    def encode_pieces(self, pieces: list[str]) -> list[bytes]:
+    def _slow(self, pieces: list[str]) -> list[bytes]:
         return [ids_bytes(e.ids) for e in self.tok.encode_batch_fast(pieces, add_special_tokens=False)]
 
+    def _run(self, run: str) -> bytes:
+        """The ids of one pre-token."""
+        if not run.isascii() or run[0] == " ":
+            run = run.encode().decode("latin-1").translate(self.bytes)
+        return ids_bytes([t.id for t in self.model.tokenize(run)])
+
+    def _plain(self, piece: str) -> bytes | None:
+        """The ids of a plain piece, None for any other."""
+        space = self.keep_space and piece[:1] == " "
+        m = _PLAIN.fullmatch(piece, 1 if space else 0)
+        if m is None or piece == " " * space:
+            return None
+        letters, marks = m[1].lower() if self.lower else m[1], m[2]
+        if space:
+            letters, marks = (" " + letters, marks) if letters else ("", " " + marks)
+        out = self._run(letters) if letters else b""
+        if marks:
+            known = self.runs.get(marks)
+            if known is None:
+                known = self._run(marks)
+                if len(self.runs) < 10_000:
+                    self.runs[marks] = known
+            out += known
+        return out
+
+    def encode_pieces(self, pieces: list[str]) -> list[bytes]:
+        if not self.direct:
+            return self._slow(pieces)
+        out = [self._plain(p) for p in pieces]
+        rest = [k for k, b in enumerate(out) if b is None]
+        for k, b in zip(rest, self._slow([pieces[k] for k in rest])):
+            out[k] = b
+        return out
+
 
 _ENCODERS: dict[str, LibraryEncoder] = {}
 
