@@ -9,13 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from .op01_token_store import op1_token_store
 from .op02_style_tree import op2_style_tree_text
 from .op03_media import op3_webp_media
+from .op04_toxicity import op4_weak_toxicity
 from .op05_bpe import op5_bpe_roundtrip
 from .op08_quality import op8_nbsvm_quality
 from .op10_packing import op10_best_fit_packing
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_token_store, op2_style_tree_text, op3_webp_media, op5_bpe_roundtrip, op8_nbsvm_quality, op10_best_fit_packing)
+    found = (op1_token_store, op2_style_tree_text, op3_webp_media, op4_weak_toxicity, op5_bpe_roundtrip, op8_nbsvm_quality, op10_best_fit_packing)
     return {f.__name__: f for f in found}
 
 
