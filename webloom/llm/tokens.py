@@ -15,8 +15,8 @@ import re
 import sys
 from array import array
 
-#: Pieces kept per Python worker; a full cache is emptied (about 250 MB).
-CACHE_PIECES = 800_000
+#: Pieces kept per Python worker; a full cache is emptied (about 150 MB).
+CACHE_PIECES = 650_000
 #: Pieces longer than this are encoded but not kept, which bounds the cache in bytes.
 CACHE_PIECE_CHARS = 48
 
@@ -180,7 +180,10 @@ class LibraryEncoder(PieceEncoder):
         letters, marks = m[1].lower() if self.lower else m[1], m[2]
         if space:
             letters, marks = (" " + letters, marks) if letters else ("", " " + marks)
-        out = self._run(letters) if letters else b""
+        out = b""
+        if letters:  # a word that was met without these marks needs no merging
+            known = (self.rest if space else self.first).get(letters[1:] if space else letters) if marks else None
+            out = self._run(letters) if known is None else known
         if marks:
             known = self.runs.get(marks)
             if known is None:
