@@ -28,6 +28,7 @@ from zlib import crc32
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -405,11 +406,11 @@ def drop_toxic(docs: DataFrame, classifier: Classifier, threshold: float = THRES
     """The documents scored below the threshold, with all their columns."""
     shared = docs.sparkSession.sparkContext.broadcast(classifier)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches):
         for batch in batches:
-            yield batch[[shared.value.score(t or "") < threshold for t in batch["text"]]]
+            yield batch.filter(pa.array([shared.value.score(t or "") < threshold for t in batch.column("text").to_pylist()], pa.bool_()))
 
-    return docs.mapInPandas(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op4_weak_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

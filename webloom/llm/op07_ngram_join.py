@@ -249,10 +249,10 @@ def _verify(threshold: float):
 
 
 def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
-    """doc_id, row, class_id (least doc_id of the class), n_links, copies of every document (doc_id, text)."""
+    """Of every document (doc_id, text): doc_id, class_id (least doc_id of the class), n_links, copies, key of its text, root of its class."""
     spark = docs.sparkSession
     prefix, least = prefix_length(threshold), least_agreement(threshold)
-    rows = id_text(docs).withColumn("row", F.monotonically_increasing_id())
+    rows = id_text(docs)
 
     signed = stored(rows.select("doc_id", "text").mapInPandas(_sign, "doc_id long, key binary, signature binary"), "signatures")
     texts = signed.groupBy("key").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"), F.max("signature").alias("signature"))
@@ -292,12 +292,33 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame
     classes = components(verified.select(F.col("key").alias("a"), F.col("root").alias("b")))
     by_class = classes.withColumnRenamed("node", "key").join(texts.select("key", "first_id"), "key")
     least_id = by_class.groupBy("root").agg(F.min("first_id").alias("class_id"))
-    of_text = by_class.join(least_id, "root").select("key", "class_id").join(links, "key", "left")
+    of_text = by_class.join(least_id, "root").select("key", "class_id", "root").join(links, "key", "left")
     found = texts.select("key", "first_id", "copies").join(of_text, "key", "left").select(
-        "key", "copies", F.coalesce("class_id", "first_id").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")
+        "key", "copies", F.coalesce("root", "key").alias("root"), F.coalesce("class_id", "first_id").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")
     )
-    return signed.select("doc_id", "key").join(found, "key").select("doc_id", "class_id", "n_links", "copies")
+    return signed.select("doc_id", "key").join(found, "key").select("doc_id", "class_id", "n_links", "copies", "key", "root")
+
+
+def keep_one(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
+    """One document of each class, that of least doc_id, with all its columns; null ids come last, of repeated ids any one row stays."""
+    marks = stored(near_duplicates(docs, threshold), "classes")
+    clash = marks.groupBy("doc_id").count().filter("doc_id is null or count > 1")
+    if clash.isEmpty():
+        gone = marks.filter("doc_id <> class_id").select("doc_id")
+        if gone.count() <= BROADCAST_TEXTS:
+            gone = F.broadcast(gone)
+        return docs.join(gone, docs["doc_id"] == gone["doc_id"], "left_anti")
+
+    def keyed(batches):
+        for batch in batches:
+            yield pd.DataFrame({"row": batch["row"], "doc_id": batch["doc_id"], "key": [text_key(words_of(t)) for t in batch["text"]]})
+
+    numbered = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    rows = numbered.select(F.col("_row").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    keys = rows.mapInPandas(keyed, "row long, doc_id long, key binary").join(marks.select("key", "class_id", "root").distinct(), "key")
+    least = keys.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("best")).select(F.col("best.row").alias("_row"))
+    return numbered.join(least, "_row", "left_semi").select(*docs.columns)
 
 
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents")).drop("key", "root")

@@ -26,6 +26,7 @@ from zlib import crc32
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -208,12 +209,12 @@ def keep_quality(docs: DataFrame, model: Model, threshold: float = THRESHOLD) ->
     """The documents whose score reaches the threshold, with all their columns."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches):
         make, model = indicators(), shared.value
         for batch in batches:
-            yield batch[[model.score(make.of(t or "")) >= threshold for t in batch["text"]]]
+            yield batch.filter(pa.array([model.score(make.of(t or "")) >= threshold for t in batch.column("text").to_pylist()], pa.bool_()))
 
-    return docs.mapInPandas(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op8_nbsvm_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

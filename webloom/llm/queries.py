@@ -11,12 +11,15 @@ from .op02_style_tree import op2_style_tree_text
 from .op03_media import op3_webp_media
 from .op04_toxicity import op4_weak_toxicity
 from .op05_bpe import op5_bpe_roundtrip
+from .op06_ann import op6_learned_partition_ann
+from .op07_ngram_join import op7_ngram_jaccard_join
 from .op08_quality import op8_nbsvm_quality
+from .op09_pii import op9_bootstrapped_pii
 from .op10_packing import op10_best_fit_packing
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_token_store, op2_style_tree_text, op3_webp_media, op4_weak_toxicity, op5_bpe_roundtrip, op8_nbsvm_quality, op10_best_fit_packing)
+    found = (op1_token_store, op2_style_tree_text, op3_webp_media, op4_weak_toxicity, op5_bpe_roundtrip, op6_learned_partition_ann, op7_ngram_jaccard_join, op8_nbsvm_quality, op9_bootstrapped_pii, op10_best_fit_packing)
     return {f.__name__: f for f in found}
 
 
