@@ -2,11 +2,11 @@
 
 Layout of a store folder (all files are Parquet, written by Spark's committer):
 
-* ``part=chunk``: unique chunks (hash, n, width, payload); files by hash;
-* ``recipes``: one row a document in ascending doc_id order: doc_id, file, start
-  within the file, n_tokens, the hashes and lengths of its chunks in order, and
-  the Merkle root over those hashes;
-* ``manifest``: one row a recipe file (documents, tokens, Merkle root of its documents).
+* ``parts/part=chunk``: unique chunks (hash, n, payload); files by hash;
+* ``recipes``: one row a document in ascending doc_id order: doc_id, file, place
+  and start within the file, n_tokens, the addresses and lengths of its chunks in
+  order, and (as ``hash``) the Merkle root over those addresses;
+* ``manifest``: one row a recipe file (documents, tokens, root of its documents).
 
 A rolling hash over a window of ids cuts each document's id stream, so equal
 passages give equal chunks wherever they stand.  A chunk's address is the
@@ -15,8 +15,8 @@ fit, u32 otherwise.
 
 Edge cases: null or empty text is the end id alone; repeated rows and equal texts
 share their chunks and each keep a recipe; equal doc_ids are ordered by Merkle
-root; an empty table gives an empty store; other columns are ignored; a document
-of any length is cut into chunks of at most MAX_IDS ids.
+root; null doc_ids come first; an empty table gives an empty store; other columns
+are ignored; a document of any length is cut into chunks of at most MAX_IDS ids.
 """
 
 from __future__ import annotations
@@ -27,6 +27,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -93,80 +94,90 @@ def merkle_root(leaves: list[bytes]) -> bytes:
     return level[0]
 
 
+ROWS = "part string, hash binary, n int, payload binary, doc_id long, row long, addresses binary, lengths array<int>"
+_ARROW = pa.schema(
+    [("part", pa.string()), ("hash", pa.binary()), ("n", pa.int32()), ("payload", pa.binary()), ("doc_id", pa.int64()), ("row", pa.int64()), ("addresses", pa.binary()), ("lengths", pa.list_(pa.int32()))]
+)
+
+
 def _cut(vocabulary: str, end_id: int):
+    """Batches of doc_id, text, row -> a recipe row for each document, a chunk row for each chunk new to the task."""
     end = ids_bytes([end_id])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, seen = library_encoder(vocabulary), set()
         for batch in batches:
-            for first in range(0, len(batch), SLICE):
-                part = batch.iloc[first : first + SLICE]
-                streams = [b + end for b in encoder.encode_many(part["text"].tolist())]
+            for first in range(0, batch.num_rows, SLICE):
+                part = batch.slice(first, SLICE)
+                streams = [b + end for b in encoder.encode_many(part.column("text").to_pylist())]
                 ids = np.frombuffer(b"".join(streams), "<u4")
                 # Documents are hashed in one array: what the window takes from the document before lies within MIN_IDS, where nothing is cut.
                 marks = marks_of(ids)
                 ends = np.cumsum([len(b) // 4 for b in streams])
                 at = np.searchsorted(marks, ends, side="right")
-                rows, start, mark = [], 0, 0
-                for k, (doc, row, stop, to) in enumerate(zip(part["doc_id"].tolist(), part["row"].tolist(), ends.tolist(), at.tolist())):
-                    data, got, last = streams[k], [], 0
+                chunks, recipes, start, mark = [], [], 0, 0
+                for data, doc, row, stop, to in zip(streams, part.column("doc_id").to_pylist(), part.column("row").to_pylist(), ends.tolist(), at.tolist()):
+                    addresses, lengths, last = [], [], 0
                     for cut in cut_points(stop - start, (marks[mark:to] - start).tolist()):
                         piece = data[4 * last : 4 * cut]
-                        h, payload = blake2b(piece, digest_size=16).digest(), None
+                        h = blake2b(piece, digest_size=16).digest()
                         if h not in seen:
                             if len(seen) >= SEEN:
                                 seen.clear()
                             seen.add(h)
                             own = ids[start + last : start + cut]
-                            payload = own.astype("<u2").tobytes() if int(own.max()) < 1 << 16 else piece
-                        got.append((h, cut - last, payload))
+                            chunks.append((h, cut - last, own.astype("<u2").tobytes() if int(own.max()) < 1 << 16 else piece))
+                        addresses.append(h)
+                        lengths.append(cut - last)
                         last = cut
-                    root = merkle_root([h for h, _, _ in got])
-                    rows += [(doc, root, row, o, h, n, p) for o, (h, n, p) in enumerate(got)]
+                    recipes.append((merkle_root(addresses), stop - start, doc, row, b"".join(addresses), lengths))
                     start, mark = stop, to
-                yield pd.DataFrame(rows, columns=["doc_id", "root", "row", "ord", "hash", "n", "payload"])
+                c, r = len(chunks), len(recipes)
+                columns = [
+                    ["chunk"] * c + ["recipe"] * r, [x[0] for x in chunks] + [x[0] for x in recipes], [x[1] for x in chunks] + [x[1] for x in recipes], [x[2] for x in chunks] + [None] * r,
+                    [None] * c + [x[2] for x in recipes], [None] * c + [x[3] for x in recipes], [None] * c + [x[4] for x in recipes], [None] * c + [x[5] for x in recipes],
+                ]
+                yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(columns, _ARROW)], schema=_ARROW)
 
     return run
 
 
-def _keep_once(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """All rows of a hash are in this partition: its first payload becomes the chunk, every row a reference."""
+def _keep_once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All rows of an address are in this partition: recipes stay, of equal chunks the first."""
     seen: set[bytes] = set()
     for batch in batches:
-        have = batch["payload"].notna()
-        first = []
-        for h, p in zip(batch["hash"], have):
-            new = bool(p) and h not in seen
-            if new:
+        keep = []
+        for part, h in zip(batch.column("part").to_pylist(), batch.column("hash").to_pylist()):
+            new = part == "recipe" or h not in seen
+            if part == "chunk":
                 seen.add(h)
-            first.append(new)
-        chunks = batch[first].assign(part="chunk", doc_id=None, root=None, row=None, ord=None)
-        yield pd.concat([batch.assign(part="ref", payload=None), chunks], ignore_index=True)[["doc_id", "root", "row", "ord", "hash", "n", "payload", "part"]]
+            keep.append(new)
+        yield batch.filter(pa.array(keep, pa.bool_()))
 
 
 def write_store(docs: DataFrame, folder: str, vocabulary: str = VOCABULARY, end_id: int = END_ID) -> None:
     """Tokenize docs (doc_id, text) and write the store described above."""
     spark = docs.sparkSession
-    occurrences = "doc_id long, root binary, row long, ord int, hash binary, n int, payload binary"
-    cut = id_text(docs).withColumn("row", F.monotonically_increasing_id()).mapInPandas(_cut(vocabulary, end_id), occurrences)
-    (cut.repartition(map_slices(spark), "hash").mapInPandas(_keep_once, occurrences + ", part string")
-        .write.option("compression", "zstd").partitionBy("part").parquet(f"{folder}/chunks"))
-    refs = spark.read.schema(occurrences + ", part string").parquet(f"{folder}/chunks").filter("part = 'ref'")
-    recipe = (refs.groupBy("doc_id", "row", "root")
-        .agg(F.sort_array(F.collect_list(F.struct("ord", "hash", "n"))).alias("chunks"), F.sum("n").alias("n_tokens"))
-        .repartitionByRange(map_slices(spark), F.col("doc_id").asc_nulls_first(), "root", "row")
-        .withColumn("file", F.spark_partition_id()))
-    in_file = Window.partitionBy("file").orderBy(F.col("doc_id").asc_nulls_first(), "root", "row")
-    recipe.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "root", "row").write.option("compression", "zstd").parquet(f"{folder}/sorted")
-    recipe = spark.read.parquet(f"{folder}/sorted")
-    (recipe.withColumn("start", F.sum("n_tokens").over(in_file.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n_tokens"))
+    rows = id_text(docs).withColumn("row", F.monotonically_increasing_id()).mapInArrow(_cut(vocabulary, end_id), ROWS)
+    rows.repartition(map_slices(spark), "hash").mapInArrow(_keep_once, ROWS).write.option("compression", "zstd").partitionBy("part").parquet(f"{folder}/parts")
+    order = (F.col("doc_id").asc_nulls_first(), F.col("hash"), F.col("row"))
+    recipes = _parts(spark, folder, "recipe").select("doc_id", "row", "hash", F.col("n").cast("long").alias("n_tokens"), "addresses", "lengths")
+    recipes = recipes.repartitionByRange(map_slices(spark), *order).withColumn("file", F.spark_partition_id())
+    in_file = Window.partitionBy("file").orderBy(*order)
+    recipes.sortWithinPartitions(*order).write.option("compression", "zstd").parquet(f"{folder}/sorted")
+    (spark.read.parquet(f"{folder}/sorted")
+        .withColumn("start", F.sum("n_tokens").over(in_file.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n_tokens"))
         .withColumn("place", F.row_number().over(in_file))
         .write.option("compression", "zstd").parquet(f"{folder}/recipes"))
-    recipes = spark.read.parquet(f"{folder}/recipes")
-    (recipes.groupBy("file").agg(F.count("*").alias("documents"), F.sum("n_tokens").alias("tokens"), F.bit_xor(F.xxhash64("root", "doc_id", "place")).alias("root"))
+    roots = F.bit_xor(F.xxhash64("hash", "doc_id", "place")).alias("root")
+    (spark.read.parquet(f"{folder}/recipes").groupBy("file").agg(F.count("*").alias("documents"), F.sum("n_tokens").alias("tokens"), roots)
         .write.parquet(f"{folder}/manifest"))
 
 
+def _parts(spark: SparkSession, folder: str, part: str) -> DataFrame:
+    return spark.read.schema(ROWS).parquet(f"{folder}/parts").filter(F.col("part") == part)
+
+
 def _shift_tables() -> np.ndarray:
     """tables[k][j][b]: the effect on a CRC-32 of 2**k zero bytes after it, for byte j of the CRC having value b."""
     poly = 0xEDB88320
@@ -226,14 +237,9 @@ def _check_chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"hash": batch["hash"], "crc": pd.Series(crc, dtype="int64")})
 
 
-def _chunks(spark: SparkSession, folder: str) -> DataFrame:
-    schema = "doc_id long, root binary, row long, ord int, hash binary, n int, payload binary, part string"
-    return spark.read.schema(schema).parquet(f"{folder}/chunks").filter("part = 'chunk'").select("hash", "n", "payload")
-
-
 @F.pandas_udf(T.BooleanType())
-def _root_matches(root: pd.Series, hashes: pd.Series) -> pd.Series:
-    return pd.Series([merkle_root([bytes(h) for h in hs]) == bytes(r) for r, hs in zip(root, hashes)], dtype="bool")
+def _root_matches(root: pd.Series, addresses: pd.Series) -> pd.Series:
+    return pd.Series([merkle_root([a[i : i + 16] for i in range(0, len(a), 16)]) == r for r, a in zip(root, addresses)], dtype="bool")
 
 
 @F.pandas_udf(T.LongType())
@@ -242,7 +248,7 @@ def _moved(crc: pd.Series, after: pd.Series) -> pd.Series:
 
 
 def read_digests(spark: SparkSession, folder: str) -> DataFrame:
-    """Per document from the files: doc_id, start over all documents, n_tokens, ids_crc32, chunks, verified.
+    """Per document from the files: doc_id, start over all documents, n_tokens, ids_crc32, n_chunks, verified.
 
     Each stored chunk is read once, checked against its address and reduced to
     its CRC; documents combine the CRCs of their recipes, so payloads aren't shuffled.
@@ -250,26 +256,27 @@ def read_digests(spark: SparkSession, folder: str) -> DataFrame:
     recipes = spark.read.parquet(f"{folder}/recipes")
     manifest = spark.read.parquet(f"{folder}/manifest")  # a row for each recipe file
     before = manifest.select("file", (F.sum("tokens").over(Window.orderBy("file")) - F.col("tokens")).alias("base"))
-    ends = F.expr("transform(chunks, (c, i) -> named_struct('hash', c.hash, 'after', 4 * (n_tokens - aggregate(slice(chunks, 1, i + 1), 0L, (a, x) -> a + x.n))))")
-    parts = recipes.select("file", "place", F.explode(ends).alias("c")).select("file", "place", "c.hash", "c.after")
-    crcs = _chunks(spark, folder).mapInPandas(_check_chunks, "hash binary, crc long")
+    places = F.expr("transform(lengths, (n, i) -> named_struct('hash', substring(addresses, 16 * i + 1, 16), 'after', 4 * (n_tokens - aggregate(slice(lengths, 1, i + 1), 0L, (a, x) -> a + x))))")
+    parts = recipes.select("file", "place", F.explode(places).alias("c")).select("file", "place", "c.hash", "c.after")
+    crcs = _parts(spark, folder, "chunk").select("hash", "n", "payload").mapInPandas(_check_chunks, "hash binary, crc long")
     joined = parts.join(crcs, "hash").select("file", "place", _moved("crc", "after").alias("moved"))
     crc = joined.groupBy("file", "place").agg(F.bit_xor("moved").alias("ids_crc32"), F.count("*").alias("found"))
-    docs = recipes.select("file", "place", "doc_id", "start", "n_tokens", F.size("chunks").alias("n_chunks"), _root_matches("root", F.col("chunks.hash")).alias("root_ok"))
+    docs = recipes.select("file", "place", "doc_id", "start", "n_tokens", F.size("lengths").alias("n_chunks"), _root_matches("hash", "addresses").alias("root_ok"))
     return (docs.join(crc, ["file", "place"], "left").join(F.broadcast(before), "file")
         .select("doc_id", (F.col("start") + F.col("base")).alias("start"), "n_tokens", "ids_crc32", "n_chunks", (F.col("root_ok") & (F.col("found") == F.col("n_chunks"))).alias("verified")))
 
 
 def read_ids(spark: SparkSession, folder: str) -> DataFrame:
     """Documents rebuilt from the files: doc_id, file, place, ids (array of long)."""
-    parts = spark.read.parquet(f"{folder}/recipes").select("doc_id", "file", "place", F.posexplode("chunks").alias("k", "c")).select("doc_id", "file", "place", "k", "c.hash")
+    places = F.expr("transform(lengths, (n, i) -> named_struct('k', i, 'hash', substring(addresses, 16 * i + 1, 16)))")
+    parts = spark.read.parquet(f"{folder}/recipes").select("doc_id", "file", "place", F.explode(places).alias("c")).select("doc_id", "file", "place", "c.k", "c.hash")
 
     @F.pandas_udf("array<long>")
     def ids(payload: pd.Series, n: pd.Series) -> pd.Series:
         return pd.Series([_payload_ids(p, k).astype("int64") for p, k in zip(payload, n)])
 
-    whole = parts.join(_chunks(spark, folder).withColumn("ids", ids("payload", "n")).select("hash", "ids"), "hash")
-    return whole.groupBy("doc_id", "file", "place").agg(F.flatten(F.expr("transform(sort_array(collect_list(struct(k, ids))), x -> x.ids)")).alias("ids"))
+    chunks = _parts(spark, folder, "chunk").withColumn("ids", ids("payload", "n")).select("hash", "ids")
+    return parts.join(chunks, "hash").groupBy("doc_id", "file", "place").agg(F.flatten(F.expr("transform(sort_array(collect_list(struct(k, ids))), x -> x.ids)")).alias("ids"))
 
 
 def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
