@@ -35,10 +35,11 @@ from pyspark.sql import functions as F
 from .labelled import calibrate, held_out, sigmoid, training_sample, with_labels
 from .shared import id_text, stored, table
 
-SAMPLE = 24_000
+SAMPLE = 16_000
 THRESHOLD = 0.5
 #: Stems of so many letters may be induced, at most so many of them, each in so many toxic sample documents.
 STEM_LETTERS, STEMS, STEM_DOCUMENTS, STEM_ODDS = (3, 4, 5, 6, 7, 8), 40, 4, 2.0
+LEAST_LETTERS = min(STEM_LETTERS)
 #: A word beginning is dense in a text if it stands there twice at least, and once in so many words.
 DENSE_TIMES, DENSE_IN = 2, 300
 PRIOR, EM_ROUNDS = 0.1, 8
@@ -47,8 +48,9 @@ ANNOTATOR_ERROR = 0.002
 #: Accuracies before any label is seen, P(toxic) of a silent text then, and the votes that the start counts for.
 ACCURACY, SILENT, ANCHOR = 0.7, 0.02, 20.0
 BUCKETS = 1 << 20
-#: Indicators enter the classifier if their log odds are so many standard errors from 0.
-SIGNIFICANT, EPOCHS, PENALTY = 3.0, 30, 1e-4
+#: Indicators enter the classifier if their log odds are so many standard errors, and so much, from 0; they are scaled by them.
+SIGNIFICANT, ODDS = 2.5, 1.0
+STEPS, BATCH, PENALTY = 600, 256, 1e-4
 #: Words a worker remembers; a full memory is emptied.
 WORDS = 600_000
 
@@ -70,8 +72,12 @@ PATTERNS = ("several", "addressed", "neighbours")
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
+def words_in(token: str) -> list[str]:
+    return [token] if token.isalpha() else _LETTERS.findall(token)
+
+
 def beginnings(token: str) -> list[str]:
-    return [w[:k] for w in _LETTERS.findall(token) for k in STEM_LETTERS if len(w) >= k]
+    return [w[:k] for w in words_in(token) for k in STEM_LETTERS if len(w) >= k]
 
 
 def dense(count: int, words: int) -> bool:
@@ -85,6 +91,7 @@ class Voters:
         self.stems: dict[str, list[tuple[bool, int]]] = {}
         for k, (s, must) in enumerate(stems):
             self.stems.setdefault(s, []).append((must, 1 << len(LEXICONS) + k))
+        self.first_letters = {s[:LEAST_LETTERS] for s in self.stems}
         self.of_word: dict[str, int] = {}
         for k, words in enumerate(LEXICONS.values()):
             for w in words.split():
@@ -95,14 +102,15 @@ class Voters:
 
     def _bits(self, token: str) -> tuple[int, tuple[int, ...]] | None:
         now, counted = 0, []
-        for w in _LETTERS.findall(token):
+        for w in words_in(token):
             now |= self.of_word.get(w, 0)
-        for s in beginnings(token):
-            for must, bit in self.stems.get(s, ()):
-                if must:
-                    counted.append(bit)
-                else:
-                    now |= bit
+            if w[:LEAST_LETTERS] in self.first_letters:
+                for k in STEM_LETTERS:
+                    for must, bit in self.stems.get(w[:k], ()) if len(w) >= k else ():
+                        if must:
+                            counted.append(bit)
+                        else:
+                            now |= bit
         return (now, tuple(counted)) if now or counted else None
 
     def mask(self, text: str) -> int:
@@ -253,23 +261,34 @@ def fit_label_model(patterns: DataFrame, start: np.ndarray, prior: float, silent
     return model
 
 
-def _indicators(token: str) -> tuple[list[int], list[int]]:
-    """Of a token: indicators of presence, indicators that need density."""
-    words = _LETTERS.findall(token)
-    starts = set(beginnings(token))
-    return [crc32(b.encode()) % BUCKETS for b in starts] + [crc32(f"={w}".encode()) % BUCKETS for w in words], [crc32(f"+{b}".encode()) % BUCKETS for b in starts]
-
-
 class Classifier:
-    """Logistic weights over hashed indicators of words and word beginnings, as such or dense."""
+    """Logistic weights over indicators: of a word ("=word"), of a word beginning, and of a dense one ("+beginning")."""
 
-    def __init__(self, weights: dict[int, float], offset: float, slope: float = 1.0, shift: float = 0.0):
+    def __init__(self, weights: dict[str, float], offset: float, slope: float = 1.0, shift: float = 0.0):
         self.weights, self.offset, self.slope, self.shift = weights, offset, slope, shift
+        self.words = {n[1:]: n for n in weights if n[0] == "="}
+        self.dense = {n[1:]: n for n in weights if n[0] == "+"}
+        self.starts = {n: n for n in weights if n[0] not in "=+"}
+        self.first_letters = {n[:LEAST_LETTERS] for n in [*self.starts, *self.dense]}
         self.known: dict[str, tuple | None] = {}
 
-    def features(self, text: str, accept=None) -> list[int]:
-        """The text's indicators among the weights, or among those that accept holds."""
-        accept = self.weights if accept is None else accept
+    def _of(self, token: str) -> tuple[list[str], list[str]] | None:
+        now, counted = [], []
+        for w in words_in(token):
+            if w in self.words:
+                now.append(self.words[w])
+            if w[:LEAST_LETTERS] in self.first_letters:
+                for k in STEM_LETTERS:
+                    b = w[:k]
+                    if len(b) == k:
+                        if b in self.starts:
+                            now.append(b)
+                        if b in self.dense:
+                            counted.append(self.dense[b])
+        return (now, counted) if now or counted else None
+
+    def features(self, text: str) -> list[str]:
+        """The text's indicators among the weights."""
         known, out, counts = self.known, set(), {}
         if len(known) > WORDS:
             known.clear()
@@ -278,9 +297,7 @@ class Classifier:
             if t in known:
                 f = known[t]
             else:
-                now, counted = _indicators(t)
-                f = (tuple(i for i in now if i in accept), tuple(i for i in counted if i in accept))
-                f = f if f[0] or f[1] else None
+                f = self._of(t)
                 if len(t) <= 48:
                     known[t] = f
             if f is not None:
@@ -290,24 +307,43 @@ class Classifier:
         out.update(i for i, n in counts.items() if dense(n, len(tokens)))
         return sorted(out)
 
-    def margin(self, features: list[int]) -> float:
-        return self.offset + sum(self.weights.get(i, 0.0) for i in features)
+    def margin(self, features: list[str]) -> float:
+        return self.offset + sum(self.weights[i] for i in features)
 
     def score(self, text: str) -> float:
         return float(sigmoid(self.slope * self.margin(self.features(text)) + self.shift))
 
 
-def significant(sample: DataFrame, model: LabelModel) -> list[int]:
-    """The indicators whose posterior-weighted log odds in the sample (text, mask, y) lie SIGNIFICANT errors from 0."""
+def all_indicators(text: str) -> set[str]:
+    tokens = text.lower().split()
+    out, times = set(), {}
+    for t, n in Counter(tokens).items():
+        for w in words_in(t):
+            out.add("=" + w)
+            for k in STEM_LETTERS:
+                if len(w) < k:
+                    break
+                b = w[:k]
+                out.add(b)
+                times[b] = times.get(b, 0) + n
+    out.update("+" + b for b, n in times.items() if dense(n, len(tokens)))
+    return out
+
+
+def significant(sample: DataFrame, model: LabelModel) -> dict[str, float]:
+    """The indicators whose posterior-weighted log odds in the sample (text, mask, y) stand out, with these odds.
+
+    Odds are counted by hash bucket; the names in the buckets that stand out come in a second look.
+    """
     shared = sample.sparkSession.sparkContext.broadcast(model)
     count = len(model.weights)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        mass, total, every = np.zeros((2, BUCKETS)), np.zeros(2), range(BUCKETS)
+        mass, total = np.zeros((2, BUCKETS)), np.zeros(2)
         for batch in batches:
             target = shared.value.posterior(bits_of(batch["mask"].to_numpy(), count), batch["y"].to_numpy(np.float64))
             for text, t in zip(batch["text"], target.tolist()):
-                at = Classifier({}, 0.0).features(text, every)
+                at = list({crc32(n.encode()) % BUCKETS for n in all_indicators(text)})
                 mass[1, at] += t
                 mass[0, at] += 1 - t
             total += (1 - target).sum(), target.sum()
@@ -317,33 +353,49 @@ def significant(sample: DataFrame, model: LabelModel) -> list[int]:
     sums = stored(sample.select("text", "mask", "y").mapInPandas(run, "at int, clean double, toxic double").groupBy("at").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")), "indicators")
     total = sums.filter("at = -1").first()
     if total is None:
-        return []
+        return {}
     clean, toxic = F.col("clean") + 0.5, F.col("toxic") + 0.5
     odds = F.log(toxic / (total["toxic"] + 1)) - F.log(clean / (total["clean"] + 1))
-    return [r["at"] for r in sums.filter((F.col("at") >= 0) & (F.abs(odds) / F.sqrt(1 / toxic + 1 / clean) > SIGNIFICANT)).select("at").orderBy("at").collect()]
-
+    stands_out = (F.abs(odds) / F.sqrt(1 / toxic + 1 / clean) > SIGNIFICANT) & (F.abs(odds) >= ODDS)
+    buckets = sample.sparkSession.sparkContext.broadcast(frozenset(r["at"] for r in sums.filter((F.col("at") >= 0) & stands_out).select("at").collect()))
 
-def train_classifier(rows: list[np.ndarray], target: np.ndarray) -> Classifier:
-    """Logistic regression on soft targets by Adagrad."""
+    def names(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        mass: dict[str, list[float]] = {}
+        for batch in batches:
+            target = shared.value.posterior(bits_of(batch["mask"].to_numpy(), count), batch["y"].to_numpy(np.float64))
+            for text, t in zip(batch["text"], target.tolist()):
+                for n in all_indicators(text):
+                    m = mass.get(n)
+                    if m is None and crc32(n.encode()) % BUCKETS in buckets.value:
+                        m = mass[n] = [0.0, 0.0]
+                    if m is not None:
+                        m[0] += 1 - t
+                        m[1] += t
+        yield pd.DataFrame([(n, *m) for n, m in mass.items()], columns=["name", "clean", "toxic"])
+
+    found = sample.select("text", "mask", "y").mapInPandas(names, "name string, clean double, toxic double").groupBy("name").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    return {r["name"]: r["odds"] for r in found.filter(stands_out).select("name", odds.alias("odds")).orderBy("name").collect()}
+
+
+def train_classifier(odds: dict[str, float], rows: list[np.ndarray], target: np.ndarray) -> Classifier:
+    """Logistic regression on soft targets by Adagrad over indicators scaled by their odds; rows hold places in odds."""
+    scale = np.array([*odds.values()] or [0.0]) / max([1.0, *map(abs, odds.values())])
     prior = float(np.clip(target.mean(), 1e-3, 1 - 1e-3))
-    w, offset = np.zeros(BUCKETS), float(np.log(prior / (1 - prior)))
-    size, step, rng, order = np.full(BUCKETS, 1e-8), 0.5, np.random.default_rng(5), np.arange(len(rows))
+    w, offset = np.zeros(len(scale)), float(np.log(prior / (1 - prior)))
+    size, step, rng, order = np.full(len(scale), 1e-8), 0.5, np.random.default_rng(5), np.arange(len(rows))
     lengths = np.array([len(r) for r in rows])
-    for _ in range(EPOCHS):
+    for _ in range(-(-STEPS * BATCH // len(rows))):
         rng.shuffle(order)
-        for first in range(0, len(order), 256):
-            batch = order[first : first + 256]
+        for first in range(0, len(order), BATCH):
+            batch = order[first : first + BATCH]
             at = np.concatenate([rows[i] for i in batch])
             who = np.repeat(np.arange(len(batch)), lengths[batch])
-            p = sigmoid(np.bincount(who, w[at], len(batch)) + offset)
-            gap = p - target[batch]
-            touched, inverse = np.unique(at, return_inverse=True)
-            g = np.bincount(inverse, gap[who], len(touched)) / len(batch) + PENALTY * w[touched]
-            size[touched] += g * g
-            w[touched] -= step * g / np.sqrt(size[touched])
+            gap = sigmoid(np.bincount(who, w[at] * scale[at], len(batch)) + offset) - target[batch]
+            g = np.bincount(at, gap[who] * scale[at], len(scale)) / len(batch) + PENALTY * w
+            size += g * g
+            w -= step * g / np.sqrt(size)
             offset -= 0.05 * float(gap.mean())
-    used = np.flatnonzero(w)
-    return Classifier(dict(zip(used.tolist(), w[used].tolist())), offset)
+    return Classifier({n: float(x) for n, x in zip(odds, w * scale) if x}, offset)
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = SAMPLE) -> tuple[Classifier, LabelModel, Voters]:
@@ -371,22 +423,23 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int =
         silent = float((y[quiet].sum() + SILENT) / (quiet.sum() + 1))
     model = fit_label_model(vote(docs, voters), np.clip(start, 0.001, 0.999), prior, float(np.clip(silent, 1e-4, 0.5)))
     if not rows:  # nothing to train on: the lexicons' own indicators stand for the classifier
-        weights = {crc32(f"={w}".encode()) % BUCKETS: 4.0 for w in voters.of_word}
-        return Classifier(weights, float(np.log(PRIOR / (1 - PRIOR)))), model, voters
-    accept = docs.sparkSession.sparkContext.broadcast(frozenset(significant(sample, model)))
+        return Classifier({f"={w}": 4.0 for w in voters.of_word}, float(np.log(PRIOR / (1 - PRIOR)))), model, voters
+    names = significant(sample, model)
+    place = {n: k for k, n in enumerate(names)}
+    finder = docs.sparkSession.sparkContext.broadcast(Classifier(dict.fromkeys(names, 0.0), 0.0))
 
     def featured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        maker = Classifier({}, 0.0)
         for batch in batches:
-            at = [np.array(maker.features(t, accept.value), np.int32).tobytes() for t in batch["text"]]
+            at = [np.array([place[n] for n in finder.value.features(t)], np.int32).tobytes() for t in batch["text"]]
             yield pd.DataFrame({"doc_id": batch["doc_id"], "y": batch["y"], "mask": batch["mask"], "at": at})
 
     got = sample.mapInPandas(featured, "doc_id long, y int, mask long, at binary").collect()
     got.sort(key=lambda r: (r["doc_id"], r["mask"], bytes(r["at"])))
     at, y = [np.frombuffer(r["at"], np.int32) for r in got], np.array([r["y"] for r in got], np.float64)
-    classifier = train_classifier(at, model.posterior(bits_of(np.array([r["mask"] for r in got], np.int64), voters.count), y))
+    classifier = train_classifier(names, at, model.posterior(bits_of(np.array([r["mask"] for r in got], np.int64), voters.count), y))
     if both:
-        classifier.slope, classifier.shift = calibrate(np.array([classifier.margin(a.tolist()) for a in at]), y)
+        weight = np.array([classifier.weights.get(n, 0.0) for n in names] or [0.0])
+        classifier.slope, classifier.shift = calibrate(np.array([classifier.offset + weight[a].sum() for a in at]), y)
     return classifier, model, voters
 
 
