@@ -267,8 +267,9 @@ def style_tree(pages: DataFrame) -> DataFrame:
 
 
 def low_branches(tree: DataFrame, least: float = LEAST_IMPORTANCE, least_pages: int = LEAST_PAGES) -> DataFrame:
-    """host and path of the branches to cut; those in or around an article have the prior 1 and stay."""
-    return tree.filter((F.col("importance") < least) & (F.col("pages") >= least_pages) & (F.col("path").contains("/")) & ~F.col("path").rlike(r"(^|/)(article|main|body|head)(\.[^/]*)?(/|$)|/body$")).select("host", "path")
+    """host and path of the branches to cut; articles, what is in them, and the page's own elements have the prior 1 and stay."""
+    prior = F.col("path").rlike(r"(^|/)(article|main)(\.[^/]*)?(/|$)|^html(/(body|head)(\.[^/]*)?)?$")
+    return tree.filter((F.col("importance") < least) & (F.col("pages") >= least_pages) & ~prior).select("host", "path")
 
 
 def extract(source: str | None, low=lambda path: False) -> str:
