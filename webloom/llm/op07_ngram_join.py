@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .graph import components
-from .shared import id_text, stored, table
+from .shared import id_text, map_slices, stored, table
 
 WORDS, SIMILARITY = 5, 0.8
 TREES, DEPTH, RECALL = 24, 7, 0.9999
@@ -176,6 +176,22 @@ def _stars(keys: list[bytes], pairs_a: np.ndarray, pairs_b: np.ndarray) -> list[
     return [(keys[k], keys[find(k)]) for k in range(len(keys)) if find(k) != k]
 
 
+def _agreeing(left: np.ndarray, right: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of two signature matrices that agree in a share ``least``."""
+    found_a, found_b = [], []
+    step = max(1, 4_000_000 // max(1, right.size))
+    for i in range(0, len(left), step):
+        a, b = np.nonzero((left[i : i + step, None, :] == right[None, :, :]).mean(axis=2) >= least)
+        found_a.append(a + i)
+        found_b.append(b)
+    none = np.zeros(0, np.int64)
+    return np.concatenate(found_a or [none]), np.concatenate(found_b or [none])
+
+
+def _matrix(signatures: pd.Series) -> np.ndarray:
+    return np.frombuffer(b"".join(signatures), np.uint32).reshape(len(signatures), -1)
+
+
 def _alike(least: float):
     """The rows of one block pair -> star edges of those whose signatures agree enough."""
 
@@ -183,17 +199,40 @@ def _alike(least: float):
         first = pdf["block"] == pdf["block_a"]
         same = bool((pdf["block_a"] == pdf["block_b"]).iat[0])
         pdf = pd.concat([pdf[first], pdf[~first]])
-        n = int(first.sum())
-        m = np.stack([np.frombuffer(s, np.uint32) for s in pdf["signature"]])
-        left, right = m[:n], m if same else m[n:]
-        found_a, found_b = [], []
-        step = max(1, 4_000_000 // max(1, right.size))
-        for i in range(0, len(left), step):
-            agree = (left[i : i + step, None, :] == right[None, :, :]).mean(axis=2)
-            a, b = np.nonzero(agree >= least)
-            found_a.append(a + i)
-            found_b.append(b if same else b + n)
-        return pd.DataFrame(_stars(pdf["key"].tolist(), np.concatenate(found_a), np.concatenate(found_b)) if found_a and len(right) else [], columns=["a", "b"])
+        n, m = int(first.sum()), _matrix(pdf["signature"])
+        a, b = _agreeing(m[:n], m if same else m[n:], least)
+        return pd.DataFrame(_stars(pdf["key"].tolist(), a, b if same else b + n), columns=["a", "b"])
+
+    return run
+
+
+def _alike_in_order(least: float):
+    """Rows (label, key, signature) in label order, whole labels in a partition -> star edges; for labels of at most a block."""
+
+    def edges(pdf: pd.DataFrame) -> pd.DataFrame:
+        labels, keys, m = pdf["label"].to_numpy(), pdf["key"].tolist(), _matrix(pdf["signature"])
+        starts = np.flatnonzero(np.concatenate([[True], labels[1:] != labels[:-1]]))
+        sizes = np.diff(np.append(starts, len(labels)))
+        two = starts[sizes == 2]
+        hit = two[(m[two] == m[two + 1]).mean(axis=1) >= least].tolist()
+        out = [(keys[i + 1], keys[i]) for i in hit]
+        for i, n in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist()):
+            part = m[i : i + n]
+            out += _stars(keys[i : i + n], *_agreeing(part, part, least))
+        return pd.DataFrame(out, columns=["a", "b"])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kept = None
+        for batch in batches:
+            if not len(batch):
+                continue
+            batch = batch if kept is None else pd.concat([kept, batch], ignore_index=True)
+            whole = int(np.searchsorted(batch["label"].to_numpy(), batch["label"].iat[-1]))  # the last label may go on
+            kept = batch.iloc[whole:]
+            if whole:
+                yield edges(batch.iloc[:whole])
+        if kept is not None:
+            yield edges(kept)
 
     return run
 
@@ -267,8 +306,9 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame
     shared = leaves.groupBy("label").agg(F.count("*").alias("n")).filter("n > 1")
     met = stored(leaves.join(shared, "label"), "met")
     candidates = met.join(texts.select("key", "signature"), "key")
-    alike = (_in_blocks(candidates, "label", "n", "key").groupBy("label", "block_a", "block_b")
-        .applyInPandas(_alike(least), "a binary, b binary"))
+    few = candidates.filter(F.col("n") <= BLOCK).select("label", "key", "signature").repartition(map_slices(spark), "label").sortWithinPartitions("label")
+    many = _in_blocks(candidates.filter(F.col("n") > BLOCK), "label", "n", "key").groupBy("label", "block_a", "block_b")
+    alike = few.mapInPandas(_alike_in_order(least), "a binary, b binary").union(many.applyInPandas(_alike(least), "a binary, b binary"))
     groups = stored(components(stored(alike.distinct(), "alike")), "groups")
 
     sizes = groups.groupBy("root").agg(F.count("*").alias("n"))
