@@ -56,6 +56,14 @@ SELECT g.url AS page, CAST(count(*) AS BIGINT) AS sessions,
   CAST(sum(CASE WHEN e.event_type IN ('purchase', 'signup') AND g.page_id % 4 <> 0 THEN 1 ELSE 0 END) AS BIGINT) AS conversions
 FROM events e JOIN pages g ON g.page_id = e.user_id % 50
 GROUP BY g.url""",
+    ),
+    "rich_pages": (
+        ("pages",),
+        """
+SELECT page_id, url, html || CASE page_id % 4 WHEN 0 THEN '<meta name="description" content="All about it"><meta property="og:title" content="T"><meta property="og:image" content="i">' WHEN 1 THEN '<meta content="The other way round, and rather longer than the first one was, so that it reads well where it is shown to those who search for it: here." name="description">' WHEN 2 THEN '<meta name="robots" content="NOINDEX, follow"><h1>Again</h1>' ELSE '' END
+ || CASE page_id % 5 WHEN 0 THEN '<link rel="canonical" href="/c"><link rel="preload" href="f"><link rel="manifest" href="m">' WHEN 1 THEN '<script type="application/ld+json">{"@type": "VideoObject", "name": "v", "uploadDate": "x"}</script><video src="v"></video>' WHEN 2 THEN '<script src="/jquery.min.js"></script><script src="/a/b.chunk.js" defer></script>' WHEN 3 THEN '<script type="module" src="/assets/main-abcdef12.js"></script><meta name="viewport" content="width=device-width">' ELSE '<img src="http://x.example/a.png"><img loading="lazy" src="b.webp"><img srcset="c 2x" src="c.png">' END
+ || CASE page_id % 7 WHEN 0 THEN '<a href="#">x</a><a href="https://other.example/" target="_blank">o</a>' WHEN 1 THEN '<a href="mailto:a@b.org?subject=x">m</a><a href="#here">h</a><p id="here">' WHEN 2 THEN '<a href="mailto:nobody">m</a><a href="#gone">g</a><a href="https://other.example/y" rel="noopener" target="_blank">o</a>' WHEN 3 THEN '<a href="/privacy">p</a><a href="/cookie-policy">c</a><script>gtag(1)</script>' WHEN 4 THEN '<button onclick="go()">go</button><script src="https://cdn.cookiebot.example/uc.js"></script>' ELSE '<a href="tel:1">t</a>' END AS html
+FROM pages""",
     ),
     "audit_history": (
         ("events",),
@@ -78,6 +86,7 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name not in VIEWS:
         return table(spark, sf_dir, name)
     inputs, sql = VIEWS[name]
+    sql = sql.replace("{", "{{").replace("}", "}}")
     for i in inputs:
         sql = _renamed(sql, i)
     return spark.sql(sql, **{f"t_{i}": view(spark, sf_dir, i) for i in inputs})
