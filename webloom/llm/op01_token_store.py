@@ -2,7 +2,7 @@
 
 Layout of a store folder (all files are Parquet, written by Spark's committer):
 
-* ``parts/part=chunk``: unique chunks (hash, n, payload); files by hash;
+* ``parts`` where part is "chunk": unique chunks (hash, n, payload); files by hash;
 * ``recipes``: one row a document in ascending doc_id order: doc_id, file, place
   and start within the file, n_tokens, the addresses and lengths of its chunks in
   order, and (as ``hash``) the Merkle root over those addresses;
@@ -28,6 +28,7 @@ from hashlib import blake2b
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -155,20 +156,27 @@ def _keep_once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.filter(pa.array(keep, pa.bool_()))
 
 
+def _place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Numbers the sorted recipes of a file and gives each its start there."""
+    file, place, start = TaskContext.get().partitionId(), 0, 0
+    for batch in batches:
+        ends = start + np.cumsum(batch.column("n_tokens").to_numpy())
+        n = batch.num_rows
+        starts = np.concatenate([[start], ends[:-1]]).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(n, file, np.int32)), pa.array(np.arange(place + 1, place + n + 1)), pa.array(starts[:n])], names=[*batch.schema.names, "file", "place", "start"])
+        place, start = place + n, int(ends[-1]) if n else start
+
+
 def write_store(docs: DataFrame, folder: str, vocabulary: str = VOCABULARY, end_id: int = END_ID) -> None:
     """Tokenize docs (doc_id, text) and write the store described above."""
     spark = docs.sparkSession
     rows = id_text(docs).withColumn("row", F.monotonically_increasing_id()).mapInArrow(_cut(vocabulary, end_id), ROWS)
-    rows.repartition(map_slices(spark), "hash").mapInArrow(_keep_once, ROWS).write.option("compression", "zstd").partitionBy("part").parquet(f"{folder}/parts")
+    rows.repartition(map_slices(spark), "hash").mapInArrow(_keep_once, ROWS).write.parquet(f"{folder}/parts")
     order = (F.col("doc_id").asc_nulls_first(), F.col("hash"), F.col("row"))
     recipes = _parts(spark, folder, "recipe").select("doc_id", "row", "hash", F.col("n").cast("long").alias("n_tokens"), "addresses", "lengths")
-    recipes = recipes.repartitionByRange(map_slices(spark), *order).withColumn("file", F.spark_partition_id())
-    in_file = Window.partitionBy("file").orderBy(*order)
-    recipes.sortWithinPartitions(*order).write.option("compression", "zstd").parquet(f"{folder}/sorted")
-    (spark.read.parquet(f"{folder}/sorted")
-        .withColumn("start", F.sum("n_tokens").over(in_file.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n_tokens"))
-        .withColumn("place", F.row_number().over(in_file))
-        .write.option("compression", "zstd").parquet(f"{folder}/recipes"))
+    recipes = recipes.repartitionByRange(map_slices(spark), *order).sortWithinPartitions(*order)
+    placed = f"{recipes.schema.simpleString()[7:-1]},file:int,place:long,start:long".replace(":", " ")
+    recipes.mapInArrow(_place, placed).write.option("compression", "zstd").parquet(f"{folder}/recipes")
     roots = F.bit_xor(F.xxhash64("hash", "doc_id", "place")).alias("root")
     (spark.read.parquet(f"{folder}/recipes").groupBy("file").agg(F.count("*").alias("documents"), F.sum("n_tokens").alias("tokens"), roots)
         .write.parquet(f"{folder}/manifest"))
