@@ -99,6 +99,25 @@ FROM (SELECT page_id, list_filter(regexp_extract_all(html, '(?is)<script\\b([^>]
 )
 
 
+_FOREIGN = "(regexp_matches(c, '^https?://') AND ch <> '' AND h <> '' AND NOT (ch = h OR ends_with(ch, '.' || h) OR ends_with(h, '.' || ch)))"
+_CANONICAL = f"CASE WHEN regexp_extract(html, '(?is)<link[^>]*rel={Q}canonical{Q}[^>]*href={Q}({NQ}+){Q}', 1) <> '' THEN regexp_extract(html, '(?is)<link[^>]*rel={Q}canonical{Q}[^>]*href={Q}({NQ}+){Q}', 1) ELSE regexp_extract(html, '(?is)<link[^>]*href={Q}({NQ}+){Q}[^>]*rel={Q}canonical{Q}', 1) END"
+_IMAGE = "<img\\b[^>]*>"
+_SOURCE = f"lower(regexp_extract(t, '(?is)src={Q}({NQ}+){Q}', 1))"
+_BARE = "regexp_replace(lower(regexp_extract({u}, '^[a-zA-Z]+://([^/?#]*)', 1)), '^www\\.', '')"
+_total(
+    "technical_seo",
+    f"""SELECT page_id, CAST(30 + CASE WHEN {_FOREIGN} THEN 0 ELSE 20 END + CASE WHEN {_has(f'<meta[^>]+http-equiv={Q}refresh{Q}')} THEN 0 ELSE 15 END + CASE WHEN ({_has(modules.IN_THE_WAY.replace("'", "''"))} OR {_has(modules.SHOWN_AT_ONCE.replace("'", "''"))}) AND NOT {_has('cookie|consent|gdpr')} THEN 7 ELSE 15 END
+ + 20 - CASE WHEN {_kept(_IMAGE, f"regexp_matches({_SOURCE}, '[.](?:jpg|jpeg|png)(?:\\?|$)')")} > 0 AND NOT ({_kept(_IMAGE, f"regexp_matches({_SOURCE}, '[.](?:webp|avif)(?:\\?|$)')")} > 0 OR {_has(f'<source[^>]+type={Q}image/(?:webp|avif)')}) THEN 10 ELSE 0 END
+ - CASE WHEN {_kept(_IMAGE, f"NOT ({_has('\\bwidth=', 't')} AND {_has('\\bheight=', 't')})")} > 0 THEN 10 ELSE 0 END AS INT) AS total
+FROM (SELECT *, {_BARE.format(u='c')} AS ch, {_BARE.format(u='url')} AS h FROM (SELECT *, trim({_CANONICAL}) AS c FROM rich_pages))""",
+)
+
+
+@query("mod_accessibility")
+def accessibility(spark, sf_dir):
+    return modules.evaluate(view(spark, sf_dir, "rich_pages"), ["accessibility"]).select("page_id", "total", "findings")
+
+
 @query("mod_video")
 def video(spark, sf_dir):
     return modules.evaluate(view(spark, sf_dir, "rich_pages"), ["video"]).select("page_id", "detected", "total")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..catalog import query
 from ..functions import scores
-from ..operators import searchlog
+from ..operators import roadmap, searchlog
 from ..sources.driver_views import view
 
 RATE = "CASE WHEN impressions = 0 THEN 0.0 ELSE CAST(clicks AS DOUBLE) / impressions END"
@@ -92,3 +92,16 @@ def no_conversions(spark, sf_dir):
 @query("ga4_totals", "SELECT count(*) AS pages, CAST(sum(sessions) AS BIGINT) AS sessions FROM landing_rows", LANDING)
 def totals(spark, sf_dir):
     return searchlog.landing_totals(view(spark, sf_dir, "landing_rows"))
+
+
+@query("query_clusters")
+def query_clusters(spark, sf_dir):
+    return roadmap.clusters(rows(spark, sf_dir), ["blue"])
+
+
+@query("content_roadmap")
+def content_roadmap(spark, sf_dir):
+    now = roadmap.clusters(rows(spark, sf_dir), ["blue"])
+    earlier = roadmap.clusters(rows(spark, sf_dir).withColumn("clicks", F.col("clicks") * (1 + F.col("ordinal") % 3)), ["blue"])
+    before = earlier.groupBy("topic").agg(F.min_by("query", "place").alias("label"), F.sum("clicks").alias("clicks")).groupBy("label").agg(F.max_by("clicks", "topic").alias("clicks"))
+    return roadmap.roadmap(now, before)
