@@ -113,6 +113,30 @@ FROM (SELECT *, {_BARE.format(u='c')} AS ch, {_BARE.format(u='url')} AS h FROM (
 )
 
 
+_LOW = "lower(html)"
+
+
+def _word(p: str, value: int) -> str:
+    return f"CASE WHEN {_has(p)} THEN {value} ELSE 0 END"
+
+
+_total(
+    "ai_search",
+    f"""SELECT page_id, CAST(45 + CASE WHEN {_has('<details|frequently asked')} OR regexp_matches({_LOW}, '"@type"\\s*:\\s*"(?:faqpage)"') THEN 5 ELSE 0 END + CASE WHEN {_n('<li')} >= 3 THEN 5 ELSE 0 END + {_word('<table', 5)} + CASE WHEN {_n('<h[2-3][\\s>]')} >= 2 THEN 5 ELSE 0 END
+ + {_word(f'<dl[\\s>]|<summary|class={Q}{NQ}*(?:summary|tl;dr|key-takeaway)', 5)} + CASE WHEN regexp_matches({_LOW}, '"@type"\\s*:\\s*"(?:organization|localbusiness)"') THEN 8 ELSE 0 END + CASE WHEN contains({_LOW}, '"sameas"') THEN 6 ELSE 0 END + {_word('wikipedia[.]org|wikidata[.]org', 6)} AS INT) AS total FROM rich_pages""",
+)
+
+
+def _simple(name: str) -> None:
+    @query(f"mod_{name}")
+    def run(spark, sf_dir):
+        return modules.evaluate(view(spark, sf_dir, "rich_pages"), [name]).select("page_id", "total", "findings")
+
+
+_simple("eeat")
+_simple("content_quality")
+
+
 @query("mod_accessibility")
 def accessibility(spark, sf_dir):
     return modules.evaluate(view(spark, sf_dir, "rich_pages"), ["accessibility"]).select("page_id", "total", "findings")
