@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..catalog import query
-from ..operators import modules
-from ..sources.driver_views import view
+from ..operators import jsonld, modules
+from ..sources import sitemaps
+from ..sources.driver_views import table, view
 
 RICH = ("rich_pages",)
 Q, NQ = "[\"'']", "[^\"'']"
@@ -137,6 +138,34 @@ _simple("eeat")
 _simple("content_quality")
 
 
+@query("jsonld_nodes")
+def jsonld_nodes(spark, sf_dir):
+    return jsonld.nodes(view(spark, sf_dir, "rich_pages"))
+
+
+@query("mod_schema_validator", "SELECT page_id, CAST(CASE WHEN page_id % 5 = 1 THEN 20 + 20 + 15 + 20 + 10 ELSE 20 + 20 + 10 END AS INT) AS total FROM pages")
+def schema_validator(spark, sf_dir):
+    return jsonld.validate(jsonld.nodes(view(spark, sf_dir, "rich_pages"))).select("page_id", "total")
+
+
+@query("mod_i18n", f"SELECT page_id, CAST({_word(f'<html[^>]+lang={Q}{NQ}+{Q}', 20)} AS INT) AS total FROM rich_pages", RICH)
+def i18n(spark, sf_dir):
+    return modules.evaluate(view(spark, sf_dir, "rich_pages"), ["i18n"]).select("page_id", "total")
+
+
+#: A sitemap for each nation that lists the pages of its number; some are missing, some broken.
+SITEMAP_TOTAL = "CASE WHEN k % 6 = 5 THEN 0 ELSE 25 + CASE WHEN k % 6 = 4 THEN 0 ELSE 30 END + 10 + CASE WHEN k % 2 = 0 THEN 10 ELSE 0 END + CASE WHEN k % 6 = 4 OR k % 3 <> 1 THEN 10 ELSE 0 END + 5 END + CASE WHEN k % 4 = 0 THEN 10 ELSE 0 END"
+
+
+@query("mod_sitemap", f"SELECT CAST(k AS INT) AS sitemap, CAST({SITEMAP_TOTAL} AS INT) AS total, CAST(CASE WHEN k % 6 >= 4 THEN 0 WHEN k % 3 = 1 THEN 3 ELSE 2 END AS INT) AS urls FROM (SELECT n_nationkey AS k FROM nation)")
+def sitemap(spark, sf_dir):
+    k = F.col("n_nationkey")
+    entry = lambda n: F.concat(F.lit("<url><loc>https://site.example/"), F.lit(n), F.lit("?a=1&amp;b=2</loc>"), F.when(k % 2 == 0, "<lastmod>2024-01-01</lastmod>").otherwise(""), F.lit("</url>"))
+    xml = F.concat(F.lit('<?xml version="1.0"?><urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">'), entry("a"), entry("b"), F.when(k % 3 == 1, entry("a")).otherwise(""), F.when(k % 6 == 4, "<url>").otherwise("</urlset>"))
+    docs = table(spark, sf_dir, "nation").select(k.alias("sitemap"), F.lit("https://site.example/").alias("site"), F.when(k % 6 != 5, xml).alias("xml"), (k % 4 == 0).alias("in_robots"))
+    return sitemaps.audit(docs).select("sitemap", "total", "urls")
+
+
 @query("mod_accessibility")
 def accessibility(spark, sf_dir):
     return modules.evaluate(view(spark, sf_dir, "rich_pages"), ["accessibility"]).select("page_id", "total", "findings")
