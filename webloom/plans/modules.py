@@ -166,6 +166,12 @@ def sitemap(spark, sf_dir):
     return sitemaps.audit(docs).select("sitemap", "total", "urls")
 
 
+_simple("content_depth")
+_BLIND = f"CASE WHEN {_has(f'href={Q}{NQ}*{Q}', 't')} THEN regexp_matches(lower(trim(regexp_extract(t, '(?is)href={Q}({NQ}*){Q}', 1))), '^(?:javascript:|#)') AND {_has('onclick', 't')} AND NOT {_has(f'role={Q}button{Q}|\\baria-\\w', 't')} ELSE NOT {_has(f'role={Q}button{Q}|\\baria-\\w|\\b(?:name|id)=', 't')} END"
+_FACETS = f"len(list_distinct(list_filter(regexp_extract_all(html, '(?is)href={Q}({NQ}+){Q}', 1), lambda h: regexp_matches(h, '(?i){modules.FACETS}'))))"
+_total("crawlability", f"SELECT page_id, CAST(40 + greatest(0, 30 - 5 * {_kept('<a\\b[^>]*>', _BLIND)}) + CASE WHEN {_FACETS} < 10 THEN 30 WHEN {_FACETS} < 30 THEN 15 ELSE 0 END AS INT) AS total FROM rich_pages")
+
+
 @query("mod_accessibility")
 def accessibility(spark, sf_dir):
     return modules.evaluate(view(spark, sf_dir, "rich_pages"), ["accessibility"]).select("page_id", "total", "findings")
