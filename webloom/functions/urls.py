@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from urllib.parse import urldefrag, urljoin
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Query parameters that only track, by name and by beginning.
 TRACKING_PARAMS = ("gclid", "gclsrc", "dclid", "fbclid", "msclkid", "yclid", "twclid", "mc_cid", "mc_eid", "_hsenc", "_hsmi", "igshid", "vero_id", "vero_conv", "ref", "ref_src", "mkt_tok", "s_kwcid", "gbraid", "wbraid")
@@ -104,3 +108,32 @@ def link_class(href: Column, host: Column) -> Column:
     """internal or external by host; without one a link is internal."""
     h = netloc(href)
     return F.when((h == "") | (h == host), F.lit("internal")).otherwise(F.lit("external"))
+
+
+@F.pandas_udf(T.StringType())
+def resolved(base: pd.Series, href: pd.Series) -> pd.Series:
+    """Where a link leads from a page, without its fragment; null where it can't be told."""
+
+    def one(b, h):
+        try:
+            return urldefrag(urljoin(b or "", (h or "").strip()))[0]
+        except ValueError:
+            return None
+
+    return pd.Series([one(b, h) for b, h in zip(base, href)], dtype="object")
+
+
+def resolve(base: Column, href: Column) -> Column:
+    """resolved(), natively for absolute links and those from the root without dots."""
+    h = F.trim(F.coalesce(href, F.lit("")))
+    plain = ~h.rlike(r"/\.{1,2}(?:/|$)") & ~F.contains(h, F.lit("\\"))
+    bare = F.substring_index(h, "#", 1)
+    origin = F.regexp_extract(base, r"^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]+)", 1)
+    return F.when(plain & h.rlike(r"^https?://[^/?#]+[/]"), bare).when(plain & h.rlike(r"^/(?:[^/]|$)") & (origin != ""), F.concat(origin, bare)).otherwise(resolved(base, href))
+
+
+def canonical_state(canonical: Column, url: Column) -> Column:
+    """struct<self, slash_mismatch>: whether a canonical names its own page, and whether only their final slashes tell them apart where that matters."""
+    bare = lambda u: F.rtrim(u, F.lit("/"))
+    same, alike = bare(canonical) == bare(url), canonical.endswith("/") == url.endswith("/")
+    return F.struct(same.alias("self"), F.when(alike, False).when(same, path(bare(url)) != "").otherwise(True).alias("slash_mismatch"))

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import text
+from ..functions import text, urls
 
 MOST_QUERIES, JOIN_AT, DECAY, LISTED = 5000, 0.5, 0.4, 8
 
@@ -75,3 +75,19 @@ def roadmap(clustered: DataFrame, previous: DataFrame | None = None) -> DataFram
     )
     listed = F.coalesce(F.transform("p", lambda s: s["page"]), F.array().cast("array<string>"))
     return out.select("label", action.alias("action"), "impressions", "clicks", F.bround(position, 1).alias("avg_position"), "queries", listed.alias("pages"))
+
+
+def infer_pages(rows: DataFrame, pages: DataFrame) -> DataFrame:
+    """Gives rows without a page the page (url, title) that shares most terms with the query, if it shares two or all of them.
+
+    Terms are joined by equality; ties go to the least url.
+    """
+    bare = rows.filter(F.coalesce("page", F.lit("")) == "")
+    wanted = bare.select("ordinal", F.explode(text.stemmed_terms(F.col("query"))).alias("term"))
+    size = bare.select("ordinal", F.size(text.stemmed_terms(F.col("query"))).alias("terms"))
+    offered = pages.select("url", F.explode(text.stemmed_terms(F.concat_ws(" ", F.replace(urls.path(F.col("url")), F.lit("-"), F.lit(" ")), "title"))).alias("term"))
+    shared = wanted.join(offered, "term").groupBy("ordinal", "url").agg(F.count("*").alias("n"))
+    best = shared.groupBy("ordinal").agg(F.min(F.struct((-F.col("n")).alias("minus"), "url")).alias("b")).select("ordinal", F.col("b.url").alias("found"), (-F.col("b.minus")).alias("n"))
+    good = best.join(size, "ordinal").filter("n >= 2 or n = terms").select("ordinal", "found")
+    out = rows.join(good, "ordinal", "left")
+    return out.withColumn("inferred", F.col("found").isNotNull()).withColumn("page", F.coalesce("found", "page")).drop("found")
