@@ -52,7 +52,7 @@ BUCKETS = 1 << 20
 SIGNIFICANT, ODDS = 2.5, 1.0
 STEPS, BATCH, PENALTY = 600, 256, 1e-4
 #: Words a worker remembers; a full memory is emptied.
-WORDS = 600_000
+WORDS = 350_000
 
 # Themed lexicons of insults and abuse, in lower case.
 LEXICONS = {

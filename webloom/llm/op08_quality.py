@@ -38,7 +38,7 @@ BUCKETS = 1 << 18
 THRESHOLD = 0.3
 SMOOTH, COST, EPOCHS, SEED = 1.0, 0.3, 12, 7
 #: Shapes a worker remembers; a full memory is emptied.
-SHAPES = 400_000
+SHAPES = 250_000
 _RUNS = re.compile(r"[A-ZÀ-ÖØ-Þ]{2,}|[a-zß-öø-ÿ]+|\d+|(\W|_)\1*")
 
 
