@@ -34,3 +34,10 @@ def test_sitemaps(spark):
     assert {(r["sitemap"], r["child"], r["url"]) for r in sitemaps.entries(docs).collect()} == {("i", True, "https://a.example/1.xml"), ("u", False, "https://a.example/?x=1&y"), ("u", False, "https://b.example/&")}
     got = {r["sitemap"]: r for r in sitemaps.audit(docs).collect()}
     assert (got["u"]["urls"], got["u"]["foreign"], got["u"]["total"]) == (2, 1, 25 + 15 + 15 + 0 + 10 + 0 + 10 + 5) and got["n"]["total"] == 0
+
+
+def test_shop_and_local_business(spark):
+    html = "<script type='application/ld+json'>{\"@graph\": [{\"@type\": [\"Product\"], \"name\": \"n\", \"offers\": {\"price\": 1}}, {\"@type\": \"Dentist\", \"name\": \"d\", \"telephone\": \"1\", \"address\": \"\"}]}</script><button class='add-to-cart'>Sold out</button><a href=\"tel:1\">Call now</a>"
+    rows = {r["module"]: r for r in modules.evaluate(spark.createDataFrame([(1, "https://s.example/a", html)], "page_id long, url string, html string"), ["ecommerce", "local_seo"]).collect()}
+    assert rows["ecommerce"]["total"] == 10 + 25 + 15 + 15 and "Stock differs from markup" in {f["title"] for f in rows["ecommerce"]["findings"]}
+    assert rows["local_seo"]["total"] == 20 + 0 + 10 + 10 and rows["local_seo"]["detected"]

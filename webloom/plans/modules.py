@@ -172,6 +172,10 @@ _FACETS = f"len(list_distinct(list_filter(regexp_extract_all(html, '(?is)href={Q
 _total("crawlability", f"SELECT page_id, CAST(40 + greatest(0, 30 - 5 * {_kept('<a\\b[^>]*>', _BLIND)}) + CASE WHEN {_FACETS} < 10 THEN 30 WHEN {_FACETS} < 30 THEN 15 ELSE 0 END AS INT) AS total FROM rich_pages")
 
 
+_total("ecommerce", "SELECT page_id, CAST(10 + " + " + ".join((_word(modules.CART, 15), _word(f"product.price|price.display|class={Q}{NQ}*price", 10), _word(modules.PAYMENTS, 10), _word(modules.SECURE, 5))) + " AS INT) AS total FROM rich_pages")
+_total("local_seo", "SELECT page_id, CAST(" + " + ".join((_word(modules.MAPS, 10), _word('href="tel:', 10), _word(modules.CALLS, 10), _word("service.area|areas?.served|areas?.we.cover", 7), _word(modules.SEALS, 5))) + " AS INT) AS total FROM rich_pages")
+
+
 @query("mod_accessibility")
 def accessibility(spark, sf_dir):
     return modules.evaluate(view(spark, sf_dir, "rich_pages"), ["accessibility"]).select("page_id", "total", "findings")
