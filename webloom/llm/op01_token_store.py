@@ -11,7 +11,7 @@ Layout of a store folder (all files are Parquet, written by Spark's committer):
 A rolling hash over a window of ids cuts each document's id stream, so equal
 passages give equal chunks wherever they stand.  A chunk's address is the
 BLAKE2b-128 of its ids as little-endian u32; its payload holds u16 where all ids
-fit, u32 otherwise.
+of the documents cut with it fit, u32 otherwise.
 
 Edge cases: null or empty text is the end id alone; repeated rows and equal texts
 share their chunks and each keep a recipe; equal doc_ids are ordered by Merkle
@@ -112,6 +112,7 @@ def _cut(vocabulary: str, end_id: int):
                 part = batch.slice(first, SLICE)
                 streams = [b + end for b in encoder.encode_many(part.column("text").to_pylist())]
                 ids = np.frombuffer(b"".join(streams), "<u4")
+                small = ids.astype("<u2") if len(ids) and int(ids.max()) < 1 << 16 else None
                 # Documents are hashed in one array: what the window takes from the document before lies within MIN_IDS, where nothing is cut.
                 marks = marks_of(ids)
                 ends = np.cumsum([len(b) // 4 for b in streams])
@@ -126,8 +127,7 @@ def _cut(vocabulary: str, end_id: int):
                             if len(seen) >= SEEN:
                                 seen.clear()
                             seen.add(h)
-                            own = ids[start + last : start + cut]
-                            chunks.append((h, cut - last, own.astype("<u2").tobytes() if int(own.max()) < 1 << 16 else piece))
+                            chunks.append((h, cut - last, piece if small is None else small[start + last : start + cut].tobytes()))
                         addresses.append(h)
                         lengths.append(cut - last)
                         last = cut

@@ -15,13 +15,13 @@ import re
 import sys
 from array import array
 
-#: Pieces kept per Python worker, half of them from before the last change of generation (about 200 MB).
-CACHE_PIECES = 900_000
+#: Pieces kept per Python worker, half of them from before the last change of generation (about 260 MB).
+CACHE_PIECES = 1_200_000
 #: Pieces longer than this are encoded but not kept, which bounds the cache in bytes.
 CACHE_PIECE_CHARS = 48
 
 #: Characters of text whose pieces are looked up together.
-GROUP_CHARS = 400_000
+GROUP_CHARS = 1_000_000
 
 _UNSURE = re.compile(r" (?:\s|\Z)")
 
@@ -72,7 +72,7 @@ class PieceEncoder:
 
     def _learn(self, cache: dict[str, bytes], words: set[str], prefix: str) -> dict[str, bytes]:
         """Makes the cache answer for all words; those too long to keep are returned."""
-        unseen = [w for w in words if w not in cache]
+        unseen = list(words.difference(cache))
         if not unseen:
             return {}
         if len(cache) > self.limit // 2:
@@ -82,7 +82,7 @@ class PieceEncoder:
         old = self.before.get(id(cache))
         if old:
             cache.update({w: old[w] for w in unseen if w in old})
-            unseen = [w for w in unseen if w not in cache]
+            unseen = list(words.difference(cache))
         got = self.encode_pieces([prefix + w for w in unseen] if prefix else unseen)
         long = {}
         for w, b in zip(unseen, got):
