@@ -9,9 +9,9 @@ Layout of a store folder (all files are Parquet, written by Spark's committer):
 * ``manifest``: one row a recipe file (documents, tokens, root of its documents).
 
 A rolling hash over a window of ids cuts each document's id stream, so equal
-passages give equal chunks wherever they stand.  A chunk's address is the
-BLAKE2b-128 of its ids as little-endian u32; its payload holds u16 where all ids
-of the documents cut with it fit, u32 otherwise.
+passages give equal chunks wherever they stand.  A chunk's payload holds its ids
+as little-endian u16 where all fit, u32 otherwise; its address is the BLAKE2b-128
+of payload and width.
 
 Edge cases: null or empty text is the end id alone; repeated rows and equal texts
 share their chunks and each keep a recipe; equal doc_ids are ordered by Merkle
@@ -87,6 +87,17 @@ def cut_points(n: int, marks: list[int], least: int = MIN_IDS, most: int = MAX_I
     return [*ends, n]
 
 
+def narrowed(data: bytes) -> bytes:
+    """Ids as u16 if all fit, as they are (u32) otherwise."""
+    ids = np.frombuffer(data, "<u4")
+    return ids.astype("<u2").tobytes() if len(ids) and int(ids.max()) < 1 << 16 else data
+
+
+def address(payload: bytes, n: int) -> bytes:
+    """The address of a chunk of n ids."""
+    return blake2b(payload, digest_size=16, person=b"u16" if len(payload) == 2 * n else b"u32").digest()
+
+
 def merkle_root(leaves: list[bytes]) -> bytes:
     """Pairwise BLAKE2b tree; an odd node is carried up unchanged."""
     level = list(leaves) or [b""]
@@ -121,13 +132,13 @@ def _cut(vocabulary: str, end_id: int):
                 for data, doc, row, stop, to in zip(streams, part.column("doc_id").to_pylist(), part.column("row").to_pylist(), ends.tolist(), at.tolist()):
                     addresses, lengths, last = [], [], 0
                     for cut in cut_points(stop - start, (marks[mark:to] - start).tolist()):
-                        piece = data[4 * last : 4 * cut]
-                        h = blake2b(piece, digest_size=16).digest()
+                        payload = small[start + last : start + cut].tobytes() if small is not None else narrowed(data[4 * last : 4 * cut])
+                        h = address(payload, cut - last)
                         if h not in seen:
                             if len(seen) >= SEEN:
                                 seen.clear()
                             seen.add(h)
-                            chunks.append((h, cut - last, piece if small is None else small[start + last : start + cut].tobytes()))
+                            chunks.append((h, cut - last, payload))
                         addresses.append(h)
                         lengths.append(cut - last)
                         last = cut
@@ -234,15 +245,14 @@ def _payload_ids(payload: bytes, n: int) -> np.ndarray:
     return np.frombuffer(payload, "<u2" if len(payload) == 2 * n else "<u4").astype("<u4")
 
 
-def _check_chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _check_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         crc = []
-        for h, n, p in zip(batch["hash"], batch["n"].tolist(), batch["payload"]):
-            raw = _payload_ids(p, n).tobytes()
-            if blake2b(raw, digest_size=16).digest() != bytes(h):
+        for h, n, p in zip(batch.column("hash").to_pylist(), batch.column("n").to_pylist(), batch.column("payload").to_pylist()):
+            if address(p, n) != h:
                 raise ValueError("a chunk's ids don't have its address")
-            crc.append(zlib.crc32(raw))
-        yield pd.DataFrame({"hash": batch["hash"], "crc": pd.Series(crc, dtype="int64")})
+            crc.append(zlib.crc32(p if len(p) == 4 * n else _payload_ids(p, n).tobytes()))
+        yield pa.RecordBatch.from_arrays([batch.column("hash"), pa.array(crc, pa.int64())], names=["hash", "crc"])
 
 
 @F.pandas_udf(T.BooleanType())
@@ -266,7 +276,7 @@ def read_digests(spark: SparkSession, folder: str) -> DataFrame:
     before = manifest.select("file", (F.sum("tokens").over(Window.orderBy("file")) - F.col("tokens")).alias("base"))
     places = F.expr("transform(lengths, (n, i) -> named_struct('hash', substring(addresses, 16 * i + 1, 16), 'after', 4 * (n_tokens - aggregate(slice(lengths, 1, i + 1), 0L, (a, x) -> a + x))))")
     parts = recipes.select("file", "place", F.explode(places).alias("c")).select("file", "place", "c.hash", "c.after")
-    crcs = _parts(spark, folder, "chunk").select("hash", "n", "payload").mapInPandas(_check_chunks, "hash binary, crc long")
+    crcs = _parts(spark, folder, "chunk").select("hash", "n", "payload").mapInArrow(_check_chunks, "hash binary, crc long")
     joined = parts.join(crcs, "hash").select("file", "place", _moved("crc", "after").alias("moved"))
     crc = joined.groupBy("file", "place").agg(F.bit_xor("moved").alias("ids_crc32"), F.count("*").alias("found"))
     docs = recipes.select("file", "place", "doc_id", "start", "n_tokens", F.size("lengths").alias("n_chunks"), _root_matches("hash", "addresses").alias("root_ok"))

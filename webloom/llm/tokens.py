@@ -15,13 +15,13 @@ import re
 import sys
 from array import array
 
-#: Pieces kept per Python worker, half of them from before the last change of generation (about 260 MB).
-CACHE_PIECES = 1_200_000
+#: Pieces kept per Python worker, half of them from before the last change of generation (about 150 MB).
+CACHE_PIECES = 700_000
 #: Pieces longer than this are encoded but not kept, which bounds the cache in bytes.
 CACHE_PIECE_CHARS = 48
 
 #: Characters of text whose pieces are looked up together.
-GROUP_CHARS = 1_000_000
+GROUP_CHARS = 500_000
 
 _UNSURE = re.compile(r" (?:\s|\Z)")
 
