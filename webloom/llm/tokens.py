@@ -161,6 +161,7 @@ class LibraryEncoder(PieceEncoder):
         self.bytes = dict(enumerate(byte_characters()))
         self.lower = self.tok.normalizer is not None
         self.runs: dict[str, bytes] = {}
+        self.gap = self.bytes[32]
         added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         keep = "byte" in type(self.tok.pre_tokenizer).__name__.lower()
         super().__init__(added, keep, cache_pieces)
@@ -178,6 +179,9 @@ class LibraryEncoder(PieceEncoder):
     def _plain(self, piece: str) -> bytes | None:
         """The ids of a plain piece, None for any other."""
         space = self.keep_space and piece[:1] == " "
+        word = piece[1:] if space else piece
+        if word.isascii() and word.isalpha():  # most pieces
+            return ids_bytes([t.id for t in self.model.tokenize(self.gap + word if space else word.lower() if self.lower else word)])
         m = _PLAIN.fullmatch(piece, 1 if space else 0)
         if m is None or piece == " " * space:
             return None
