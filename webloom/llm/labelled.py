@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Every row whose crc32(doc_id as text) is divisible by this is held out of all training.
@@ -27,10 +27,14 @@ def training_sample(labels: DataFrame, label: str, most: int) -> dict[int, int]:
 
 
 def with_labels(docs: DataFrame, sample: dict[int, int]) -> DataFrame:
-    """The sample's documents with their label y; the sample is broadcast, its size is bounded by its parameter."""
+    """The sample's documents (doc_id, text) with their label y; of a repeated doc_id one row, that of least text hash.
+
+    The sample is broadcast, its size is bounded by its parameter, and so is the result.
+    """
     spark = docs.sparkSession
     known = spark.createDataFrame(sorted(sample.items()), "doc_id long, y int")
-    return docs.join(F.broadcast(known), "doc_id")
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
+    return docs.join(F.broadcast(known), "doc_id").withColumn("_place", place).filter("_place = 1").drop("_place")
 
 
 def sigmoid(x):
