@@ -118,6 +118,15 @@ def test_repeated_branches_without_names_are_pruned(spark):
     assert sorted(again) == sorted(rows)
 
 
+def test_repeated_branches_inside_the_article_are_pruned(spark):
+    html = "<body><article><h1>Title {0}</h1><p>Own text {0}<br>goes on</p><div></div>tail {0}<div class=x7><p>Same words on each page</p></div></article></body>"
+    few = [(100 + i, f"http://few.example/{i}", html.format(i)) for i in range(op2.LEAST_PAGES - 1)]
+    pages = [(i, f"http://h.example/{i}", html.format(i)) for i in range(12)] + few
+    rows = {r["page_id"]: r["text"] for r in op2.main_texts(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert all(rows[i] == f"Title {i}\nOwn text {i} goes on\ntail {i}" for i in range(12))
+    assert all(rows[100 + i].endswith("Same words on each page") for i in range(len(few)))
+
+
 def test_media_round_trip(spark):
     texts = [*ODD, *WILD[:20], None, "same", "same"]
     rows = {r["doc_id"]: r for r in op3.describe_media(op3.store_media(documents(spark, texts)), with_pixels=True).collect()}

@@ -8,9 +8,9 @@ node's importance is the entropy, in base "pages", of its presentations, or for
 nodes with own content one minus the mean entropy of its contents: what stands
 alike on most pages scores near 0.  The importance of a branch is the mean over
 its nodes, weighted by DECAY per level and by pages.  Each page then loses the
-branches of low importance; the names of elements and classes give fixed
-priors: 0 to the template roles listed below, 1 to articles.  Within what is
-left, the article (else the main element, else the body) gives the text.
+branches of low importance, inside its article too; the names of elements and
+classes give fixed priors: 0 to the template roles listed below, 1 to the article
+and main elements themselves.  Within what is left, the article (else the main element, else the body) gives the text.
 
 Edge cases: null or empty html gives an empty text; text without tags is one
 block; unclosed, misnested and truncated tags are repaired; broken character
@@ -171,6 +171,18 @@ def _has(node: Node, tags: tuple[str, ...]) -> bool:
     return False
 
 
+def _has_text(node: Node) -> bool:
+    todo = [node]
+    while todo:
+        x = todo.pop()
+        if isinstance(x, str):
+            if x.strip():
+                return True
+        else:
+            todo += x.children
+    return False
+
+
 def _inside(node: Node, tags: tuple[str, ...]) -> bool:
     node = node.parent
     while node is not None:
@@ -267,8 +279,8 @@ def style_tree(pages: DataFrame) -> DataFrame:
 
 
 def low_branches(tree: DataFrame, least: float = LEAST_IMPORTANCE, least_pages: int = LEAST_PAGES) -> DataFrame:
-    """host and path of the branches to cut; articles, what is in them, and the page's own elements have the prior 1 and stay."""
-    prior = F.col("path").rlike(r"(^|/)(article|main)(\.[^/]*)?(/|$)|^html(/(body|head)(\.[^/]*)?)?$")
+    """host and path of the branches to cut; article and main elements (not what is in them) and the page's own elements have the prior 1 and stay."""
+    prior = F.col("path").rlike(r"(^|/)(article|main)(\.[^/]*)?$|^html(/(body|head)(\.[^/]*)?)?$")
     return tree.filter((F.col("importance") < least) & (F.col("pages") >= least_pages) & ~prior).select("host", "path")
 
 
@@ -280,7 +292,7 @@ def extract(source: str | None, low=lambda path: False) -> str:
     nodes = set_paths(root)
     cut = set()
     for node in nodes:
-        if node.parent is not None and id(node.parent) in cut or is_template(node) or node.parent is not None and low(node.path) and not _has(node, ("article", "main", "h1")):
+        if node.parent is not None and id(node.parent) in cut or is_template(node) or node.parent is not None and low(node.path) and _has_text(node) and not _has(node, ("article", "main", "h1")):
             cut.add(id(node))
 
     def outermost(accept) -> list[Node]:
