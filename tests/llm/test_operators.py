@@ -282,6 +282,23 @@ def test_base_spans_and_discovery(spark):
     assert clean[0] == "zz call me: <PHONE> now" and clean[len(known)] == "yy call me: <PHONE> now" and clean[len(known) + 1] is None
 
 
+def test_discovery_of_spaced_numbers_and_written_addresses(spark):
+    card = lambda n: next(v for v in (f"4111 1111 11{n} 111{d}" for d in range(10)) if luhn(v))
+    texts = [f"call me: +1 (555) 123-45{i} now" for i in range(20, 32)] + [f"pay by: {card(i)} now" for i in range(10, 22)] + [f"mail to: u{'x' * i}@a.example now" for i in range(12)]
+    n, number = len(texts), card(50)
+    new = ["call me: (555) 123-4567 now", f"pay by: {number[:-1]}{(int(number[-1]) + 1) % 10} now", "mail to: jane(at)example.org now", "mail to: user@localhost now"]
+    got = {r["doc_id"]: r["text"] for r in op9.redact(documents(spark, texts + new)).collect()}
+    assert [got[n + i] for i in range(4)] == ["call me: <PHONE> now", "pay by: <CARD> now", "mail to: <EMAIL> now", "mail to: <EMAIL> now"]
+
+
+def test_discovery_goes_on_while_it_finds(spark):
+    value = lambda level, i: f"555-{level}67-530{i}"
+    seeds = [f"call p{level}: +1 (555) 123-45{i} now" for level in range(6) for i in range(20, 32)]
+    chain = [f"call p{level}: {value(k, i)} now" for level in range(6) for k in (level, level + 1) if k for i in range(3)]
+    rows = op9.report(op9.find(documents(spark, seeds + chain))).collect()
+    assert all(r["spans"] == "ctx_phone:9:21" for r in rows if r["doc_id"] >= len(seeds))
+
+
 def test_best_fit_plan_places_every_piece_once():
     rng = random.Random(1)
     for _ in range(40):

@@ -3,8 +3,10 @@
 Base spans are the leftmost non-overlapping matches of four kinds (email, ip,
 card, phone) that pass their checks.  They are the seeds: the words before a seed
 (two words, or one that ends in a mark such as ":" or "=") are lexical patterns.
-Other tokens with three digits or more are candidate instances.  Patterns and
-instances form a graph that is scored in rounds: a pattern's confidence is the
+Candidate instances are other tokens with three digits or more, runs of digit
+groups with single spaces or marks between them, and address-like tokens ("@",
+"(at)", "[at]" and the like between letters or digits).  Patterns and instances
+form a graph that is scored in rounds until one finds nothing new: a pattern's confidence is the
 score of its instances over their number, an instance's score is that of at
 least one good pattern being right.  A pattern is good from LEAST_SEEDS distinct
 known values and LEAST_CONFIDENCE on; a candidate whose digits suit the pattern's
@@ -30,7 +32,7 @@ from pyspark.sql import functions as F
 from .shared import stored, table
 
 KINDS = ("email", "ip", "card", "phone")
-LEAST_SEEDS, LEAST_CONFIDENCE, LEAST_SCORE, ROUNDS = 3, 0.7, 0.75, 3
+LEAST_SEEDS, LEAST_CONFIDENCE, LEAST_SCORE = 3, 0.7, 0.75
 #: Characters before a span in which its context is looked for.
 CONTEXT = 80
 
@@ -41,6 +43,11 @@ CARD = r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){13,18}+(?![\x20-]?[0-
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 IP_PARTS = r"^(?:0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{0,2})(?:\.|$)){4}$"
 CANDIDATE = r"(?<!\S)(?=(?:[^\s0-9]*+[0-9]){3})\S++"
+#: Digit groups with at least one single space among them, as "(555) 123-4567" or "4111 1111 1111 1112", from the first group of a run on.
+GROUPS = r"(?<![\p{L}0-9_+.@/(-])(?<![0-9]\x20)\+?\(?D(?:\)?[./-]?\(?D)*+(?:\)?\x20\(?D(?:\)?[./-]?\(?D)*+)++".replace("D", r"[0-9]++(?![\p{L}0-9_@])")
+#: A token with an "@", or a written-out one, before a letter or digit.
+ADDRESS = r"(?i)(?<!\S)(?=\S+?(?:@|[\[(_-]at[\])_-])[\p{L}0-9])\S++"
+MARKED = r"(?i)[0-9@]|[\[(_-]at[\])_-]"
 #: What may stand around a token without belonging to it.
 TRIM = "\"'`()[]{}<>,;:.!?*&%$#|"
 
@@ -100,7 +107,7 @@ def _contexts(text: Column, start: Column) -> Column:
 def find_base(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, key (of the text), base spans in order, and candidates; seeds and candidates with their contexts."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumn("marked", F.col("text").rlike("[0-9@]"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumn("marked", F.col("text").rlike(MARKED))
     t = F.col("text")
     found = base_spans(t)
 
@@ -109,13 +116,19 @@ def find_base(docs: DataFrame) -> DataFrame:
 
     tagged = [tag(spans, k) for k, spans in enumerate(found.values())]
     rows = rows.withColumn("base", F.when(F.col("marked"), F.array_sort(F.concat(*tagged))))
-    tokens = F.transform(
-        matches(t, CANDIDATE),
-        lambda s: F.struct((s["start"] + F.length(s["value"]) - F.length(F.ltrim(s["value"], F.lit(TRIM)))).alias("start"), F.trim(s["value"], F.lit(TRIM)).alias("value")),
-    )
-    tokens = F.transform(tokens, lambda s: F.struct(s["start"].alias("start"), (s["start"] + F.length(s["value"])).alias("end"), s["value"].alias("value")))
-    free = F.filter(tokens, lambda s: (digits(s["value"]) >= 3) & ~F.exists(F.col("base"), lambda b: (b["start"] < s["end"]) & (b["end"] > s["start"])))
-    rows = rows.withColumn("free", F.when(F.col("marked") & t.rlike("[0-9]"), free))
+    shape = lambda s, alike: F.struct(s["start"].alias("start"), (s["start"] + F.length(s["value"])).alias("end"), s["value"].alias("value"), alike.alias("alike"))
+
+    def trimmed(spans: Column) -> Column:
+        at = F.transform(spans, lambda s: F.struct((s["start"] + F.length(s["value"]) - F.length(F.ltrim(s["value"], F.lit(TRIM)))).alias("start"), F.trim(s["value"], F.lit(TRIM)).alias("value")))
+        return F.transform(at, lambda s: shape(s, F.lit(False)))
+
+    free = lambda spans: F.filter(spans, lambda s: ~F.exists(F.col("base"), lambda b: (b["start"] < s["end"]) & (b["end"] > s["start"])))
+    tokens = F.concat(F.filter(trimmed(matches(t, CANDIDATE)), lambda s: digits(s["value"]) >= 3), trimmed(matches(t, ADDRESS)))
+    rows = rows.withColumn("tokens", F.when(F.col("marked"), F.array_distinct(free(tokens))))
+    # A run of groups whose first group is a token too is another reading of that token.
+    runs = F.filter(matches(t, GROUPS), lambda s: digits(s["value"]).between(7, 19))
+    runs = F.transform(runs, lambda s: shape(s, F.exists(F.col("tokens"), lambda x: x["start"].between(s["start"], s["start"] + 2))))
+    rows = rows.withColumn("free", F.when(F.col("marked"), F.concat(F.col("tokens"), free(runs))))
     with_context = lambda spans: F.transform(spans, lambda s: s.withField("contexts", _contexts(t, s["start"])))
     none = F.array()
     return rows.select(
@@ -132,33 +145,36 @@ def _suits(kind: Column, value: Column) -> Column:
         F.when(kind == 0, F.contains(value, F.lit("@")) | F.lower(value).rlike(r"(\[|\(|_|-)at(\]|\)|_|-)"))
         .when(kind == 1, value.rlike(r"^[0-9]+(?:[.:-][0-9]+){2,}$"))
         .when(kind == 2, value.rlike("^[0-9 -]+$") & n.between(12, 19))
-        .otherwise(value.rlike(r"^[0-9()./+-]+$") & n.between(7, 15))
+        .otherwise(value.rlike(r"^[0-9()./+\x20-]+$") & n.between(7, 15))
     )
 
 
 def discover(found: DataFrame) -> DataFrame | None:
     """value, kind and score of the identifiers that good patterns show; None if there are none."""
-    free = found.filter(F.size("free") > 0).select(F.explode("free").alias("s")).select(F.lower("s.value").alias("value"), F.explode("s.contexts").alias("pattern")).distinct()
+    free = found.filter(F.size("free") > 0).select(F.explode("free").alias("s")).select(F.lower("s.value").alias("value"), F.explode("s.contexts").alias("pattern"), "s.alike")
+    free = free.groupBy("pattern", "value").agg(F.min("alike").alias("alike"))
     seeds = found.filter(F.size("base") > 0).select(F.explode("base").alias("s")).select("s.kind", F.lower("s.value").alias("value"), F.explode("s.contexts").alias("pattern")).distinct()
-    seeds = seeds.join(free.select("pattern").distinct(), "pattern", "left_semi")
-    edges = stored(seeds.select("pattern", "value", "kind").unionByName(free.withColumn("kind", F.lit(None).cast("int"))), "pattern-edges")
-    known = edges.filter("kind is not null").groupBy("value", "kind").agg(F.lit(1.0).alias("score"))
-    new_before = None
-    for k in range(ROUNDS):
-        sums = edges.select("pattern", "value").distinct().join(known.withColumnRenamed("kind", "as_kind"), "value", "left")
+    seeds = seeds.join(free.select("pattern").distinct(), "pattern", "left_semi").withColumn("alike", F.lit(False))
+    edges = stored(seeds.select("pattern", "value", "kind", "alike").unionByName(free.withColumn("kind", F.lit(None).cast("int"))), "pattern-edges")
+    known = edges.filter("kind is not null").groupBy("value", "kind").agg(F.lit(1.0).alias("score")).withColumn("shown", F.lit(False))
+    pairs = edges.groupBy("pattern", "value").agg(F.min("alike").alias("alike"))
+    while True:  # every round but the last finds values, of which there are finitely many
+        sums = pairs.join(known.select("value", "score", F.col("kind").alias("as_kind")), "value", "left")
         good = sums.groupBy("pattern").agg(
-            F.count_distinct("value").alias("values"), F.sum("score").alias("mass"), F.count("score").alias("positive"), F.max_by("as_kind", F.struct("score", -F.col("as_kind"))).alias("of_kind")
-        )
+            # another reading of a token counts once it is known
+            F.count_distinct(F.when(~F.col("alike") | F.col("score").isNotNull(), F.col("value"))).alias("values"),
+            F.sum("score").alias("mass"), F.count("score").alias("positive"), F.max_by("as_kind", F.struct("score", -F.col("as_kind"))).alias("of_kind"),
+        )
         good = good.withColumn("confidence", F.least(F.lit(0.999), F.col("mass") / F.greatest("values", "positive")))
         good = good.filter((F.col("positive") >= LEAST_SEEDS) & (F.col("confidence") >= LEAST_CONFIDENCE))
         new = edges.filter("kind is null").join(good, "pattern").filter(_suits(F.col("of_kind"), F.col("value")))
         new = new.groupBy("value").agg((1 - F.exp(F.sum(F.log1p(-F.col("confidence"))))).alias("score"), F.max_by("of_kind", F.struct("confidence", -F.col("of_kind"))).alias("kind"))
-        new = stored(new.filter(F.col("score") >= LEAST_SCORE).join(known.select("value"), "value", "left_anti").select("value", "kind", "score"), "identifiers")
+        new = stored(new.filter(F.col("score") >= LEAST_SCORE).join(known.select("value"), "value", "left_anti").select("value", "kind", "score", F.lit(True).alias("shown")), "identifiers")
         if new.isEmpty():
             break
-        new_before = new if new_before is None else new_before.unionByName(new)
-        known = known.unionByName(new)
-    return new_before
+        known = stored(known.unionByName(new), "known-identifiers")
+    shown = known.filter("shown").select("value", "kind", "score")
+    return None if shown.isEmpty() else shown
 
 
 def find(docs: DataFrame) -> DataFrame:
