@@ -7,11 +7,16 @@ vote patterns of all documents) takes abstentions as silent, and from the
 class-conditional second moments the correlations between voters; a voter's
 weight in the posterior falls with what correlated voters already say.  A linear
 (logistic) classifier over word and word-prefix indicators is then trained on the
-posterior labels, and scores every document by its whole text.
+posterior labels of a sample of labelled and of unlabelled rows, and scores every
+document by its whole text.
 
 Labels are read only from rows outside the held-out fold, at most SAMPLE of them:
-to induce stems, to start the EM, as one more voter on those rows, and to set
-the sigmoid.
+to induce stems, to hold the voters' accuracies, as one more voter on those rows,
+and to set the sigmoid on cross-fitted margins.  At most as many unlabelled rows
+outside that fold, of least id hash, join the sample with the voters' posteriors.
+Near copies in the sample share one row's weight, so that words of one much
+copied text don't look telling.  What the EM adds is a share, not a count: the
+scores don't depend on how often the whole table is repeated.
 
 Edge cases: null and empty texts get the model's score of a text without words;
 without labels the themed lexicons and their patterns stand alone; repeated and
@@ -29,28 +34,37 @@ from zlib import crc32
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .labelled import calibrate, held_out, sigmoid, training_sample, with_labels
 from .shared import id_text, stored, table
 
-SAMPLE = 16_000
+#: Labelled rows of the sample at most, and unlabelled ones.
+SAMPLE = 8_000
 THRESHOLD = 0.5
-#: Stems of so many letters may be induced, at most so many of them, each in so many toxic sample documents.
-STEM_LETTERS, STEMS, STEM_DOCUMENTS, STEM_ODDS = (3, 4, 5, 6, 7, 8), 40, 4, 2.0
+#: Stems of so many letters may be induced, at most so many of them, until every toxic sample row holds COVER of them.
+STEM_LETTERS, STEMS, STEM_ODDS, COVER = (3, 4, 5, 6, 7, 8), 40, 2.0, 2
+#: The strongest stems that are compared row by row.
+STEM_CANDIDATES = 2_000
 LEAST_LETTERS = min(STEM_LETTERS)
 #: A word beginning is dense in a text if it stands there twice at least, and once in so many words.
 DENSE_TIMES, DENSE_IN = 2, 300
 PRIOR, EM_ROUNDS = 0.1, 8
 #: The annotator is one more voter on the sample's rows, who errs so often in either class.
 ANNOTATOR_ERROR = 0.002
-#: Accuracies before any label is seen, P(toxic) of a silent text then, and the votes that the start counts for.
+#: Accuracies before any label is seen, P(toxic) of a silent text then; so many labelled votes weigh as much as the EM's estimate.
 ACCURACY, SILENT, ANCHOR = 0.7, 0.02, 20.0
+#: All voters together stay below the annotator, so a labelled row keeps its label's side.
+MOST_SAID = 5.0
 BUCKETS = 1 << 20
-#: Indicators enter the classifier if their log odds are so many standard errors, and so much, from 0; they are scaled by them.
-SIGNIFICANT, ODDS = 2.5, 1.0
-STEPS, BATCH, PENALTY = 600, 256, 1e-4
+#: Indicators enter the classifier if their likelihood ratio passes 2 ln(candidates) + MARGIN and their log odds are so far from 0; they are scaled by them.
+MARGIN, ODDS = 2.0, 1.0
+STEPS, BATCH, PENALTY, FOLDS = 600, 256, 1e-4, 3
+#: Vote patterns up to so many are summed on the driver, more of them by tasks; the sums are the same.
+PATTERNS_HERE = 100_000
+#: Words of a shingle and signatures by which near copies in the sample are found.
+SHINGLE, SIGNATURES = 5, 3
 #: Words a worker remembers; a full memory is emptied.
 WORDS = 350_000
 
@@ -164,42 +178,118 @@ class LabelModel:
         logit = lambda p: np.log(p / (1 - p))
         said = (2 * np.asarray(annotated) - 1) * logit(1 - ANNOTATOR_ERROR)
         base = np.where(votes.any(axis=1), logit(self.prior), logit(self.silent))
-        return sigmoid(said + base + votes @ ((logit(self.accuracy) - logit(self.prior)) * self.weights))
+        voted = base + votes @ ((logit(self.accuracy) - logit(self.prior)) * self.weights)
+        return sigmoid(said + np.clip(voted, -MOST_SAID, MOST_SAID))
+
+
+def likelihood_ratio(toxic, clean, toxic_rows: float, clean_rows: float):
+    """Twice the log likelihood ratio of "depends on the class" against "doesn't", for columns or arrays of (weighted) row counts."""
+    column = isinstance(toxic, Column)
+    log, least, most = (F.log, F.least, F.greatest) if column else (np.log, np.minimum, np.maximum)
+    lit = F.lit if column else float
+    share = (toxic + clean) / (toxic_rows + clean_rows)
+
+    def term(seen, expected):
+        return seen * log(most(seen, lit(1e-9)) / most(expected, lit(1e-9)))
+
+    parts = 0.0
+    for seen, rows in ((toxic, toxic_rows), (clean, clean_rows)):
+        parts = parts + term(seen, rows * share) + term(most(rows - seen, lit(0.0)), rows * (1 - least(share, lit(1.0))))
+    return 2 * parts
+
+
+def log_odds(toxic, clean, toxic_rows: float, clean_rows: float):
+    log = F.log if isinstance(toxic, Column) else np.log
+    return log((toxic + 0.5) / (toxic_rows + 1)) - log((clean + 0.5) / (clean_rows + 1))
+
+
+def signatures(text: str) -> tuple[int, ...]:
+    """MinHash values of the text's word shingles; short texts are one shingle."""
+    words = np.array([crc32(t.encode()) for t in text.lower().split()], np.uint64)
+    with np.errstate(over="ignore"):
+        if len(words) > SHINGLE:
+            total = np.zeros(len(words) - SHINGLE + 1, np.uint64)
+            for k in range(SHINGLE):
+                total = total * np.uint64(0x9E3779B97F4A7C15) + words[k : len(words) - SHINGLE + 1 + k]
+        else:
+            total = np.array([crc32(text.lower().encode())], np.uint64)
+        mixed = [(total ^ (total >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9 + 2 * 0x1D8E4E27C47D124F * k & (1 << 64) - 1 | 1) for k in range(SIGNATURES)]
+    return tuple(int(m.min() >> np.uint64(1)) for m in mixed)
+
+
+def copy_weights(keys: list[tuple[int, ...]]) -> np.ndarray:
+    """1 / size of the largest group of rows that share a signature."""
+    sizes = [Counter(k) for k in zip(*keys)]
+    return np.array([1.0 / max(size[v] for size, v in zip(sizes, key)) for key in keys])
 
 
 def induce_stems(sample: DataFrame) -> list[tuple[str, bool]]:
-    """Word beginnings, as such or dense, whose log odds for label 1 are high in the sample (text, y); of nested ones the strongest."""
+    """Word beginnings, as such or dense, that tell label 1 in the sample (doc_id, text, y, weight).
+
+    Chosen greedily by what they say of the toxic rows that hold fewer than COVER
+    chosen ones, so that a word which only stands beside a better one isn't taken;
+    of nested beginnings one is taken, of equal ones the longest.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts: Counter = Counter()
+        mass: dict[tuple[str, bool], list[float]] = {}
         for batch in batches:
-            for text, y in zip(batch["text"], batch["y"].tolist()):
-                tokens = text.lower().split()
-                times: Counter = Counter()
-                for t, n in Counter(tokens).items():
-                    for b in set(beginnings(t)):
-                        times[b] += n
-                counts.update((b, False, y) for b in times)
-                counts.update((b, True, y) for b, n in times.items() if dense(n, len(tokens)))
-        yield pd.DataFrame([(*k, n) for k, n in counts.items()], columns=["stem", "must", "y", "n"])
-
-    n = {r["y"]: r["count"] for r in sample.groupBy("y").count().collect()}
+            for text, y, w in zip(batch["text"], batch["y"].tolist(), batch["weight"].tolist()):
+                for k in stems_of(text):
+                    mass.setdefault(k, [0.0, 0.0])[y] += w
+        yield pd.DataFrame([(*k, *m) for k, m in mass.items()], columns=["stem", "must", "clean", "toxic"])
+
+    n = {r["y"]: r["n"] for r in sample.filter("y >= 0").groupBy("y").agg(F.sum("weight").alias("n")).collect()}
     if not (n.get(0) and n.get(1)):
         return []
-    of = lambda k: F.coalesce(F.sum(F.when(F.col("y") == k, F.col("n"))), F.lit(0))
-    counts = sample.select("text", "y").mapInPandas(run, "stem string, must boolean, y int, n long").groupBy("stem", "must").agg(of(1).alias("toxic"), of(0).alias("clean"))
-    odds = F.log((F.col("toxic") + 0.5) / (n[1] + 1)) - F.log((F.col("clean") + 0.5) / (n[0] + 1))
-    best = counts.withColumn("odds", odds).filter((F.col("toxic") >= STEM_DOCUMENTS) & (F.col("odds") >= STEM_ODDS))
-    best = best.orderBy(F.desc(F.round(F.col("odds") * F.sqrt("toxic"), 6)), "must", F.length("stem"), "stem").limit(50 * STEMS)
-    chosen: list[tuple[str, bool]] = []
-    for r in best.collect():
-        if not any(r["stem"].startswith(c) or c.startswith(r["stem"]) for c, _ in chosen):
-            chosen.append((r["stem"], r["must"]))
-            if len(chosen) == STEMS:
-                break
+    known = sample.filter("y >= 0")
+    counts = known.select("text", "y", "weight").mapInPandas(run, "stem string, must boolean, clean double, toxic double")
+    counts = stored(counts.groupBy("stem", "must").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")), "toxicity-stems")
+    bar = 2 * float(np.log(max(1, counts.count())))
+    toxic, clean = F.col("toxic"), F.col("clean")
+    ratio = F.round(likelihood_ratio(toxic, clean, n[1], n[0]), 6)
+    best = counts.filter((log_odds(toxic, clean, n[1], n[0]) >= STEM_ODDS) & (ratio >= bar)).orderBy(F.desc(ratio), "must", F.desc(F.length("stem")), "stem")
+    found = [(r["stem"], r["must"], r["clean"]) for r in best.limit(STEM_CANDIDATES).collect()]
+    if not found:
+        return []
+    place = sample.sparkSession.sparkContext.broadcast({(stem, must): k for k, (stem, must, _) in enumerate(found)})
+
+    def holders(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            held = [sorted(place.value[k] for k in stems_of(t) if k in place.value) for t in batch["text"]]
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "weight": batch["weight"], "held": held})
+
+    rows = known.filter("y = 1").select("doc_id", "text", "weight").mapInPandas(holders, "doc_id long, weight double, held array<int>").orderBy("doc_id").collect()
+    holds = np.zeros((len(rows), len(found)), bool)
+    for k, r in enumerate(rows):
+        holds[k, r["held"]] = True
+    weight, clean_mass = np.array([r["weight"] for r in rows]), np.array([c for _, _, c in found])
+    covered, free, chosen = np.zeros(len(rows), int), np.ones(len(found), bool), []
+    length = np.array([len(stem) for stem, _, _ in found])
+    while free.any() and len(chosen) < STEMS:
+        gain = (weight * (covered < COVER)) @ holds
+        tells = np.round(likelihood_ratio(gain, clean_mass, n[1], n[0]), 6)
+        tells[~free | (log_odds(gain, clean_mass, n[1], n[0]) < STEM_ODDS) | (tells < bar)] = -1.0
+        at = int(np.lexsort((-length, -tells))[0])
+        if tells[at] < 0:
+            break
+        stem, must, _ = found[at]
+        chosen.append((stem, must))
+        covered += holds[:, at]
+        free &= np.array([not (stem.startswith(other) or other.startswith(stem)) for other, _, _ in found])
     return chosen
 
 
+def stems_of(text: str) -> set[tuple[str, bool]]:
+    """The text's word beginnings, each also as a dense one where it is."""
+    tokens = text.lower().split()
+    times: Counter = Counter()
+    for t, n in Counter(tokens).items():
+        for b in set(beginnings(t)):
+            times[b] += n
+    return {(b, False) for b in times} | {(b, True) for b, n in times.items() if dense(n, len(tokens))}
+
+
 def vote(docs: DataFrame, voters: Voters) -> DataFrame:
     """The vote patterns of all documents: mask, n."""
     shared = docs.sparkSession.sparkContext.broadcast(voters)
@@ -217,39 +307,55 @@ def vote(docs: DataFrame, voters: Voters) -> DataFrame:
     return stored(found.groupBy("mask").agg(F.sum("n").alias("n")), "votes")
 
 
-def _moments(patterns: DataFrame, model: LabelModel, count: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Over all documents, by class: documents, votes of each voter, votes of each pair.  A sum per task; the driver adds them."""
-    shared = patterns.sparkSession.sparkContext.broadcast(model)
+def _sums(masks: np.ndarray, n: np.ndarray, model: LabelModel) -> np.ndarray:
+    """By class: documents, votes of each voter, votes of each pair, one after another in one array."""
+    votes = bits_of(masks, len(model.weights))
+    toxic = model.posterior(votes) * n
+    by_class = (n - toxic, toxic)
+    parts = [[w.sum() for w in by_class], *(w @ votes for w in by_class), *((votes.T @ (w[:, None] * votes)).ravel() for w in by_class)]
+    return np.concatenate(parts)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total, one, two = np.zeros(2), np.zeros((2, count)), np.zeros((2, count, count))
-        for batch in batches:
-            votes, n = bits_of(batch["mask"].to_numpy(), count), batch["n"].to_numpy(np.float64)
-            toxic = shared.value.posterior(votes) * n
-            for k, weight in enumerate((n - toxic, toxic)):
-                total[k] += weight.sum()
-                one[k] += weight @ votes
-                two[k] += votes.T @ (weight[:, None] * votes)
-        yield pd.DataFrame({"at": np.arange(total.size + one.size + two.size), "x": np.concatenate([total, one.ravel(), two.ravel()])})
-
-    sums = patterns.mapInPandas(run, "at int, x double").groupBy("at").agg(F.sum("x").alias("x")).collect()
-    flat = np.zeros(2 + 2 * count + 2 * count * count)
-    for r in sums:
-        flat[r["at"]] = r["x"]
+
+def _moments(patterns: DataFrame | tuple[np.ndarray, np.ndarray], model: LabelModel) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The sums over all documents; of many patterns a sum per task, which the driver adds."""
+    count = len(model.weights)
+    if isinstance(patterns, tuple):
+        flat = _sums(*patterns, model)
+    else:
+        shared = patterns.sparkSession.sparkContext.broadcast(model)
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            total = np.zeros(2 + 2 * count + 2 * count * count)
+            for batch in batches:
+                total += _sums(batch["mask"].to_numpy(), batch["n"].to_numpy(np.float64), shared.value)
+            yield pd.DataFrame({"at": np.arange(total.size), "x": total})
+
+        flat = np.zeros(2 + 2 * count + 2 * count * count)
+        for r in patterns.mapInPandas(run, "at int, x double").groupBy("at").agg(F.sum("x").alias("x")).collect():
+            flat[r["at"]] = r["x"]
     return flat[:2], flat[2 : 2 + 2 * count].reshape(2, count), flat[2 + 2 * count :].reshape(2, count, count)
 
 
-def fit_label_model(patterns: DataFrame, start: np.ndarray, prior: float, silent: float, rounds: int = EM_ROUNDS) -> LabelModel:
-    """EM over the vote patterns of all documents from the given accuracies, which also count as ANCHOR votes each.
+def fit_label_model(patterns: DataFrame, labelled: np.ndarray, spoken: np.ndarray, prior: float, silent: float, rounds: int = EM_ROUNDS) -> LabelModel:
+    """EM over the vote patterns of all documents.
 
-    Every round gives accuracies, and from the pair moments within the toxic
-    class correlations and weights.
+    labelled are the voters' accuracies on the labelled rows, from spoken votes
+    each.  A voter's accuracy is the mean of that and of the EM's estimate, which
+    counts as ANCHOR votes however large the table is.  Every round also gives,
+    from the pair moments within the toxic class, correlations and weights.
     """
-    model = LabelModel(start, prior, silent)
+    start = np.clip(labelled, 0.001, 0.999)
+    model, trust = LabelModel(start, prior, silent), spoken / (spoken + ANCHOR)
+    if patterns.limit(PATTERNS_HERE + 1).count() <= PATTERNS_HERE:
+        rows = patterns.orderBy("mask").collect()
+        patterns = np.array([r["mask"] for r in rows], np.int64), np.array([r["n"] for r in rows], np.float64)
     for _ in range(rounds):
-        total, one, two = _moments(patterns, model, len(start))
-        accuracy = np.clip((one[1] + ANCHOR * start) / (one.sum(axis=0) + ANCHOR), 0.001, 0.999)
-        share, pairs = one[1] / max(1.0, total[1]), two[1] / max(1.0, total[1])
+        total, one, two = _moments(patterns, model)
+        votes = one.sum(axis=0)
+        estimate = np.where(votes > 0, one[1] / np.where(votes > 0, votes, 1.0), start)
+        accuracy = np.clip(trust * start + (1 - trust) * estimate, 0.001, 0.999)
+        documents = total[1] if total[1] > 0 else 1.0
+        share, pairs = one[1] / documents, two[1] / documents
         spread = np.sqrt(np.maximum(share * (1 - share), 1e-9))
         model.correlations = np.clip((pairs - np.outer(share, share)) / np.outer(spread, spread), -1, 1)
         tied = np.where(model.correlations > 0.1, model.correlations, 0.0)
@@ -330,57 +436,69 @@ def all_indicators(text: str) -> set[str]:
     return out
 
 
-def significant(sample: DataFrame, model: LabelModel) -> dict[str, float]:
-    """The indicators whose posterior-weighted log odds in the sample (text, mask, y) stand out, with these odds.
+def annotations(y: np.ndarray) -> np.ndarray:
+    return np.where(y < 0, 0.5, y).astype(np.float64)
+
 
-    Odds are counted by hash bucket; the names in the buckets that stand out come in a second look.
+def significant(sample: DataFrame, model: LabelModel, voters: Voters) -> dict[str, float]:
+    """The indicators that tell the posterior labels of the sample (text, mask, y, weight), with their log odds.
+
+    Masses are counted by hash bucket; the names in the buckets that stand out come
+    in a second look.  Words and stems of the voters are few, so their bar is lower.
     """
     shared = sample.sparkSession.sparkContext.broadcast(model)
     count = len(model.weights)
+    own = {f"={w}" for w in voters.of_word} | {("+" if must else "") + stem for stem, kinds in voters.stems.items() for must, _ in kinds}
+
+    def targets(batch: pd.DataFrame) -> np.ndarray:
+        return shared.value.posterior(bits_of(batch["mask"].to_numpy(), count), annotations(batch["y"].to_numpy()))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         mass, total = np.zeros((2, BUCKETS)), np.zeros(2)
         for batch in batches:
-            target = shared.value.posterior(bits_of(batch["mask"].to_numpy(), count), batch["y"].to_numpy(np.float64))
-            for text, t in zip(batch["text"], target.tolist()):
+            target, weight = targets(batch), batch["weight"].to_numpy()
+            for text, t, w in zip(batch["text"], target.tolist(), weight.tolist()):
                 at = list({crc32(n.encode()) % BUCKETS for n in all_indicators(text)})
-                mass[1, at] += t
-                mass[0, at] += 1 - t
-            total += (1 - target).sum(), target.sum()
+                mass[1, at] += t * w
+                mass[0, at] += (1 - t) * w
+            total += ((1 - target) * weight).sum(), (target * weight).sum()
         used = np.flatnonzero(mass.sum(axis=0))
         yield pd.DataFrame({"at": np.append(used, -1), "clean": np.append(mass[0, used], total[0]), "toxic": np.append(mass[1, used], total[1])})
 
-    sums = stored(sample.select("text", "mask", "y").mapInPandas(run, "at int, clean double, toxic double").groupBy("at").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")), "indicators")
+    rows = sample.select("text", "mask", "y", "weight")
+    sums = stored(rows.mapInPandas(run, "at int, clean double, toxic double").groupBy("at").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")), "indicators")
     total = sums.filter("at = -1").first()
-    if total is None:
+    if total is None or not (total["toxic"] and total["clean"]):
         return {}
-    clean, toxic = F.col("clean") + 0.5, F.col("toxic") + 0.5
-    odds = F.log(toxic / (total["toxic"] + 1)) - F.log(clean / (total["clean"] + 1))
-    stands_out = (F.abs(odds) / F.sqrt(1 / toxic + 1 / clean) > SIGNIFICANT) & (F.abs(odds) >= ODDS)
-    buckets = sample.sparkSession.sparkContext.broadcast(frozenset(r["at"] for r in sums.filter((F.col("at") >= 0) & stands_out).select("at").collect()))
+    of_all = F.col("toxic"), F.col("clean"), total["toxic"], total["clean"]
+    ratio, odds = likelihood_ratio(*of_all), log_odds(*of_all)
+    bar, low_bar = (2 * float(np.log(max(2, k))) + MARGIN for k in (sums.count(), len(own)))
+    tells = (ratio > bar) & (F.abs(odds) >= ODDS)
+    wanted = {r["at"] for r in sums.filter((F.col("at") >= 0) & tells).select("at").collect()} | {crc32(n.encode()) % BUCKETS for n in own}
+    buckets = sample.sparkSession.sparkContext.broadcast(frozenset(wanted))
 
     def names(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         mass: dict[str, list[float]] = {}
         for batch in batches:
-            target = shared.value.posterior(bits_of(batch["mask"].to_numpy(), count), batch["y"].to_numpy(np.float64))
-            for text, t in zip(batch["text"], target.tolist()):
+            for text, t, w in zip(batch["text"], targets(batch).tolist(), batch["weight"].tolist()):
                 for n in all_indicators(text):
                     m = mass.get(n)
                     if m is None and crc32(n.encode()) % BUCKETS in buckets.value:
                         m = mass[n] = [0.0, 0.0]
                     if m is not None:
-                        m[0] += 1 - t
-                        m[1] += t
+                        m[0] += (1 - t) * w
+                        m[1] += t * w
         yield pd.DataFrame([(n, *m) for n, m in mass.items()], columns=["name", "clean", "toxic"])
 
-    found = sample.select("text", "mask", "y").mapInPandas(names, "name string, clean double, toxic double").groupBy("name").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    return {r["name"]: r["odds"] for r in found.filter(stands_out).select("name", odds.alias("odds")).orderBy("name").collect()}
+    found = rows.mapInPandas(names, "name string, clean double, toxic double").groupBy("name").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    tells |= F.col("name").isin(sorted(own)) & (ratio > low_bar) & (F.abs(odds) >= ODDS)
+    return {r["name"]: r["odds"] for r in found.filter(tells).select("name", odds.alias("odds")).orderBy("name").collect()}
 
 
-def train_classifier(odds: dict[str, float], rows: list[np.ndarray], target: np.ndarray) -> Classifier:
-    """Logistic regression on soft targets by Adagrad over indicators scaled by their odds; rows hold places in odds."""
+def train_classifier(odds: dict[str, float], rows: list[np.ndarray], target: np.ndarray, weight: np.ndarray) -> Classifier:
+    """Weighted logistic regression on soft targets by Adagrad over indicators scaled by their odds; rows hold places in odds."""
     scale = np.array([*odds.values()] or [0.0]) / max([1.0, *map(abs, odds.values())])
-    prior = float(np.clip(target.mean(), 1e-3, 1 - 1e-3))
+    prior = float(np.clip(np.average(target, weights=weight), 1e-3, 1 - 1e-3))
     w, offset = np.zeros(len(scale)), float(np.log(prior / (1 - prior)))
     size, step, rng, order = np.full(len(scale), 1e-8), 0.5, np.random.default_rng(5), np.arange(len(rows))
     lengths = np.array([len(r) for r in rows])
@@ -390,7 +508,7 @@ def train_classifier(odds: dict[str, float], rows: list[np.ndarray], target: np.
             batch = order[first : first + BATCH]
             at = np.concatenate([rows[i] for i in batch])
             who = np.repeat(np.arange(len(batch)), lengths[batch])
-            gap = sigmoid(np.bincount(who, w[at] * scale[at], len(batch)) + offset) - target[batch]
+            gap = weight[batch] * (sigmoid(np.bincount(who, w[at] * scale[at], len(batch)) + offset) - target[batch])
             g = np.bincount(at, gap[who] * scale[at], len(scale)) / len(batch) + PENALTY * w
             size += g * g
             w -= step * g / np.sqrt(size)
@@ -398,48 +516,81 @@ def train_classifier(odds: dict[str, float], rows: list[np.ndarray], target: np.
     return Classifier({n: float(x) for n, x in zip(odds, w * scale) if x}, offset)
 
 
+def margins(classifier: Classifier, names: list[str], rows: list[np.ndarray]) -> np.ndarray:
+    weight = np.array([classifier.weights.get(n, 0.0) for n in names] or [0.0])
+    return np.array([classifier.offset + weight[a].sum() for a in rows])
+
+
+def toxicity_sample(docs: DataFrame, labels: DataFrame, label: str, most: int) -> DataFrame | None:
+    """doc_id, text, y (-1: unlabelled) of at most ``most`` labelled rows and as many unlabelled ones, none held out; None without labels."""
+    known = training_sample(labels, label, most)
+    if not known:
+        return None
+    texts = id_text(docs)
+    named = labels.select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    ids = texts.select("doc_id").filter(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).join(named, "doc_id", "left_anti").distinct()
+    others = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).collect()
+    return with_labels(texts, known | {r["doc_id"]: -1 for r in others})
+
+
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = SAMPLE) -> tuple[Classifier, LabelModel, Voters]:
     """The classifier, and the label model and voters behind it."""
-    texts = id_text(docs)
-    known = training_sample(labels, label, most)
-    sample = stored(with_labels(texts, known), "toxicity-sample") if known else None
-    voters = Voters(induce_stems(sample) if known else [])
+    sample = toxicity_sample(docs, labels, label, most)
+    if sample is not None:
+
+        def signed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                yield batch.assign(keys=[list(signatures(t)) for t in batch["text"]])
+
+        sample = stored(sample.mapInPandas(signed, "doc_id long, text string, y int, keys array<long>"), "toxicity-sample")
+        keys = {r["doc_id"]: tuple(r["keys"]) for r in sample.select("doc_id", "keys").collect()}
+        weights = dict(zip(keys, copy_weights(list(keys.values())).tolist()))
+        weighed = docs.sparkSession.createDataFrame(sorted(weights.items()), "doc_id long, weight double")
+        sample = sample.drop("keys").join(F.broadcast(weighed), "doc_id")
+    voters = Voters(induce_stems(sample) if sample is not None else [])
     shared = docs.sparkSession.sparkContext.broadcast(voters)
-    start, prior, silent, rows = np.full(voters.count, ACCURACY), PRIOR, SILENT, []
-    if known:
+    start, spoken, prior, silent, rows = np.full(voters.count, ACCURACY), np.zeros(voters.count), PRIOR, SILENT, []
+    if sample is not None:
 
         def voted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
                 yield batch.assign(mask=[shared.value.mask(t) for t in batch["text"]])
 
-        sample = stored(sample.mapInPandas(voted, "doc_id long, text string, y int, mask long"), "toxicity-votes")
-        rows = sample.select("y", "mask").collect()
-    masks, y = np.array([r["mask"] for r in rows], np.int64), np.array([r["y"] for r in rows], np.float64)
+        sample = stored(sample.mapInPandas(voted, "doc_id long, text string, y int, weight double, mask long"), "toxicity-votes")
+        rows = [r for r in sample.select("y", "mask", "weight").collect() if r["y"] >= 0]
+    masks, y, w = (np.array([r[k] for r in rows], t) for k, t in (("mask", np.int64), ("y", np.float64), ("weight", np.float64)))
     both = 0 < y.sum() < len(y)
     if both:
-        votes, prior = bits_of(masks, voters.count), float(np.clip(y.mean(), 1e-3, 0.5))
-        start = (votes[y == 1].sum(axis=0) + 2 * ACCURACY) / (votes.sum(axis=0) + 2)
+        votes, prior = bits_of(masks, voters.count), float(np.clip(np.average(y, weights=w), 1e-3, 0.5))
+        spoken = w @ votes
+        start = ((w * y) @ votes + 2 * ACCURACY) / (spoken + 2)
         quiet = ~votes.any(axis=1)
-        silent = float((y[quiet].sum() + SILENT) / (quiet.sum() + 1))
-    model = fit_label_model(vote(docs, voters), np.clip(start, 0.001, 0.999), prior, float(np.clip(silent, 1e-4, 0.5)))
+        silent = float(((w * y)[quiet].sum() + SILENT) / (w[quiet].sum() + 1))
+    model = fit_label_model(vote(docs, voters), start, spoken, prior, float(np.clip(silent, 1e-4, 0.5)))
     if not rows:  # nothing to train on: the lexicons' own indicators stand for the classifier
         return Classifier({f"={w}": 4.0 for w in voters.of_word}, float(np.log(PRIOR / (1 - PRIOR)))), model, voters
-    names = significant(sample, model)
-    place = {n: k for k, n in enumerate(names)}
-    finder = docs.sparkSession.sparkContext.broadcast(Classifier(dict.fromkeys(names, 0.0), 0.0))
+    odds = significant(sample, model, voters)
+    place = {n: k for k, n in enumerate(odds)}
+    finder = docs.sparkSession.sparkContext.broadcast(Classifier(dict.fromkeys(odds, 0.0), 0.0))
 
     def featured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             at = [np.array([place[n] for n in finder.value.features(t)], np.int32).tobytes() for t in batch["text"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "y": batch["y"], "mask": batch["mask"], "at": at})
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "y": batch["y"], "weight": batch["weight"], "mask": batch["mask"], "at": at})
 
-    got = sample.mapInPandas(featured, "doc_id long, y int, mask long, at binary").collect()
+    got = sample.mapInPandas(featured, "doc_id long, y int, weight double, mask long, at binary").collect()
     got.sort(key=lambda r: (r["doc_id"], r["mask"], bytes(r["at"])))
-    at, y = [np.frombuffer(r["at"], np.int32) for r in got], np.array([r["y"] for r in got], np.float64)
-    classifier = train_classifier(names, at, model.posterior(bits_of(np.array([r["mask"] for r in got], np.int64), voters.count), y))
+    at, y, w = [np.frombuffer(r["at"], np.int32) for r in got], np.array([r["y"] for r in got]), np.array([r["weight"] for r in got])
+    target = model.posterior(bits_of(np.array([r["mask"] for r in got], np.int64), voters.count), annotations(y))
+    classifier = train_classifier(odds, at, target, w)
     if both:
-        weight = np.array([classifier.weights.get(n, 0.0) for n in names] or [0.0])
-        classifier.slope, classifier.shift = calibrate(np.array([classifier.offset + weight[a].sum() for a in at]), y)
+        fold, out = np.arange(len(at)) % FOLDS, np.zeros(len(at))
+        for k in range(FOLDS):
+            learnt, left = np.flatnonzero(fold != k), np.flatnonzero(fold == k)
+            if len(learnt) and len(left):
+                part = train_classifier(odds, [at[i] for i in learnt], target[learnt], w[learnt])
+                out[left] = margins(part, list(odds), [at[i] for i in left])
+        classifier.slope, classifier.shift = calibrate(out[y >= 0], y[y >= 0].astype(np.float64))
     return classifier, model, voters
 
 
