@@ -28,7 +28,7 @@ def query(name: str, sql: str | None = None, views: tuple[str, ...] = ()) -> Cal
 
 
 def _load() -> None:
-    from .plans import crawl, history, modules, pages, probes, reports, robots, rollups, scoring, search, texts, urls  # noqa: F401
+    from .plans import crawl, history, modules, pages, probes, reports, robots, rollups, scoring, search, signals, texts, urls  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

@@ -129,7 +129,7 @@ def resolve(base: Column, href: Column) -> Column:
     plain = ~h.rlike(r"/\.{1,2}(?:/|$)") & ~F.contains(h, F.lit("\\"))
     bare = F.substring_index(h, "#", 1)
     origin = F.regexp_extract(base, r"^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]+)", 1)
-    return F.when(plain & h.rlike(r"^https?://[^/?#]+[/]"), bare).when(plain & h.rlike(r"^/(?:[^/]|$)") & (origin != ""), F.concat(origin, bare)).otherwise(resolved(base, href))
+    return F.when(plain & h.rlike(r"^https?://[^/?#]+/"), bare).when(plain & h.rlike(r"^/(?:[^/]|$)") & (origin != ""), F.concat(origin, bare)).otherwise(resolved(base, href))
 
 
 def canonical_state(canonical: Column, url: Column) -> Column:

@@ -29,7 +29,7 @@ OWN = frozenset("organization localbusiness store restaurant professionalservice
 WEIGHTS = {"has_structured_data": 20, "valid_json": 20, "has_context": 15, "known_types": 15, "has_required_props": 20, "no_duplicate_types": 10}
 
 NODE = "struct<type:string,known:boolean,missing:array<string>,json:string>"
-SCHEMA = f"blocks int, invalid int, has_context boolean, nodes array<{NODE}>, products int, self_review boolean"
+SCHEMA = f"blocks int, invalid int, has_context boolean, nodes array<{NODE}>, products int, self_review boolean, objects array<string>"
 
 
 def of_type(node: dict) -> list[str]:
@@ -78,15 +78,15 @@ def page_nodes(html: str | None) -> dict:
         for k in kinds:
             needs = NEEDED.get(k.lower())
             rows.append({"type": k, "known": needs is not None, "missing": [p for p in (needs or "").split() if not n.get(p)], "json": json.dumps(n, sort_keys=True, ensure_ascii=False)})
-    return {"blocks": len(blocks), "invalid": invalid, "has_context": bool(contexts) and all(map(names_vocabulary, contexts)), "nodes": rows, "products": sum(everywhere(d, "product") for d in tops), "self_review": own}
+    return {"blocks": len(blocks), "invalid": invalid, "has_context": bool(contexts) and all(map(names_vocabulary, contexts)), "nodes": rows, "products": sum(everywhere(d, "product") for d in tops), "self_review": own, "objects": [json.dumps(n, ensure_ascii=False) for n in nodes]}
 
 
 def nodes(pages: DataFrame, key: str = "page_id") -> DataFrame:
-    """key, blocks, invalid, has_context, nodes, products (at any depth), self_review of every page."""
+    """key, blocks, invalid, has_context, nodes, products (at any depth), self_review, objects (all of them, with or without a type) of every page."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = pd.DataFrame([page_nodes(h) for h in batch["html"]], columns=["blocks", "invalid", "has_context", "nodes", "products", "self_review"])
+            found = pd.DataFrame([page_nodes(h) for h in batch["html"]], columns=["blocks", "invalid", "has_context", "nodes", "products", "self_review", "objects"])
             yield pd.concat([batch[[key]].reset_index(drop=True), found], axis=1)
 
     return pages.select(key, "html").mapInPandas(run, f"{key} {pages.schema[key].dataType.simpleString()}, {SCHEMA}")

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scores
+from . import headers
 
 # Fixed values of the rules.
 POOR_ANCHORS = frozenset(("click here", "here", "read more", "learn more", "more", "link", "this", "this link", "go", "see more", "details", "info"))
@@ -25,6 +26,10 @@ BUDGET = {"html_kb": 100, "inline_total_kb": 50, "blocking_scripts": 2, "images_
 GENERIC_IMAGE = re.compile(r"(^|/)(img[_-]?\d+|image\d*|screenshot\d*|photo\d*|picture\d*|untitled|DSC[_\d]+|Screen\s?Shot)[^/]*\.\w+$", re.I)
 MODERN_IMAGE = (".webp", ".avif", ".svg")
 SILENT = frozenset(("script", "style", "nav", "footer"))
+#: Elements whose text is kept.
+TEXT_TAGS = frozenset(("title", "h1", "h2", "h3", "h4", "h5", "h6", "a", "script", "style"))
+#: What ends an open paragraph or list item that wasn't closed.
+ENDS_PARAGRAPH = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 
 SIGNALS = {
     "title": "string", "titles": "int", "description": "string", "descriptions": "int", "robots": "string", "og": "map<string,string>", "og_repeated": "int", "twitter": "int", "viewport_valid": "boolean", "zoom_disabled": "boolean", "charset": "boolean", "lang": "boolean",
@@ -42,7 +47,10 @@ class Signals(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.url, self.https = url, url.startswith("https://")
         self.open: list[str] = []
-        self.text: dict[str, list[str]] = {}
+        #: Text gathered by each open element that keeps its own, innermost last; how many silent elements and bodies are open.
+        self.texts: list[list[str] | None] = []
+        self.keepers: list[list[str]] = []
+        self.silent = self.bodies = 0
         self.ids, self.fragments, self.og_counts = set(), [], {}
         zero = {"int": 0, "boolean": False, "string": None}
         self.s = {k: zero[t] if t in zero else {} if t[0] == "m" else [] for k, t in SIGNALS.items()}
@@ -54,11 +62,13 @@ class Signals(HTMLParser):
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
         if self.open and self.open[-1] == tag:
-            self.open.pop()
+            self.shut()
 
     def handle_starttag(self, tag, attrs):
         a = {k: v or "" for k, v in reversed(attrs)}
         s = self.s
+        if self.open and (self.open[-1] == "p" and tag in ENDS_PARAGRAPH or self.open[-1] == tag == "li"):
+            self.closed(*self.shut())
         if a.get("id"):
             self.ids.add(a["id"])
         if a.get("tabindex", "").lstrip("+").isdigit() and int(a["tabindex"]) > 0:
@@ -73,7 +83,12 @@ class Signals(HTMLParser):
             s["headings"].append(int(tag[1]))
         if tag not in ("meta", "link", "img", "br", "hr", "input", "source", "base", "col", "area", "embed", "track", "wbr"):
             self.open.append(tag)
-            self.text[tag] = []
+            parts = [] if tag in TEXT_TAGS else None
+            self.texts.append(parts)
+            if parts is not None:
+                self.keepers.append(parts)
+            self.silent += tag in SILENT
+            self.bodies += tag == "body"
             if tag in ("form", "div") and ("hidden" in a or a.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", a.get("style", ""))):
                 self.hidden.append(len(self.open))
 
@@ -199,15 +214,27 @@ class Signals(HTMLParser):
         if tag not in self.open:
             return
         while self.open:
-            at = self.open.pop()
-            self.closed(at)
+            at, text = self.shut()
+            self.closed(at, text)
             if self.hidden and len(self.open) < self.hidden[-1]:
                 self.hidden.pop()
             if at == tag:
                 break
 
-    def closed(self, tag: str) -> None:
-        text, s = "".join(self.text.get(tag, ())), self.s
+    def shut(self) -> tuple[str, str]:
+        """Takes the innermost element off; its text goes to the one around it that keeps text."""
+        tag, parts = self.open.pop(), self.texts.pop()
+        self.silent -= tag in SILENT
+        self.bodies -= tag == "body"
+        text = "".join(parts or ())
+        if parts is not None:
+            self.keepers.pop()
+            if self.keepers and text:
+                self.keepers[-1].append(text)
+        return tag, text
+
+    def closed(self, tag: str, text: str) -> None:
+        s = self.s
         if tag == "title":
             s["title"] = text.strip()
         elif re.fullmatch("h[1-6]", tag):
@@ -239,15 +266,14 @@ class Signals(HTMLParser):
             self.s["json_ld_types"] += [str(k) for k in (kind if isinstance(kind, list) else [kind]) if k]
 
     def handle_data(self, data):
-        for tag in {*self.open}:
-            if tag in ("title", "h1", "h2", "h3", "h4", "h5", "h6", "a", "script", "style"):
-                self.text[tag].append(data)
-        if "body" in self.open and not SILENT & {*self.open}:
+        if self.keepers:
+            self.keepers[-1].append(data)
+        if self.bodies and not self.silent:
             self.add("words", len(data.split()))
 
     def finish(self, size: int) -> dict:
         while self.open:
-            self.closed(self.open.pop())
+            self.closed(*self.shut())
         s = self.s
         s["broken_fragments"] = [f"#{f}" for f in self.fragments if f not in self.ids]
         s["og_repeated"], s["bytes"] = sum(n > 1 for n in self.og_counts.values()), size
@@ -266,15 +292,17 @@ def signals_of(html: str | None, url: str | None) -> dict:
 
 
 def analyse(pages: DataFrame, key: str = "page_id") -> DataFrame:
-    """key, url and the signals of every page (key, url, html)."""
+    """key, url and the signals of every page (key, url, html); a column headers is passed on."""
+    also = [n for n in ("headers",) if n in pages.columns]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = [signals_of(h, u) for h, u in zip(batch["html"], batch["url"])]
-            yield pd.concat([batch[[key, "url"]].reset_index(drop=True), pd.DataFrame(rows, columns=[*SIGNALS])], axis=1)
+            yield pd.concat([batch[[key, "url", *also]].reset_index(drop=True), pd.DataFrame(rows, columns=[*SIGNALS])], axis=1)
 
     kind = pages.schema[key].dataType.simpleString()
-    return pages.select(key, "url", "html").mapInPandas(run, f"{key} {kind}, url string, {SCHEMA}")
+    passed = "".join(f"{n} {pages.schema[n].dataType.simpleString()}, " for n in also)
+    return pages.select(key, "url", *also, "html").mapInPandas(run, f"{key} {kind}, url string, {passed}{SCHEMA}")
 
 
 def _part(total: Column, missing: Column, most: int) -> Column:
@@ -304,7 +332,11 @@ def logical_headings(headings: Column) -> Column:
 
 
 def category_scores(report: DataFrame) -> DataFrame:
-    """The report with seo, security, accessibility, performance, their overall score and grade."""
+    """The report with seo, security, accessibility, performance, their overall score and grade.
+
+    With a column headers (map<string,string>) they count towards security, and a
+    page without any (or a report without the column) has its security imputed.
+    """
     c, kb = F.col, F.bround(F.col("bytes") / 1024.0, 1)
     h1 = F.size(F.filter("headings", lambda h: h == 1))
     title = F.greatest(_length(c("title"), 5, (50, 60), (30, 70), 5) + _length(c("description"), 4, (150, 160), (120, 170), 4) - _if(c("titles") > 1, 3) - _if(c("descriptions") > 1, 3), F.lit(0))
@@ -314,7 +346,8 @@ def category_scores(report: DataFrame) -> DataFrame:
     social = F.greatest(F.least(og * 2, F.lit(6)) + _if(c("twitter") > 0, 4) - _if(c("og_repeated") > 0, 2), F.lit(0))
     mobile = _if(c("preconnect"), 2) + _if(c("preload"), 2) + _steps(c("blocking_scripts"), (0, 3), (2, 1), beyond=0) + _steps(kb, (100, 4), (200, 2), beyond=1) + _if(c("viewport_valid"), 2)
     seo = title + head + _part(c("images"), c("images_no_alt"), 10) + technical + _if(c("json_ld") >= 1, 7) + _if(c("json_ld") >= 2, 3) + social + mobile + _if(c("charset"), 3) + _if(c("hreflangs") > 0, 3, 1)
-    security = _if(c("mixed_content") == 0, 10) + _part(c("blank"), c("blank_unsafe"), 5)
+    seen = F.col("headers") if "headers" in report.columns else F.lit(None).cast("map<string,string>")
+    security = headers.security_score(c("mixed_content"), c("blank"), c("blank_unsafe"), seen)
     marks = F.size(F.array_intersect("landmarks", F.array(*map(F.lit, ("main", "nav", "header", "footer")))))
     accessibility = (
         _part(c("images"), c("images_no_alt"), 18) + _if(c("lang"), 5) + _part(c("inputs"), c("inputs_unlabelled"), 13) + F.greatest(10 - 3 * c("empty_headings"), F.lit(0)) + _if(c("skip_link"), 5) + F.least(marks * 3, F.lit(10))
@@ -328,9 +361,9 @@ def category_scores(report: DataFrame) -> DataFrame:
         _steps(kb, (50, 15), (100, 12), (200, 7), beyond=2) + _steps(c("blocking_scripts"), (0, 15), (1, 10), (2, 6), (4, 3), beyond=0) + F.when((n == 0) | (c("images_modern") >= n), 20).otherwise(responsive + modern)
         + _if(c("preconnect"), 8) + _if(c("preload"), 7) + 5 + _steps(inline, (10, 10), (30, 7), (50, 4), beyond=1) + lazy
     )
-    out = report.withColumns({"seo": F.least(seo, F.lit(100)).cast("int"), "security": security.cast("int"), "accessibility": F.least(accessibility, F.lit(100)).cast("int"), "performance": F.least(performance, F.lit(100)).cast("int")})
+    out = report.withColumns({"seo": F.least(seo, F.lit(100)).cast("int"), **security, "accessibility": F.least(accessibility, F.lit(100)).cast("int"), "performance": F.least(performance, F.lit(100)).cast("int")})
     p0 = _if((F.coalesce("title", F.lit("")) == "") | (F.size(F.filter("headings", lambda h: h == 1)) == 0), 1)
-    return out.withColumns(scores.composite(c("seo"), c("security"), c("accessibility"), c("performance"), p0, F.lit(False)))
+    return out.withColumns(scores.composite(c("seo"), c("security"), c("accessibility"), c("performance"), p0, c("security_assessed")))
 
 
 def budget_violations(report: DataFrame, budget: dict[str, int] | None = None) -> DataFrame:

@@ -31,7 +31,7 @@ SEO = f"""SELECT page_id, CAST(CASE WHEN length(title) = 0 THEN 0 WHEN length(ti
  + CASE WHEN length(descr) = 0 THEN 0 WHEN length(descr) BETWEEN 150 AND 160 THEN 8 WHEN length(descr) BETWEEN 120 AND 170 THEN 7 ELSE 5 END + CASE WHEN h1 = 1 THEN 8 WHEN h1 > 1 THEN 3 ELSE 0 END + CASE WHEN canonical THEN 5 ELSE 0 END
  + CASE WHEN ld >= 2 THEN 10 WHEN ld = 1 THEN 7 ELSE 0 END + least(10, least(8, 2 * len(list_filter(og, lambda p: p IN ('og:title', 'og:description', 'og:image', 'og:url')))) + CASE WHEN len(og) > 0 THEN 2 ELSE 0 END)
  + CASE WHEN contains(robots, 'noindex') THEN 0 ELSE 5 END AS INT) AS total FROM (SELECT page_id, trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)) AS title, {_DESCRIPTION} AS descr, {_n('<h1[\\s>]')} AS h1, {_has(f'<link[^>]*rel={Q}canonical{Q}')} AS canonical,
- {_n(f'<script[^>]*type={Q}application/ld[+]json{Q}')} AS ld, {_OG} AS og, lower(regexp_extract(html, '(?is)<meta\\s[^>]*name={Q}robots{Q}[^>]*content={Q}({NQ}*){Q}', 1)) AS robots FROM rich_pages)"""
+ {_n(f'<script[^>]*type={Q}application/ld\\+json{Q}')} AS ld, {_OG} AS og, lower(regexp_extract(html, '(?is)<meta\\s[^>]*name={Q}robots{Q}[^>]*content={Q}({NQ}*){Q}', 1)) AS robots FROM rich_pages)"""
 _UNSAFE = f"NOT contains(lower(regexp_extract(t, '(?is)rel={Q}({NQ}*){Q}', 1)), 'noopener')"
 SECURITY = f"""SELECT page_id, CAST(CASE WHEN {_has(f'(?:src|action)={Q}http://{NQ}+{Q}')} THEN 0 ELSE 10 END + CASE WHEN unsafe > 0 THEN round_even((total_blank - unsafe) / total_blank::DOUBLE * 5, 0) ELSE 5 END AS INT) AS total
 FROM (SELECT *, {_n(f'<a\\s[^>]*target={Q}_blank{Q}[^>]*>')} AS total_blank, {_kept(f'<a\\s[^>]*target={Q}_blank{Q}[^>]*>', _UNSAFE)} AS unsafe FROM rich_pages)"""
@@ -54,7 +54,7 @@ PERFORMANCE = f"""SELECT page_id, CAST(CASE WHEN kb <= 50 THEN 15 WHEN kb <= 100
  + CASE WHEN {_has(f'<link[^>]*rel={Q}preconnect{Q}')} THEN 8 ELSE 0 END + CASE WHEN {_has(f'<link[^>]*rel={Q}preload{Q}')} THEN 7 ELSE 0 END
  + CASE WHEN js <= 10 THEN 6 WHEN js <= 30 THEN 4 WHEN js <= 60 THEN 2 ELSE 0 END + CASE WHEN css <= 60 THEN 4 WHEN css <= 120 THEN 2 ELSE 0 END + CASE WHEN n <= 1 THEN 10 WHEN lazy > 0 THEN greatest(5, round_even(lazy / n::DOUBLE * 10, 0)) ELSE 3 END AS INT) AS total
 FROM (SELECT *, round_even(strlen(html) / 1024.0::DOUBLE, 1) AS kb, {_kept(_BLOCKING, f"{_has(f'src={Q}', 't')} AND NOT {_has('\\basync\\b', 't')} AND NOT {_has('\\bdefer\\b', 't')} AND NOT {_has(f'type={Q}module{Q}', 't')}")} AS b, {_n('<img\\s[^>]*>')} AS n,
- {_kept('<img\\s[^>]*>', _has('srcset=', 't'))} + {_n('<picture[\\s>]')} AS resp, {_kept('<img\\s[^>]*>', _has('[.](webp|avif|svg)', 't'))} AS modern, {_kept('<img\\s[^>]*>', _has(f'loading={Q}lazy{Q}', 't'))} AS lazy,
+ {_kept('<img\\s[^>]*>', _has('srcset=', 't'))} + {_n('<picture[\\s>]')} AS resp, {_kept('<img\\s[^>]*>', _has('\\.(webp|avif|svg)', 't'))} AS modern, {_kept('<img\\s[^>]*>', _has(f'loading={Q}lazy{Q}', 't'))} AS lazy,
  round_even(coalesce(list_sum(list_transform(list_filter(regexp_extract_all(html, '(?is)<script(?:\\s[^>]*)?>(.+?)</script>', 1), lambda t: NOT regexp_matches(t, '^\\s*\\{{')), lambda t: strlen(t))), 0) / 1024.0::DOUBLE, 1) AS js,
  round_even(coalesce(list_sum(list_transform(regexp_extract_all(html, '(?is)<style[^>]*>(.+?)</style>', 1), lambda t: strlen(t))), 0) / 1024.0::DOUBLE, 1) AS css FROM rich_pages)"""
 
@@ -108,7 +108,7 @@ _BARE = "regexp_replace(lower(regexp_extract({u}, '^[a-zA-Z]+://([^/?#]*)', 1)),
 _total(
     "technical_seo",
     f"""SELECT page_id, CAST(30 + CASE WHEN {_FOREIGN} THEN 0 ELSE 20 END + CASE WHEN {_has(f'<meta[^>]+http-equiv={Q}refresh{Q}')} THEN 0 ELSE 15 END + CASE WHEN ({_has(modules.IN_THE_WAY.replace("'", "''"))} OR {_has(modules.SHOWN_AT_ONCE.replace("'", "''"))}) AND NOT {_has('cookie|consent|gdpr')} THEN 7 ELSE 15 END
- + 20 - CASE WHEN {_kept(_IMAGE, f"regexp_matches({_SOURCE}, '[.](?:jpg|jpeg|png)(?:\\?|$)')")} > 0 AND NOT ({_kept(_IMAGE, f"regexp_matches({_SOURCE}, '[.](?:webp|avif)(?:\\?|$)')")} > 0 OR {_has(f'<source[^>]+type={Q}image/(?:webp|avif)')}) THEN 10 ELSE 0 END
+ + 20 - CASE WHEN {_kept(_IMAGE, f"regexp_matches({_SOURCE}, '\\.(?:jpg|jpeg|png)(?:\\?|$)')")} > 0 AND NOT ({_kept(_IMAGE, f"regexp_matches({_SOURCE}, '\\.(?:webp|avif)(?:\\?|$)')")} > 0 OR {_has(f'<source[^>]+type={Q}image/(?:webp|avif)')}) THEN 10 ELSE 0 END
  - CASE WHEN {_kept(_IMAGE, f"NOT ({_has('\\bwidth=', 't')} AND {_has('\\bheight=', 't')})")} > 0 THEN 10 ELSE 0 END AS INT) AS total
 FROM (SELECT *, {_BARE.format(u='c')} AS ch, {_BARE.format(u='url')} AS h FROM (SELECT *, trim({_CANONICAL}) AS c FROM rich_pages))""",
 )
@@ -124,7 +124,7 @@ def _word(p: str, value: int) -> str:
 _total(
     "ai_search",
     f"""SELECT page_id, CAST(45 + CASE WHEN {_has('<details|frequently asked')} OR regexp_matches({_LOW}, '"@type"\\s*:\\s*"(?:faqpage)"') THEN 5 ELSE 0 END + CASE WHEN {_n('<li')} >= 3 THEN 5 ELSE 0 END + {_word('<table', 5)} + CASE WHEN {_n('<h[2-3][\\s>]')} >= 2 THEN 5 ELSE 0 END
- + {_word(f'<dl[\\s>]|<summary|class={Q}{NQ}*(?:summary|tl;dr|key-takeaway)', 5)} + CASE WHEN regexp_matches({_LOW}, '"@type"\\s*:\\s*"(?:organization|localbusiness)"') THEN 8 ELSE 0 END + CASE WHEN contains({_LOW}, '"sameas"') THEN 6 ELSE 0 END + {_word('wikipedia[.]org|wikidata[.]org', 6)} AS INT) AS total FROM rich_pages""",
+ + {_word(f'<dl[\\s>]|<summary|class={Q}{NQ}*(?:summary|tl;dr|key-takeaway)', 5)} + CASE WHEN regexp_matches({_LOW}, '"@type"\\s*:\\s*"(?:organization|localbusiness)"') THEN 8 ELSE 0 END + CASE WHEN contains({_LOW}, '"sameas"') THEN 6 ELSE 0 END + {_word('wikipedia\\.org|wikidata\\.org', 6)} AS INT) AS total FROM rich_pages""",
 )
 
 

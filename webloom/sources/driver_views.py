@@ -63,6 +63,30 @@ GROUP BY g.url""",
 SELECT page_id, url, html || CASE page_id % 4 WHEN 0 THEN '<meta name="description" content="All about it"><meta property="og:title" content="T"><meta property="og:image" content="i">' WHEN 1 THEN '<meta content="The other way round, and rather longer than the first one was, so that it reads well where it is shown to those who search for it: here." name="description">' WHEN 2 THEN '<meta name="robots" content="NOINDEX, follow"><h1>Again</h1>' ELSE '' END
  || CASE page_id % 5 WHEN 0 THEN '<link rel="canonical" href="/c"><link rel="preload" href="f"><link rel="manifest" href="m">' WHEN 1 THEN '<script type="application/ld+json">{"@type": "VideoObject", "name": "v", "uploadDate": "x"}</script><video src="v"></video>' WHEN 2 THEN '<script src="/jquery.min.js"></script><script src="/a/b.chunk.js" defer></script>' WHEN 3 THEN '<script type="module" src="/assets/main-abcdef12.js"></script><meta name="viewport" content="width=device-width">' ELSE '<img src="http://x.example/a.png"><img loading="lazy" src="b.webp"><img srcset="c 2x" src="c.png">' END
  || CASE page_id % 7 WHEN 0 THEN '<a href="#">x</a><a href="https://other.example/" target="_blank">o</a>' WHEN 1 THEN '<a href="mailto:a@b.org?subject=x">m</a><a href="#here">h</a><p id="here">' WHEN 2 THEN '<a href="mailto:nobody">m</a><a href="#gone">g</a><a href="https://other.example/y" rel="noopener" target="_blank">o</a>' WHEN 3 THEN '<a href="/privacy">p</a><a href="/cookie-policy">c</a><script>gtag(1)</script>' WHEN 4 THEN '<button onclick="go()">go</button><script src="https://cdn.cookiebot.example/uc.js"></script>' ELSE '<a href="tel:1">t</a>' END AS html
+FROM pages""",
+    ),
+    "served_pages": (
+        ("rich_pages",),
+        """
+SELECT page_id, url, html || CASE page_id % 3 WHEN 0 THEN '<script src="https://www.googletagmanager.com/gtag/js"></script><script>fbq(1); heap.load(2)</script>' WHEN 1 THEN '<script src="https://cdn.cookielaw.org/x.js"></script><script src="/_next/static/a.js"></script><style>p {font-display: swap}</style>' ELSE '<div id="root"></div><script>ttq = 1 // TikTok and prefers-reduced-motion</script>' END AS html,
+  CASE WHEN page_id % 13 <> 12 AND page_id % 4 = 0 THEN 'default-src self; frame-ancestors none' END AS csp, CASE WHEN page_id % 13 <> 12 AND page_id % 4 < 2 THEN 'x' END AS csp_report,
+  CASE WHEN page_id % 13 = 12 THEN NULL WHEN page_id % 5 = 0 THEN 'max-age=1' WHEN page_id % 5 = 1 THEN 'max-age=1; includeSubDomains' WHEN page_id % 5 = 2 THEN 'max-age=1; includeSubDomains; preload' END AS hsts,
+  CASE WHEN page_id % 13 = 12 THEN NULL WHEN page_id % 3 = 0 THEN 'NoSniff' WHEN page_id % 3 = 1 THEN 'other' END AS nosniff,
+  CASE WHEN page_id % 13 = 12 THEN NULL WHEN page_id % 6 = 0 THEN 'deny' WHEN page_id % 6 = 1 THEN 'SAMEORIGIN' WHEN page_id % 6 = 2 THEN 'ALLOW' END AS frames,
+  CASE WHEN page_id % 13 = 12 THEN NULL WHEN page_id % 2 = 0 THEN 'no-referrer' WHEN page_id % 7 = 1 THEN '' END AS referrer,
+  CASE WHEN page_id % 13 <> 12 AND page_id % 5 = 3 THEN 'camera=()' END AS permissions, CASE WHEN page_id % 13 <> 12 AND page_id % 11 = 2 THEN 'NOINDEX, nofollow' END AS robots_tag,
+  CASE page_id % 4 WHEN 0 THEN 'User-agent: *' || chr(10) || 'Disallow: /assets/' WHEN 1 THEN 'User-agent: PerplexityBot' || chr(10) || 'User-agent: GPTBot' || chr(10) || 'Disallow: /' WHEN 2 THEN 'User-agent: *' || chr(10) || 'Disallow: /*.min.js$' END AS robots,
+  CASE WHEN page_id % 2 = 0 THEN '# site' WHEN page_id % 5 = 0 THEN '' END AS llms
+FROM rich_pages""",
+    ),
+    "shop_pages": (
+        ("pages",),
+        """
+SELECT page_id, url, page_id % 6 AS k, html || CASE page_id % 6 WHEN 0 THEN '<meta content="Joe''s" property="og:site_name"><meta property="og:type" content="product"><meta property="product:price:amount" content="12.50"><a href="tel:+1 555">c</a><a href="https://www.facebook.com/joe?ref=1">f</a><a href="https://x.com/intent/x">s</a><a href="https://netflix.com/">n</a>'
+ WHEN 1 THEN '<a href="tel:5">t</a><iframe src="https://maps.google.com/x"></iframe>' WHEN 2 THEN '<div class="product-card">a</div><div class="product-card">b</div> GBP 5'
+ WHEN 3 THEN '<details><summary>Why <b>so</b>?</summary>Because  it is</details><details><summary>How?</summary></details>'
+ WHEN 4 THEN '<script type="application/ld+json">{"@type": "Product", "name": "Thing", "offers": {"priceCurrency": "EUR"}, "aggregateRating": {"ratingValue": "4", "ratingCount": "9"}}</script>12 reviews, sold out'
+ ELSE '<script type="application/ld+json">{"@graph": [{"@type": ["Organization", "WebSite"], "name": "Graph", "telephone": "123", "address": {"postalCode": "77"}}]}</script><nav class="breadcrumb">b</nav> in stock' END AS html
 FROM pages""",
     ),
     "audit_history": (
