@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -108,27 +109,39 @@ def linked_redirects(pages: DataFrame, links: DataFrame) -> DataFrame:
     return pages.filter(_moved()).join(internal(links), F.col("url") == F.col("target"), "left_semi")
 
 
-def affected(pages: DataFrame, links: DataFrame) -> DataFrame:
-    """key, count, slash_hops of every check.  Single-table checks share one pass over pages."""
-    rules = single_table()
+def affected(pages: DataFrame, links: DataFrame, only: tuple[str, ...] | None = None) -> DataFrame:
+    """key, count, slash_hops of every check, or of those named.  Single-table checks share one pass over pages."""
+    wanted = lambda key: only is None or key in only
+    rules = {k: r for k, r in single_table().items() if wanted(k)}
+    none = F.lit(0).cast("long").alias("slash_hops")
+    parts = []
+    if rules:
+        parts.append(_in_one_pass(pages, rules))
+    for key, column in DUPLICATES.items():
+        if wanted(key):
+            parts.append(duplicate_groups(pages, column).agg(F.coalesce(F.sum(F.col("copies") - 1), F.lit(0)).alias("count")).select(F.lit(key).alias("key"), "count", none))
+    if wanted("broken_internal_links"):
+        parts.append(broken_links(pages, links).agg(F.count("*").alias("count")).select(F.lit("broken_internal_links").alias("key"), "count", none))
+    if wanted("orphan_pages"):
+        parts.append(orphans(pages, links).agg(F.count("*").alias("count")).select(F.lit("orphan_pages").alias("key"), "count", none))
+    if wanted("internal_redirects"):
+        moved = linked_redirects(pages, links).agg(F.count("*").alias("count"), F.count_if(_slash_hop()).alias("slash_hops"))
+        parts.append(moved.select(F.lit("internal_redirects").alias("key"), "count", "slash_hops"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _in_one_pass(pages: DataFrame, rules: dict[str, tuple[Column, Column, Column]]) -> DataFrame:
     hops = F.count_if((F.col("in_sitemap") == 1) & _moved() & _slash_hop())
     one = pages.agg(*[F.count_if(rule).alias(k) for k, (rule, _, _) in rules.items()], hops.alias("hops"))
     pairs = F.array(*[F.struct(F.lit(k).alias("key"), F.col(k).alias("count"), (F.col("hops") if k == "sitemap_redirects" else F.lit(0).cast("long")).alias("slash_hops")) for k in rules])
-    out = one.select(F.explode(pairs).alias("r")).select("r.*")
-    none = F.lit(0).cast("long").alias("slash_hops")
-    for key, column in DUPLICATES.items():
-        out = out.unionByName(duplicate_groups(pages, column).agg(F.coalesce(F.sum(F.col("copies") - 1), F.lit(0)).alias("count")).select(F.lit(key).alias("key"), "count", none))
-    out = out.unionByName(broken_links(pages, links).agg(F.count("*").alias("count")).select(F.lit("broken_internal_links").alias("key"), "count", none))
-    out = out.unionByName(orphans(pages, links).agg(F.count("*").alias("count")).select(F.lit("orphan_pages").alias("key"), "count", none))
-    moved = linked_redirects(pages, links).agg(F.count("*").alias("count"), F.count_if(_slash_hop()).alias("slash_hops"))
-    return out.unionByName(moved.select(F.lit("internal_redirects").alias("key"), "count", "slash_hops"))
+    return one.select(F.explode(pairs).alias("r")).select("r.*")
 
 
 def samples(pages: DataFrame, links: DataFrame, most: int = SAMPLES) -> DataFrame:
     """key, place, sample: the first few examples of each check, in a stated order."""
-    parts = []
-    for key, (rule, shown, order) in single_table().items():
-        parts.append(pages.filter(rule).select(F.lit(key).alias("key"), shown.alias("sample"), order.cast("long").alias("order")))
+    # One scan for the checks on pages alone: each row gives a sample to every check that it fails.
+    hits = F.array_compact(F.array(*[F.when(rule, F.struct(F.lit(key).alias("key"), shown.alias("sample"), order.cast("long").alias("order"))) for key, (rule, shown, order) in single_table().items()]))
+    parts = [pages.select(F.explode(hits).alias("h")).select("h.*")]
     for key, column in DUPLICATES.items():
         if key == "duplicate_content":
             rows = pages.filter((F.col("indexable") == 1) & F.col(column).isNotNull()).groupBy(column).agg(F.array_join(F.array_sort(F.collect_list("url")), "  =  ").alias("sample"), F.count("*").alias("n"))

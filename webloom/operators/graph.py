@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text, urls
+from ..sources.steps import written
+from .rollups import soft_missing
 
 # Paths of pages that sell and of pages that inform.
 MONEY = r"/(services?|pricing|products?|shop|store|book|booking|quote|get-started|contact|packages?|plans?)(/|$)"
@@ -23,25 +25,32 @@ def degrees(links: DataFrame) -> DataFrame:
 
 
 def depths(links: DataFrame, starts: DataFrame, most: int) -> DataFrame:
-    """url, depth of what is reached from starts (url) in at most ``most`` steps; each level is one join against what is new."""
-    edges = links.filter(F.col("type") == "internal").select("source", "target").distinct()
-    reached = starts.select("url", F.lit(0).alias("depth")).distinct()
-    level = reached
+    """url, depth of what is reached from starts (url) in at most ``most`` steps; each level is one join against what is new, and is written before the next."""
+    edges = written(links.filter(F.col("type") == "internal").select("source", "target").distinct(), "edges")
+    reached = level = written(starts.select("url", F.lit(0).alias("depth")).distinct(), "level")
     for d in range(1, most + 1):
-        level = level.join(edges, F.col("url") == F.col("source")).select(F.col("target").alias("url")).distinct().join(reached.select("url"), "url", "left_anti").withColumn("depth", F.lit(d))
+        ahead = level.join(edges, F.col("url") == F.col("source")).select(F.col("target").alias("url")).distinct()
+        level = written(ahead.join(reached.select("url"), "url", "left_anti").select("url", F.lit(d).alias("depth")), "level")
+        if level.isEmpty():
+            break
         reached = reached.unionByName(level)
     return reached
 
 
 def redirect_chains(hops: DataFrame, most: int = MOST_HOPS) -> DataFrame:
-    """Follows hops (url, status, redirect_to) from every redirecting url.
+    """Follows hops (url, status, redirect_to, and where there are such columns refresh_to and title) from every redirecting url.
 
-    start, hops, final_url, final_status (null if the chain leaves the table),
-    path, statuses, loop.
+    A page that answers 200 and names another in a meta refresh (refresh_to) is a
+    hop as well.  start, hops, final_url, final_status (null if the chain leaves
+    the table), path, statuses, loop, meta_refresh, soft_404 (a final 200 whose
+    title says that the page isn't there).
     """
-    table = hops.select(F.col("url").alias("at"), F.col("status").alias("s"), F.col("redirect_to").alias("next"))
+    optional = lambda name: F.col(name) if name in hops.columns else F.lit(None).cast("string")
+    refresh = F.when(F.col("redirect_to").isNull() & (F.col("status") == 200), optional("refresh_to"))
+    hops = hops.select("url", "status", F.coalesce("redirect_to", refresh).alias("redirect_to"), refresh.isNotNull().alias("refreshes"), F.coalesce(soft_missing(F.col("status"), optional("title")), F.lit(False)).alias("missing"))
+    table = hops.select(F.col("url").alias("at"), F.col("status").alias("s"), F.col("redirect_to").alias("next"), F.col("refreshes").alias("r"), F.col("missing").alias("m"))
     now = hops.filter(F.col("redirect_to").isNotNull()).select(
-        F.col("url").alias("start"), F.array("url").alias("path"), F.array("status").alias("statuses"), F.col("redirect_to").alias("ahead"), F.lit(False).alias("loop")
+        F.col("url").alias("start"), F.array("url").alias("path"), F.array("status").alias("statuses"), F.col("redirect_to").alias("ahead"), F.lit(False).alias("loop"), F.col("refreshes").alias("meta_refresh"), F.col("missing").alias("soft_404")
     )
     for _ in range(most):
         step = now.join(table, (now["ahead"] == table["at"]), "left")
@@ -53,9 +62,11 @@ def redirect_chains(hops: DataFrame, most: int = MOST_HOPS) -> DataFrame:
             F.when(go & ~again, F.concat("statuses", F.array("s"))).otherwise(F.col("statuses")).alias("statuses"),
             F.when(go & ~again, F.col("next")).alias("ahead"),
             (F.col("loop") | (go & again)).alias("loop"),
+            (F.col("meta_refresh") | (go & ~again & F.coalesce("r", F.lit(False)))).alias("meta_refresh"),
+            F.when(go & ~again, F.coalesce("m", F.lit(False))).otherwise(F.col("soft_404")).alias("soft_404"),
         )
     last = F.element_at("path", -1)
-    return now.select("start", (F.size("path") - 1).alias("hops"), last.alias("final_url"), F.element_at("statuses", -1).alias("final_status"), "path", "statuses", "loop")
+    return now.select("start", (F.size("path") - 1).alias("hops"), last.alias("final_url"), F.element_at("statuses", -1).alias("final_status"), "path", "statuses", "loop", "meta_refresh", "soft_404")
 
 
 def chain_issues(chains: DataFrame) -> DataFrame:
@@ -65,6 +76,8 @@ def chain_issues(chains: DataFrame) -> DataFrame:
         (F.col("loop"), "P0", F.lit("Redirect loop")),
         (F.col("hops") >= 2, "P2", F.concat(F.lit("Redirect chain ("), "hops", F.lit(" hops)"))),
         (F.exists(early, lambda s: s.isin(302, 303, 307)), "P2", F.lit("Temporary redirect")),
+        (F.col("meta_refresh"), "P2", F.lit("Meta-refresh redirect")),
+        (F.col("soft_404"), "P1", F.lit("Soft 404")),
         (F.col("final_status") >= 400, "P1", F.concat(F.lit("Chain ends in HTTP "), "final_status")),
     )
     found = F.array_compact(F.array(*[F.when(rule, F.struct(F.lit(p).alias("priority"), t.alias("issue"))) for rule, p, t in rules]))

@@ -44,7 +44,7 @@ def crawl(spark, sf_dir):
 def _check(place: int, key: str) -> None:
     @query(f"chk_{place:02d}_{key}", f"SELECT '{key}' AS check_key, CAST(n AS BIGINT) AS affected FROM ({COUNTS[key]})", BOTH)
     def run(spark, sf_dir):
-        rows = checks.affected(*crawl(spark, sf_dir)).filter(F.col("key") == key)
+        rows = checks.affected(*crawl(spark, sf_dir), only=(key,))
         return rows.select(F.col("key").alias("check_key"), F.col("count").cast("long").alias("affected"))
 
 
@@ -56,7 +56,7 @@ _ALL = " UNION ALL ".join(f"SELECT '{c.key}' AS check_key, '{c.priority}' AS pri
 
 @query("chk_14_slash_hops", " UNION ALL ".join(f"SELECT '{k}' AS check_key, CAST(n AS BIGINT) AS slash_hops FROM ({s})" for k, s in SLASH.items()), BOTH)
 def slash_hops(spark, sf_dir):
-    rows = checks.affected(*crawl(spark, sf_dir)).filter(F.col("key").isin(*SLASH))
+    rows = checks.affected(*crawl(spark, sf_dir), only=tuple(SLASH))
     return rows.select(F.col("key").alias("check_key"), F.col("slash_hops").cast("long").alias("slash_hops"))
 
 
@@ -169,33 +169,42 @@ def bfs(spark, sf_dir):
     return graph.depths(links, pages.filter("page_id = 1").select("url"), 5)
 
 
-#: Redirect hops made from pages: some lead on, some end, some turn back.
-HOPS = "SELECT 'u' || page_id AS url, CASE WHEN page_id % 4 = 3 THEN 200 WHEN page_id % 10 = 6 THEN 404 WHEN page_id % 3 = 0 THEN 302 ELSE 301 END AS status, CASE WHEN page_id % 4 = 3 OR page_id % 10 = 6 THEN NULL WHEN page_id % 8 = 5 THEN 'u' || (page_id - 1) ELSE 'u' || (page_id + 1) END AS redirect_to FROM pages"
-CHAIN = f"""WITH RECURSIVE hops AS ({HOPS}),
-c(start, path, place, status, ahead, looped) AS (
-  SELECT url, [url], url, status, redirect_to, false FROM hops WHERE redirect_to IS NOT NULL
+#: Redirect hops made from pages: some lead on, some end, some turn back, some pages refresh to another or say that they aren't there.
+HOPS = """SELECT 'u' || page_id AS url, CASE WHEN page_id % 4 = 3 THEN 200 WHEN page_id % 10 = 6 THEN 404 WHEN page_id % 3 = 0 THEN 302 ELSE 301 END AS status,
+CASE WHEN page_id % 4 = 3 OR page_id % 10 = 6 THEN NULL WHEN page_id % 8 = 5 THEN 'u' || (page_id - 1) ELSE 'u' || (page_id + 1) END AS redirect_to,
+CASE WHEN page_id % 12 = 7 THEN 'u' || (page_id + 2) END AS refresh_to, CASE WHEN page_id % 8 = 3 THEN 'Page not found' ELSE 'A page' END AS title FROM pages"""
+CHAIN = f"""WITH RECURSIVE hops AS (SELECT url, status, coalesce(redirect_to, CASE WHEN status = 200 THEN refresh_to END) AS ahead, redirect_to IS NULL AND status = 200 AND refresh_to IS NOT NULL AS r, status = 200 AND title = 'Page not found' AS m FROM ({HOPS})),
+c(start, path, statuses, ahead, looped, meta, soft) AS (
+  SELECT url, [url], [status], ahead, false, r, m FROM hops WHERE ahead IS NOT NULL
   UNION ALL
-  SELECT c.start, CASE WHEN list_contains(c.path, c.ahead) THEN c.path ELSE list_append(c.path, c.ahead) END, CASE WHEN list_contains(c.path, c.ahead) THEN c.place ELSE c.ahead END,
-    CASE WHEN list_contains(c.path, c.ahead) THEN c.status ELSE h.status END, CASE WHEN list_contains(c.path, c.ahead) THEN NULL ELSE h.redirect_to END, list_contains(c.path, c.ahead)
-  FROM c LEFT JOIN hops h ON h.url = c.ahead WHERE c.ahead IS NOT NULL AND len(c.path) <= 10)
-SELECT start, hops, last.p AS final_url, CAST(last.s AS INT) AS final_status, looped FROM (SELECT start, CAST(max(len(path)) - 1 AS INT) AS hops, arg_max({{'p': place, 's': status}}, len(path)) AS last, bool_or(looped) AS looped FROM c GROUP BY start)"""
+  SELECT c.start, CASE WHEN list_contains(c.path, c.ahead) THEN c.path ELSE list_append(c.path, c.ahead) END, CASE WHEN list_contains(c.path, c.ahead) THEN c.statuses ELSE list_append(c.statuses, h.status) END,
+    CASE WHEN list_contains(c.path, c.ahead) THEN NULL ELSE h.ahead END, list_contains(c.path, c.ahead), c.meta OR (NOT list_contains(c.path, c.ahead) AND coalesce(h.r, false)), CASE WHEN list_contains(c.path, c.ahead) THEN c.soft ELSE coalesce(h.m, false) END
+  FROM c LEFT JOIN hops h ON h.url = c.ahead WHERE c.ahead IS NOT NULL AND len(c.path) <= 10),
+chains AS (SELECT start, CAST(max(len(path)) - 1 AS INT) AS hops, arg_max(path, len(path)) AS path, arg_max(statuses, len(path)) AS statuses, bool_or(looped) AS looped, bool_or(meta) AS meta, arg_max(soft, len(path)) AS soft FROM c GROUP BY start)
+"""
 
 
 def hop_table(spark, sf_dir):
     return spark.sql(HOPS.replace("FROM pages", "FROM {t}"), t=table(spark, sf_dir, "pages"))
 
 
-@query("redirect_chain")
+@query("redirect_chain", CHAIN + "SELECT start, hops, array_to_string(path, ' ') AS path, array_to_string(list_transform(statuses, lambda s: coalesce(CAST(s AS VARCHAR), '?')), ' ') AS statuses, looped, meta AS meta_refresh, soft AS soft_404 FROM chains")
 def redirect_chain(spark, sf_dir):
-    return graph.redirect_chains(hop_table(spark, sf_dir))
+    rows = graph.redirect_chains(hop_table(spark, sf_dir))
+    return rows.select("start", "hops", F.array_join("path", " ").alias("path"), F.array_join(F.col("statuses").cast("array<string>"), " ", "?").alias("statuses"), F.col("loop").alias("looped"), "meta_refresh", "soft_404")
 
 
-@query("redirect_chain_ends", CHAIN)
+@query("redirect_chain_ends", CHAIN + "SELECT start, hops, path[-1] AS final_url, CAST(statuses[-1] AS INT) AS final_status, looped FROM chains")
 def redirect_chain_ends(spark, sf_dir):
     return graph.redirect_chains(hop_table(spark, sf_dir)).select("start", "hops", "final_url", "final_status", F.col("loop").alias("looped"))
 
 
-@query("redirect_issues")
+ISSUES = """SELECT start, 'P0' AS priority, 'Redirect loop' AS issue FROM chains WHERE looped UNION ALL SELECT start, 'P2', 'Redirect chain (' || hops || ' hops)' FROM chains WHERE hops >= 2
+UNION ALL SELECT start, 'P2', 'Temporary redirect' FROM chains WHERE list_has_any(statuses[1:len(statuses) - 1], [302, 303, 307]) UNION ALL SELECT start, 'P2', 'Meta-refresh redirect' FROM chains WHERE meta
+UNION ALL SELECT start, 'P1', 'Soft 404' FROM chains WHERE soft UNION ALL SELECT start, 'P1', 'Chain ends in HTTP ' || statuses[-1] FROM chains WHERE statuses[-1] >= 400"""
+
+
+@query("redirect_issues", CHAIN + ISSUES)
 def redirect_issues(spark, sf_dir):
     return graph.chain_issues(graph.redirect_chains(hop_table(spark, sf_dir)))
 
