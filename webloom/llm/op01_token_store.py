@@ -6,7 +6,14 @@ Layout of a store folder (all files are Parquet, written by Spark's committer):
 * ``recipes``: one row a document in ascending doc_id order: doc_id, file, place
   and start within the file, n_tokens, the addresses and lengths of its chunks in
   order, and (as ``hash``) the Merkle root over those addresses;
-* ``manifest``: one row a recipe file (documents, tokens, root of its documents).
+* ``manifest``: one row a recipe file: documents, tokens and the Merkle root over
+  its recipes in order (a leaf holds doc_id, place, start, n_tokens, the document's
+  root and its chunk lengths);
+* ``root``: one row: files, documents, tokens and the Merkle root over the files' roots.
+
+Reading checks all of it: chunks against their addresses, recipes against their
+roots, recipe files against the manifest, the manifest against the root.  What
+doesn't fit raises an error.
 
 A rolling hash over a window of ids cuts each document's id stream, so equal
 passages give equal chunks wherever they stand.  A chunk's payload holds its ids
@@ -106,6 +113,26 @@ def merkle_root(leaves: list[bytes]) -> bytes:
     return level[0]
 
 
+class MerkleFold:
+    """merkle_root() of leaves that come one after another, in logarithmic space."""
+
+    def __init__(self):
+        self.nodes: list[tuple[int, bytes]] = []
+
+    def add(self, leaf: bytes) -> None:
+        height = 0
+        while self.nodes and self.nodes[-1][0] == height:
+            leaf = blake2b(self.nodes.pop()[1] + leaf, digest_size=16).digest()
+            height += 1
+        self.nodes.append((height, leaf))
+
+    def root(self) -> bytes:
+        out = self.nodes[-1][1] if self.nodes else b""
+        for _, node in reversed(self.nodes[:-1]):
+            out = blake2b(node + out, digest_size=16).digest()
+        return out
+
+
 ROWS = "part string, hash binary, n int, payload binary, doc_id long, row long, addresses binary, lengths array<int>"
 _ARROW = pa.schema(
     [("part", pa.string()), ("hash", pa.binary()), ("n", pa.int32()), ("payload", pa.binary()), ("doc_id", pa.int64()), ("row", pa.int64()), ("addresses", pa.binary()), ("lengths", pa.list_(pa.int32()))]
@@ -155,15 +182,14 @@ def _cut(vocabulary: str, end_id: int):
 
 
 def _keep_once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All rows of an address are in this partition: recipes stay, of equal chunks the first."""
-    seen: set[bytes] = set()
+    """All rows of an address stand side by side in this partition: recipes stay, of equal chunks the first."""
+    last = None
     for batch in batches:
         keep = []
         for part, h in zip(batch.column("part").to_pylist(), batch.column("hash").to_pylist()):
-            new = part == "recipe" or h not in seen
+            keep.append(part == "recipe" or h != last)
             if part == "chunk":
-                seen.add(h)
-            keep.append(new)
+                last = h
         yield batch.filter(pa.array(keep, pa.bool_()))
 
 
@@ -182,15 +208,63 @@ def write_store(docs: DataFrame, folder: str, vocabulary: str = VOCABULARY, end_
     """Tokenize docs (doc_id, text) and write the store described above."""
     spark = docs.sparkSession
     rows = id_text(docs).withColumn("row", F.monotonically_increasing_id()).mapInArrow(_cut(vocabulary, end_id), ROWS)
-    rows.repartition(map_slices(spark), "hash").mapInArrow(_keep_once, ROWS).write.parquet(f"{folder}/parts")
+    # Chunks go by their address; recipes by their row, as all copies of a text have one root.
+    by = F.when(F.col("part") == "chunk", F.col("hash")).otherwise(F.col("row").cast("string").cast("binary"))
+    rows.repartition(map_slices(spark), by).sortWithinPartitions("part", "hash").mapInArrow(_keep_once, ROWS).write.parquet(f"{folder}/parts")
     order = (F.col("doc_id").asc_nulls_first(), F.col("hash"), F.col("row"))
     recipes = _parts(spark, folder, "recipe").select("doc_id", "row", "hash", F.col("n").cast("long").alias("n_tokens"), "addresses", "lengths")
     recipes = recipes.repartitionByRange(map_slices(spark), *order).sortWithinPartitions(*order)
     placed = f"{recipes.schema.simpleString()[7:-1]},file:int,place:long,start:long".replace(":", " ")
     recipes.mapInArrow(_place, placed).write.option("compression", "zstd").parquet(f"{folder}/recipes")
-    roots = F.bit_xor(F.xxhash64("hash", "doc_id", "place")).alias("root")
-    (spark.read.parquet(f"{folder}/recipes").groupBy("file").agg(F.count("*").alias("documents"), F.sum("n_tokens").alias("tokens"), roots)
-        .write.parquet(f"{folder}/manifest"))
+    file_manifest(spark.read.parquet(f"{folder}/recipes")).write.parquet(f"{folder}/manifest")
+    store_root(spark, spark.read.parquet(f"{folder}/manifest")).write.parquet(f"{folder}/root")
+
+
+def _fold_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (file, n_tokens, leaf) in order, whole files in a partition -> file, documents, tokens, root."""
+    names, now, fold, documents, tokens = ["file", "documents", "tokens", "root"], None, MerkleFold(), 0, 0
+
+    def row() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([documents], pa.int64()), pa.array([tokens], pa.int64()), pa.array([fold.root()], pa.binary())], names=names)
+
+    for batch in batches:
+        for file, n, leaf in zip(*(batch.column(c).to_pylist() for c in ("file", "n_tokens", "leaf"))):
+            if file != now:
+                if now is not None:
+                    yield row()
+                now, fold, documents, tokens = file, MerkleFold(), 0, 0
+            fold.add(leaf)
+            documents, tokens = documents + 1, tokens + n
+    if now is not None:
+        yield row()
+
+
+def file_manifest(recipes: DataFrame) -> DataFrame:
+    """file, documents, tokens, root of the recipe files; only 32-byte leaves are dealt anew."""
+    said = [F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in ("doc_id", "place", "start", "n_tokens")]
+    leaf = F.unhex(F.sha2(F.concat_ws("|", *said, F.hex("hash"), F.array_join("lengths", ",")), 256))
+    rows = recipes.select("file", "place", "n_tokens", leaf.alias("leaf")).repartition(map_slices(recipes.sparkSession), "file").sortWithinPartitions("file", "place")
+    return rows.select("file", "n_tokens", "leaf").mapInArrow(_fold_files, "file int, documents long, tokens long, root binary")
+
+
+def store_root(spark: SparkSession, manifest: DataFrame) -> DataFrame:
+    """files, documents, tokens and the root over the files' roots (one row a file reaches the driver)."""
+    files, fold = manifest.orderBy("file").collect(), MerkleFold()
+    for r in files:
+        fold.add(b"%d|%d|%d|" % (r["file"], r["documents"], r["tokens"]) + bytes(r["root"]))
+    one = (len(files), sum(r["documents"] for r in files), sum(r["tokens"] for r in files), fold.root())
+    return spark.createDataFrame([one], "files long, documents long, tokens long, root binary")
+
+
+def verify_manifest(spark: SparkSession, folder: str) -> None:
+    """Raises ValueError if a recipe file, a recipe's number, order, length or root, or the manifest isn't what was written."""
+    manifest = spark.read.parquet(f"{folder}/manifest")
+    stated, kept = (df.first() for df in (spark.read.parquet(f"{folder}/root"), store_root(spark, manifest)))
+    if stated != kept:
+        raise ValueError("the manifest doesn't have the store's root")
+    found = file_manifest(spark.read.parquet(f"{folder}/recipes"))
+    if not manifest.exceptAll(found).isEmpty() or found.count() != stated["files"]:
+        raise ValueError("a recipe file doesn't have its root in the manifest")
 
 
 def _parts(spark: SparkSession, folder: str, part: str) -> DataFrame:
@@ -270,7 +344,9 @@ def read_digests(spark: SparkSession, folder: str) -> DataFrame:
 
     Each stored chunk is read once, checked against its address and reduced to
     its CRC; documents combine the CRCs of their recipes, so payloads aren't shuffled.
+    A row whose recipe or chunks don't fit fails the query.
     """
+    verify_manifest(spark, folder)
     recipes = spark.read.parquet(f"{folder}/recipes")
     manifest = spark.read.parquet(f"{folder}/manifest")  # a row for each recipe file
     before = manifest.select("file", (F.sum("tokens").over(Window.orderBy("file")) - F.col("tokens")).alias("base"))
@@ -280,8 +356,10 @@ def read_digests(spark: SparkSession, folder: str) -> DataFrame:
     joined = parts.join(crcs, "hash").select("file", "place", _moved("crc", "after").alias("moved"))
     crc = joined.groupBy("file", "place").agg(F.bit_xor("moved").alias("ids_crc32"), F.count("*").alias("found"))
     docs = recipes.select("file", "place", "doc_id", "start", "n_tokens", F.size("lengths").alias("n_chunks"), _root_matches("hash", "addresses").alias("root_ok"))
+    whole = F.col("root_ok") & F.coalesce(F.col("found") == F.col("n_chunks"), F.lit(False))
+    lost = F.raise_error(F.lit("a document's chunks don't have its root or are missing")).cast("boolean")
     return (docs.join(crc, ["file", "place"], "left").join(F.broadcast(before), "file")
-        .select("doc_id", (F.col("start") + F.col("base")).alias("start"), "n_tokens", "ids_crc32", "n_chunks", (F.col("root_ok") & (F.col("found") == F.col("n_chunks"))).alias("verified")))
+        .select("doc_id", (F.col("start") + F.col("base")).alias("start"), "n_tokens", "ids_crc32", "n_chunks", F.when(whole, F.lit(True)).otherwise(lost).alias("verified")))
 
 
 def read_ids(spark: SparkSession, folder: str) -> DataFrame:
