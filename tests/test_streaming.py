@@ -1,18 +1,29 @@
 """Findings that arrive as files are merged into versions of the state."""
 
-from webloom.streaming.findings import merge_stream
+from webloom.streaming.findings import merge_stream, stored_state
 
 STATE = "id string, module string, title string, priority string, status string, first_seen string, last_seen string, resolved_at string, note string"
+SCHEMA = "id string, module string, title string, priority string"
 
 
-def test_two_batches(spark, tmp_path):
-    schema = "id string, module string, title string, priority string"
-    arrive = str(tmp_path / "in")
-    for k, rows in enumerate(([("a", "seo", "A", "P1"), ("b", "seo", "B", "P2")], [("a", "seo", "A", "P0"), ("a", "seo", "A again", "P3")])):
-        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(arrive)
-        stream = spark.readStream.schema(schema).parquet(arrive)
-        query = merge_stream(stream, str(tmp_path / "state"), str(tmp_path / "checkpoint"), lambda n: f"t{n}", STATE)
+def run(spark, tmp_path, batches, scanned=None):
+    arrive, state = str(tmp_path / "in"), str(tmp_path / "state")
+    for rows in batches:
+        spark.createDataFrame(rows, SCHEMA).coalesce(1).write.mode("append").parquet(arrive)
+        query = merge_stream(spark.readStream.schema(SCHEMA).parquet(arrive), state, str(tmp_path / "checkpoint"), lambda n: f"t{n}", STATE, scanned)
         query.awaitTermination()
-        assert query.exception() is None and k >= 0
-    got = {r["id"]: (r["status"], r["priority"], r["first_seen"], r["last_seen"]) for r in spark.read.parquet(str(tmp_path / "state" / "v=1")).collect()}
+        assert query.exception() is None
+    return {r["id"]: (r["status"], r["priority"], r["first_seen"], r["last_seen"]) for r in stored_state(spark, state, STATE).collect()}
+
+
+def test_two_batches(spark, tmp_path):
+    got = run(spark, tmp_path, ([("a", "seo", "A", "P1"), ("b", "seo", "B", "P2")], [("a", "seo", "A", "P0"), ("a", "seo", "A again", "P3")]))
     assert got == {"a": ("open", "P0", "t0", "t1"), "b": ("resolved", "P2", "t0", "t0")}
+
+
+def test_a_scanned_module_without_findings_resolves_its_own(spark, tmp_path):
+    batches = ([("a", "seo", "A", "P1"), ("b", "links", "B", "P2"), ("c", "pwa", "C", "P3")], [("b", "links", "B", "P2")])
+    got = run(spark, tmp_path, batches, lambda n: ("seo", "links"))
+    assert got == {"a": ("resolved", "P1", "t0", "t0"), "b": ("open", "P2", "t0", "t1"), "c": ("open", "P3", "t0", "t0")}
+    changed = {r["id"] for r in spark.read.parquet(str(tmp_path / "state" / "v=1")).collect()}
+    assert changed == {"a", "b"}  # what didn't change isn't written again

