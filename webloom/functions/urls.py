@@ -110,6 +110,23 @@ def link_class(href: Column, host: Column) -> Column:
     return F.when((h == "") | (h == host), F.lit("internal")).otherwise(F.lit("external"))
 
 
+def link_class_by_prefix(href: Column, host: Column) -> Column:
+    """The page report's rule: none for empty links, fragments and scripts; what begins with a slash is internal, which makes "//other" both."""
+    h = F.coalesce(href, F.lit(""))
+    skipped = (h == "") | h.startswith("#") | h.startswith("javascript:")
+    absolute, there = h.rlike(r"^(?:https?:)?//"), netloc(h)
+    external = absolute & (there != "") & (there != host)
+    internal = h.startswith("/") | (there == "") | (there == host) | ~absolute
+    return F.when(skipped, "none").when(internal & external, "both").when(external, "external").when(internal, "internal").otherwise("none")
+
+
+def link_class_by_netloc(href: Column, host: Column) -> Column:
+    """The link module's rule: hosts are compared without a final slash, and a link without one is internal."""
+    bare = lambda x: F.rtrim(F.lower(x), F.lit("/"))
+    there = netloc(href)
+    return F.when((there == "") | (bare(there) == bare(host)), "internal").otherwise("external")
+
+
 @F.pandas_udf(T.StringType())
 def resolved(base: pd.Series, href: pd.Series) -> pd.Series:
     """Where a link leads from a page, without its fragment; null where it can't be told."""
