@@ -2,14 +2,18 @@
 
 Texts become sets of five-word shingles (lower-cased words split at white space; a
 shorter text is one shingle).  Equal word sequences form one text with a number
-of copies.  Every text gets TREES labels of DEPTH min-hashes each; equal labels
-up to a prefix are a subtree of that tree's sorted trie.  The matched prefix is
-shortened from DEPTH until a pair at the threshold meets in some tree with the
-target recall, and all texts under such a prefix are compared by signature, a
-large subtree in blocks.  What may be similar is merged into candidate groups;
-within a group, block by block, the exact Jaccard similarity of every pair is
-computed from the whole shingle sets, and links are counted where they are found,
-so no list of pairs is ever made.  Classes are the components of the exact links.
+of copies.  Every text gets TREES labels of DEPTH min-hashes each; the texts sorted
+by a tree's labels are a trie, and equal labels up to a prefix its subtree.  Texts
+meet first under whole labels; the prefix that has to match is then shortened until
+a pair meets in some tree with the target recall.  How far depends on the text: the
+least similarity that its number of shingles allows at or above the threshold (6
+shingles: 5/6; 3 shingles: 1) says which prefix is enough, and a pair meets where
+it shares the shorter of the prefixes that its two texts need.  An unreachable recall is an error.
+What meets is compared by signature, a large subtree in blocks; texts of one whole
+label and signature are compared once.  What may be similar is merged into candidate groups; within a group, block by block, the exact Jaccard
+similarity of every pair is computed from the whole shingle sets, and links are
+counted where they are found, so no list of pairs is ever made.  Classes are the
+components of the exact links.
 
 Edge cases: null and empty texts are equal word sequences and one class; repeated
 rows and equal texts are copies, each linked to all others; ties go to the least
@@ -36,6 +40,8 @@ TREES, DEPTH, RECALL = 24, 7, 0.9999
 SIGNATURE_SLACK = 5.0
 #: Rows of a block: a subtree or group of more is compared block against block.
 BLOCK = 512
+#: From so many shingles on a text's least similarity is taken to be the threshold.
+FEW_SHINGLES = 32
 #: Texts hashed together, in characters.
 GROUP_CHARS = 2_000_000
 #: Texts under a shared prefix whose ids (16 bytes) may be broadcast to fetch their words; beyond it they are joined.
@@ -44,12 +50,34 @@ BROADCAST_TEXTS = 500_000
 COLUMNS = 16_384
 
 
+def recall_at(prefix: int, similarity: float = SIMILARITY, trees: int = TREES) -> float:
+    """The chance that a pair of this similarity shares a prefix of this length in some tree."""
+    return 1 - (1 - similarity**prefix) ** trees
+
+
 def prefix_length(threshold: float = SIMILARITY, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL) -> int:
-    """The longest prefix under which a pair at the threshold meets in some tree with this recall."""
+    """The longest prefix under which a pair at the threshold meets in some tree with this recall, shortened one by one."""
     for p in range(depth, 0, -1):
-        if 1 - (1 - threshold**p) ** trees >= recall:
+        if recall_at(p, threshold, trees) >= recall:
             return p
-    return 1
+    raise ValueError(f"{trees} trees can't reach a recall of {recall} at a similarity of {threshold}")
+
+
+def least_similarity(shingles: int, threshold: float = SIMILARITY) -> float:
+    """The least similarity, from the threshold on, that a set of so many shingles can have with any other set."""
+    if shingles >= FEW_SHINGLES:
+        return threshold
+    best = 1.0
+    for common in range(1, shingles + 1):
+        for union in range(shingles, 2 * FEW_SHINGLES):
+            if threshold - 1e-9 <= common / union < best:
+                best = common / union
+    return best
+
+
+def prefix_table(threshold: float = SIMILARITY) -> np.ndarray:
+    """The prefix that a text of 0, 1, ... FEW_SHINGLES (or more) shingles needs."""
+    return np.array([prefix_length(least_similarity(max(1, n), threshold)) for n in range(FEW_SHINGLES + 1)], np.int8)
 
 
 def least_agreement(threshold: float = SIMILARITY, values: int = TREES * DEPTH) -> float:
@@ -118,8 +146,15 @@ def text_key(words: list[str]) -> bytes:
     return blake2b(" ".join(words).encode("utf-8", "replace"), digest_size=16).digest()
 
 
+def shingle_count(words: list[str], most: int = FEW_SHINGLES) -> int:
+    """Distinct shingles of a text, counted up to ``most`` (which a text of many words is taken to have)."""
+    if len(words) >= 4 * most:
+        return most
+    return min(most, len({tuple(words[k : k + WORDS]) for k in range(max(1, len(words) - WORDS + 1))}))
+
+
 def _sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """doc_id, text -> doc_id, key, signature; a text's copies in one task carry it once."""
+    """doc_id, text -> doc_id, key, shingles (up to FEW_SHINGLES), signature; a text's copies in one task carry it once."""
     seen: set[bytes] = set()
     for batch in batches:
         ids, at = batch["doc_id"].tolist(), 0
@@ -137,7 +172,7 @@ def _sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if new:
                 for k, row in zip(new, signatures([words[k] for k in new])):
                     found[k] = row.tobytes()
-            yield pd.DataFrame({"doc_id": pd.Series(ids[at : at + len(group)], dtype="Int64"), "key": keys, "signature": found})
+            yield pd.DataFrame({"doc_id": pd.Series(ids[at : at + len(group)], dtype="Int64"), "key": keys, "shingles": [shingle_count(w) for w in words], "signature": found})
             at += len(group)
 
 
@@ -176,49 +211,87 @@ def _stars(keys: list[bytes], pairs_a: np.ndarray, pairs_b: np.ndarray) -> list[
     return [(keys[k], keys[find(k)]) for k in range(len(keys)) if find(k) != k]
 
 
-def _agreeing(left: np.ndarray, right: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of two signature matrices that agree in a share ``least``."""
+def common_prefix(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """How many leading values equal-shaped label arrays share along their last axis."""
+    return np.logical_and.accumulate(left == right, axis=-1).sum(axis=-1)
+
+
+def _labels_of(signatures: np.ndarray, trees: np.ndarray) -> np.ndarray:
+    """Each row's whole label in its tree."""
+    return signatures.reshape(len(signatures), TREES, DEPTH)[np.arange(len(signatures)), trees]
+
+
+def _meeting(left: np.ndarray, right: np.ndarray, labels_l: np.ndarray, labels_r: np.ndarray, needs_l: np.ndarray, needs_r: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a subtree's rows that share the prefix that one of the two needs and whose signatures agree in a share ``least``."""
     found_a, found_b = [], []
     step = max(1, 4_000_000 // max(1, right.size))
     for i in range(0, len(left), step):
-        a, b = np.nonzero((left[i : i + step, None, :] == right[None, :, :]).mean(axis=2) >= least)
-        found_a.append(a + i)
-        found_b.append(b)
+        part = slice(i, i + step)
+        met = common_prefix(labels_l[part, None, :], labels_r[None, :, :]) >= np.minimum(needs_l[part, None], needs_r[None, :])
+        a, b = np.nonzero(met)
+        agree = (left[a + i] == right[b]).mean(axis=1) >= least if len(a) < met.size // 4 else (left[part, None, :] == right[None, :, :]).mean(axis=2)[a, b] >= least
+        found_a.append(a[agree] + i)
+        found_b.append(b[agree])
     none = np.zeros(0, np.int64)
     return np.concatenate(found_a or [none]), np.concatenate(found_b or [none])
 
 
+def _subtree(keys: list[bytes], signatures: np.ndarray, labels: np.ndarray, needs: np.ndarray, least: float) -> list[tuple[bytes, bytes]]:
+    """Star edges of a subtree's alike texts.
+
+    The rows in label order are the trie.  Texts of one whole label come first:
+    those whose signature is that of the first of them are joined to it, and it
+    alone goes on for them under shorter prefixes, where they would meet the same.
+    """
+    order = np.lexsort(labels.T[::-1])
+    sorted_labels = labels[order]
+    first = np.concatenate([[True], (sorted_labels[1:] != sorted_labels[:-1]).any(axis=1)])
+    leaders = np.flatnonzero(first)[np.cumsum(first) - 1]
+    joined = ~first & (needs[order] == needs[order[leaders]]) & (signatures[order] == signatures[order[leaders]]).all(axis=1)
+    edges = [(keys[order[i]], keys[order[leaders[i]]]) for i in np.flatnonzero(joined).tolist()]
+    left = order[~joined]
+    a, b = _meeting(signatures[left], signatures[left], labels[left], labels[left], needs[left], needs[left], least)
+    return edges + _stars([keys[i] for i in left.tolist()], a, b)
+
+
 def _matrix(signatures: pd.Series) -> np.ndarray:
     return np.frombuffer(b"".join(signatures), np.uint32).reshape(len(signatures), -1)
 
 
 def _alike(least: float):
-    """The rows of one block pair -> star edges of those whose signatures agree enough."""
+    """The rows of one block pair of a large subtree -> star edges of those that meet and agree enough."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         first = pdf["block"] == pdf["block_a"]
         same = bool((pdf["block_a"] == pdf["block_b"]).iat[0])
         pdf = pd.concat([pdf[first], pdf[~first]])
-        n, m = int(first.sum()), _matrix(pdf["signature"])
-        a, b = _agreeing(m[:n], m if same else m[n:], least)
-        return pd.DataFrame(_stars(pdf["key"].tolist(), a, b if same else b + n), columns=["a", "b"])
+        n, m, needs = int(first.sum()), _matrix(pdf["signature"]), pdf["needs"].to_numpy()
+        labels, keys = _labels_of(m, pdf["tree"].to_numpy()), pdf["key"].tolist()
+        if same:
+            out = _subtree(keys, m, labels, needs, least)
+        else:
+            a, b = _meeting(m[:n], m[n:], labels[:n], labels[n:], needs[:n], needs[n:], least)
+            out = _stars(keys, a, b + n)
+        return pd.DataFrame(out, columns=["a", "b"])
 
     return run
 
 
 def _alike_in_order(least: float):
-    """Rows (label, key, signature) in label order, whole labels in a partition -> star edges; for labels of at most a block."""
+    """Rows (label, tree, key, needs, signature) in label order, whole subtrees in a partition -> star edges; for subtrees of at most a block."""
 
     def edges(pdf: pd.DataFrame) -> pd.DataFrame:
-        labels, keys, m = pdf["label"].to_numpy(), pdf["key"].tolist(), _matrix(pdf["signature"])
+        labels, keys, m, needs = pdf["label"].to_numpy(), pdf["key"].tolist(), _matrix(pdf["signature"]), pdf["needs"].to_numpy()
+        whole = _labels_of(m, pdf["tree"].to_numpy())
         starts = np.flatnonzero(np.concatenate([[True], labels[1:] != labels[:-1]]))
         sizes = np.diff(np.append(starts, len(labels)))
         two = starts[sizes == 2]
-        hit = two[(m[two] == m[two + 1]).mean(axis=1) >= least].tolist()
+        met = common_prefix(whole[two], whole[two + 1]) >= np.minimum(needs[two], needs[two + 1])
+        hit = two[met & ((m[two] == m[two + 1]).mean(axis=1) >= least)].tolist()
         out = [(keys[i + 1], keys[i]) for i in hit]
         for i, n in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist()):
-            part = m[i : i + n]
-            out += _stars(keys[i : i + n], *_agreeing(part, part, least))
+            part = slice(i, i + n)
+            out += _subtree(keys[part], m[part], whole[part], needs[part], least)
         return pd.DataFrame(out, columns=["a", "b"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -293,20 +366,23 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame
     prefix, least = prefix_length(threshold), least_agreement(threshold)
     rows = id_text(docs)
 
-    signed = stored(rows.select("doc_id", "text").mapInPandas(_sign, "doc_id long, key binary, signature binary"), "signatures")
-    texts = signed.groupBy("key").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"), F.max("signature").alias("signature"))
+    signed = stored(rows.select("doc_id", "text").mapInPandas(_sign, "doc_id long, key binary, shingles int, signature binary"), "signatures")
+    texts = signed.groupBy("key").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"), F.max("shingles").alias("shingles"), F.max("signature").alias("signature"))
     texts = stored(texts, "texts")
 
     def labelled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             labels = [_labels(s, prefix) for s in batch["signature"]]
-            yield pd.DataFrame({"key": batch["key"].repeat(TREES), "label": np.concatenate(labels) if labels else np.zeros(0, np.int64)})
+            trees = np.tile(np.arange(TREES, dtype=np.int8), len(batch))
+            yield pd.DataFrame({"key": batch["key"].repeat(TREES), "tree": trees, "label": np.concatenate(labels) if labels else np.zeros(0, np.int64)})
 
-    leaves = texts.select("key", "signature").mapInPandas(labelled, "key binary, label long")  # a label's hash holds its tree
+    # Subtrees at the shortest prefix that any text needs; a label's hash holds its tree.
+    leaves = texts.select("key", "signature").mapInPandas(labelled, "key binary, tree byte, label long")
     shared = leaves.groupBy("label").agg(F.count("*").alias("n")).filter("n > 1")
     met = stored(leaves.join(shared, "label"), "met")
-    candidates = met.join(texts.select("key", "signature"), "key")
-    few = candidates.filter(F.col("n") <= BLOCK).select("label", "key", "signature").repartition(map_slices(spark), "label").sortWithinPartitions("label")
+    needs = F.element_at(F.array(*(F.lit(int(p)) for p in prefix_table(threshold))), F.col("shingles") + 1)
+    candidates = met.join(texts.select("key", needs.alias("needs"), "signature"), "key")
+    few = candidates.filter(F.col("n") <= BLOCK).select("label", "tree", "key", "needs", "signature").repartition(map_slices(spark), "label").sortWithinPartitions("label")
     many = _in_blocks(candidates.filter(F.col("n") > BLOCK), "label", "n", "key").groupBy("label", "block_a", "block_b")
     alike = few.mapInPandas(_alike_in_order(least), "a binary, b binary").union(many.applyInPandas(_alike(least), "a binary, b binary"))
     groups = stored(components(stored(alike.distinct(), "alike")), "groups")
@@ -353,11 +429,12 @@ def keep_one(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
         for batch in batches:
             yield pd.DataFrame({"row": batch["row"], "doc_id": batch["doc_id"], "key": [text_key(words_of(t)) for t in batch["text"]]})
 
-    numbered = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
-    rows = numbered.select(F.col("_row").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    # The input's columns stand in a struct of their own, whatever their names.
+    numbered = stored(docs.select(F.struct(*docs.columns).alias("of"), F.monotonically_increasing_id().alias("row")), "numbered")
+    rows = numbered.select("row", F.col("of.doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("of.text").cast("string"), F.lit("")).alias("text"))
     keys = rows.mapInPandas(keyed, "row long, doc_id long, key binary").join(marks.select("key", "class_id", "root").distinct(), "key")
-    least = keys.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("best")).select(F.col("best.row").alias("_row"))
-    return numbered.join(least, "_row", "left_semi").select(*docs.columns)
+    least = keys.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("best")).select(F.col("best.row").alias("row"))
+    return numbered.join(least, "row", "left_semi").select("of.*")
 
 
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

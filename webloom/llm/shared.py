@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a local one only where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir.  Only a local master, whose executors are the driver, may do without."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if root:
         return root.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     root = "file://" + tempfile.mkdtemp(prefix="webloom-")
     spark.conf.set("spark.checkpoint.dir", root)
     return root
