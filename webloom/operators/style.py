@@ -24,10 +24,8 @@ def channels(colour: Column) -> tuple[Column, Column, Column]:
     return part(1), part(3), part(5)
 
 
-def saturation(colour: Column) -> tuple[Column, Column]:
-    """Saturation in the HLS model, and how near the lightness is to the middle (1 at 0.45)."""
-    rgb = channels(colour)
-    high, low = F.greatest(*rgb), F.least(*rgb)
+def saturation(high: Column, low: Column) -> tuple[Column, Column]:
+    """Of the highest and lowest channel: saturation in the HLS model, and how near the lightness is to the middle (1 at 0.45)."""
     light = (high + low) / 2
     spread = F.when(light <= 0.5, F.try_divide(high - low, high + low)).otherwise(F.try_divide(high - low, 2 - high - low))
     return F.when(high == low, 0.0).otherwise(spread), 1 - F.abs(light - 0.45)
@@ -41,8 +39,9 @@ def colours(css: DataFrame, key: str, text: str = "css") -> DataFrame:
 
 def palette(css: DataFrame, key: str, text: str = "css") -> DataFrame:
     """key, accent, palette: the commonest colours (ties by first place), and the commonest of them that is saturated and of middle lightness."""
-    counted = colours(css, key, text)
-    saturated, middle = saturation(F.col("colour"))
+    counted = colours(css, key, text).withColumns(dict(zip("rgb", channels(F.col("colour")))))
+    counted = counted.withColumns({"high": F.greatest("r", "g", "b"), "low": F.least("r", "g", "b")})
+    saturated, middle = saturation(F.col("high"), F.col("low"))
     ranked = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("minus"), "first", "colour", ((saturated > 0.25) & (middle > 0.35)).alias("usable"))))
     rows = counted.groupBy(key).agg(ranked.alias("r"))
     accent = F.get(F.filter(F.slice("r", 1, RANKED), lambda x: x["usable"]), F.lit(0))["colour"]

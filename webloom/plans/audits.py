@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..catalog import query
 from ..functions import urls
 from ..operators import checks, compare, crawler, crawlpage, detection, modules, report, style
-from ..sources import documents, sinks
+from ..sources import documents, sinks, sitemaps
 from ..sources.driver_views import table, view
 from .reports import ALL, BODY, HEAD, PARTS, SCORES
 from .signals import served
@@ -242,6 +242,15 @@ def site_lists(spark, sf_dir):
     return table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k"), F.explode(documents.sites(text)).alias("s")).select("k", "s.url", "s.name")
 
 
+SITEMAPS = """SELECT 'root' AS sitemap, '<sitemapindex><sitemap><loc>a</loc></sitemap><sitemap><loc>b</loc></sitemap></sitemapindex>' AS xml UNION ALL SELECT 'a', '<sitemapindex><sitemap><loc>root</loc></sitemap><sitemap><loc>c</loc></sitemap></sitemapindex>'
+UNION ALL SELECT 'b', '<urlset><url><loc>https://x.example/1</loc></url><url><loc>https://x.example/2?a=1&amp;b=2</loc></url></urlset>' UNION ALL SELECT 'c', '<urlset><url><loc>https://x.example/1</loc></url><url><loc>https://x.example/3</loc></url></urlset>' UNION ALL SELECT 'd', '<urlset><url><loc>https://x.example/4</loc></url></urlset>'"""
+
+
+@query("sitemap_expanded", "SELECT 'https://x.example/1' AS url, 'b' AS sitemap UNION ALL SELECT 'https://x.example/2?a=1&b=2', 'b' UNION ALL SELECT 'https://x.example/3', 'c'")
+def sitemap_expanded(spark, sf_dir):
+    return sitemaps.expanded(spark.sql(SITEMAPS), spark.createDataFrame([("root",)], "sitemap string"))
+
+
 @query("sitemap_membership", "SELECT p.page_id, CAST(CASE WHEN p.url IN (SELECT url FROM pages WHERE page_id % 3 = 0) THEN 1 ELSE 0 END AS INT) AS in_sitemap FROM pages p")
 def sitemap_membership(spark, sf_dir):
     pages = table(spark, sf_dir, "pages")

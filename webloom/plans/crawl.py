@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..catalog import query
-from ..functions import urls
+from ..functions import text, urls
 from ..operators import checks, graph, state
 from ..sources.driver_views import table, view
 
@@ -221,7 +221,22 @@ def link_gaps(spark, sf_dir):
     return graph.link_gaps(*crawl(spark, sf_dir), view(spark, sf_dir, "search_rows"), MONEY, CONTENT).select("url", "impressions")
 
 
-@query("link_gap_targets")
+_LINK_TERMS = lambda x: f"list_distinct(list_filter(regexp_extract_all(lower({x}), '[a-z0-9]+'), lambda t: t NOT IN ({', '.join(repr(w) for w in text.LINK_STOP_WORDS)})))"
+_HTML = "status = 200 AND content_type = 'text/html'"
+_MONEY_URL = r"regexp_matches(url, '^[a-z]+://[^/]*/(en)(/|\?|#|$)')"
+
+
+@query(
+    "link_gap_targets",
+    rf"""WITH html AS (SELECT url, {_MONEY_URL} AS sells, regexp_matches(url, '^[a-z]+://[^/]*/(es|fr|de)(/|\?|#|$)') AS informs FROM crawl_pages WHERE {_HTML}),
+gaps AS (SELECT DISTINCT url FROM html g WHERE informs AND NOT sells AND NOT EXISTS (SELECT 1 FROM crawl_links l JOIN html m ON m.url = l.target WHERE l.source = g.url AND l.type = 'internal' AND m.sells)),
+ranked AS (SELECT page AS url, query, impressions, row_number() OVER (PARTITION BY page ORDER BY impressions DESC, ordinal) AS place FROM search_rows WHERE page <> '' AND query <> '' AND page IN (SELECT url FROM gaps)),
+top AS (SELECT url, CAST(sum(impressions) AS BIGINT) AS impressions, string_agg(query, '; ' ORDER BY place) FILTER (WHERE place <= 3) AS queries FROM ranked GROUP BY url),
+terms AS (SELECT DISTINCT url, unnest({_LINK_TERMS('query')}) AS term FROM ranked WHERE place <= 5), offers AS (SELECT url AS target, unnest({_LINK_TERMS("regexp_extract(url, '^[a-zA-Z]+://[^/?#]*([^?#]*)', 1)")}) AS term FROM html WHERE sells),
+best AS (SELECT url, target FROM (SELECT url, target, count(*) AS n FROM terms JOIN offers USING (term) GROUP BY url, target) QUALIFY row_number() OVER (PARTITION BY url ORDER BY n DESC, target) = 1)
+SELECT g.url, CAST(coalesce(t.impressions, 0) AS BIGINT) AS impressions, coalesce(t.queries, '') AS top_queries, CASE WHEN t.impressions IS NULL THEN (SELECT min(url) FROM html WHERE sells) ELSE b.target END AS suggested_target FROM gaps g LEFT JOIN top t ON t.url = g.url LEFT JOIN best b ON b.url = g.url""",
+    (*BOTH, "search_rows"),
+)
 def link_gap_targets(spark, sf_dir):
     return graph.link_gaps(*crawl(spark, sf_dir), view(spark, sf_dir, "search_rows"), MONEY, CONTENT)
 

@@ -159,9 +159,11 @@ _total(
 )
 
 
-@query("jsonld_nodes")
+@query("jsonld_nodes", "SELECT page_id, CAST(CASE WHEN page_id % 5 = 1 THEN 1 ELSE 0 END AS INT) AS blocks, CAST(0 AS INT) AS invalid, false AS has_context, CASE WHEN page_id % 5 = 1 THEN 'VideoObject' ELSE '' END AS types, CASE WHEN page_id % 5 = 1 THEN 'true' ELSE '' END AS known, '' AS missing, CAST(0 AS INT) AS products, false AS self_review FROM pages")
 def jsonld_nodes(spark, sf_dir):
-    return jsonld.nodes(view(spark, sf_dir, "rich_pages"))
+    joined = lambda f: F.array_join(F.transform("nodes", f), ",")
+    parts = joined(lambda n: n["type"]).alias("types"), joined(lambda n: n["known"].cast("string")).alias("known"), joined(lambda n: F.array_join(n["missing"], " ")).alias("missing")
+    return jsonld.nodes(view(spark, sf_dir, "rich_pages")).select("page_id", "blocks", "invalid", "has_context", *parts, "products", "self_review")
 
 
 @query("mod_schema_validator", "SELECT page_id, CAST(CASE WHEN page_id % 5 = 1 THEN 20 + 20 + 15 + 20 + 10 ELSE 20 + 20 + 10 END AS INT) AS total FROM pages")

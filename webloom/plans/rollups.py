@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..catalog import query
-from ..functions import urls
+from ..functions import text, urls
 from ..operators import checks, modules, roadmap, rollups
 from ..sources.driver_views import table, view
 from .crawl import _ALL, BOTH
@@ -55,7 +55,17 @@ def canonicals(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", state["self"].alias("is_self"), state["slash_mismatch"].alias("slash_mismatch"))
 
 
-@query("queries_with_inferred_pages")
+_TERMS = lambda x: f"list_distinct(list_transform(list_filter(regexp_extract_all(lower({x}), '[a-z0-9]+'), lambda t: t NOT IN ({', '.join(repr(w) for w in text.LINK_STOP_WORDS)})), lambda t: CASE WHEN ends_with(t, 's') AND length(t) > 3 THEN regexp_replace(t, 's$', '') ELSE t END))"
+
+
+@query(
+    "queries_with_inferred_pages",
+    f"""WITH asked AS (SELECT query, CASE WHEN ordinal % 2 = 0 THEN page ELSE '' END AS page, clicks, impressions, position, ordinal FROM search_rows), offered AS (SELECT url, unnest({_TERMS("replace(regexp_extract(url, '^https://[^/]*(.*)$', 1), '-', ' ') || ' ' || title")}) AS term FROM (SELECT DISTINCT 'https://shop.example/' || replace(p_name, ' ', '-') AS url, p_brand AS title FROM part)),
+wanted AS (SELECT ordinal, unnest({_TERMS('query')}) AS term, len({_TERMS('query')}) AS terms FROM asked WHERE page = ''), shared AS (SELECT ordinal, url, any_value(terms) AS terms, count(*) AS n FROM wanted JOIN offered USING (term) GROUP BY ordinal, url),
+best AS (SELECT ordinal, url, n, terms FROM shared QUALIFY row_number() OVER (PARTITION BY ordinal ORDER BY n DESC, url) = 1), good AS (SELECT ordinal, url FROM best WHERE n >= 2 OR n = terms)
+SELECT a.query, coalesce(g.url, a.page) AS page, a.clicks, a.impressions, a.position, a.ordinal, g.url IS NOT NULL AS inferred FROM asked a LEFT JOIN good g ON g.ordinal = a.ordinal""",
+    ("search_rows",),
+)
 def inferred(spark, sf_dir):
     search = view(spark, sf_dir, "search_rows").withColumn("page", F.when(F.col("ordinal") % 2 == 0, F.col("page")).otherwise(""))
     pages = table(spark, sf_dir, "part").select(F.concat(F.lit("https://shop.example/"), F.replace("p_name", F.lit(" "), F.lit("-"))).alias("url"), F.col("p_brand").alias("title")).distinct()
