@@ -1,5 +1,7 @@
 """The streaming parse and its scores."""
 
+from pyspark.sql import functions as F
+
 from webloom.operators import report
 
 PAGE = (
@@ -27,3 +29,26 @@ def test_rows_scores_and_issues(spark):
     named = {(r["severity"], r["issue"]) for r in report.issues(rows).filter("page_id = 1").collect()}
     assert {("critical", "mixed content"), ("medium", "heading level skipped"), ("low", "poor anchor texts")} <= named
     assert [r["over_budget"] for r in report.budget_violations(rows, {"html_kb": 0}).orderBy("page_id").collect()][0] == ["html_kb"]
+
+
+def test_semantics():
+    html = (
+        "<div class='card btn-x'>a</div><span style='cursor: pointer' onclick=x>b</span><span class=link role=button>c</span><a role=button href=/>d</a><p role=Directory><p role='nope'><p role=nope>Lorem ipsum dolor</p><p>A placeholder</p>"
+        "<svg><title>n</title></svg><svg aria-hidden=true></svg><svg><path></svg>"
+    )
+    s = report.signals_of(html, "https://a/")
+    assert (s["fake_affordances"], s["links_as_buttons"], s["aria_invalid"], s["aria_deprecated"], s["placeholders"], s["svgs"], s["svgs_unnamed"]) == (1, 1, ["nope"], ["directory"], 2, 3, 1)
+
+
+def test_issues_soften_for_client_side_pages(spark):
+    rows = report.analyse(spark.createDataFrame([(1, "https://a/", "<svg></svg>", ["React"], []), (2, "https://a/", "<svg></svg>", [], ["Heap"])], "page_id long, url string, html string, frameworks array<string>, analytics array<string>"))
+    found = {k: {(r["severity"], r["issue"]) for r in report.issues(rows).filter(f"page_id = {k}").collect()} for k in (1, 2)}
+    assert {("high", "no h1 in served html"), ("low", "drawings without a name in served html"), ("low", "no skip link in served html"), ("low", "no analytics")} <= found[1]
+    assert {("critical", "no h1"), ("medium", "drawings without a name"), ("medium", "no skip link")} <= found[2] and ("low", "no analytics") not in found[2]
+
+
+def test_render_gap_costs_points(spark):
+    rows = report.analyse(spark.createDataFrame([(1, "https://a/", PAGE)], "page_id long, url string, html string"))
+    usual = report.category_scores(rows).first()["seo"]
+    gap = rows.withColumns({k: F.lit(k in ("content_client_only", "structured_data_client_only")) for k in report.GAP_COSTS})
+    assert report.category_scores(gap).first()["seo"] == max(0, usual - report.GAP_COSTS["content_client_only"] - report.GAP_COSTS["structured_data_client_only"])

@@ -21,8 +21,17 @@ from . import headers
 # Fixed values of the rules.
 POOR_ANCHORS = frozenset(("click here", "here", "read more", "learn more", "more", "link", "this", "this link", "go", "see more", "details", "info"))
 LANDMARK_ROLES = {"main": "main", "navigation": "nav", "banner": "header", "contentinfo": "footer", "complementary": "aside"}
+ARIA_ROLES = frozenset(
+    "alert alertdialog application article banner button cell checkbox columnheader combobox complementary contentinfo definition dialog document feed figure form grid gridcell group heading img link list listbox listitem log main marquee math menu menubar menuitem menuitemcheckbox "
+    "menuitemradio meter navigation none note option presentation progressbar radio radiogroup region row rowgroup rowheader scrollbar search searchbox separator slider spinbutton status switch tab table tablist tabpanel term textbox timer toolbar tooltip tree treegrid treeitem".split()
+)
+OLD_ROLES = frozenset(("directory",))
+CLICKABLE = frozenset(("hover", "clickable", "pointer", "btn", "button", "link"))
+PLACEHOLDERS = ("lorem ipsum", "placeholder")
 LANDMARK_TAGS = frozenset(("main", "nav", "header", "footer", "aside"))
 BUDGET = {"html_kb": 100, "inline_total_kb": 50, "blocking_scripts": 2, "images_without_lazy": 3, "external_scripts": 15, "external_stylesheets": 5}
+#: SEO points that each client-only part costs.
+GAP_COSTS = {"content_client_only": 25, "h1_client_only": 8, "title_client_only": 8, "meta_description_client_only": 6, "canonical_client_only": 4, "structured_data_client_only": 3}
 GENERIC_IMAGE = re.compile(r"(^|/)(img[_-]?\d+|image\d*|screenshot\d*|photo\d*|picture\d*|untitled|DSC[_\d]+|Screen\s?Shot)[^/]*\.\w+$", re.I)
 MODERN_IMAGE = (".webp", ".avif", ".svg")
 SILENT = frozenset(("script", "style", "nav", "footer"))
@@ -37,7 +46,7 @@ SIGNALS = {
     "inline_script_bytes": "int", "inline_style_bytes": "int", "headings": "array<int>", "h1_texts": "array<string>", "empty_headings": "int", "images": "int", "images_no_alt": "int", "images_lazy": "int", "images_sized": "int", "images_srcset": "int", "images_modern": "int",
     "images_generic": "int", "pictures": "int", "mixed_content": "int", "autoplay": "int", "tables": "int", "tables_no_th": "int", "iframes_untitled": "int", "inputs": "int", "inputs_unlabelled": "int", "skip_link": "boolean", "broken_fragments": "array<string>",
     "blank": "int", "blank_unsafe": "int", "internal_links": "int", "external_links": "int", "nofollow": "int", "poor_anchors": "int", "landmarks": "array<string>", "tabindex_positive": "int", "words": "int", "json_ld": "int", "json_ld_types": "array<string>", "json_ld_invalid": "int",
-    "bytes": "int", "error": "string",
+    "svgs": "int", "svgs_unnamed": "int", "aria_invalid": "array<string>", "aria_deprecated": "array<string>", "links_as_buttons": "int", "fake_affordances": "int", "placeholders": "int", "bytes": "int", "error": "string",
 }
 SCHEMA = ", ".join(f"{k} {v}" for k, v in SIGNALS.items())
 
@@ -55,6 +64,8 @@ class Signals(HTMLParser):
         zero = {"int": 0, "boolean": False, "string": None}
         self.s = {k: zero[t] if t in zero else {} if t[0] == "m" else [] for k, t in SIGNALS.items()}
         self.in_head, self.hidden, self.th, self.kind = False, [], [], ""
+        #: Whether the open drawing has a name; None outside drawings.
+        self.svg_named: bool | None = None
 
     def add(self, name: str, n: int = 1) -> None:
         self.s[name] += n
@@ -76,6 +87,7 @@ class Signals(HTMLParser):
         role = LANDMARK_ROLES.get(a.get("role", "").lower(), tag if tag in LANDMARK_TAGS else None)
         if role and role not in s["landmarks"]:
             s["landmarks"].append(role)
+        self.semantics(tag, a)
         f = getattr(self, f"on_{tag}", None)
         if f:
             f(a)
@@ -92,6 +104,21 @@ class Signals(HTMLParser):
             if tag in ("form", "div") and ("hidden" in a or a.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", a.get("style", ""))):
                 self.hidden.append(len(self.open))
 
+    def semantics(self, tag, a) -> None:
+        """Roles that don't exist or are outdated, links that act as buttons, boxes that only look clickable."""
+        role = a.get("role", "").lower().strip()
+        known = "aria_deprecated" if role in OLD_ROLES else "aria_invalid" if role and role not in ARIA_ROLES else None
+        if known and role not in self.s[known]:
+            self.s[known].append(role)
+        self.add("links_as_buttons", tag == "a" and role == "button")
+        if tag in ("div", "span") and "onclick" not in a and role not in ("button", "link"):
+            looks = CLICKABLE & {*re.split(r"[-_\s]+", a.get("class", "").lower())}
+            self.add("fake_affordances", bool(looks) or "cursor:pointer" in a.get("style", "").lower().replace(" ", ""))
+
+    def on_svg(self, a):
+        self.add("svgs")
+        self.svg_named = "aria-label" in a or "aria-labelledby" in a or a.get("aria-hidden", "").lower() == "true"
+
     def insecure(self, link: str) -> None:
         if self.https and link.startswith("http://"):
             self.add("mixed_content")
@@ -107,6 +134,8 @@ class Signals(HTMLParser):
 
     def on_title(self, a):
         self.add("titles")
+        if self.svg_named is not None:
+            self.svg_named = True
 
     def on_meta(self, a):
         s, name, prop, content = self.s, a.get("name", "").lower(), a.get("property", "").lower(), a.get("content", "")
@@ -251,6 +280,9 @@ class Signals(HTMLParser):
             self.add("inline_style_bytes", len(text.encode("utf-8", "replace")))
         elif tag == "table" and self.th:
             self.add("tables_no_th", not self.th.pop())
+        elif tag == "svg" and self.svg_named is not None:
+            self.add("svgs_unnamed", not self.svg_named)
+            self.svg_named = None
         elif tag == "head":
             self.in_head = False
 
@@ -270,6 +302,8 @@ class Signals(HTMLParser):
             self.keepers[-1].append(data)
         if self.bodies and not self.silent:
             self.add("words", len(data.split()))
+        told = data.strip().lower()
+        self.add("placeholders", (PLACEHOLDERS[0] in told) + (PLACEHOLDERS[1] in told and len(told) < 50))
 
     def finish(self, size: int) -> dict:
         while self.open:
@@ -293,7 +327,7 @@ def signals_of(html: str | None, url: str | None) -> dict:
 
 def analyse(pages: DataFrame, key: str = "page_id") -> DataFrame:
     """key, url and the signals of every page (key, url, html); a column headers is passed on."""
-    also = [n for n in ("headers",) if n in pages.columns]
+    also = [n for n in ("headers", "frameworks", "analytics") if n in pages.columns]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -336,6 +370,7 @@ def category_scores(report: DataFrame) -> DataFrame:
 
     With a column headers (map<string,string>) they count towards security, and a
     page without any (or a report without the column) has its security imputed.
+    Flags of a render gap (``compare.render_gap``), where the report has them, cost SEO points.
     """
     c, kb = F.col, F.bround(F.col("bytes") / 1024.0, 1)
     h1 = F.size(F.filter("headings", lambda h: h == 1))
@@ -346,6 +381,7 @@ def category_scores(report: DataFrame) -> DataFrame:
     social = F.greatest(F.least(og * 2, F.lit(6)) + _if(c("twitter") > 0, 4) - _if(c("og_repeated") > 0, 2), F.lit(0))
     mobile = _if(c("preconnect"), 2) + _if(c("preload"), 2) + _steps(c("blocking_scripts"), (0, 3), (2, 1), beyond=0) + _steps(kb, (100, 4), (200, 2), beyond=1) + _if(c("viewport_valid"), 2)
     seo = title + head + _part(c("images"), c("images_no_alt"), 10) + technical + _if(c("json_ld") >= 1, 7) + _if(c("json_ld") >= 2, 3) + social + mobile + _if(c("charset"), 3) + _if(c("hreflangs") > 0, 3, 1)
+    gap = sum((_if(c(flag), points) for flag, points in GAP_COSTS.items() if flag in report.columns), F.lit(0))
     seen = F.col("headers") if "headers" in report.columns else F.lit(None).cast("map<string,string>")
     security = headers.security_score(c("mixed_content"), c("blank"), c("blank_unsafe"), seen)
     marks = F.size(F.array_intersect("landmarks", F.array(*map(F.lit, ("main", "nav", "header", "footer")))))
@@ -361,7 +397,7 @@ def category_scores(report: DataFrame) -> DataFrame:
         _steps(kb, (50, 15), (100, 12), (200, 7), beyond=2) + _steps(c("blocking_scripts"), (0, 15), (1, 10), (2, 6), (4, 3), beyond=0) + F.when((n == 0) | (c("images_modern") >= n), 20).otherwise(responsive + modern)
         + _if(c("preconnect"), 8) + _if(c("preload"), 7) + 5 + _steps(inline, (10, 10), (30, 7), (50, 4), beyond=1) + lazy
     )
-    out = report.withColumns({"seo": F.least(seo, F.lit(100)).cast("int"), **security, "accessibility": F.least(accessibility, F.lit(100)).cast("int"), "performance": F.least(performance, F.lit(100)).cast("int")})
+    out = report.withColumns({"seo": F.greatest(F.least(seo, F.lit(100)) - gap, F.lit(0)).cast("int"), **security, "accessibility": F.least(accessibility, F.lit(100)).cast("int"), "performance": F.least(performance, F.lit(100)).cast("int")})
     p0 = _if((F.coalesce("title", F.lit("")) == "") | (F.size(F.filter("headings", lambda h: h == 1)) == 0), 1)
     return out.withColumns(scores.composite(c("seo"), c("security"), c("accessibility"), c("performance"), p0, c("security_assessed")))
 
@@ -378,20 +414,30 @@ def budget_violations(report: DataFrame, budget: dict[str, int] | None = None) -
 
 
 def issues(report: DataFrame, key: str = "page_id") -> DataFrame:
-    """key, severity, issue: what the report says is wrong, critical first to low."""
+    """key, severity, issue: what the report says is wrong, critical first to low.
+
+    With columns frameworks and analytics (arrays, of ``providers.analyse``) what a
+    client-side framework may still render is softened, and missing analytics are an
+    issue; with a column headers missing security headers are.
+    """
     c = F.col
+    shell = F.size("frameworks") > 0 if "frameworks" in report.columns else F.lit(False)
+    untracked = F.size("analytics") == 0 if "analytics" in report.columns else F.lit(False)
+    given = F.col("headers") if "headers" in report.columns else F.lit(None).cast("map<string,string>")
+    missing = [("high", headers.seen(given) & ~headers.has(given, name), f"missing header {name}") for name in (*[m[0] for m in headers.MISSING], "x-content-type-options")]
     h1, n = F.size(F.filter("headings", lambda h: h == 1)), F.length(F.coalesce("title", F.lit("")))
     d = F.length(F.coalesce("description", F.lit("")))
     rules = (
-        ("critical", n == 0, "no title"), ("critical", h1 == 0, "no h1"), ("critical", ~c("lang"), "no language"), ("critical", c("mixed_content") > 0, "mixed content"), ("critical", c("zoom_disabled"), "zoom disabled"),
+        ("critical", n == 0, "no title"), ("critical", (h1 == 0) & ~shell, "no h1"), ("high", (h1 == 0) & shell, "no h1 in served html"), ("critical", ~c("lang"), "no language"), ("critical", c("mixed_content") > 0, "mixed content"), ("critical", c("zoom_disabled"), "zoom disabled"),
         ("high", d == 0, "no description"), ("high", h1 > 1, "several h1"), ("high", c("images_no_alt") > 0, "images without alt"), ("high", c("canonicals") == 0, "no canonical"), ("high", F.size("og") == 0, "no Open Graph tags"),
         ("high", c("titles") > 1, "several titles"), ("high", c("descriptions") > 1, "several descriptions"), ("high", c("canonicals") > 1, "several canonicals"), ("high", ~c("viewport_valid"), "invalid viewport"), ("high", c("autoplay") > 0, "autoplay with sound"),
-        ("medium", c("blocking_scripts") > 2, "blocking scripts"), ("medium", c("bytes") > 102400, "large html"), ("medium", ~c("favicon"), "no favicon"), ("medium", ~c("skip_link"), "no skip link"), ("medium", ~c("charset"), "no charset"),
+        ("medium", c("blocking_scripts") > 2, "blocking scripts"), ("medium", c("bytes") > 102400, "large html"), ("medium", ~c("favicon"), "no favicon"), ("medium", ~c("skip_link") & ~shell, "no skip link"), ("low", ~c("skip_link") & shell, "no skip link in served html"), ("medium", ~c("charset"), "no charset"),
         ("medium", c("empty_headings") > 0, "empty headings"), ("medium", F.size("broken_fragments") > 0, "broken fragments"), ("medium", c("inline_script_bytes") > 51200, "large inline scripts"), ("medium", ~logical_headings(c("headings")), "heading level skipped"),
         ("medium", (n > 60) | ((n > 0) & (n < 30)), "title length"), ("medium", (d > 160) | ((d > 0) & (d < 70)), "description length"), ("medium", (c("words") > 0) & (c("words") < 300), "thin content"), ("medium", c("images_generic") > 0, "generic image names"),
         ("medium", c("og_repeated") > 0, "repeated Open Graph tags"), ("medium", c("tabindex_positive") > 0, "positive tabindex"), ("medium", c("tables_no_th") > 0, "tables without headers"), ("medium", c("iframes_untitled") > 0, "untitled frames"),
         ("low", c("twitter") == 0, "no twitter tags"), ("low", ~c("preconnect"), "no preconnect"), ("low", c("blank_unsafe") > 0, "links without noopener"), ("low", (c("images") > 0) & (c("images_sized") == 0), "images without size"),
-        ("low", (c("images") > 3) & (c("images_srcset") + c("pictures") == 0), "no responsive images"), ("low", c("poor_anchors") > 0, "poor anchor texts"), ("low", (c("internal_links") == 0) & (c("words") > 0), "no internal links"), ("low", c("nofollow") > 0, "internal nofollow"),
+        ("low", (c("images") > 3) & (c("images_srcset") + c("pictures") == 0), "no responsive images"), ("low", c("poor_anchors") > 0, "poor anchor texts"), ("low", untracked, "no analytics"), ("medium", c("placeholders") > 0, "placeholder text"), ("medium", (c("svgs_unnamed") > 0) & ~shell, "drawings without a name"), ("low", (c("svgs_unnamed") > 0) & shell, "drawings without a name in served html"),
+        ("medium", c("fake_affordances") > 0, "fake affordances"), ("low", F.size("aria_invalid") > 0, "invalid ARIA roles"), ("low", F.size("aria_deprecated") > 0, "deprecated ARIA roles"), ("low", c("links_as_buttons") > 0, "links as buttons"), ("low", (c("internal_links") == 0) & (c("words") > 0), "no internal links"), ("low", c("nofollow") > 0, "internal nofollow"),
     )
-    found = F.array_compact(F.array(*[F.when(rule, F.struct(F.lit(s).alias("severity"), F.lit(t).alias("issue"))) for s, rule, t in rules]))
+    found = F.array_compact(F.array(*[F.when(rule, F.struct(F.lit(s).alias("severity"), F.lit(t).alias("issue"))) for s, rule, t in (*rules, *missing)]))
     return report.select(key, F.explode(found).alias("i")).select(key, "i.*")

@@ -67,3 +67,13 @@ def money_without_conversions(rows: DataFrame, least: int = 50, money: str = MON
 
 def landing_totals(rows: DataFrame) -> DataFrame:
     return rows.agg(F.count("*").alias("pages"), F.sum("sessions").alias("sessions"))
+
+
+def top_keywords(rows: DataFrame, fields: str = "fields") -> DataFrame:
+    """keyword, position, volume, traffic_pct of export rows (map<string,string>, under their long or short names); rows without a keyword are left out."""
+    held = F.col(fields)
+    value = lambda *names: F.coalesce(*[F.nullif(F.try_element_at(held, F.lit(n)), F.lit("")) for n in names])
+    number = lambda *names: F.coalesce(F.regexp_replace(value(*names), r"[,\s]", "").try_cast("double").cast("int"), F.lit(0))
+    share = value("Traffic (%)", "Tr")
+    out = rows.select(value("Keyword", "Ph").alias("keyword"), number("Position", "Pos").alias("position"), number("Search Volume", "Nq").alias("volume"), F.coalesce(F.concat(share, F.lit("%")), F.lit("")).alias("traffic_pct"))
+    return out.filter("keyword is not null")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..catalog import query
 from ..functions import scores
 from ..operators import roadmap, searchlog
-from ..sources.driver_views import view
+from ..sources.driver_views import table, view
 
 RATE = "CASE WHEN impressions = 0 THEN 0.0 ELSE CAST(clicks AS DOUBLE) / impressions END"
 _BENCH = "CASE WHEN position IS NULL THEN 0.0 WHEN round_even(position, 0) <= 1 THEN 0.27 " + " ".join(f"WHEN round_even(position, 0) = {k} THEN {v}" for k, v in scores.CLICK_RATES.items()) + " WHEN round_even(position, 0) <= 20 THEN 0.015 ELSE 0.008 END"
@@ -105,3 +105,11 @@ def content_roadmap(spark, sf_dir):
     earlier = roadmap.clusters(rows(spark, sf_dir).withColumn("clicks", F.col("clicks") * (1 + F.col("ordinal") % 3)), ["blue"])
     before = earlier.groupBy("topic").agg(F.min_by("query", "place").alias("label"), F.sum("clicks").alias("clicks")).groupBy("label").agg(F.max_by("clicks", "topic").alias("clicks"))
     return roadmap.roadmap(now, before)
+
+
+@query("top_keywords", "SELECT p_name AS keyword, CAST(p_size AS INT) AS position, CASE WHEN p_partkey % 2 = 0 THEN CAST(p_partkey * 1000 AS INT) ELSE 0 END AS volume, CASE WHEN p_partkey % 3 = 0 THEN '' ELSE p_partkey % 7 || '.5%' END AS traffic_pct FROM part WHERE p_partkey % 5 > 0")
+def top_keywords(spark, sf_dir):
+    k = F.col("p_partkey")
+    long = F.create_map(F.lit("Keyword"), F.when(k % 5 > 0, F.col("p_name")).otherwise(""), F.lit("Position"), F.col("p_size").cast("string"), F.lit("Search Volume"), F.concat(k.cast("string"), F.lit(",000")), F.lit("Traffic (%)"), F.when(k % 3 > 0, F.concat((k % 7).cast("string"), F.lit(".5"))))
+    short = F.create_map(F.lit("Ph"), F.when(k % 5 > 0, F.col("p_name")), F.lit("Pos"), F.col("p_size").cast("string"), F.lit("Nq"), F.lit("n/a"), F.lit("Tr"), F.when(k % 3 > 0, F.concat((k % 7).cast("string"), F.lit(".5"))))
+    return searchlog.top_keywords(table(spark, sf_dir, "part").select(F.when(k % 2 == 0, long).otherwise(short).alias("fields")))
