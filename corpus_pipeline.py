@@ -3,6 +3,13 @@
 Every stage takes the documents that the one before kept and returns documents
 with the same columns; the last returns the packed pieces.  The classifiers are
 fitted on the labelled rows among the stage's own documents.
+
+Edge cases: null texts go through as empty ones; rows with a null doc_id are never
+held to labels and go through, as one class if their texts are near copies; of
+repeated doc_ids those of different texts stay, of near copies any one; further
+columns, whatever their names, are carried to the last stage; an empty table gives
+no rows; without labels nothing is dropped for quality, and the lexicons alone
+decide on toxicity.
 """
 
 from __future__ import annotations
@@ -41,7 +48,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", quality), ("toxicity", toxicity), ("near_duplicates", near_duplicates), ("personal_data", personal_data), ("packing", packing)]
 
-#: Trained models, signatures and tokenizers can't be written in SQL; tests hold each stage against a brute-force version.
+#: Trained models, signatures and tokenizers can't be written in SQL; tests hold the operators of each stage against plain computations, and the stages by their effects.
 ORACLE_SQL = None
 
 
