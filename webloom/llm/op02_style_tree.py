@@ -2,15 +2,22 @@
 
 All pages of a host are merged into one tree of element nodes (a node is the path
 of tags and class names from the root).  For each node the tree holds, over the
-pages that have it, which sequences of child elements occur (presentation) and in
-how many pages each of its contents occurs (text blocks, link targets).  A
-node's importance is the entropy, in base "pages", of its presentations, or for
-nodes with own content one minus the mean entropy of its contents: what stands
-alike on most pages scores near 0.  The importance of a branch is the mean over
-its nodes, weighted by DECAY per level and by pages.  Each page then loses the
-branches of low importance, inside its article too; the names of elements and
-classes give fixed priors: 0 to the template roles listed below, 1 to the article
-and main elements themselves.  Within what is left, the article (else the main element, else the body) gives the text.
+pages that have it, which sequences of child elements occur (presentation), in
+how many pages each of its contents occurs (text blocks, link targets), and how
+much text stands in it, in and out of links.  A node's importance is the entropy,
+in base "pages", of its presentations, or for nodes with own content one minus the
+mean entropy of its contents: what stands alike on most pages scores near 0.  The
+importance of a branch is the mean over its nodes, weighted by DECAY per level and
+by pages.
+
+The tree decides twice.  From the root down it follows the branch that weighs most
+(unlinked text x importance) while that branch is a container, and the last one,
+if it holds MAIN_SHARE of the host's weight, is where the text of the host's pages
+stands.  And each page loses the branches of low importance, inside its main
+branch too.  The names of elements and classes are priors: 0 to the template roles
+listed below, 1 to the article and main elements themselves; and where the tree
+knows no main branch (or it lies around or beside an article), the article, else
+the main element, else the body, gives the text.
 
 Edge cases: null or empty html gives an empty text; text without tags is one
 block; unclosed, misnested and truncated tags are repaired; broken character
@@ -32,9 +39,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import table
+from .shared import stored, table
 
 DECAY, LEAST_IMPORTANCE, LEAST_PAGES = 0.9, 0.3, 8
+#: Share of a host's weight that its main branch holds, and of a branch's text that is its own where it is no container.
+MAIN_SHARE, OWN_SHARE = 0.5, 0.5
 #: Deepest nesting told apart; what lies deeper belongs to the node at this depth.
 DEPTH = 40
 #: Statistics a task gathers before it passes them on.
@@ -228,22 +237,36 @@ def _own_text(node: Node) -> str:
     return " ".join(" ".join(c for c in node.children if isinstance(c, str)).split())
 
 
-def page_statistics(host: str, source: str) -> set[tuple[str, str, int, int]]:
-    """What a page adds to its host's tree: (host, path, kind, hash); kind 0: it has the node, 1: a sequence of children, 2: a content."""
-    out = set()
+def page_statistics(host: str, source: str) -> dict[tuple[str, str, int, int], int]:
+    """What a page adds to its host's tree, by (host, path, kind, hash).
+
+    Kinds: 0 it has the node, 1 a sequence of children, 2 a content (each once a
+    page); 3 characters of the node's own text, 4 of those in links.  Text that no
+    reader sees (scripts and the like) has no characters.
+    """
+    out: dict[tuple[str, str, int, int], int] = {}
+    linked, unseen = set(), set()
     for node in set_paths(parse(source)):
-        out.add((host, node.path, 0, 0))
-        out.add((host, node.path, 1, _hash(*(c.tag for c in node.children if isinstance(c, Node)))))
+        above = id(node.parent) if node.parent is not None else None
+        if node.tag == "a" or above in linked:
+            linked.add(id(node))
+        if node.tag in NO_TEXT or above in unseen:
+            unseen.add(id(node))
+        out[host, node.path, 0, 0] = 1
+        out[host, node.path, 1, _hash(*(c.tag for c in node.children if isinstance(c, Node)))] = 1
         if text := _own_text(node):
-            out.add((host, node.path, 2, _hash(text)))
+            out[host, node.path, 2, _hash(text)] = 1
+            if id(node) not in unseen:
+                key = (host, node.path, 4 if id(node) in linked else 3, 0)
+                out[key] = out.get(key, 0) + len(text)
         for name in ("href", "src"):
             if name in node.attributes:
-                out.add((host, node.path, 2, _hash(name, node.attributes[name])))
+                out[host, node.path, 2, _hash(name, node.attributes[name])] = 1
     return out
 
 
 def style_tree(pages: DataFrame) -> DataFrame:
-    """The merged trees: host, path, pages, node_importance, importance; pages has url and html."""
+    """The merged trees: host, path, pages, node_importance, own (unlinked characters of the node), and of its branch importance, chars, linked; pages has url and html."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = ["host", "path", "kind", "feature", "n"]
@@ -264,18 +287,39 @@ def style_tree(pages: DataFrame) -> DataFrame:
         F.max(of(0, F.col("n"))).alias("pages"),
         (F.log(F.sum(of(1, F.col("n")))) - F.sum(of(1, F.col("n") * F.log("n"))) / F.sum(of(1, F.col("n")))).alias("presentation"),
         F.avg(of(2, F.log("n"))).alias("content"),
+        F.coalesce(F.sum(of(3, F.col("n"))), F.lit(0)).alias("own"),
+        F.coalesce(F.sum(of(4, F.col("n"))), F.lit(0)).alias("own_linked"),
     )
     base = F.log("pages")
-    own = F.when(F.col("pages") < 2, 1.0).when(F.col("content").isNotNull(), 1 - F.col("content") / base).otherwise(F.col("presentation") / base)
-    nodes = nodes.withColumn("node_importance", F.greatest(F.lit(0.0), F.least(F.lit(1.0), own)))
-    upward = nodes.select("host", "node_importance", "pages", F.split("path", "/").alias("steps")).select(
-        "host", "node_importance", "pages", "steps", F.explode(F.sequence(F.lit(1), F.size("steps"))).alias("depth")
+    importance = F.when(F.col("pages") < 2, 1.0).when(F.col("content").isNotNull(), 1 - F.col("content") / base).otherwise(F.col("presentation") / base)
+    nodes = stored(nodes.withColumn("node_importance", F.greatest(F.lit(0.0), F.least(F.lit(1.0), importance))), "style-nodes")
+    upward = nodes.select("host", "node_importance", "pages", "own", "own_linked", F.split("path", "/").alias("steps")).select(
+        "*", F.explode(F.sequence(F.lit(1), F.size("steps"))).alias("depth")
     )
     weight = F.pow(F.lit(DECAY), F.size("steps") - F.col("depth")) * F.col("pages")
     branch = upward.groupBy("host", F.array_join(F.slice("steps", F.lit(1), F.col("depth")), "/").alias("path")).agg(
-        (F.sum(weight * F.col("node_importance")) / F.sum(weight)).alias("importance")
+        (F.sum(weight * F.col("node_importance")) / F.sum(weight)).alias("importance"), F.sum("own").alias("chars"), F.sum("own_linked").alias("linked")
     )
-    return nodes.join(branch, ["host", "path"]).select("host", "path", "pages", "node_importance", "importance")
+    return nodes.join(branch, ["host", "path"]).select("host", "path", "pages", "node_importance", "own", "importance", "chars", "linked")
+
+
+def main_branches(tree: DataFrame, least_pages: int = LEAST_PAGES) -> DataFrame:
+    """host and path of each host's main branch, where it has one.
+
+    A branch is followed if it weighs most among its siblings, as do all branches
+    above it, and if most of its text stands in branches below it.
+    """
+    weighed = tree.withColumn("weight", F.col("chars") * F.col("importance")).withColumn("parent", F.regexp_replace("path", "/[^/]*$", ""))
+    heaviest = weighed.filter(F.col("path") != F.col("parent")).groupBy("host", "parent").agg(F.max(F.struct("weight", "path")).alias("best"))
+    steps = heaviest.select("host", F.col("best.path").alias("path")).unionByName(weighed.filter(F.col("path") == F.col("parent")).select("host", "path"))
+    containers = weighed.filter(F.col("own") < OWN_SHARE * F.col("chars")).select("host", "path", "pages", "weight")
+    steps = steps.join(containers, ["host", "path"]).withColumn("depth", F.size(F.split("path", "/")))
+    # All branches above a followed one are followed: as many of its beginnings are steps as it has levels.
+    above = steps.select("host", "pages", "weight", F.col("path").alias("of"), "depth", F.expr("explode(transform(sequence(1, depth), d -> substring_index(path, '/', d)))").alias("path"))
+    followed = above.join(steps.select("host", "path"), ["host", "path"]).groupBy("host", F.col("of").alias("path"), "depth", "pages", "weight").count().filter("count = depth")
+    whole = weighed.filter(F.col("path") == F.col("parent")).groupBy("host").agg(F.sum("weight").alias("whole"))
+    kept = followed.join(whole, "host").filter((F.col("weight") >= MAIN_SHARE * F.col("whole")) & (F.col("pages") >= least_pages) & (F.col("depth") > 1))
+    return kept.groupBy("host").agg(F.max_by("path", "depth").alias("path"))
 
 
 def low_branches(tree: DataFrame, least: float = LEAST_IMPORTANCE, least_pages: int = LEAST_PAGES) -> DataFrame:
@@ -284,15 +328,18 @@ def low_branches(tree: DataFrame, least: float = LEAST_IMPORTANCE, least_pages:
     return tree.filter((F.col("importance") < least) & (F.col("pages") >= least_pages) & ~prior).select("host", "path")
 
 
-def extract(source: str | None, low=lambda path: False) -> str:
-    """The main text of one page; low tells which paths the tree found unimportant."""
+def extract(source: str | None, low=lambda path: False, main=lambda path: False, priors: bool = True) -> str:
+    """The main text of one page; low tells which paths the tree found unimportant, main which is the host's main branch.
+
+    Without priors names of elements and classes tell nothing but what is no text at all.
+    """
     if not source:
         return ""
     root = parse(source)
     nodes = set_paths(root)
     cut = set()
     for node in nodes:
-        if node.parent is not None and id(node.parent) in cut or is_template(node) or node.parent is not None and low(node.path) and _has_text(node) and not _has(node, ("article", "main", "h1")):
+        if node.parent is not None and id(node.parent) in cut or (is_template(node) if priors else node.tag in NO_TEXT) or node.parent is not None and low(node.path) and _has_text(node) and not _has(node, ("article", "main", "h1")):
             cut.add(id(node))
 
     def outermost(accept) -> list[Node]:
@@ -311,8 +358,13 @@ def extract(source: str | None, low=lambda path: False) -> str:
     def named(node: Node) -> bool:
         return node.tag in ("div", "section", "td") and any({w.lower() for w in _WORDS.findall(name)} & MAIN_WORDS for name in _names(node))
 
-    tops = (outermost(lambda x: x.tag == "article" or x.attributes.get("itemprop") == "articleBody" or x.attributes.get("role") == "article")
-        or outermost(lambda x: x.tag == "main" or x.attributes.get("role") == "main") or outermost(named) or [root])
+    def by_tree(node: Node) -> bool:
+        """The main branch, unless names say that the article is a part of it or another branch."""
+        return main(node.path) and not (priors and node.tag not in ("article", "main") and any(x.tag == "article" for x in nodes if id(x) not in cut))
+
+    tops_found = (outermost(by_tree) or outermost(lambda x: x.tag == "article" or x.attributes.get("itemprop") == "articleBody" or x.attributes.get("role") == "article")
+        or outermost(lambda x: x.tag == "main" or x.attributes.get("role") == "main") or outermost(named)) if priors else outermost(by_tree)
+    tops = tops_found or [root]
     blocks: list[str] = []
     for top in tops:
         now: list[str] = []
@@ -341,26 +393,37 @@ def extract(source: str | None, low=lambda path: False) -> str:
     return "\n".join(blocks)
 
 
-def main_texts(pages: DataFrame) -> DataFrame:
-    """page_id, url, text, n_chars of every page (page_id, url, html)."""
+def marked_branches(pages: DataFrame) -> DataFrame:
+    """host, path, main: the main branches of the hosts (true) and the branches to cut (false)."""
+    tree = stored(style_tree(pages), "style-tree")
+    marks = low_branches(tree).withColumn("main", F.lit(False)).unionByName(main_branches(tree).withColumn("main", F.lit(True)))
+    return stored(marks, "style-marks")
+
+
+def main_texts(pages: DataFrame, priors: bool = True, tree: bool = True) -> DataFrame:
+    """page_id, url, text, n_chars of every page (page_id, url, html); without priors or tree for comparison."""
     spark = pages.sparkSession
     pages = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
-    low = low_branches(style_tree(pages)).cache()
-    count = low.count()
+    marks = marked_branches(pages) if tree else spark.createDataFrame([], "host string, path string, main boolean")
+    count = marks.count()
 
-    def texts(batches: Iterator[pd.DataFrame], known) -> Iterator[pd.DataFrame]:
+    def texts(batches: Iterator[pd.DataFrame], known: tuple[frozenset, frozenset] | None) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            own = batch["low"] if "low" in batch else [None] * len(batch)
+            own = batch["marks"] if "marks" in batch else [None] * len(batch)
             for url, source, mine in zip(batch["url"], batch["html"], own):
                 host = host_of(url)
-                paths = set() if mine is None else set(mine)
-                out.append(extract(source, (lambda p: p in paths) if known is None else (lambda p: _hash(host, p) in known) if known else (lambda p: False)))
+                if known is None:
+                    low, main = ({m["path"] for m in (mine if mine is not None else ()) if m["main"] == kind} for kind in (False, True))
+                    out.append(extract(source, low.__contains__, main.__contains__, priors))
+                else:
+                    out.append(extract(source, *((lambda p, of=of: _hash(host, p) in of) if of else (lambda p: False) for of in known), priors))
             yield pd.DataFrame({"page_id": batch["page_id"], "url": batch["url"], "text": out, "n_chars": np.array([len(t) for t in out], np.int64)})
 
     schema = f"page_id {pages.schema['page_id'].dataType.simpleString()}, url string, text string, n_chars long"
     if count <= BROADCAST_BRANCHES:
-        hashes = spark.sparkContext.broadcast(frozenset(_hash(r["host"], r["path"]) for r in low.collect()))
+        rows = [(_hash(r["host"], r["path"]), r["main"]) for r in marks.collect()]
+        hashes = spark.sparkContext.broadcast(tuple(frozenset(h for h, main in rows if main == kind) for kind in (False, True)))
         return pages.mapInPandas(lambda batches: texts(batches, hashes.value), schema)
 
     def own_paths(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -369,7 +432,7 @@ def main_texts(pages: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=["row", "host", "path"])
 
     keyed = pages.withColumn("row", F.xxhash64("page_id", "url", "html"))
-    mine = keyed.mapInPandas(own_paths, "row long, host string, path string").distinct().join(low, ["host", "path"]).groupBy("row").agg(F.collect_set("path").alias("low"))
+    mine = keyed.mapInPandas(own_paths, "row long, host string, path string").distinct().join(marks, ["host", "path"]).groupBy("row").agg(F.collect_set(F.struct("path", "main")).alias("marks"))
     return keyed.join(mine, "row", "left").drop("row").mapInPandas(lambda batches: texts(batches, None), schema)
 
 
