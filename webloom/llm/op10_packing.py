@@ -6,7 +6,8 @@ one group with a count, so a step moves a whole group.  The plan is a list of
 runs "pieces of this length with ranks r..r+c-1 take offset o of sequences
 q..q+c-1"; its size is bounded by the number of lengths, not of documents.
 Pieces get a rank within their length by a salted count and take their slots by
-a join on it.
+a join on it; a length has one salt for every SALT_ROWS of its pieces, so no sort
+grows with the table.  A full piece is a sequence of its own and needs no rank.
 
 Edge cases: null or empty text is the end id alone; a document longer than the
 capacity is cut so that its first piece takes the remainder and all others are
@@ -30,8 +31,8 @@ from .shared import id_text, stored, table
 from .tokens import ids_bytes, library_encoder
 
 VOCABULARY, END_ID, CAPACITY = "byte_bpe_50k.json", 0, 2048
-#: Salts among which the pieces of one length are ranked.
-SALTS = 64
+#: Pieces of one length that are ranked together, about.
+SALT_ROWS = 50_000
 
 
 def token_pieces(docs: DataFrame, vocabulary: str = VOCABULARY, end_id: int = END_ID, capacity: int = CAPACITY) -> DataFrame:
@@ -99,20 +100,25 @@ def best_fit_plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tupl
     return runs
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, salts: int = SALTS) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = CAPACITY, salt_rows: int = SALT_ROWS) -> DataFrame:
     """pieces (with length, and row and piece as a key) with sequence_id and offset."""
     spark = pieces.sparkSession
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("row", "piece"), F.lit(salts)))
-    tally = salted.groupBy("length", "salt").count()
-    counted = tally.collect()  # at most CAPACITY x SALTS numbers
+    full = pieces.filter(F.col("length") >= capacity)
+    pieces = pieces.filter(F.col("length") < capacity)
+    lengths = pieces.groupBy("length").count().collect()  # at most capacity numbers
+    salts = spark.createDataFrame([(r["length"], -(-r["count"] // salt_rows)) for r in lengths], "length long, salts long")
+    salted = pieces.join(F.broadcast(salts), "length").withColumn("salt", F.pmod(F.xxhash64("row", "piece"), F.col("salts"))).select(*pieces.columns, "salt")
+    counted = salted.groupBy("length", "salt").count().collect()  # one number for each salt_rows pieces, and capacity more
     totals: dict[int, int] = defaultdict(int)
     bases = []
     for r in sorted(counted, key=lambda r: (r["length"], r["salt"])):
         bases.append((r["length"], r["salt"], totals[r["length"]]))
         totals[r["length"]] += r["count"]
-    if not bases:
-        return pieces.withColumn("sequence_id", F.lit(0).cast("long")).withColumn("offset", F.lit(0).cast("long"))
     plan = best_fit_plan(dict(totals), capacity)
+    opened = max((first + count for _, _, count, first, _ in plan), default=0)
+    alone = full.withColumn("sequence_id", F.lit(opened) + F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
+    if not bases:
+        return alone
     by_length: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
     for length, rank, _, first, offset in plan:
         by_length[length].append((rank, first, offset))
@@ -135,7 +141,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, salts: int = SALTS) -> Dat
     ranked = salted.withColumn("rank", F.row_number().over(Window.partitionBy("length", "salt").orderBy("row", "piece")).cast("long"))
     kept = [f for f in pieces.schema.fields]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
-    return ranked.mapInPandas(place, f"{schema}, sequence_id long, offset long")
+    return ranked.mapInPandas(place, f"{schema}, sequence_id long, offset long").unionByName(alone)
 
 
 def pack_documents(docs: DataFrame, vocabulary: str = VOCABULARY, end_id: int = END_ID, capacity: int = CAPACITY) -> DataFrame:
