@@ -132,7 +132,7 @@ def fit_router(x: np.ndarray) -> Router:
     n, d = x.shape
     parts = int(np.clip(n // PER_PART, 1, MOST_PARTS))
     inputs = Router.inputs(x)
-    graph = neighbour_graph(x.astype(np.float64), NEIGHBOURS)
+    graph = neighbour_graph(x.astype(np.float64) / np.abs(x).max(), NEIGHBOURS)  # one factor for all keeps the order and the range
     part = balanced_parts(graph, parts)
     target = np.zeros((n, parts))
     target[np.arange(n), part] += 1
@@ -160,8 +160,10 @@ def fit_router(x: np.ndarray) -> Router:
 
 
 def valid_vectors(vectors: DataFrame) -> DataFrame:
-    """vec_id and embedding (array of float) of the rows that take part."""
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("embedding")).filter(F.col("vec_id").isNotNull() & (F.size("embedding") > 0))
+    """vec_id and embedding (array of float where it is one, else of double) of the rows that take part."""
+    as_is = vectors.schema["embedding"].dataType.simpleString() == "array<float>"
+    embedding = F.col("embedding") if as_is else F.col("embedding").cast("array<double>")
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), embedding.alias("embedding")).filter(F.col("vec_id").isNotNull() & (F.size("embedding") > 0))
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = rows.filter(F.coalesce(finite, F.lit(False)) & F.exists("embedding", lambda x: x != 0))
     length = rows.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").first()
@@ -177,7 +179,7 @@ def distinct_vectors(rows: DataFrame, ids: int) -> DataFrame:
 
 
 def _matrix(column: pd.Series) -> np.ndarray:
-    return np.stack([np.asarray(v, np.float32) for v in column])
+    return np.stack([np.asarray(v, np.float64) for v in column])
 
 
 def _top(k: int):
@@ -186,7 +188,7 @@ def _top(k: int):
         if not len(queries) or not len(index):
             return pd.DataFrame([], columns=names)
         index = index.sort_values("vid")
-        q, x = _matrix(queries["embedding"]).astype(np.float64), _matrix(index["embedding"]).astype(np.float64)
+        q, x = _matrix(queries["embedding"]), _matrix(index["embedding"])
         least, ids = np.array([v[0] for v in index["ids"]]), index["ids"].to_numpy()
         out, k_here = [], min(k, len(x))
         for qid, v in zip(queries["qid"].tolist(), q):
@@ -207,7 +209,7 @@ def nearest(vectors: DataFrame, every: int = QUERY_EVERY, k: int = NEAREST, prob
     rows = valid_vectors(vectors)
     index = distinct_vectors(rows, k + 1)
     sample = index.orderBy(F.xxhash64("embedding"), "vid").select("embedding").limit(SAMPLE).collect()
-    router = fit_router(np.array([r["embedding"] for r in sample], np.float32)) if sample else Router([])
+    router = fit_router(np.array([r["embedding"] for r in sample], np.float64)) if sample else Router([])
     shared = spark.sparkContext.broadcast(router)
 
     def assign(batches):
@@ -220,11 +222,12 @@ def nearest(vectors: DataFrame, every: int = QUERY_EVERY, k: int = NEAREST, prob
             if len(batch):
                 yield batch.assign(parts=shared.value.route(_matrix(batch["embedding"]), probed, least))
 
-    indexed = stored(index.mapInPandas(assign, "embedding array<float>, ids array<bigint>, vid bigint, part int"), "index")
+    kind = index.schema["embedding"].dataType.simpleString()
+    indexed = stored(index.mapInPandas(assign, f"embedding {kind}, ids array<bigint>, vid bigint, part int"), "index")
     asked = rows.filter(F.col("vec_id") % every == 0).select("vec_id", "embedding").distinct().join(index.select("embedding", F.col("vid").alias("qid")), "embedding")
     asked = stored(asked.select(F.col("vec_id").alias("query_id"), "qid"), "queries")
     visits = index.join(asked.select("qid").distinct(), F.col("vid") == F.col("qid")).select("qid", "embedding")
-    visits = visits.mapInPandas(visit, "qid bigint, embedding array<float>, parts array<int>").select("qid", "embedding", F.explode("parts").alias("part"))
+    visits = visits.mapInPandas(visit, f"qid bigint, embedding {kind}, parts array<int>").select("qid", "embedding", F.explode("parts").alias("part"))
     visits = stored(visits, "visits")
 
     blocks = indexed.groupBy("part").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
