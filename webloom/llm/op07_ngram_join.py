@@ -46,6 +46,8 @@ FEW_SHINGLES = 32
 GROUP_CHARS = 2_000_000
 #: Texts under a shared prefix whose ids (16 bytes) may be broadcast to fetch their words; beyond it they are joined.
 BROADCAST_TEXTS = 500_000
+#: A text of more copies is looked up by broadcast.
+HOT_COPIES = 200
 #: Shingles compared at once.
 COLUMNS = 16_384
 
@@ -412,7 +414,16 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame
     found = texts.select("key", "first_id", "copies").join(of_text, "key", "left").select(
         "key", "copies", F.coalesce("root", "key").alias("root"), F.coalesce("class_id", "first_id").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")
     )
-    return signed.select("doc_id", "key").join(found, "key").select("doc_id", "class_id", "n_links", "copies", "key", "root")
+    # A text of many copies is one hot key: its copies stay where they are and look it up.
+    found = stored(found.select("key", F.struct("class_id", "n_links", "copies", "root").alias("of")), "found")
+    rows, hot = signed.select("doc_id", "key"), found.filter(F.col("of.copies") > HOT_COPIES).withColumnRenamed("of", "hot")
+    if 0 < hot.count() <= BROADCAST_TEXTS:
+        marked = rows.join(F.broadcast(hot), "key", "left")
+        rest = marked.filter("hot is null").select("doc_id", "key").join(found.filter(F.col("of.copies") <= HOT_COPIES), "key")
+        joined = rest.select("doc_id", "key", "of").unionByName(marked.filter("hot is not null").select("doc_id", "key", F.col("hot").alias("of")))
+    else:
+        joined = rows.join(found, "key")
+    return joined.select("doc_id", "of.class_id", "of.n_links", "of.copies", "key", "of.root")
 
 
 def keep_one(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
