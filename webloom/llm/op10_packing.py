@@ -6,8 +6,8 @@ one group with a count, so a step moves a whole group.  The plan is a list of
 runs "pieces of this length with ranks r..r+c-1 take offset o of sequences
 q..q+c-1"; its size is bounded by the number of lengths, not of documents.
 Pieces get a rank within their length by a salted count and take their slots by
-a join on it; a length has one salt for every SALT_ROWS of its pieces, so no sort
-grows with the table.  A full piece is a sequence of its own and needs no rank.
+a join on it; a length's pieces are dealt over salts, a few at first and one for
+every SALT_ROWS of them beyond that, so no sort grows with the table.  A full piece is a sequence of its own and needs no rank.
 
 Edge cases: null or empty text is the end id alone; a document longer than the
 capacity is cut so that its first piece takes the remainder and all others are
@@ -31,8 +31,8 @@ from .shared import id_text, stored, table
 from .tokens import ids_bytes, library_encoder
 
 VOCABULARY, END_ID, CAPACITY = "byte_bpe_50k.json", 0, 2048
-#: Pieces of one length that are ranked together, about.
-SALT_ROWS = 50_000
+#: Pieces of one length that are ranked together, about; a small length has a salt for fewer, but not more than FEW_SALTS.
+SALT_ROWS, LEAST_SALT_ROWS, FEW_SALTS = 50_000, 400, 64
 
 
 def token_pieces(docs: DataFrame, vocabulary: str = VOCABULARY, end_id: int = END_ID, capacity: int = CAPACITY) -> DataFrame:
@@ -106,9 +106,10 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, salt_rows: int = SALT_ROWS
     full = pieces.filter(F.col("length") >= capacity)
     pieces = pieces.filter(F.col("length") < capacity)
     lengths = pieces.groupBy("length").count().collect()  # at most capacity numbers
-    salts = spark.createDataFrame([(r["length"], -(-r["count"] // salt_rows)) for r in lengths], "length long, salts long")
+    dealt = lambda n: max(-(-n // salt_rows), min(FEW_SALTS, -(-n // LEAST_SALT_ROWS)))
+    salts = spark.createDataFrame([(r["length"], dealt(r["count"])) for r in lengths], "length long, salts long")
     salted = pieces.join(F.broadcast(salts), "length").withColumn("salt", F.pmod(F.xxhash64("row", "piece"), F.col("salts"))).select(*pieces.columns, "salt")
-    counted = salted.groupBy("length", "salt").count().collect()  # one number for each salt_rows pieces, and capacity more
+    counted = salted.groupBy("length", "salt").count().collect()  # a number for each salt_rows pieces, and at most FEW_SALTS for a length
     totals: dict[int, int] = defaultdict(int)
     bases = []
     for r in sorted(counted, key=lambda r: (r["length"], r["salt"])):
