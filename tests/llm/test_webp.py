@@ -51,3 +51,71 @@ def test_damaged_files_raise():
     for bad in (b"", good[:30], b"RIFF" + good[4:8] + b"WEBPVP8 " + good[16:]):
         with pytest.raises((ValueError, IndexError, __import__("struct").error)):
             webp.decode(bad)
+
+
+def both_ways(data):
+    """The pixels by whole arrays, after checking that they are those pixel by pixel."""
+    fast = webp.decode(data)
+    webp.BY_ARRAYS = False
+    try:
+        assert (webp.decode(data) == fast).all()
+    finally:
+        webp.BY_ARRAYS = True
+    return fast
+
+
+SAMPLES = {
+    "one value": b"a" * 576, "two values": b"ab" * 480, "repeated lines": (b"one line again\n" * 320)[:4608], "every byte": bytes(range(256)) * 9, "noise": bytes(np.random.default_rng(1).integers(0, 256, 3840, dtype=np.uint8)),
+    "a slope": bytes((i * 7) & 255 for i in range(5760)), "columns": bytes((r * 3 + c) % 251 for r in range(60) for c in range(192)), "packed": bytes(np.random.default_rng(2).integers(65, 75, 1920, dtype=np.uint8)),
+}
+
+
+@pytest.mark.parametrize("name", SAMPLES)
+def test_samples_come_back_by_both_decoders(name):
+    raw = SAMPLES[name]
+    pixels = both_ways(webp.encode_samples(np.frombuffer(raw, np.uint8), 192))
+    assert (pixels >> 24 == 255).all() and all(((pixels >> k) & 255).astype(np.uint8).tobytes() == raw for k in (0, 8, 16))
+
+
+def test_windows_and_long_copies(monkeypatch):
+    rng = np.random.default_rng(3)
+    block = rng.integers(32, 127, 7000, dtype=np.uint8)
+    raw = np.concatenate([block, block[100:6000], np.full(9000, 32, np.uint8), rng.integers(32, 127, 5000, dtype=np.uint8), block])
+    raw = np.concatenate([raw, np.full(-len(raw) % 192, 32, np.uint8)])
+    data = webp.encode_samples(raw, 192)
+    assert len(data) < 0.5 * len(raw)
+    whole = both_ways(data)
+    monkeypatch.setattr(webp, "WINDOW", 64)
+    assert (webp.decode(data) == whole).all() and (whole & 255).astype(np.uint8).tobytes() == raw.tobytes()
+
+
+def test_codings_are_chosen_where_they_help():
+    def transforms(raw):
+        """The transforms, and whether the codes are of one length."""
+        r, found = webp.BitReader(webp.encode_samples(np.frombuffer(raw, np.uint8), 192)[20:]), []
+        r.at = 8 + 28 + 4
+        while r.bits(1):
+            found.append(r.bits(2))
+            if found[-1] == webp.PALETTE:
+                webp._read_image(r, r.bits(8) + 1, 1, False)
+            elif found[-1] == webp.PREDICTOR:
+                webp._read_image(r, 1, -(-(len(raw) // 192) >> (r.bits(3) + 2)), False)
+        r.bits(2)
+        return found, webp._read_prefix(r, 280).flat_bits() is not None
+
+    assert transforms(SAMPLES["noise"]) == ([webp.PALETTE], True) and transforms(SAMPLES["two values"])[0] == [webp.PALETTE] and transforms(SAMPLES["repeated lines"] * 2)[1] is False
+    assert transforms(SAMPLES["a slope"]) == ([webp.PALETTE, webp.PREDICTOR], False)
+
+
+@pytest.mark.parametrize("mode", [1, 2])
+def test_one_sided_predictors_undone_by_sums(mode):
+    rng = np.random.default_rng(mode)
+    pixels = rng.integers(0, 1 << 32, (7, 9), dtype=np.uint32)
+    assert (both_ways(webp.encode(pixels, (webp.PREDICTOR,), mode=mode)) == pixels).all()
+
+
+def test_truncated_data_are_an_error():
+    data = bytearray(webp.encode_samples(np.frombuffer(SAMPLES["noise"], np.uint8), 192))
+    cut = bytes(data[: len(data) // 2])
+    with pytest.raises(ValueError):
+        webp.decode(cut)

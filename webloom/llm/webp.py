@@ -3,8 +3,15 @@
 The decoder reads every feature of the format: simple and normal prefix codes,
 meta prefix groups, back-references, the colour cache, and the predictor,
 cross-colour, subtract-green and palette (colour-indexing) transforms.  Images
-whose only coded channel has codes of one length, as ``encode_samples`` writes
-them, are unpacked by whole arrays; all others go pixel by pixel.
+with one group of codes and one coded channel, as ``encode_samples`` writes them,
+are decoded along a chain of code places that is worked out for all bits at once;
+back-references are copied as slices.  All others go pixel by pixel.
+
+``encode_samples`` writes a palette's indices in codes of one length, which unpack
+fastest, unless prefix codes of fitting lengths with back-references save a good
+part of that: then it takes a palette for up to 16 values and subtract-green for
+more, and by entropy the values or their residuals under a predictor (left or top).
+``encode`` takes any transforms, the colour cache included, pixel by pixel.
 
 Pixels are numpy uint32 ARGB.
 """
@@ -13,6 +20,8 @@ from __future__ import annotations
 
 import heapq
 import struct
+from collections import Counter
+from functools import lru_cache
 
 import numpy as np
 
@@ -30,6 +39,15 @@ NEAR_DISTANCES = (
     (-7, 4), (8, 1), (8, 2), (6, 6), (-6, 6), (8, 3), (5, 7), (-5, 7), (7, 5), (-7, 5), (8, 4), (6, 7), (-6, 7), (7, 6), (-7, 6), (8, 5), (7, 7), (-7, 7), (8, 6), (8, 7),
 )
 CACHE_MULTIPLIER = 0x1E35A7BD
+MOST_COPIED, MOST_BACK = 4096, (1 << 20) - 120
+
+#: Images are written in fitting codes where these are expected to take at most this share of codes of one length.
+SHARE = 0.6
+#: Least length of a back-reference that encode_samples looks for; bytes of image data that are decoded at a time.
+LEAST_COPIED = 16
+WINDOW = 1 << 15
+#: Whether images of one coded channel are decoded by whole arrays; tests compare both ways.
+BY_ARRAYS = True
 
 
 class BitReader:
@@ -76,16 +94,21 @@ def canonical(lengths: list[int]) -> dict[int, tuple[int, int]]:
     out, code, last = {}, 0, 0
     for n, s in sorted(used):
         code <<= n - last
-        out[s] = (int(f"{code:0{n}b}"[::-1], 2), n)
+        out[s] = (_REVERSED[code & 255] << 8 | _REVERSED[code >> 8 & 255]) >> 16 - n, n
         code, last = code + 1, n
     return out
 
 
+_REVERSED = [int(f"{k:08b}"[::-1], 2) for k in range(256)]
+
+
 class Prefix:
     """Decodes symbols; whole codes are looked up by as many bits as the longest has."""
 
-    def __init__(self, lengths: list[int]):
-        self.lengths = lengths
+    def __init__(self, lengths: list[int], lone: int | None = None):
+        self.lengths, self.lone = lengths, lone
+        if lone is not None:
+            return
         codes = canonical(lengths)
         if not codes:
             raise ValueError("a prefix code without symbols")
@@ -107,6 +130,17 @@ class Prefix:
         r.at += n
         return s
 
+    def arrays(self) -> tuple[np.ndarray, np.ndarray]:
+        """Symbol and code length by the next bits, as many as the longest code has."""
+        if self.lone is not None:
+            return np.full(1, self.lone, np.int32), np.zeros(1, np.int32)
+        most = max(n for _, n in self.codes.values())
+        symbols, lengths = np.zeros(1 << most, np.int32), np.zeros(1 << most, np.int32)
+        for s, (code, n) in self.codes.items():
+            symbols[code :: 1 << n] = s
+            lengths[code :: 1 << n] = n
+        return symbols, lengths
+
     def flat_bits(self) -> int | None:
         """The length of all codes if they have one and are symbols 0, 1, ... in order; 0 for symbol 0 alone."""
         if self.lone is not None:
@@ -119,9 +153,11 @@ def _read_prefix(r: BitReader, alphabet: int) -> Prefix:
     lengths = [0] * alphabet
     if r.bits(1):
         two, wide = r.bits(1), r.bits(1)
-        lengths[r.bits(8 if wide else 1)] = 1
-        if two:
-            lengths[r.bits(8)] = 1
+        first = r.bits(8 if wide else 1)
+        if not two:
+            return Prefix(lengths, first)
+        lengths[first] = 1
+        lengths[r.bits(8)] = 1
         return Prefix(lengths)
     of_lengths = [0] * 19
     for k in range(4 + r.bits(4)):
@@ -152,6 +188,67 @@ def _prefixed(r: BitReader, symbol: int) -> int:
     return ((2 + (symbol & 1)) << extra) + r.bits(extra) + 1
 
 
+def _copy_place(r: BitReader, symbol: int, distance: Prefix, width: int) -> tuple[int, int]:
+    """Length and distance of a back-reference whose length symbol was read."""
+    length = _prefixed(r, symbol - 256)
+    code = _prefixed(r, distance.read(r))
+    if code > 120:
+        return length, code - 120
+    dx, dy = NEAR_DISTANCES[code - 1]
+    return length, max(1, dx + dy * width)
+
+
+def _read_channel(r: BitReader, green: Prefix, distance: Prefix, total: int, width: int) -> np.ndarray:
+    """The green values of an image whose other channels take no bits.
+
+    For every bit of a window of the data: which symbol a code that begins there
+    gives, and where the next begins.  The literals of a window are the places on
+    the chain from the first; a back-reference or the window's end interrupts it.
+    """
+    symbols, lengths = green.arrays()
+    out, at = np.zeros(total, np.uint8), 0
+    while at < total:
+        first = r.at >> 3
+        part = np.frombuffer(r.data, np.uint8, offset=first, count=min(WINDOW, len(r.data) - first))
+        bits, last = 8 * len(part), first + len(part) == len(r.data)
+        padded = np.concatenate([part, np.zeros(2, np.uint8)]).astype(np.int32)
+        words = padded[:-2] | padded[1:-1] << 8 | padded[2:] << 16
+        ahead = ((words[:, None] >> np.arange(8, dtype=np.int32)) & (len(symbols) - 1)).ravel()
+        found = symbols[ahead]
+        following = np.arange(bits, dtype=np.int32) + lengths[ahead]
+        following[following > bits] = -2
+        following[found >= 256] = -1
+        if not last:
+            following[max(0, bits - 15) :] = -2
+        chain = [*following.tolist(), -2]
+        p = r.at - 8 * first
+        while at < total:
+            places: list[int] = []
+            add, now, left = places.append, chain[p], total - at
+            while now >= 0 and left:
+                add(p)
+                p, left = now, left - 1
+                now = chain[p]
+            if places:
+                out[at : at + len(places)] = found[places]
+                at += len(places)
+            r.at = 8 * first + p
+            if at == total or now == -2:
+                break
+            r.at += int(lengths[ahead[p]])
+            length, back = _copy_place(r, int(found[p]), distance, width)
+            if back > at or at + length > total:
+                raise ValueError("a back-reference outside the image")
+            out[at : at + length] = out[at - back : at - back + length] if back >= length else np.resize(out[at - back : at], length)
+            at += length
+            p = r.at - 8 * first
+            if p >= len(chain):
+                break
+        if at < total and last and (r.at - 8 * first >= bits or chain[r.at - 8 * first] == -2):
+            raise ValueError("the image data end early")
+    return out
+
+
 def _read_image(r: BitReader, width: int, height: int, main: bool) -> np.ndarray:
     cache_bits = r.bits(4) if r.bits(1) else 0
     cache = [0] * (1 << cache_bits) if cache_bits else []
@@ -165,7 +262,7 @@ def _read_image(r: BitReader, width: int, height: int, main: bool) -> np.ndarray
     groups = [[_read_prefix(r, n) for n in (280 + len(cache), 256, 256, 256, 40)] for _ in range(count)]
     total = width * height
     green, red, blue, alpha, _ = groups[0]
-    flat = green.flat_bits()
+    flat = green.flat_bits() if BY_ARRAYS else None
     if count == 1 and not cache and flat is not None and flat <= 8 and None not in (red.lone, blue.lone, alpha.lone):
         rest = alpha.lone << 24 | red.lone << 16 | blue.lone
         if flat == 0:
@@ -179,6 +276,9 @@ def _read_image(r: BitReader, width: int, height: int, main: bool) -> np.ndarray
         for k in range(flat):  # a code stands with its highest bit first
             value |= bits[k::flat].astype(np.uint32) << np.uint32(flat - 1 - k)
         return value << np.uint32(8) | np.uint32(rest)
+    if BY_ARRAYS and count == 1 and not cache and green.lone is None and None not in (red.lone, blue.lone, alpha.lone):
+        rest = alpha.lone << 24 | red.lone << 16 | blue.lone
+        return _read_channel(r, green, groups[0][4], total, width).astype(np.uint32) << np.uint32(8) | np.uint32(rest)
     out = [0] * total
     at, cached = 0, 0
     while at < total:
@@ -190,13 +290,7 @@ def _read_image(r: BitReader, width: int, height: int, main: bool) -> np.ndarray
             out[at] = group[3].read(r) << 24 | red << 16 | s << 8 | blue
             at += 1
         elif s < 280:
-            length = _prefixed(r, s - 256)
-            code = _prefixed(r, group[4].read(r))
-            if code > 120:
-                back = code - 120
-            else:
-                dx, dy = NEAR_DISTANCES[code - 1]
-                back = max(1, dx + dy * width)
+            length, back = _copy_place(r, s, group[4], width)
             if back > at or at + length > total:
                 raise ValueError("a back-reference outside the image")
             for _ in range(length):
@@ -261,9 +355,24 @@ def predicted(mode: int, x: int, y: int, width: int, out: list[int]) -> int:
     return {5: lambda: _mean(_mean(left, tr), t), 6: lambda: _mean(left, tl), 7: lambda: _mean(left, t), 8: lambda: _mean(tl, t), 9: lambda: _mean(t, tr), 10: lambda: _mean(_mean(left, tl), _mean(t, tr))}[mode]()
 
 
+def _undo_one_side(p: np.ndarray, width: int, height: int, mode: int) -> np.ndarray:
+    """The predictor by the left pixel (1) or the top one (2) undone by running sums; the first row goes by left, the first column by top, in both."""
+    diff = _bytes_of(p).reshape(height, width, 4).copy()
+    diff[0, 0, 3] = (int(diff[0, 0, 3]) + 255) & 255  # the first pixel is told from opaque black
+    if mode == 1:
+        diff[:, 0] = np.cumsum(diff[:, 0], axis=0, dtype=np.uint8)
+        out = np.cumsum(diff, axis=1, dtype=np.uint8)
+    else:
+        diff[0] = np.cumsum(diff[0], axis=0, dtype=np.uint8)
+        out = np.cumsum(diff, axis=0, dtype=np.uint8)
+    return np.ascontiguousarray(out).view("<u4").reshape(-1).astype(np.uint32)
+
+
 def _undo_predictor(p: np.ndarray, width: int, height: int, block: int, modes: np.ndarray) -> np.ndarray:
     diff, out, per_row = p.tolist(), [0] * len(p), -(-width >> block)
     kinds = ((modes >> 8) & 15).tolist()
+    if BY_ARRAYS and {*kinds} <= {1} or {*kinds} == {2}:
+        return _undo_one_side(p, width, height, kinds[0])
     for y in range(height):
         for x in range(width):
             at = y * width + x
@@ -356,7 +465,16 @@ def _container(image: bytes) -> bytes:
 
 
 def _put_lengths(w: BitWriter, lengths: list[int]) -> None:
-    """A normal prefix code; runs of zeros are shortened."""
+    w.put(*_described(tuple(lengths)))
+
+
+@lru_cache(1024)
+def _described(lengths: tuple[int, ...]) -> tuple[int, int]:
+    """A prefix code's description (bits, their number): simple for one symbol, else its code lengths, runs of zeros shortened."""
+    w, used = BitWriter(), [s for s, n in enumerate(lengths) if n]
+    if len(used) == 1 and used[0] < 256:
+        _put_lone(w, used[0])
+        return w.value, w.n
     tokens: list[tuple[int, int, int]] = []  # symbol, extra bits, their number
     at = 0
     while at < len(lengths):
@@ -392,14 +510,104 @@ def _put_lengths(w: BitWriter, lengths: list[int]) -> None:
         w.put(*codes[symbol])
         if bits:
             w.put(extra, bits)
+    return w.value, w.n
+
+
+def _put_lone(w: BitWriter, symbol: int) -> None:
+    w.put(0b101, 3)  # simple, one symbol, given by eight bits
+    w.put(symbol, 8)
+
+
+def _header(w: BitWriter, width: int, height: int) -> None:
+    w.put(0x2F, 8)
+    w.put(width - 1, 14)
+    w.put(height - 1, 14)
+    w.put(0, 4)
+
+
+def _copies(values: np.ndarray) -> tuple[list[int], list[int], list[int]]:
+    """Starts, lengths and distances of back-references, greedily from the front: to the last place of LEAST_COPIED equal values."""
+    n = len(values) - LEAST_COPIED + 1
+    if n <= 1:
+        return [], [], []
+    x = values.astype(np.uint64)
+    eight = x[: len(x) - 7].copy()
+    for k in range(1, 8):
+        eight |= x[k : len(x) - 7 + k] << np.uint64(8 * k)
+    with np.errstate(over="ignore"):
+        key = eight[:n] * np.uint64(0x9E3779B97F4A7C15) ^ eight[8 : 8 + n]
+    order = np.argsort(key, kind="stable")
+    same = key[order[1:]] == key[order[:-1]]
+    before = np.full(n, -1, np.int64)
+    before[order[1:][same]] = order[:-1][same]
+    candidates = np.flatnonzero(before >= 0)
+    starts, lengths, distances, cursor, at = [], [], [], 0, 0
+    while True:
+        at = int(np.searchsorted(candidates, cursor))
+        if at == len(candidates):
+            return starts, lengths, distances
+        i = int(candidates[at])
+        j = int(before[i])
+        most = min(MOST_COPIED, len(values) - i)
+        unlike = np.flatnonzero(values[i : i + most] != values[j : j + most])
+        length = int(unlike[0]) if len(unlike) else most
+        if length < LEAST_COPIED or i - j > MOST_BACK:  # another text of the same key
+            cursor = i + 1
+            continue
+        starts.append(i)
+        lengths.append(length)
+        distances.append(i - j)
+        cursor = i + length
+
+
+def _coded(values: np.ndarray, copies: tuple[list[int], list[int], list[int]]) -> tuple[BitWriter, np.ndarray, np.ndarray]:
+    """Prefix codes and back-references for one channel: the codes' description, and the pieces of the data (value, bits), least bit first."""
+    starts, lengths, distances = copies
+    literal = _literals(len(values), copies)
+    by_length, by_distance = [_as_prefix(n) for n in lengths], [_as_prefix(d + 120) for d in distances]
+    counts = dict(enumerate(np.bincount(values[literal], minlength=256).tolist()))
+    for s, _, _ in by_length:
+        counts[256 + s] = counts.get(256 + s, 0) + 1
+    of_distance: dict[int, int] = {}
+    for s, _, _ in by_distance:
+        of_distance[s] = of_distance.get(s, 0) + 1
+    green, distance = _lengths_for(counts, 280), _lengths_for(of_distance, 40)
+    w = BitWriter()
+    _put_lengths(w, green)
+    for lone in (0, 0):
+        _put_lone(w, lone)
+    codes, far = canonical(green), canonical(distance)
+    table = np.zeros((2, 256), np.int64)
+    for s, (code, n) in codes.items():
+        if s < 256:
+            table[:, s] = code, n
+    # One piece for each literal, four for each back-reference, in the order of their places.
+    place = np.flatnonzero(literal)
+    pieces = [(4 * place, table[0][values[place]], table[1][values[place]])]
+    if starts:
+        first = 4 * np.array(starts, np.int64)
+        parts = ([codes[256 + s] for s, _, _ in by_length], [(e, n) for _, e, n in by_length], [far[s] for s, _, _ in by_distance], [(e, n) for _, e, n in by_distance])
+        pieces += [(first + k, *np.array(part, np.int64).T) for k, part in enumerate(parts)]
+    order = np.argsort(np.concatenate([x[0] for x in pieces]), kind="stable")
+    return (w, distance), np.concatenate([x[1] for x in pieces])[order], np.concatenate([x[2] for x in pieces])[order]
+
+
+def _literals(n: int, copies: tuple[list[int], list[int], list[int]]) -> np.ndarray:
+    """Which of n places no back-reference covers."""
+    out = np.ones(n, bool)
+    for i, length in zip(copies[0], copies[1]):
+        out[i : i + length] = False
+    return out
+
+
+def _expected(values: np.ndarray, copies: tuple[list[int], list[int], list[int]]) -> float:
+    """About how many bits the values take in fitting codes with these back-references (30 bits each) and a table of codes."""
+    left = values[_literals(len(values), copies)]
+    return 300 + 30 * len(copies[0]) + (_entropy(left) if len(left) else 0.0)
 
 
 def _put_flat(w: BitWriter, bits: int) -> None:
     """The prefix code of symbols 0 .. 2**bits - 1, all of this length."""
-    if bits == 0:
-        w.put(0b001, 3)  # simple, one symbol, given by one bit
-        w.put(0, 1)
-        return
     w.put(0, 1)
     n = max(4, 1 + CODE_LENGTH_ORDER.index(bits))
     w.put(n - 4, 4)
@@ -410,79 +618,112 @@ def _put_flat(w: BitWriter, bits: int) -> None:
     w.put((1 << bits) - 2, 8)
 
 
-def _put_lone(w: BitWriter, symbol: int) -> None:
-    w.put(0b101, 3)  # simple, one symbol, given by eight bits
-    w.put(symbol, 8)
+def _bits_of_pieces(values: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """The pieces' bits in a row."""
+    ends = np.cumsum(bits)
+    total = int(ends[-1]) if len(ends) else 0
+    return ((np.repeat(values, bits) >> (np.arange(total) - np.repeat(ends - bits, bits))) & 1).astype(np.uint8)
 
 
-def _header(w: BitWriter, width: int, height: int) -> None:
-    w.put(0x2F, 8)
-    w.put(width - 1, 14)
-    w.put(height - 1, 14)
-    w.put(0, 4)
+def _entropy(values: np.ndarray) -> float:
+    """Bits that the values take in a code of their own, about."""
+    counts = np.bincount(values, minlength=256)
+    counts = counts[counts > 0]
+    return float(-(counts * np.log2(counts / len(values))).sum())
+
+
+def _residual(index: np.ndarray, width: int, mode: int) -> np.ndarray:
+    """What a predictor by the left (1) or the top (2) leaves of one channel."""
+    rows = index.reshape(-1, width)
+    out = rows.copy()
+    if mode == 1:
+        out[:, 1:] -= rows[:, :-1]
+        out[1:, 0] -= rows[:-1, 0]
+    else:
+        out[1:] -= rows[:-1]
+        out[0, 1:] -= rows[0, :-1]
+    return out.reshape(-1)
+
+
+def _put_palette(w: BitWriter, present: np.ndarray) -> None:
+    """The palette transform for these grey values."""
+    w.put(1, 1)
+    w.put(PALETTE, 2)
+    w.put(len(present) - 1, 8)
+    steps = np.diff(present, prepend=0).tolist()  # grey: the same step in each colour, alpha 255 once
+    w.put(0, 1)
+    lengths = _lengths_for(Counter(steps), 280)
+    for alphabet in (280, 256, 256):
+        _put_lengths(w, lengths[:alphabet])
+    codes = canonical(lengths)
+    alpha = _lengths_for({255: 1, 0: len(steps) - 1}, 256)
+    _put_lengths(w, alpha)
+    of_alpha = canonical(alpha)
+    _put_lone(w, 0)
+    for k, s in enumerate(steps):
+        for _ in range(3):
+            w.put(*codes[s])
+        w.put(*of_alpha[255 if k == 0 else 0])
 
 
 def encode_samples(samples: np.ndarray, width: int) -> bytes:
-    """Grey 8-bit samples as palette image: the indices of the values present, packed, in codes of one length."""
-    height = len(samples) // width
-    present = np.flatnonzero(np.bincount(samples, minlength=256))
+    """Grey 8-bit samples without loss, in codes of one length or, where that saves enough, in fitting ones with back-references."""
+    height, coded = len(samples) // width, width
+    present = _used(samples)
     lookup = np.zeros(256, np.uint8)
     lookup[present] = np.arange(len(present))
-    index, coded = lookup[samples], width
-    bundle = _bundle_bits(len(present))
-    bits = max(1, int(len(present) - 1).bit_length())
-    if bundle:
+    index, flat = lookup[samples], max(1, int(len(present) - 1).bit_length())
+    if bundle := _bundle_bits(len(present)):
         per, each = 1 << bundle, 8 >> bundle
-        coded = -(-width // per)
+        coded, flat = -(-width // per), 8
         padded = np.zeros((height, coded * per), np.uint8)
         padded[:, :width] = index.reshape(height, width)
         index = sum((padded[:, k::per] << (each * k)).astype(np.uint8) for k in range(per)).astype(np.uint8).reshape(-1)
-        bits = 8
     w = BitWriter()
     _header(w, width, height)
-    w.put(1, 1)
-    w.put(PALETTE, 2)
-    w.put(len(present) - 1, 8)
-    steps = np.diff(present, prepend=0).tolist()  # grey: the same step in each colour, alpha 255 once
-    w.put(0, 1)
-    distinct = sorted({*steps})
-    if len(distinct) <= 1:
-        for _ in range(3):
-            _put_lone(w, distinct[0])
-        codes = {distinct[0]: (0, 0)}
-    else:
-        flat = (len(distinct) - 1).bit_length()
-        short = (1 << flat) - len(distinct)
-        own = {s: flat - (k < short) for k, s in enumerate(distinct)}
-        for alphabet in (280, 256, 256):
-            _put_lengths(w, [own.get(s, 0) for s in range(alphabet)])
-        codes = canonical([own.get(s, 0) for s in range(256)])
-    if len(steps) == 1:
-        _put_lone(w, 255)
-        alpha = {255: (0, 0)}
+    # The indices themselves, or what a predictor leaves of them; its copies are looked for only where it is better without any.
+    plain = _entropy(index)
+    mode, left = min(((m, _residual(index, coded, m)) for m in (1, 2)), key=lambda x: _entropy(x[1]))
+    values, mode = (left, mode) if _entropy(left) < plain - 200 else (index, 0)
+    copies = _copies(values)
+    if _expected(values, copies) < SHARE * flat * len(index):
+        body = _put_fitting(w, samples if not bundle and not mode else values, present, bundle, mode, coded, height, copies)
     else:
-        w.put(0b111, 3)  # simple, two symbols of eight bits
-        w.put(0, 8)
-        w.put(255, 8)
-        alpha = {0: (0, 1), 255: (1, 1)}
-    _put_lone(w, 0)
-    for k, s in enumerate(steps):
-        for _ in range(3):
-            w.put(*codes[s])
-        w.put(*alpha[255 if k == 0 else 0])
-    w.put(0, 1)  # no further transform
-    w.put(0, 1)  # no colour cache
-    w.put(0, 1)  # one group of codes
-    _put_flat(w, bits)
-    _put_lone(w, 0)
-    _put_lone(w, 0)
-    _put_lone(w, 255)
-    _put_lone(w, 0)
+        _put_palette(w, present)
+        w.put(0, 3)  # no further transform, no colour cache, one group of codes
+        _put_flat(w, flat)
+        for lone in (0, 0, 255, 0):
+            _put_lone(w, lone)
+        body = np.unpackbits(index[:, None], axis=1, bitorder="big")[:, 8 - flat :].reshape(-1)
     head = np.unpackbits(np.frombuffer(w.bytes(), np.uint8), bitorder="little")[: w.n]
-    body = np.unpackbits(index[:, None], axis=1, bitorder="big")[:, 8 - bits :].reshape(-1)
     return _container(np.packbits(np.concatenate([head, body]), bitorder="little").tobytes())
 
 
+def _put_fitting(w: BitWriter, values: np.ndarray, present: np.ndarray, bundle: int, mode: int, coded: int, height: int, copies: tuple[list[int], list[int], list[int]]) -> np.ndarray:
+    """Transforms, codes and (returned) data bits: grey samples by subtract-green, which leaves the green channel alone, or palette indices, under a predictor if there is a mode."""
+    if bundle or mode:
+        _put_palette(w, present)
+    else:
+        w.put(1, 1)
+        w.put(SUBTRACT_GREEN, 2)
+    if mode:
+        w.put(1, 1)
+        w.put(PREDICTOR, 2)
+        w.put(7, 3)  # blocks of 512 pixels
+        _put_image(w, np.full((-(-coded >> 9)) * (-(-height >> 9)), mode << 8, np.uint32), False)
+    w.put(0, 3)  # no further transform, no colour cache, one group of codes
+    (codes, distance), data, bits = _coded(values, copies)
+    w.value |= codes.value << w.n
+    w.n += codes.n
+    _put_lone(w, 0 if mode else 255)
+    _put_lengths(w, distance)
+    return _bits_of_pieces(data, bits)
+
+
+def _used(values: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.bincount(values, minlength=256))
+
+
 def _lengths_for(counts: dict[int, int], alphabet: int) -> list[int]:
     """Huffman code lengths of at most 15; counts are halved until they fit."""
     lengths = [0] * alphabet
