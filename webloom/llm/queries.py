@@ -17,11 +17,12 @@ from .op08_quality import op8_nbsvm_quality
 from .op09_pii import op9_bootstrapped_pii
 from .op10_packing import op10_best_fit_packing
 from .op11_schema import op11_nested_schema
+from .op12_spelling import op12_spelling_variants
 from .op13_secrets import op13_trigram_secrets
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_token_store, op2_style_tree_text, op3_webp_media, op4_weak_toxicity, op5_bpe_roundtrip, op6_learned_partition_ann, op7_ngram_jaccard_join, op8_nbsvm_quality, op9_bootstrapped_pii, op10_best_fit_packing, op11_nested_schema, op13_trigram_secrets)
+    found = (op1_token_store, op2_style_tree_text, op3_webp_media, op4_weak_toxicity, op5_bpe_roundtrip, op6_learned_partition_ann, op7_ngram_jaccard_join, op8_nbsvm_quality, op9_bootstrapped_pii, op10_best_fit_packing, op11_nested_schema, op12_spelling_variants, op13_trigram_secrets)
     return {f.__name__: f for f in found}
 
 
