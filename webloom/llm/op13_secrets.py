@@ -45,22 +45,28 @@ class Rule:
     group: int = 0
 
 
+def _any_case(word: str) -> str:
+    return "".join(f"[{x.upper()}{x}]" if x.isalpha() else x for x in word)
+
+
+_NAMES = "|".join(map(_any_case, ("password", "passwd", "secret", "token", "api_?key")))
 BASE = (
-    Rule("assign", r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 12, 2),
+    Rule("assign", rf"""({_NAMES})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 12, 2),
     Rule("access", r"AKIA[A-Z0-9]+", 18),
     Rule("hex", r"[0-9a-f]+", 16),
 )
+#: Written so that other engines read them alike: no look-around, ASCII classes.
 ADDED = (
     Rule("private_key", r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----"),
-    Rule("hub_token", r"(?<![A-Za-z0-9])gh[pousr]_[A-Za-z0-9]{36,}"),
-    Rule("lab_token", r"(?<![A-Za-z0-9])glpat-[A-Za-z0-9_-]{20,}"),
-    Rule("chat_token", r"(?<![A-Za-z0-9])xox[abeoprs]-[A-Za-z0-9-]{10,}"),
-    Rule("cloud_key", r"(?<![A-Za-z0-9])AIza[A-Za-z0-9_-]{35}"),
-    Rule("payment_key", r"(?<![A-Za-z0-9])[rs]k_(?:live|test)_[A-Za-z0-9]{16,}"),
-    Rule("web_token", r"(?<![A-Za-z0-9])eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
-    Rule("package_token", r"(?<![A-Za-z0-9])npm_[A-Za-z0-9]{36}"),
-    Rule("bearer", r"(?ai:bearer)\x20+[A-Za-z0-9+/_.~-]{20,}=*"),
-    Rule("url_login", r"(?<![A-Za-z0-9])[a-z][a-z0-9+.-]{1,20}://[^\s/@:\"'<>]{1,64}:[^\s/@\"'<>]{3,128}@"),
+    Rule("hub_token", r"gh[pousr]_[A-Za-z0-9]{36,}"),
+    Rule("lab_token", r"glpat-[A-Za-z0-9_-]{20,}"),
+    Rule("chat_token", r"xox[abeoprs]-[A-Za-z0-9-]{10,}"),
+    Rule("cloud_key", r"AIza[A-Za-z0-9_-]{35}"),
+    Rule("payment_key", r"[rs]k_(?:live|test)_[A-Za-z0-9]{16,}"),
+    Rule("web_token", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
+    Rule("package_token", r"npm_[A-Za-z0-9]{36}"),
+    Rule("bearer", rf"{_any_case('bearer')}\x20+[A-Za-z0-9+/_.~-]{{20,}}=*"),
+    Rule("url_login", r"[a-z][a-z0-9+.-]{1,20}://[A-Za-z0-9._~%!$&*+-]{1,64}:[A-Za-z0-9._~%!$&*+:#?-]{3,128}@"),
 )
 RULES = BASE + ADDED
 SEGMENT_ROWS, SEGMENT_BYTES = 4_000, 8 << 20
