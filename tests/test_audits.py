@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from webloom.operators import advisor, checks, compare, crawler, crawlpage, detection, graph, headers, modules, providers, report, rollups, style
-from webloom.sources import documents, sinks
+from webloom.sources import documents, sinks, stores
 
 SHOP = (
     "<html><head><title>Blue  lamp | Lights&Co</title><meta property='og:type' content='product'><meta property='og:image' content='/lamp.png'><meta name='description' content=\"Joe's lamp\"></head><body><h1>Blue <b>lamp</b></h1>"
@@ -164,7 +164,7 @@ def test_sinks(spark, tmp_path):
     pages = spark.createDataFrame([("u", 200, 0, "<a href='x'>", 1), ("u", 404, 1, "", 2), ("v/../w", 200, 1, "<p>", 3)], "url string, status int, depth int, html string, ordinal int")
     links = spark.createDataFrame([("u", "v")], "source string, target string")
     sinks.crawl_store(pages, links, spark.createDataFrame([("u",), ("u",), (None,)], "url string"), {"start": "u"}, str(tmp_path / "store"))
-    rows = {r["url"]: (r["status"], r["in_sitemap"]) for r in spark.read.parquet(str(tmp_path / "store/pages")).collect()}
+    rows = {r["url"]: (r["status"], r["in_sitemap"]) for r in stores.read(spark, str(tmp_path / "store/pages")).collect()}
     assert rows == {"u": (404, 1), "v/../w": (200, 0)}
     document = json.loads(sinks.scores_document(spark.createDataFrame([("P1", "b"), ("P0", "a"), ("P1", "c")], "priority string, title string"), "ga", 2).first()["document"])
     assert [f["title"] for f in document["findings"]] == ["a", "b"] and document["summary"]["P1"] == 2 and document["module_scores"] == {"ga": {"findings": 3}}

@@ -75,7 +75,7 @@ def test_state_machine(spark):
         "a": ("open", "still_open"), "b": ("resolved", "resolved"), "c": ("open", "skipped"), "d": ("open", "reopened"), "e": ("wontfix", "kept"), "f": ("open", "new"),
     }
     assert out["a"]["priority"] == "P0" and out["d"]["priority"] == "P1"  # an empty priority doesn't overwrite
-    assert out["b"]["resolved_at"] == "t1" and out["d"]["note"].startswith("Regression") and out["f"]["first_seen"] == "t1"
+    assert out["b"]["resolved_at"] == "t1" and out["d"]["notes"][-1]["text"].startswith("Regression") and out["f"]["first_seen"] == "t1"
 
 
 def test_redirect_loops_end(spark):

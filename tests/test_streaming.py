@@ -1,29 +1,63 @@
-"""Findings that arrive as files are merged into versions of the state."""
+"""Runs that arrive as events are kept as keyed state, read back by the state data source, and equal the batch merge."""
 
-from webloom.streaming.findings import merge_stream, stored_state
+import random
 
-STATE = "id string, module string, title string, priority string, status string, first_seen string, last_seen string, resolved_at string, note string"
-SCHEMA = "id string, module string, title string, priority string"
+from webloom.operators import state
+from webloom.streaming import findings as stream
 
+FINDING = "id string, module string, title string, priority string, description string, fix string, effort string"
 
-def run(spark, tmp_path, batches, scanned=None):
-    arrive, state = str(tmp_path / "in"), str(tmp_path / "state")
-    for rows in batches:
-        spark.createDataFrame(rows, SCHEMA).coalesce(1).write.mode("append").parquet(arrive)
-        query = merge_stream(spark.readStream.schema(SCHEMA).parquet(arrive), state, str(tmp_path / "checkpoint"), lambda n: f"t{n}", STATE, scanned)
-        query.awaitTermination()
-        assert query.exception() is None
-    return {r["id"]: (r["status"], r["priority"], r["first_seen"], r["last_seen"]) for r in stored_state(spark, state, STATE).collect()}
 
+def arrive(spark, tmp_path, runs, apart=True):
+    """Runs (findings, scanned) as files, taken one batch each or all in one."""
+    for k, (rows, scanned) in enumerate(runs):
+        stream.events(spark.createDataFrame(rows, FINDING), scanned, k, f"t{k}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        if apart or k == len(runs) - 1:
+            query = stream.merge_stream(spark.readStream.schema(stream.EVENTS).parquet(str(tmp_path / "in")), str(tmp_path / "punch"))
+            query.awaitTermination()
+            assert query.exception() is None
+    return sorted(map(tuple, stream.stored_state(spark, str(tmp_path / "punch")).collect()))
 
-def test_two_batches(spark, tmp_path):
-    got = run(spark, tmp_path, ([("a", "seo", "A", "P1"), ("b", "seo", "B", "P2")], [("a", "seo", "A", "P0"), ("a", "seo", "A again", "P3")]))
-    assert got == {"a": ("open", "P0", "t0", "t1"), "b": ("resolved", "P2", "t0", "t0")}
 
+def in_batch(spark, runs):
+    now = spark.createDataFrame([], state.STATE)
+    for k, (rows, scanned) in enumerate(runs):
+        looked = spark.createDataFrame([(m,) for m in scanned], "module string")
+        now = state.merge(now, state.first_by_id(spark.createDataFrame(rows, FINDING), "title"), looked, f"t{k}").drop("event")
+        now = spark.createDataFrame(now.collect(), state.STATE)
+    return sorted(map(tuple, now.collect()))
 
-def test_a_scanned_module_without_findings_resolves_its_own(spark, tmp_path):
-    batches = ([("a", "seo", "A", "P1"), ("b", "links", "B", "P2"), ("c", "pwa", "C", "P3")], [("b", "links", "B", "P2")])
-    got = run(spark, tmp_path, batches, lambda n: ("seo", "links"))
-    assert got == {"a": ("resolved", "P1", "t0", "t0"), "b": ("open", "P2", "t0", "t1"), "c": ("open", "P3", "t0", "t0")}
-    changed = {r["id"] for r in spark.read.parquet(str(tmp_path / "state" / "v=1")).collect()}
-    assert changed == {"a", "b"}  # what didn't change isn't written again
+
+RUNS = [
+    ([("a", "seo", "A", "P1", "first", "do", "S"), ("b", "links", "B", "P2", "", "", ""), ("c", "pwa", "C", "P3", None, None, None)], ["seo", "links", "pwa"]),
+    ([("b", "links", "B", "P0", "more", "", "M"), ("b", "links", "B again", "P3", "", "", "")], ["seo", "links"]),
+    ([("a", "seo", "A", "", "later", "", "")], ["seo"]),
+]
+
+
+def test_runs_give_the_batch_merge(spark, tmp_path):
+    got = arrive(spark, tmp_path, RUNS)
+    assert got == in_batch(spark, RUNS)
+    items = {r[0]: r for r in got}
+    assert items["a"][3:8] == ("P1", "later", "do", "S", "open") and [n["text"] for n in items["a"][11]] == [state.ABSENT, state.REAPPEARED] and [n["at"] for n in items["a"][11]] == ["t1", "t2"]
+    assert items["b"][3:9] == ("P0", "more", None, "M", "open", "t0") and items["c"][7] == "open"
+    told = {(r["run"], r["id"]): r["event"] for r in spark.read.parquet(str(tmp_path / "punch" / "changes")).collect()}
+    assert told == {(0, "a"): "new", (0, "b"): "new", (0, "c"): "new", (1, "a"): "resolved", (1, "b"): "still_open", (2, "a"): "reopened"}
+    before = {r["id"]: r["status"] for r in stream.stored_state(spark, str(tmp_path / "punch"), 2).collect()}
+    assert before == {"a": "resolved", "b": "open", "c": "open"}
+
+
+def test_runs_of_one_batch_are_taken_in_order(spark, tmp_path):
+    draw = random.Random(3)
+    runs = []
+    for _ in range(6):
+        rows = [(f"{m}{i}", m, f"T{i}", draw.choice(["P0", "P1", ""]), draw.choice(["", "x", "y"]), "", "") for m in ("seo", "pwa") for i in range(12) if draw.random() < 0.6]
+        runs.append((rows, draw.sample(["seo", "pwa", "links"], 2)))
+    assert arrive(spark, tmp_path, runs, apart=False) == in_batch(spark, runs)
+
+
+def test_state_grows_by_keys_not_by_batches(spark, tmp_path):
+    runs = [RUNS[0]] * 5
+    arrive(spark, tmp_path, runs)
+    rows = spark.read.format("statestore").option("stateVarName", "items").load(str(tmp_path / "punch" / "checkpoint"))
+    assert rows.count() == 3

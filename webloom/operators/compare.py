@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources import stores
+
 # Body words up to which a served page is a shell, and from which a rendered one is a page; what may be missing, in order.
 SHELL_WORDS, PAGE_WORDS = 50, 100
 MISSING = {"content_client_only": "body content", "title_client_only": "title", "meta_description_client_only": "meta description", "canonical_client_only": "canonical", "h1_client_only": "H1", "structured_data_client_only": "structured data"}
@@ -39,9 +41,16 @@ def against_baseline(now: DataFrame, before: DataFrame, key: str = "name", pixel
     return now.join(old, key, "left").select(key, F.when(F.col("_before").isNull(), F.lit(NEW)).otherwise(pixel_difference(F.col("_before"), F.col(pixels))).alias("difference"))
 
 
-def rotated(current: DataFrame, baseline: DataFrame, key: str = "name") -> DataFrame:
-    """The baseline after a run: every current picture, and nothing else of the run before."""
-    return current.select(*baseline.columns) if set(baseline.columns) <= set(current.columns) else current
+def rotated(current: DataFrame, folder: str) -> DataFrame:
+    """Saves current pictures (name, pixels) as the next baseline and compares them with the one before: name, difference.
+
+    What was the baseline stays as the version before; the first run is all new.
+    """
+    spark = current.sparkSession
+    version = stores.replace(current, folder)
+    now = stores.read(spark, folder, version)
+    before = stores.read(spark, folder, version - 1) if version > 1 else now.limit(0)
+    return against_baseline(now, before)
 
 
 def side_by_side(rows: DataFrame, site: str, measure: str, value: str, sites: list[str]) -> DataFrame:

@@ -259,11 +259,12 @@ CASE WHEN s.id IS NULL THEN 'new' WHEN c.id IS NOT NULL AND s.status = 'resolved
 FROM ({STATE}) s FULL JOIN ({CURRENT}) c ON c.id = s.id"""
 
 
-def merged(spark, sf_dir):
+def merged(spark, sf_dir, before=None):
+    """The current findings merged into a state, the snapshot by default."""
     pages = table(spark, sf_dir, "pages")
     read = lambda sql: spark.sql(sql.replace("FROM pages", "FROM {t}").replace("VARCHAR(200)", "STRING"), t=pages)
     scanned = spark.createDataFrame([("m0",), ("m1",), ("m2",), ("m3",)], "module string")
-    return state.merge(read(STATE), read(CURRENT), scanned, "2024-02-01")
+    return state.merge(read(STATE) if before is None else before, read(CURRENT), scanned, "2024-02-01")
 
 
 @query("punch_merge", MERGED)

@@ -2,19 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import safe_file_name
+from . import stores
 
 
-def crawl_store(pages: DataFrame, links: DataFrame, sitemap: DataFrame, meta: dict[str, str], folder: str) -> None:
-    """pages (the last row of each url, by ``ordinal`` where there is one, with in_sitemap), links and meta, replacing what was there."""
-    order = F.desc("ordinal") if "ordinal" in pages.columns else F.lit(0)
-    last = pages.withColumn("_place", F.row_number().over(Window.partitionBy("url").orderBy(order))).filter("_place = 1").drop("_place")
-    with_sitemap(last, sitemap).write.mode("overwrite").parquet(f"{folder}/pages")
-    links.write.mode("overwrite").parquet(f"{folder}/links")
-    pages.sparkSession.createDataFrame(sorted(meta.items()), "key string, value string").write.mode("overwrite").parquet(f"{folder}/meta")
+def crawl_store(pages: DataFrame, links: DataFrame, sitemap: DataFrame, meta: dict[str, str], folder: str) -> int:
+    """A crawl put into a store of tables that grow: pages, links, meta; the number of the crawl.
+
+    pages replace those of their url (within the crawl the last by ``ordinal``, where
+    there is one), with in_sitemap; links are appended with their crawl; of a meta key
+    the last crawl's value holds.  Only buckets of urls that the crawl saw are rewritten.
+    """
+    order = F.desc("ordinal") if "ordinal" in pages.columns else None
+    crawl = stores.upsert(with_sitemap(pages, sitemap), f"{folder}/pages", ["url"], order)
+    stores.append(links.withColumn("crawl", F.lit(crawl)), f"{folder}/links")
+    stores.upsert(pages.sparkSession.createDataFrame(sorted(meta.items()), "key string, value string"), f"{folder}/meta", ["key"], buckets=1)
+    return crawl
 
 
 def with_sitemap(pages: DataFrame, sitemap: DataFrame) -> DataFrame:
@@ -40,9 +46,14 @@ def by_site(documents: DataFrame, folder: str, name: str = "name") -> None:
     rows.select(name, "site").write.mode("overwrite").json(f"{folder}/portfolio_summary")
 
 
-def saved(state: DataFrame, folder: str) -> None:
-    """A state or history table as the one that the next run reads."""
-    state.write.mode("overwrite").parquet(folder)
+def saved(state: DataFrame, folder: str) -> int:
+    """A state or history table as the next version of the one that the next run reads, which may be the one it was made from."""
+    return stores.replace(state, folder)
+
+
+def loaded(spark: SparkSession, folder: str, schema: str, version: int | None = None) -> DataFrame:
+    """The state that was saved last, or as of a version; empty before the first."""
+    return stores.read(spark, folder, version) if stores.versions(spark, folder) else spark.createDataFrame([], schema)
 
 
 def html_manifest(pages: DataFrame, folder: str) -> DataFrame:
