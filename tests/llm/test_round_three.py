@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import html.parser
 import itertools
 import json
 import os
@@ -14,6 +15,8 @@ import numpy as np
 import pytest
 
 from tests.llm.test_operators import documents
+from webloom.llm import op02_style_tree as op2
+from webloom.llm import op06_ann as op6
 from webloom.llm import op11_schema as op11
 from webloom.llm import op12_spelling as op12
 from webloom.llm import op13_secrets as op13
@@ -287,3 +290,76 @@ def test_one_index_serves_other_rules(spark):
     assert len(met) == 1 and met[0]["rules"] == 1  # the comma breaks "o w"; rules without trigrams ask for nothing
     got = {r["doc_id"]: [tuple(s) for s in r["spans"]] for r in op13.find(docs, index, rules).collect()}
     assert got == {0: [(4, 0, 15)], 1: [], 2: [(0, 1, 1)]}
+
+
+# --- op2, op6 ----------------------------------------------------------------
+
+
+def article(inner):
+    return op2.extract(f"<html><body><nav><a href=/>home</a></nav><article>{inner}</article><footer>end</footer></body></html>")
+
+
+def test_no_text_is_lost_to_markup():
+    assert article("<p title=it's>One here.</p><p>Don't lose this two.</p><p>Three isn't lost.</p>") == "One here.\nDon't lose this two.\nThree isn't lost."
+    assert article("<p>A</p><!--><p>B</p><!---><p>C</p><!-- no --!><p>D</p><!-- - -- > --><p>E</p>") == "A\nB\nC\nD\nE"
+    assert article("<p class='comment-on-law'>Law.</p><p class='story-legal'>Legal.</p><p class=share>Share</p><p class=newsletter-signup>Join</p>") == "Law.\nLegal."
+    assert article("<p data-x=\"a>b\" title='c > d'>E</p><p =x>F</p><p a=\"unclosed>G</p><br/><p class=a/>H</p>") == "E\nF\nG\nH"
+    assert article("<p>1 < 2 & 3 > 2</p><p>a <3 b</p><script>x</script y><p>after</p>") == "1 < 2 & 3 > 2\na <3 b\nafter"
+
+
+class ArticleText(html.parser.HTMLParser):
+    """The words in article elements, scripts and the like left out."""
+
+    def __init__(self):
+        super().__init__()
+        self.depth = self.hidden = 0
+        self.words = collections.Counter()
+
+    def handle_starttag(self, tag, attributes):
+        self.depth += tag == "article"
+        self.hidden += tag in op2.TEMPLATE_TAGS | op2.NO_TEXT - op2.VOID and not (tag == "header")
+
+    def handle_endtag(self, tag):
+        self.depth -= tag == "article"
+        self.hidden -= tag in op2.TEMPLATE_TAGS | op2.NO_TEXT - op2.VOID and not (tag == "header")
+
+    def handle_data(self, data):
+        if self.depth and not self.hidden:
+            self.words.update(data.split())
+
+
+def test_articles_of_the_given_pages_lose_no_word(spark):
+    rows = spark.read.parquet(f"{DIR}/pages.parquet").select("page_id", "url", "html")
+    texts = {r["page_id"]: collections.Counter(r["text"].split()) for r in op2.main_texts(rows).collect()}
+    whole = 0
+    for row in rows.collect():
+        if "<article" in (row["html"] or "") and not re.search("class|role|hidden|style=|id=", row["html"].split("<article", 1)[1].split("</article")[0].split(">", 1)[1]):
+            plain = ArticleText()
+            plain.feed(row["html"])
+            assert not plain.words - texts[row["page_id"]], row["page_id"]
+            whole += 1
+    assert whole >= 0
+
+
+def test_names_lower_but_the_sum_cuts(spark):
+    draw = random.Random(11)
+    word = lambda: "".join(draw.choice("abcdefgh") for _ in range(7))
+    sentence = lambda: " ".join(word() for _ in range(12))
+    pages, own = [], {}
+    for i in range(30):
+        own[i] = [sentence() for _ in range(3)]
+        pages.append((i, f"http://law.example/{i}", f"<body><div class=page><p class=story-legal>{own[i][0]}</p><p class=legal-note>{own[i][1]}</p><p>{own[i][2]}</p><p class=legal-line>The same on all pages</p><div class=comments><p>{sentence()}</p></div></div></body>"))
+    got = {r["page_id"]: r["text"] for r in op2.main_texts(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got == {i: "\n".join(own[i]) for i in own}
+
+
+def test_each_length_of_vectors_is_searched_by_itself(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.normal(size=4 if i % 3 else 7).tolist()) for i in range(400)]
+    got = collections.defaultdict(list)
+    for r in op6.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), least=64).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append(r["vec_id"])
+    x = {i: np.array(v) for i, v in rows}
+    for q in range(0, 400, 20):
+        others = [i for i in x if i != q and len(x[i]) == len(x[q])]
+        assert got[q] == sorted(others, key=lambda i: (-float(x[i] @ x[q]), i))[:20]

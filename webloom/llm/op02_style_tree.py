@@ -14,12 +14,15 @@ The tree decides twice.  From the root down it follows the branch that weighs mo
 (unlinked text x importance) while that branch is a container, and the last one,
 if it holds MAIN_SHARE of the host's weight, is where the text of the host's pages
 stands.  And each page loses the branches of low importance, inside its main
-branch too.  The names of elements and classes are priors: 0 to the template roles
-listed below, 1 to the article and main elements themselves; and where the tree
-knows no main branch (or it lies around or beside an article), the article, else
-the main element, else the body, gives the text.
-
-Edge cases: null or empty html gives an empty text; text without tags is one
+branch too.  The kinds of elements are priors: 0 to the template tags and
+roles listed below, 1 to the article and main elements themselves.  Names of classes
+and ids are weights, the share of a name's words that are template words, which lower
+a branch's importance; only the sum cuts, so an article's own paragraph may be called
+what it likes.  Where the tree knows no main branch (or it lies around or beside an
+article), the article, else the main element, else the body, gives the text.
+
+Edge cases: null or empty html gives an empty text; a quote opens an attribute's value
+only right after "=", and <!--> is a whole comment, as in the standard; text without tags is one
 block; unclosed, misnested and truncated tags are repaired; broken character
 references stay as they are; a host with fewer than LEAST_PAGES pages is pruned
 by the priors alone; repeated pages count as pages; html of any length is read
@@ -42,8 +45,14 @@ from pyspark.sql import functions as F
 from .shared import stored, table
 
 DECAY, LEAST_IMPORTANCE, LEAST_PAGES = 0.9, 0.3, 8
+#: Importance of a branch that the tree doesn't know, in and outside of article and main elements.
+ARTICLE_PRIOR, PAGE_PRIOR = 1.0, 0.75
+#: Weight of a name of which half is a template word that means nothing else.
+STRONG = 0.8
 #: Share of a host's weight that its main branch holds, and of a branch's text that is its own where it is no container.
 MAIN_SHARE, OWN_SHARE = 0.5, 0.5
+#: Kinds of marked branches.
+LOW, MAIN, SOUND = KINDS = range(3)
 #: Deepest nesting told apart; what lies deeper belongs to the node at this depth.
 DEPTH = 40
 #: Statistics a task gathers before it passes them on.
@@ -66,6 +75,8 @@ TEMPLATE_WORDS = frozenset(
     "comment comments commentlist reply replies respond disqus discussion "
     "share sharing social follow form search searchbox".split()
 )
+#: Those of them that an article's own parts may well be called.
+AMBIGUOUS_WORDS = frozenset("ad banner promotion header copyright legal aside widget trending popular notice notices cookie alert alerts overlay disclaimer comment reply replies discussion follow form search social skip".split())
 MAIN_WORDS = frozenset("article articlebody story post entry content main maincontent".split())
 BLOCK = frozenset(
     "html body address article aside blockquote center dd details dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main nav ol p pre section summary table caption tbody td tfoot th thead tr ul".split()
@@ -73,8 +84,11 @@ BLOCK = frozenset(
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"thead", "tbody", "tr", "td", "th"}}
 SCOPE = frozenset("ul ol dl table body html div article section".split())
 
-_TAG = re.compile(r"""<(?:!--.*?(?:-->|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>"']*(?:"[^"]*"|'[^']*'))*[^>"']*|[^>]*)(?:>|\Z)|[!?][^>]*(?:>|\Z))""", re.S)
-_ATTRIBUTE = re.compile(r"""([a-zA-Z_:][-\w:.]*)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
+#: Attributes as the standard reads them: a quote opens a value only right after "="; one that isn't closed is part of the value.
+_VALUE = r"""(?:"[^"]*+"|'[^']*+'|[^\s>]*+)"""
+_NAME = r"(?:=[^\s/>=]*+|[^\s/>=]++)"
+_TAG = re.compile(rf"""<(?:!--(?:-?>|.*?(?:--!?>|\Z))|(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|{_NAME}(?:\s*+=\s*+{_VALUE})?+)*+)(?:>|\Z)|[!?][^>]*+(?:>|\Z))""", re.S)
+_ATTRIBUTE = re.compile(rf"({_NAME})(?:\s*+=\s*+({_VALUE}))?+")
 _WORDS = re.compile(r"[a-z]+|[A-Z][a-z]*")
 
 
@@ -85,7 +99,8 @@ class Node:
         self.tag, self.parent, self.children, self.path = tag, parent, [], ""
         self.attributes = {}
         for name, value in _ATTRIBUTE.findall(attributes) if attributes.strip(" /") else ():
-            self.attributes.setdefault(name.lower(), html_entities.unescape(value.strip("\"'")))
+            quoted = len(value) > 1 and value[0] in "\"'" and value[-1] == value[0]
+            self.attributes.setdefault(name.lower(), html_entities.unescape(value[1:-1] if quoted else value))
 
 
 def parse(source: str) -> Node:
@@ -138,7 +153,7 @@ def parse(source: str) -> Node:
         child = Node(tag, here, m[3])
         here.children.append(child)
         if tag in RAW:
-            end = re.compile(rf"</{tag}\s*/?>|\Z", re.I).search(source, at)
+            end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>|\Z", re.I).search(source, at)
             child.children.append(source[at : end.start()])
             at = end.end()
         elif tag not in VOID and not m[3].endswith("/"):
@@ -201,8 +216,18 @@ def _inside(node: Node, tags: tuple[str, ...]) -> bool:
     return False
 
 
+def name_weight(names: list[str]) -> float:
+    """How far names say that a branch belongs to the site, 0 to 1: the share of a name's words that do, STRONG at least if one of two words is unambiguous."""
+
+    def weight(words: list[str]) -> float:
+        share = sum(w in TEMPLATE_WORDS for w in words) / len(words)
+        return max(share, STRONG) if len(words) <= 2 and any(w in TEMPLATE_WORDS - AMBIGUOUS_WORDS for w in words) else share
+
+    return max((weight(words) for words in ([w.lower() for w in _WORDS.findall(n)] for n in names) if words), default=0.0)
+
+
 def is_template(node: Node) -> bool:
-    """The prior: whether names say that this branch belongs to the site, not to the article."""
+    """Whether the kind of an element, its role, or that it isn't shown says that this branch belongs to the site, not to the article."""
     tag, attributes = node.tag, node.attributes
     if tag in ("html", "body", "article", "main"):
         return False
@@ -212,16 +237,22 @@ def is_template(node: Node) -> bool:
         return True
     if tag == "header" and _inside(node, ("article", "main")) and _has(node, ("h1", "h2")):
         return False
-    if tag in TEMPLATE_TAGS:
+    if tag in TEMPLATE_TAGS or attributes and attributes.get("role", "").lower() in TEMPLATE_ROLES:
         return not _has(node, ("article", "main"))
-    if not attributes:
+    return False
+
+
+def is_low_by_name(node: Node, sound: bool) -> bool:
+    """Whether its names put a branch below LEAST_IMPORTANCE, which the tree doesn't know, or (sound) found important enough in spite of its class names."""
+    if node.tag in ("html", "body", "article", "main") or not node.attributes:
         return False
-    if attributes.get("role", "").lower() in TEMPLATE_ROLES:
-        return not _has(node, ("article", "main"))
-    words = {w.lower() for name in _names(node) for w in _WORDS.findall(name)} & TEMPLATE_WORDS
-    if words == {"header"} and _has(node, ("h1",)):
+    weight = name_weight(node.attributes.get("id", "").split() if sound else _names(node))
+    if weight == 0 or _has(node, ("article", "main")):
         return False
-    return bool(words) and not _has(node, ("article", "main"))
+    if {w.lower() for name in _names(node) for w in _WORDS.findall(name)} & TEMPLATE_WORDS == {"header"} and _has(node, ("h1",)):
+        return False
+    unknown = ARTICLE_PRIOR if sound or _inside(node, ("article", "main")) else PAGE_PRIOR
+    return unknown - weight < LEAST_IMPORTANCE
 
 
 def host_of(url: str | None) -> str:
@@ -322,14 +353,27 @@ def main_branches(tree: DataFrame, least_pages: int = LEAST_PAGES) -> DataFrame:
     return kept.groupBy("host").agg(F.max_by("path", "depth").alias("path"))
 
 
-def low_branches(tree: DataFrame, least: float = LEAST_IMPORTANCE, least_pages: int = LEAST_PAGES) -> DataFrame:
-    """host and path of the branches to cut; article and main elements (not what is in them) and the page's own elements have the prior 1 and stay."""
+def low_branches(tree: DataFrame, least: float = LEAST_IMPORTANCE, least_pages: int = LEAST_PAGES, priors: bool = True) -> DataFrame:
+    """host, path and kind of the branches to cut (LOW) and of those that are important in spite of their names (SOUND).
+
+    Class names lower a branch's importance by their weight, and only the sum cuts.
+    Article and main elements (not what is in them) and the page's own elements have
+    the prior 1 and stay.
+    """
+
+    def weigh(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch.assign(weight=[name_weight(p.rsplit("/", 1)[-1].split(".")[1:]) for p in batch["path"]])
+
     prior = F.col("path").rlike(r"(^|/)(article|main)(\.[^/]*)?$|^html(/(body|head)(\.[^/]*)?)?$")
-    return tree.filter((F.col("importance") < least) & (F.col("pages") >= least_pages) & ~prior).select("host", "path")
+    known = tree.filter((F.col("pages") >= least_pages) & ~prior).select("host", "path", "importance")
+    weighed = known.mapInPandas(weigh, "host string, path string, importance double, weight double") if priors else known.withColumn("weight", F.lit(0.0))
+    low = F.col("importance") - F.col("weight") < least
+    return weighed.filter(low | (F.col("weight") > 0)).select("host", "path", F.when(low, LOW).otherwise(SOUND).alias("kind"))
 
 
-def extract(source: str | None, low=lambda path: False, main=lambda path: False, priors: bool = True) -> str:
-    """The main text of one page; low tells which paths the tree found unimportant, main which is the host's main branch.
+def extract(source: str | None, low=lambda path: False, main=lambda path: False, sound=lambda path: False, priors: bool = True) -> str:
+    """The main text of one page; low tells which paths the tree found unimportant, main which is the host's main branch, sound which are important in spite of their names.
 
     Without priors names of elements and classes tell nothing but what is no text at all.
     """
@@ -339,7 +383,7 @@ def extract(source: str | None, low=lambda path: False, main=lambda path: False,
     nodes = set_paths(root)
     cut = set()
     for node in nodes:
-        if node.parent is not None and id(node.parent) in cut or (is_template(node) if priors else node.tag in NO_TEXT) or node.parent is not None and low(node.path) and _has_text(node) and not _has(node, ("article", "main", "h1")):
+        if node.parent is not None and id(node.parent) in cut or (is_template(node) or is_low_by_name(node, sound(node.path)) if priors else node.tag in NO_TEXT) or node.parent is not None and low(node.path) and _has_text(node) and not _has(node, ("article", "main", "h1")):
             cut.add(id(node))
 
     def outermost(accept) -> list[Node]:
@@ -393,10 +437,10 @@ def extract(source: str | None, low=lambda path: False, main=lambda path: False,
     return "\n".join(blocks)
 
 
-def marked_branches(pages: DataFrame) -> DataFrame:
-    """host, path, main: the main branches of the hosts (true) and the branches to cut (false)."""
+def marked_branches(pages: DataFrame, priors: bool = True) -> DataFrame:
+    """host, path, kind: LOW branches, which are cut, the MAIN branches of the hosts, SOUND ones."""
     tree = stored(style_tree(pages), "style-tree")
-    marks = low_branches(tree).withColumn("main", F.lit(False)).unionByName(main_branches(tree).withColumn("main", F.lit(True)))
+    marks = low_branches(tree, priors=priors).unionByName(main_branches(tree).withColumn("kind", F.lit(MAIN)))
     return stored(marks, "style-marks")
 
 
@@ -404,26 +448,31 @@ def main_texts(pages: DataFrame, priors: bool = True, tree: bool = True) -> Data
     """page_id, url, text, n_chars of every page (page_id, url, html); without priors or tree for comparison."""
     spark = pages.sparkSession
     pages = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
-    marks = marked_branches(pages) if tree else spark.createDataFrame([], "host string, path string, main boolean")
+    marks = marked_branches(pages, priors) if tree else spark.createDataFrame([], "host string, path string, kind int")
     count = marks.count()
 
-    def texts(batches: Iterator[pd.DataFrame], known: tuple[frozenset, frozenset] | None) -> Iterator[pd.DataFrame]:
+    def texts(batches: Iterator[pd.DataFrame], known: tuple[frozenset, ...] | None) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             own = batch["marks"] if "marks" in batch else [None] * len(batch)
             for url, source, mine in zip(batch["url"], batch["html"], own):
                 host = host_of(url)
                 if known is None:
-                    low, main = ({m["path"] for m in (mine if mine is not None else ()) if m["main"] == kind} for kind in (False, True))
-                    out.append(extract(source, low.__contains__, main.__contains__, priors))
+                    tests = [{m["path"] for m in (mine if mine is not None else ()) if m["kind"] == kind}.__contains__ for kind in KINDS]
                 else:
-                    out.append(extract(source, *((lambda p, of=of: _hash(host, p) in of) if of else (lambda p: False) for of in known), priors))
+                    tests = [(lambda p, of=of: _hash(host, p) in of) if of else (lambda p: False) for of in known]
+                out.append(extract(source, *tests, priors))
             yield pd.DataFrame({"page_id": batch["page_id"], "url": batch["url"], "text": out, "n_chars": np.array([len(t) for t in out], np.int64)})
 
     schema = f"page_id {pages.schema['page_id'].dataType.simpleString()}, url string, text string, n_chars long"
     if count <= BROADCAST_BRANCHES:
-        rows = [(_hash(r["host"], r["path"]), r["main"]) for r in marks.collect()]
-        hashes = spark.sparkContext.broadcast(tuple(frozenset(h for h, main in rows if main == kind) for kind in (False, True)))
+
+        def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                yield pd.DataFrame({"hash": np.array([_hash(h, p) for h, p in zip(batch["host"], batch["path"])], np.int64), "kind": batch["kind"]})
+
+        numbers = marks.mapInPandas(hashed, "hash long, kind int").toPandas()  # 12 bytes a branch
+        hashes = spark.sparkContext.broadcast(tuple(frozenset(numbers["hash"][numbers["kind"] == kind]) for kind in KINDS))
         return pages.mapInPandas(lambda batches: texts(batches, hashes.value), schema)
 
     def own_paths(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -432,7 +481,7 @@ def main_texts(pages: DataFrame, priors: bool = True, tree: bool = True) -> Data
             yield pd.DataFrame(rows, columns=["row", "host", "path"])
 
     keyed = pages.withColumn("row", F.xxhash64("page_id", "url", "html"))
-    mine = keyed.mapInPandas(own_paths, "row long, host string, path string").distinct().join(marks, ["host", "path"]).groupBy("row").agg(F.collect_set(F.struct("path", "main")).alias("marks"))
+    mine = keyed.mapInPandas(own_paths, "row long, host string, path string").distinct().join(marks, ["host", "path"]).groupBy("row").agg(F.collect_set(F.struct("path", "kind")).alias("marks"))
     return keyed.join(mine, "row", "left").drop("row").mapInPandas(lambda batches: texts(batches, None), schema)
 
 

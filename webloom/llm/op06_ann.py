@@ -11,15 +11,19 @@ precision.  Parts are searched in blocks of at most BLOCK vectors and queries.
 Equal vectors are searched once: an index entry keeps the NEAREST + 1 least ids
 of its vector, as no other can be among the nearest.
 
-Edge cases: vectors that are null, empty, zero, of another length than most, or
-hold null or non-finite components take no part, as queries or candidates;
-ties go to the smaller vec_id; a repeated (vec_id, vector) counts once; a query
+Vectors of different lengths have no inner product: each length is fitted, indexed
+and searched by itself.
+
+Edge cases: vectors that are null, empty, zero, or hold null or non-finite components
+take no part, as queries or candidates; ties go to the smaller vec_id; a repeated (vec_id, vector) counts once; a query
 with fewer candidates gets them all; an empty table gives no rows; other columns
 are ignored.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -165,9 +169,7 @@ def valid_vectors(vectors: DataFrame) -> DataFrame:
     embedding = F.col("embedding") if as_is else F.col("embedding").cast("array<double>")
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), embedding.alias("embedding")).filter(F.col("vec_id").isNotNull() & (F.size("embedding") > 0))
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    rows = rows.filter(F.coalesce(finite, F.lit(False)) & F.exists("embedding", lambda x: x != 0))
-    length = rows.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    return rows.filter(F.size("embedding") == (length["d"] if length else 0))
+    return rows.filter(F.coalesce(finite, F.lit(False)) & F.exists("embedding", lambda x: x != 0))
 
 
 def distinct_vectors(rows: DataFrame, ids: int) -> DataFrame:
@@ -205,8 +207,15 @@ def _top(k: int):
 
 def nearest(vectors: DataFrame, every: int = QUERY_EVERY, k: int = NEAREST, probed: float = PROBED, least: int = LEAST_PARTS) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each row whose vec_id is divisible by ``every``."""
-    spark = vectors.sparkSession
     rows = valid_vectors(vectors)
+    lengths = sorted(r["d"] for r in rows.select(F.size("embedding").alias("d")).distinct().collect())
+    found = [_nearest(rows.filter(F.size("embedding") == d) if len(lengths) > 1 else rows, every, k, probed, least) for d in lengths or [0]]
+    return reduce(DataFrame.unionByName, found)
+
+
+def _nearest(rows: DataFrame, every: int, k: int, probed: float, least: int) -> DataFrame:
+    """``nearest`` among vectors of one length."""
+    spark = rows.sparkSession
     index = distinct_vectors(rows, k + 1)
     sample = index.orderBy(F.xxhash64("embedding"), "vid").select("embedding").limit(SAMPLE).collect()
     router = fit_router(np.array([r["embedding"] for r in sample], np.float64)) if sample else Router([])
