@@ -92,7 +92,7 @@ def test_crawl_rows_and_text_parts(spark):
     assert parts["body_text"].split() == ["One", "two", "spara", "graphli", "nk"] and parts["h1_texts"] == ["One  two"] and parts["paragraphs"] == ["para  graph"] and parts["meta_description"] == "e"
 
 
-@pytest.mark.parametrize(("host", "blocked"), [("127.0.0.1", True), ("172.32.0.1", False), ("100.64.1.1", True), ("8.8.8.8", False), ("[fe80::1]", True), ("site.example", False), (None, True), ("256.1.1.1", False), ("224.0.0.1", True)])
+@pytest.mark.parametrize(("host", "blocked"), [("127.0.0.1", True), ("172.32.0.1", False), ("100.64.1.1", False), ("::ffff:127.0.0.1", True), ("::ffff:10.0.0.1", True), ("0:0:0:0:0:0:0:1", True), ("2001:db8::1", True), ("64:ff9b::1", True), ("::ffff:8.8.8.8", False), ("2606:4700::1111", False), ("fe80::1%eth0", True), ("8.8.8.8", False), ("[fe80::1]", True), ("site.example", False), (None, True), ("256.1.1.1", False), ("224.0.0.1", True)])
 def test_hosts_off_limits(spark, host, blocked):
     assert spark.createDataFrame([(host,)], "h string").select(crawler.host_is_blocked(F.col("h"))).first()[0] == blocked
 

@@ -9,31 +9,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import urls
+from ..functions import addresses, urls
 from ..sources.steps import written
 
-# Reserved, private, loopback, link-local and multicast networks as (first octets, bits); waves: shares and steps.
-NETWORKS = ("0.0.0.0/8", "10.0.0.0/8", "100.64.0.0/10", "127.0.0.0/8", "169.254.0.0/16", "172.16.0.0/12", "192.0.0.0/24", "192.0.2.0/24", "192.168.0.0/16", "198.18.0.0/15", "198.51.100.0/24", "203.0.113.0/24", "224.0.0.0/4", "240.0.0.0/4")
+# Waves: shares and steps.
 BLOCKED_SHARE, STOP_SHARE, SLOWER, FASTER, SLOWEST = 0.3, 0.9, 1.0, 0.25, 6.0
 MOST_PAGES, MOST_DEPTH = 300, 3
 
 
-def _number(parts: Column) -> Column:
-    return F.aggregate(parts, F.lit(0).cast("long"), lambda n, p: n * 256 + p.cast("long"))
-
-
 def host_is_blocked(host: Column, allow_private: bool = False) -> Column:
-    """Whether a host is empty or a literal address that isn't public; names are left to the resolver, so they aren't blocked here."""
+    """Whether a host is empty or a literal address, in any spelling, that isn't public; names are left to ``hosts_blocked``."""
     h = F.lower(F.trim(F.coalesce(host, F.lit("")), F.lit("[]")))
-    v4 = h.rlike(r"^(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)$")
-    number = F.when(v4, _number(F.split(h, r"\.")))
-    inside = F.lit(False)
-    for network in NETWORKS:
-        address, bits = network.split("/")
-        first = sum(int(p) << (24 - 8 * k) for k, p in enumerate(address.split(".")))
-        inside = inside | number.between(first, first + (1 << (32 - int(bits))) - 1)
-    v6 = h.rlike(r"^(?:::1?|f[cd][0-9a-f]{2}:.*|fe[89ab][0-9a-f]:.*|ff[0-9a-f]{2}:.*)$")
-    return (h == "") | (F.lit(not allow_private) & (F.coalesce(inside, F.lit(False)) | v6 | (h == "localhost")))
+    return (h == "") | (F.lit(not allow_private) & (F.coalesce(addresses.is_special(addresses.address(host)), F.lit(False)) | (h == "localhost")))
+
+
+def hosts_blocked(hosts: DataFrame, resolved: DataFrame, allow_private: bool = False) -> DataFrame:
+    """hosts (host) with blocked: as ``host_is_blocked``, or one of the addresses it resolves to (host, address) isn't public; a name without any isn't blocked."""
+    bad = resolved.filter(addresses.is_special(addresses.address(F.col("address")))).select(F.lower("host").alias("_name")).distinct()
+    rows = hosts.join(bad, F.lower(F.col("host")) == F.col("_name"), "left")
+    return rows.withColumn("blocked", host_is_blocked(F.col("host"), allow_private) | (F.lit(not allow_private) & F.col("_name").isNotNull())).drop("_name")
 
 
 def disallowed_simply(robots: Column, path: Column) -> Column:

@@ -132,13 +132,47 @@ def link_class_variants(spark, sf_dir):
 
 # --- crawl control -----------------------------------------------------------------
 
-HOSTS = "SELECT c_custkey AS k, CASE c_custkey % 9 WHEN 0 THEN '10.1.2.' || c_custkey % 200 WHEN 1 THEN '172.' || (10 + c_custkey % 30) || '.0.1' WHEN 2 THEN '8.8.' || c_custkey % 250 || '.8' WHEN 3 THEN 'host' || c_custkey || '.example' WHEN 4 THEN '' WHEN 5 THEN '[::1]' WHEN 6 THEN 'fe80::' || c_custkey WHEN 7 THEN '192.168.0.999' ELSE '169.254.1.1' END AS host FROM customer WHERE c_custkey <= 500"
+#: Addresses that the documents name, in several spellings each: as it is, mapped, mapped with all digits, translated, tunnelled, and as the end of a public and of a local address.
+_IP = r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}"
+_SPELLINGS = ("v4", "mapped", "long", "translated", "tunnelled", "public", "local")
+_V4_SPECIAL = "(a IN (0, 10, 127) OR a >= 224 OR (a = 169 AND b = 254) OR (a = 172 AND b BETWEEN 16 AND 31) OR (a = 192 AND b = 168) OR (a = 192 AND b = 0 AND c = 2) OR (a = 192 AND b = 0 AND c = 0 AND d NOT IN (9, 10)) OR (a = 198 AND b IN (18, 19)) OR (a = 198 AND b = 51 AND c = 100) OR (a = 203 AND b = 0 AND c = 113))"
+_HEXES = "printf('%02x%02x:%02x%02x', a, b, c, d)"
+_HOSTS = f"""SELECT ip, spelling, CASE spelling WHEN 'v4' THEN ip WHEN 'mapped' THEN '[::FFFF:' || ip || ']' WHEN 'long' THEN '0:0:0:0:0:ffff:' || {_HEXES} WHEN 'translated' THEN '64:ff9b::' || ip WHEN 'tunnelled' THEN '2002:' || {_HEXES} || '::1' WHEN 'public' THEN '2a00:1450:4001::' || {_HEXES} ELSE 'fe80::' || ip || '%eth0' END AS host, a, b, c, d
+FROM (SELECT ip, CAST(split_part(ip, '.', 1) AS INT) AS a, CAST(split_part(ip, '.', 2) AS INT) AS b, CAST(split_part(ip, '.', 3) AS INT) AS c, CAST(split_part(ip, '.', 4) AS INT) AS d FROM (SELECT DISTINCT ip FROM (SELECT unnest(regexp_extract_all(text, '{_IP}')) AS ip FROM documents) WHERE regexp_full_match(ip, '{crawler.addresses.V4}')))
+CROSS JOIN (SELECT unnest([{', '.join(map(repr, _SPELLINGS))}]) AS spelling)"""
 
 
-@query("host_blocked", f"SELECT k, host, CASE k % 9 WHEN 0 THEN true WHEN 1 THEN 10 + k % 30 BETWEEN 16 AND 31 WHEN 4 THEN true WHEN 5 THEN true WHEN 6 THEN true WHEN 8 THEN true ELSE false END AS blocked FROM ({HOSTS})")
+def spelt_hosts(spark, sf_dir):
+    found = table(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all("text", F.lit(_IP), F.lit(0))).alias("ip")).distinct().filter(F.col("ip").rlike(f"^{crawler.addresses.V4}$"))
+    parts = [F.split_part("ip", F.lit("."), F.lit(k)).cast("int") for k in range(1, 5)]
+    hexes = F.format_string("%02x%02x:%02x%02x", *parts)
+    ways = [F.col("ip"), F.concat(F.lit("[::FFFF:"), "ip", F.lit("]")), F.concat(F.lit("0:0:0:0:0:ffff:"), hexes), F.concat(F.lit("64:ff9b::"), "ip"), F.concat(F.lit("2002:"), hexes, F.lit("::1")), F.concat(F.lit("2a00:1450:4001::"), hexes), F.concat(F.lit("fe80::"), "ip", F.lit("%eth0"))]
+    return found.select("ip", F.explode(F.array(*[F.struct(F.lit(n).alias("spelling"), w.alias("host")) for n, w in zip(_SPELLINGS, ways, strict=True)])).alias("s")).select("ip", "s.*")
+
+
+@query("host_blocked", f"SELECT host, CASE spelling WHEN 'public' THEN false WHEN 'translated' THEN true WHEN 'tunnelled' THEN true WHEN 'local' THEN true ELSE {_V4_SPECIAL} END AS blocked FROM ({_HOSTS})")
 def host_blocked(spark, sf_dir):
-    rows = spark.sql(HOSTS.replace("FROM customer", "FROM {t}"), t=table(spark, sf_dir, "customer"))
-    return rows.select("k", "host", crawler.host_is_blocked(F.col("host")).alias("blocked"))
+    return spelt_hosts(spark, sf_dir).select("host", crawler.host_is_blocked(F.col("host")).alias("blocked"))
+
+
+@query("names_blocked", f"SELECT host, bool_or(special) AS blocked FROM (SELECT split_part(split_part(url, '://', 2), '/', 1) AS host, CASE WHEN ip IS NULL THEN false ELSE {_V4_SPECIAL} END AS special FROM pages LEFT JOIN (SELECT * FROM ({_HOSTS}) WHERE spelling = 'v4') ON a % 7 = length(url) % 7) GROUP BY host")
+def names_blocked(spark, sf_dir):
+    """The hosts of the pages, each resolved to those addresses of the documents that a rule gives it."""
+    hosts = table(spark, sf_dir, "pages").select("url", urls.netloc(F.col("url")).alias("host"))
+    found = spelt_hosts(spark, sf_dir).filter("spelling = 'v4'").select("ip", (F.split_part("ip", F.lit("."), F.lit(1)).cast("int") % 7).alias("rest"))
+    resolved = hosts.select("host", (F.length("url") % 7).alias("rest")).distinct().join(found, "rest").select("host", F.col("ip").alias("address")).distinct()
+    return crawler.hosts_blocked(hosts.select("host").distinct(), resolved).select("host", "blocked")
+
+
+@query("networks_matched", f"""WITH nets AS (SELECT DISTINCT CAST(a AS VARCHAR) || '.0.0.0/8' AS network, a, -1 AS b, 8 AS size FROM ({_HOSTS}) WHERE b % 2 = 0 UNION SELECT DISTINCT a || '.' || b || '.0.0/16', a, b, 16 FROM ({_HOSTS}) WHERE c % 2 = 0)
+SELECT ip, first(network ORDER BY size DESC) AS network FROM (SELECT DISTINCT ip, a AS x, b AS y FROM ({_HOSTS})) LEFT JOIN nets ON nets.a = x AND (nets.b = y OR nets.b = -1) GROUP BY ip""")
+def networks_matched(spark, sf_dir):
+    """The documents' addresses and the longest network around each, of networks made from some of them."""
+    found = spelt_hosts(spark, sf_dir).filter("spelling = 'v4'").select("ip")
+    part = lambda k: F.split_part("ip", F.lit("."), F.lit(k))
+    wide = found.filter(part(2).cast("int") % 2 == 0).select(F.concat(part(1), F.lit(".0.0.0/8")).alias("network"))
+    narrow = found.filter(part(3).cast("int") % 2 == 0).select(F.concat(part(1), F.lit("."), part(2), F.lit(".0.0/16")).alias("network"))
+    return crawler.addresses.longest_match(found, wide.union(narrow).distinct(), "ip").select("ip", "network")
 
 
 @query("robots_simple", "SELECT page_id, page_id % 4 = 0 AS assets_blocked, page_id % 4 = 2 AS min_blocked FROM pages")
