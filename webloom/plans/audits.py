@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from ..catalog import query
-from ..functions import urls
-from ..operators import checks, compare, crawler, crawlpage, detection, modules, report, style
+from ..functions import pictures, urls
+from ..operators import checks, compare, crawler, crawlpage, detection, modules, report, scored, style, usermodules
 from ..sources import documents, sinks, sitemaps
 from ..sources.driver_views import table, view
+from .modules import _WEIGHTS, SEO, _has, _weighted
 from .reports import ALL, BODY, HEAD, PARTS, SCORES
 from .signals import served
 
@@ -27,26 +30,58 @@ def module_detection(spark, sf_dir):
     return view(spark, sf_dir, "rich_pages").select("page_id", F.array_join(found, ",").alias("modules"))
 
 
-#: Scores documents: some under "report", some without seo, some with an unassessed security or a broken module.
-DOCUMENTS = """SELECT c_custkey AS k, CASE WHEN c_custkey % 2 = 0 THEN '{"report": ' || d || '}' ELSE d END AS document FROM (SELECT c_custkey, '{' || CASE WHEN c_custkey % 3 = 0 THEN '"seo": {"score": 50}, "security": {"score": 1, "assessed": ' || CASE WHEN c_custkey % 5 = 0 THEN 'false' ELSE 'true' END || '}, ' ELSE '' END
-|| '"module_scores": {"links": {"total": 5}, "pwa": ' || CASE WHEN c_custkey % 7 = 0 THEN '{"error": "x"}' ELSE '{"total": 3}' END || '}, "findings": [{"title": "A", "module": "m"}, {"title": "", "module": "m"}, {"title": "B ' || c_custkey || '", "priority": "P1"}]}' AS d FROM customer WHERE c_custkey <= 300) x"""
+# --- scored documents ------------------------------------------------------------
 
 
-def scores_documents(spark, sf_dir):
-    return spark.sql(DOCUMENTS.replace("{", "{{").replace("}", "}}").replace("FROM customer", "FROM {t}"), t=table(spark, sf_dir, "customer"))
+def _paragraphs(html: str, url: str) -> dict:
+    """A module as a user writes one: it can't read pages whose length is divisible by three."""
+    if len(html) % 3 == 0:
+        raise ValueError("unreadable")
+    n = html.count("<p")
+    return {"points": {"paragraphs": min(10, n)}, "findings": [("P2", "Few paragraphs")] if n < 4 else [], "details": {"paragraphs": n, "where": [url]}}
 
 
-@query(
-    "scanned_modules",
-    "SELECT c_custkey AS k, array_to_string(list_sort(list_filter([CASE WHEN c_custkey % 3 = 0 THEN 'seo' END, CASE WHEN c_custkey % 3 = 0 AND c_custkey % 5 > 0 THEN 'security' END, CASE WHEN c_custkey % 3 = 0 THEN 'accessibility' END, CASE WHEN c_custkey % 3 = 0 THEN 'performance' END, CASE WHEN c_custkey % 3 = 0 THEN 'core' END, 'links', CASE WHEN c_custkey % 7 > 0 THEN 'pwa' END], lambda m: m IS NOT NULL)), ',') AS modules FROM customer WHERE c_custkey <= 300",
-)
+usermodules.register(usermodules.UserModule("paragraphs", _paragraphs))
+SCORED_MODULES = ["seo", "security", "pwa", "paragraphs"]
+_PWA_ON = f"({_has(next(iter(_WEIGHTS['pwa'])))} OR {_has(modules.WORKER)})"
+_PARAGRAPHS, _FAILS = "CAST((length(html) - length(replace(html, '<p', ''))) / 2 AS INT)", "length(html) % 3 = 0"
+
+
+def scored_documents(spark, sf_dir, ids=SCORED_MODULES):
+    return scored.documents(view(spark, sf_dir, "rich_pages"), ids)
+
+
+def _twin_of_scored() -> str:
+    pwa = _weighted("pwa").replace(" FROM rich_pages", ", page_id AS k FROM rich_pages")
+    return f"""WITH parts AS ({PARTS}), scored AS ({SCORES}), r AS (SELECT page_id, html, {_PARAGRAPHS} AS n, {_FAILS} AS fails, {_PWA_ON} AS pwa FROM rich_pages), capped AS (SELECT s.page_id, CAST({_P0.replace('page_id', 's.page_id')} AS BIGINT) AS p0,
+ CAST(round_even(seo * 0.40::DOUBLE + round_even((seo + accessibility + performance) / 3::DOUBLE, 0) * 0.25::DOUBLE + accessibility * 0.15::DOUBLE + performance * 0.20::DOUBLE, 0) AS INT) AS uncapped, s.seo FROM scored s JOIN rich_pages r ON r.page_id = s.page_id)
+SELECT c.page_id, c.seo, CAST(least(uncapped, CASE WHEN p0 > 0 THEN 59 ELSE 100 END) AS INT) AS overall, p0 > 0 AND uncapped > 59 AS cap_applied, m.total AS seo_total, CASE WHEN r.pwa THEN w.total END AS pwa_total, CASE WHEN NOT fails THEN least(10, n) END AS paragraphs_total,
+ CASE WHEN NOT fails THEN n END AS paragraphs, CASE WHEN fails THEN 'ValueError: unreadable' END AS paragraphs_error, c.p0 AS p0 FROM capped c JOIN r ON r.page_id = c.page_id JOIN ({SEO}) m ON m.page_id = c.page_id JOIN ({pwa}) w ON w.k = c.page_id"""
+
+
+@query("scanned_modules", f"SELECT page_id, array_to_string(list_sort(list_filter(['accessibility', 'core', 'performance', 'security', 'seo', CASE WHEN {_PWA_ON} THEN 'pwa' END, CASE WHEN NOT {_FAILS} THEN 'paragraphs' END], lambda m: m IS NOT NULL)), ',') AS modules FROM rich_pages", RICH)
 def scanned(spark, sf_dir):
-    return scores_documents(spark, sf_dir).select("k", F.array_join(detection.scanned_modules(F.col("document")), ",").alias("modules"))
+    """What each page's document assessed: a module that failed there isn't among it."""
+    found = scored_documents(spark, sf_dir).select("page_id", F.to_json("document").alias("document"))
+    return found.select("page_id", F.array_join(detection.scanned_modules(F.col("document")), ",").alias("modules"))
+
+
+_PWA = (("No web app manifest", "P3"), ("No theme colour", "P2"), ("No touch icon", "P2"), ("No service worker", "P1"), ("No viewport", "P1"))
+_PWA_FOUND = " UNION ALL ".join(f"SELECT page_id, 'pwa' AS module, '{p}' AS priority, '{t}' AS title FROM rich_pages WHERE {_PWA_ON} AND NOT {_has(x)}" for (t, p), x in zip(_PWA, _WEIGHTS["pwa"], strict=True))
+_FOUND = f"{_PWA_FOUND} UNION ALL SELECT page_id, 'paragraphs', 'P2', 'Few paragraphs' FROM rich_pages WHERE NOT {_FAILS} AND {_PARAGRAPHS} < 4"
 
 
-@query("scores_findings", "SELECT c_custkey AS k, 'm' AS module, 'P3' AS priority, 'A' AS title, '' AS description, '' AS fix, '' AS effort FROM customer WHERE c_custkey <= 300 UNION ALL SELECT c_custkey, 'core', 'P1', 'B ' || c_custkey, '', '', '' FROM customer WHERE c_custkey <= 300")
+@query("scores_findings", f"SELECT page_id, module, priority, title, '' AS description, '' AS fix, '' AS effort FROM ({_FOUND})", RICH)
 def scores_findings(spark, sf_dir):
-    return documents.findings(scores_documents(spark, sf_dir), "k")
+    """The findings read back from documents, every other one under "report"."""
+    found = scored_documents(spark, sf_dir, ["pwa", "paragraphs"]).select("page_id", F.to_json("document").alias("d"))
+    wrapped = found.select("page_id", F.when(F.col("page_id") % 2 == 0, F.concat(F.lit('{"report":'), "d", F.lit("}"))).otherwise(F.col("d")).alias("document"))
+    return documents.findings(wrapped, "page_id")
+
+
+@query("scored_findings", f"SELECT page_id, module, priority, title, substr(sha1(module || '|' || title), 1, 10) AS id FROM ({_FOUND})", RICH)
+def scored_findings(spark, sf_dir):
+    return scored.findings(scored_documents(spark, sf_dir, ["pwa", "paragraphs"]))
 
 
 def capped(spark, sf_dir):
@@ -69,6 +104,16 @@ def capped_scores(spark, sf_dir):
     return capped(spark, sf_dir).select("page_id", "p0", "overall", "cap_applied")
 
 
+@query("scored_documents", _twin_of_scored(), RICH)
+def scored_document_parts(spark, sf_dir):
+    """Parts of the documents: categories, the capped grade, modules of any shape, the error of one that failed."""
+    p = scored.part
+    return scored_documents(spark, sf_dir).select(
+        "page_id", p("$.seo.score", "int").alias("seo"), p("$.overall.score", "int").alias("overall"), p("$.overall.cap_applied", "boolean").alias("cap_applied"), p("$.module_scores.seo.total", "int").alias("seo_total"), p("$.module_scores.pwa.total", "int").alias("pwa_total"),
+        p("$.module_scores.paragraphs.points.paragraphs", "int").alias("paragraphs_total"), p("$.module_scores.paragraphs.details.paragraphs", "int").alias("paragraphs"), p("$.module_scores.paragraphs.error", "string").alias("paragraphs_error"), p("$.summary.P0", "bigint").alias("p0"),
+    )
+
+
 @query("category_list", f"WITH parts AS ({PARTS}), scored AS ({SCORES}) SELECT page_id, 'SEO' AS label, seo AS score, '' AS note FROM scored UNION ALL SELECT page_id, 'Security', NULL, 'not assessed' FROM scored UNION ALL SELECT page_id, 'Performance', performance, 'heuristic' FROM scored UNION ALL SELECT page_id, 'Accessibility', accessibility, '' FROM scored", RICH)
 def category_list(spark, sf_dir):
     return detection.category_list(report.category_scores(report.analyse(view(spark, sf_dir, "rich_pages"))))
@@ -291,13 +336,33 @@ def sitemap_membership(spark, sf_dir):
     return sinks.with_sitemap(pages, pages.filter("page_id % 3 = 0").select("url")).select("page_id", "in_sitemap")
 
 
-@query("picture_differences", "SELECT n_nationkey AS name, CASE WHEN n_nationkey % 4 = 0 THEN -1::DOUBLE WHEN n_nationkey % 4 = 1 THEN 100::DOUBLE WHEN n_nationkey % 4 = 2 THEN 25::DOUBLE ELSE 0::DOUBLE END AS difference FROM nation")
+def _pictures(texts):
+    """name, png of texts' bytes as rows of 16 pixels."""
+
+    def draw(batches):
+        for batch in batches:
+            pngs = []
+            for text in batch["text"]:
+                data = (text or "").encode()
+                data += bytes(-len(data) % 48)
+                pngs.append(pictures.encode_png(np.frombuffer(data, np.uint8).reshape(-1, 16, 3), (0, 1, 2, 3, 4)))
+            yield pd.DataFrame({"name": batch["name"], "png": pngs})
+
+    return texts.mapInPandas(draw, "name long, png binary")
+
+
+_HEX = lambda text: f"regexp_extract_all(hex({text}), '.{{1,6}}')"  # noqa: E731  pixels of three bytes
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+@query("picture_differences", f"""SELECT doc_id AS name, CASE WHEN lang = 'fr' THEN -1::DOUBLE WHEN len(a) = 0 THEN 0::DOUBLE ELSE len(list_filter(list_zip(a, b), lambda z: z[1] <> z[2])) / ((len(a) + 15) // 16 * 16)::DOUBLE * 100 END AS difference
+FROM (SELECT doc_id, lang, {_HEX("coalesce(text, '')")} AS a, {_HEX(_LOWER)} AS b FROM documents)""")
 def picture_differences(spark, sf_dir):
-    k = F.col("n_nationkey")
-    nations = table(spark, sf_dir, "nation")
-    now = nations.select(k.alias("name"), F.array(k, k + 1, k + 2, k + 3).alias("pixels"))
-    before = nations.filter(k % 4 > 0).select(k.alias("name"), F.when(k % 4 == 1, F.array(k)).when(k % 4 == 2, F.array(k, k + 1, k + 2, k)).otherwise(F.array(k, k + 1, k + 2, k + 3)).alias("pixels"))
-    return compare.against_baseline(now, before)
+    """Each document's text as a picture, against one of the text in lower case where there was one: all but the French."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("name"), "lang", "text")
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    before = docs.filter("lang <> 'fr'").select("name", F.translate("text", upper, upper.lower()).alias("text"))
+    return pictures.png_differences(_pictures(docs.select("name", "text")), _pictures(before))
 
 
 @query("side_by_side", "SELECT o_orderpriority AS measure, CAST(max(CASE WHEN o_orderstatus = 'F' THEN o_orderkey END) AS BIGINT) AS f, CAST(max(CASE WHEN o_orderstatus = 'O' THEN o_orderkey END) AS BIGINT) AS o, CASE WHEN max(CASE WHEN o_orderstatus = 'F' THEN o_orderkey END) >= max(CASE WHEN o_orderstatus = 'O' THEN o_orderkey END) THEN 'F' ELSE 'O' END AS leader FROM orders GROUP BY 1")

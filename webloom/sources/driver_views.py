@@ -41,12 +41,9 @@ FROM (SELECT page_id, url, page_id + 1 AS to_id FROM crawl_pages WHERE status =
     "search_rows": (
         ("lineitem", "part", "pages"),
         """
-SELECT p.p_name AS query, g.url AS page,
-  CAST(sum(CASE WHEN l.l_returnflag = 'R' THEN 1 ELSE 0 END) AS BIGINT) AS clicks,
-  CAST(sum(CAST(l.l_quantity AS BIGINT)) AS BIGINT) AS impressions,
-  CAST(p.p_size AS DOUBLE) AS position, p.p_partkey AS ordinal
-FROM lineitem l JOIN part p ON p.p_partkey = l.l_partkey JOIN pages g ON g.page_id = p.p_partkey % 50
-GROUP BY p.p_partkey, p.p_name, p.p_size, g.url""",
+SELECT p.p_name AS query, g.url AS page, l.clicks, l.impressions, CAST(p.p_size AS DOUBLE) AS position, p.p_partkey AS ordinal
+FROM (SELECT l_partkey, CAST(sum(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) AS BIGINT) AS clicks, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS impressions FROM lineitem GROUP BY l_partkey) l
+JOIN part p ON p.p_partkey = l.l_partkey JOIN (SELECT count(*) AS n FROM pages) c ON c.n > 0 JOIN pages g ON g.page_id = p.p_partkey % c.n""",
     ),
     "landing_rows": (
         ("events", "pages"),
@@ -54,7 +51,7 @@ GROUP BY p.p_partkey, p.p_name, p.p_size, g.url""",
 SELECT g.url AS page, CAST(count(*) AS BIGINT) AS sessions,
   CAST(sum(CASE WHEN e.event_type = 'click' OR (e.event_type = 'view' AND g.page_id % 3 = 0) THEN 1 ELSE 0 END) AS DOUBLE) / count(*) AS engagement_rate,
   CAST(sum(CASE WHEN e.event_type IN ('purchase', 'signup') AND g.page_id % 4 <> 0 THEN 1 ELSE 0 END) AS BIGINT) AS conversions
-FROM events e JOIN pages g ON g.page_id = e.user_id % 50
+FROM events e JOIN (SELECT count(*) AS n FROM pages) c ON c.n > 0 JOIN pages g ON g.page_id = e.user_id % c.n
 GROUP BY g.url""",
     ),
     "rich_pages": (
