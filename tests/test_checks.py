@@ -78,6 +78,23 @@ def test_state_machine(spark):
     assert out["b"]["resolved_at"] == "t1" and out["d"]["notes"][-1]["text"].startswith("Regression") and out["f"]["first_seen"] == "t1"
 
 
+def test_samples_of_large_groups_stay_short(spark):
+    pages, links = crawl(spark, [page(f"/{i:03}", content_hash="same") for i in range(30)] + [page("/x", content_hash="two"), page("/y", content_hash="two")], [])
+    got = [r["sample"] for r in checks.samples(pages, links).filter("key = 'duplicate_content'").orderBy("place").collect()]
+    assert got == ["  =  ".join(f"/{i:03}" for i in range(8)) + "  (+22 more)", "/x  =  /y"]
+
+
+def test_a_hub_of_redirects_and_long_chains(spark, monkeypatch):
+    hops = [("/hub", 200, None)] + [(f"/{i}", 301, "/hub") for i in range(50)] + [(f"/c{i}", 302, f"/c{i + 1}") for i in range(14)] + [("/out", 301, "http://elsewhere/")]
+    for most in (200_000, 0):
+        monkeypatch.setattr(graph, "BROADCAST_TARGETS", most)
+        chains = {r["start"]: r for r in graph.redirect_chains(spark.createDataFrame(hops, "url string, status int, redirect_to string")).collect()}
+        assert len(chains) == 65 and {chains[f"/{i}"]["final_status"] for i in range(50)} == {200} and chains["/c0"]["hops"] == 10 and chains["/c9"]["final_url"] == "/c14"
+        assert chains["/out"]["final_status"] is None and chains["/out"]["statuses"] == [301, None]
+    plan = graph.redirect_chains(spark.createDataFrame(hops, "url string, status int, redirect_to string"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan  # each hop is written, none is worked out again
+
+
 def test_redirect_loops_end(spark):
     hops = spark.createDataFrame([("/a", 301, "/b"), ("/b", 302, "/a"), ("/c", 301, "/d"), ("/d", 404, None)], "url string, status int, redirect_to string")
     chains = {r["start"]: r for r in graph.redirect_chains(hops).collect()}

@@ -144,8 +144,13 @@ def samples(pages: DataFrame, links: DataFrame, most: int = SAMPLES) -> DataFram
     parts = [pages.select(F.explode(hits).alias("h")).select("h.*")]
     for key, column in DUPLICATES.items():
         if key == "duplicate_content":
-            rows = pages.filter((F.col("indexable") == 1) & F.col(column).isNotNull()).groupBy(column).agg(F.array_join(F.array_sort(F.collect_list("url")), "  =  ").alias("sample"), F.count("*").alias("n"))
-            parts.append(rows.filter("n > 1").select(F.lit(key).alias("key"), "sample", F.lit(0).cast("long").alias("order")))
+            # of a group the first few pages, and how many more there are: an error page may stand under a million addresses
+            alike = pages.filter((F.col("indexable") == 1) & F.col(column).isNotNull())
+            first = alike.withColumn("_k", F.row_number().over(Window.partitionBy(column).orderBy("url"))).filter(F.col("_k") <= most)
+            shown = first.groupBy(column).agg(F.array_join(F.array_sort(F.collect_list("url")), "  =  ").alias("shown"))
+            sizes = alike.groupBy(column).agg(F.count("*").alias("n")).filter("n > 1")
+            rows = sizes.join(shown, column).withColumn("sample", F.concat("shown", F.when(F.col("n") > most, F.concat(F.lit("  (+"), F.col("n") - most, F.lit(" more)"))).otherwise("")))
+            parts.append(rows.select(F.lit(key).alias("key"), "sample", F.lit(0).cast("long").alias("order")))
         else:
             rows = duplicate_groups(pages, column)
             parts.append(rows.select(F.lit(key).alias("key"), F.concat("value", F.lit("  ("), "copies", F.lit(" pages)")).alias("sample"), (-F.col("copies")).alias("order")))

@@ -15,6 +15,8 @@ from .rollups import soft_missing
 MONEY = r"/(services?|pricing|products?|shop|store|book|booking|quote|get-started|contact|packages?|plans?)(/|$)"
 CONTENT = r"/(blog|guides?|resources?|news|articles?|learn|insights?)(/|$)"
 MOST_HOPS = 10
+#: Redirect targets that are broadcast (some 200 bytes each: 40 MB); salts of the join beyond it.
+BROADCAST_TARGETS, TARGET_SALTS = 200_000, 16
 
 
 def degrees(links: DataFrame) -> DataFrame:
@@ -49,24 +51,41 @@ def redirect_chains(hops: DataFrame, most: int = MOST_HOPS) -> DataFrame:
     refresh = F.when(F.col("redirect_to").isNull() & (F.col("status") == 200), optional("refresh_to"))
     hops = hops.select("url", "status", F.coalesce("redirect_to", refresh).alias("redirect_to"), refresh.isNotNull().alias("refreshes"), F.coalesce(soft_missing(F.col("status"), optional("title")), F.lit(False)).alias("missing"))
     table = hops.select(F.col("url").alias("at"), F.col("status").alias("s"), F.col("redirect_to").alias("next"), F.col("refreshes").alias("r"), F.col("missing").alias("m"))
-    now = hops.filter(F.col("redirect_to").isNotNull()).select(
+    leading = hops.filter(F.col("redirect_to").isNotNull())
+    now = written(leading.select(
         F.col("url").alias("start"), F.array("url").alias("path"), F.array("status").alias("statuses"), F.col("redirect_to").alias("ahead"), F.lit(False).alias("loop"), F.col("refreshes").alias("meta_refresh"), F.col("missing").alias("soft_404")
-    )
-    for _ in range(most):
-        step = now.join(table, (now["ahead"] == table["at"]), "left")
-        again = F.coalesce(F.array_contains("path", F.col("ahead")), F.lit(False))
-        go = F.col("ahead").isNotNull() & ~F.col("loop")
-        now = step.select(
+    ), "chains")
+    led_to = written(table.join(leading.select(F.col("redirect_to").alias("at")).distinct(), "at", "left_semi"), "redirect-targets")
+    small = led_to.count() <= BROADCAST_TARGETS
+    done = []
+    for _ in range(most):  # only open chains go on; where they meet is looked up where they stand
+        again = F.array_contains("path", F.col("ahead"))
+        step = _at_targets(now, led_to, small).select(
             "start",
-            F.when(go & ~again, F.concat("path", F.array("ahead"))).otherwise(F.col("path")).alias("path"),
-            F.when(go & ~again, F.concat("statuses", F.array("s"))).otherwise(F.col("statuses")).alias("statuses"),
-            F.when(go & ~again, F.col("next")).alias("ahead"),
-            (F.col("loop") | (go & again)).alias("loop"),
-            (F.col("meta_refresh") | (go & ~again & F.coalesce("r", F.lit(False)))).alias("meta_refresh"),
-            F.when(go & ~again, F.coalesce("m", F.lit(False))).otherwise(F.col("soft_404")).alias("soft_404"),
+            F.when(again, F.col("path")).otherwise(F.concat("path", F.array("ahead"))).alias("path"),
+            F.when(again, F.col("statuses")).otherwise(F.concat("statuses", F.array("s"))).alias("statuses"),
+            F.when(~again, F.col("next")).alias("ahead"),
+            again.alias("loop"),
+            (F.col("meta_refresh") | (~again & F.coalesce("r", F.lit(False)))).alias("meta_refresh"),
+            F.when(again, F.col("soft_404")).otherwise(F.coalesce("m", F.lit(False))).alias("soft_404"),
         )
+        step = written(step, "chains")
+        done.append(step.filter("ahead is null"))
+        now = step.filter("ahead is not null")
+        if now.isEmpty():
+            break
+    chains = union_all([*done, now])
     last = F.element_at("path", -1)
-    return now.select("start", (F.size("path") - 1).alias("hops"), last.alias("final_url"), F.element_at("statuses", -1).alias("final_status"), "path", "statuses", "loop", "meta_refresh", "soft_404")
+    return chains.select("start", (F.size("path") - 1).alias("hops"), last.alias("final_url"), F.element_at("statuses", -1).alias("final_status"), "path", "statuses", "loop", "meta_refresh", "soft_404")
+
+
+def _at_targets(open_chains: DataFrame, targets: DataFrame, small: bool) -> DataFrame:
+    """open_chains with the hop at ``ahead``, null where it is outside the table; a page that many lead to is dealt over salts unless all fit into a broadcast."""
+    if small:
+        return open_chains.join(F.broadcast(targets), F.col("ahead") == F.col("at"), "left")
+    salted = targets.withColumn("at_salt", F.explode(F.sequence(F.lit(0), F.lit(TARGET_SALTS - 1))))
+    dealt = open_chains.withColumn("salt", F.pmod(F.xxhash64("start"), F.lit(TARGET_SALTS)).cast("int"))
+    return dealt.join(salted, (F.col("ahead") == F.col("at")) & (F.col("salt") == F.col("at_salt")), "left")
 
 
 def chain_issues(chains: DataFrame) -> DataFrame:
