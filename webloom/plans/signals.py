@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..catalog import query
-from ..operators import advisor, headers, modules, providers
+from ..operators import advisor, headers, modules, nodegraph, providers
 from ..sources.driver_views import view
 
 #: The header columns of the view by header name.
@@ -136,3 +136,13 @@ def schema_recommendations(spark, sf_dir):
 @query("schema_merchant_gaps", f"SELECT page_id, array_to_string(list_filter([CASE WHEN price IS NULL THEN 'price' END, CASE WHEN currency IS NULL THEN 'currency' END, CASE WHEN availability IS NULL THEN 'availability' END, CASE WHEN k <> 4 THEN 'product_schema' END, CASE WHEN NOT rated THEN 'rating_or_reviews' END, 'image'], lambda x: x IS NOT NULL), ',') AS missing FROM ({SIGNALS}) WHERE contains(labels, 'pdp')", SHOP)
 def schema_merchant_gaps(spark, sf_dir):
     return advice(spark, sf_dir).filter("merchant_missing is not null").select("page_id", F.array_join("merchant_missing", ",").alias("missing"))
+
+
+_BLOCKS = "list_filter(regexp_extract_all(html, '(?s)<script type=\"application/ld\\+json\">(.*?)</script>', 1), lambda b: contains(b, '\"Product\"'))"
+
+
+@query("json_ld_products", f"""SELECT page_id, regexp_extract(b, '\"name\": \"([^\"]*)\"', 1) AS name, regexp_extract(b, '\"priceCurrency\": \"([^\"]*)\"', 1) AS currencies, contains(b, '\"offers\"') AS valid, CAST(0 AS BIGINT) AS missing FROM (SELECT page_id, unnest({_BLOCKS}) AS b FROM shop_pages)""", SHOP)
+def json_ld_products(spark, sf_dir):
+    """Products by the graph of a page's JSON-LD nodes."""
+    rows = nodegraph.products(view(spark, sf_dir, "shop_pages").select("page_id", "html"))
+    return rows.select("page_id", "name", F.array_join("currencies", ",").alias("currencies"), "valid", "missing")
