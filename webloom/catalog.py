@@ -28,7 +28,7 @@ def query(name: str, sql: str | None = None, views: tuple[str, ...] = ()) -> Cal
 
 
 def _load() -> None:
-    from .plans import audits, crawl, history, modules, pages, probes, punch, reports, robots, rollups, scoring, search, signals, stores, tables, texts, urls  # noqa: F401
+    from .plans import audits, crawl, history, lines, modules, pages, probes, punch, reports, robots, rollups, scoring, search, signals, stores, tables, texts, urls  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

@@ -296,38 +296,76 @@ def badges(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", *[c.alias(k) for k, c in parts.items()])
 
 
-SPEED = """SELECT s_suppkey AS k, CASE s_suppkey % 5 WHEN 0 THEN '' WHEN 1 THEN '{"error": "quota"}' ELSE '{"id": "u' || s_suppkey || '", "requestedUrl": "r", "lighthouseVersion": "12", "categories": {"performance": {"score": 0.5}, "best-practices": {"score": 0.125}}, "audits": {"largest-contentful-paint": {"numericValue": 7.5}}, "lighthouseResult": {"configSettings": {"' || CASE s_suppkey % 2 WHEN 0 THEN 'formFactor' ELSE 'emulatedFormFactor' END || '": "mobile"}, "categories": {"performance": {"score": 0.' || (10 + s_suppkey % 90) || '}}, "audits": {"largest-contentful-paint": {"numericValue": ' || s_suppkey || '.5, "displayValue": "x s", "numericUnit": "ms"}}}, "loadingExperience": {"metrics": {"LCP": {"percentile": 12, "category": "FAST"}}}}' END AS document FROM supplier"""
+#: Lab reports of pages as a tool writes them: what it measures is taken from the page itself; pages kept out of the index have no answer, those that load a library are refused.
+_REFUSED, _SILENT = "contains(html, 'jquery')", "contains(lower(html), 'noindex')"
+_IMAGES, _ANCHORS = "len(regexp_extract_all(html, '<img'))", "len(regexp_extract_all(html, '<a '))"
 
 
 def speed(spark, sf_dir):
-    return spark.sql(SPEED.replace("{", "{{").replace("}", "}}").replace("FROM supplier", "FROM {t}"), t=table(spark, sf_dir, "supplier"))
+    """page_id, document."""
+    n, html = F.length("html"), F.col("html")
+    times = lambda p: F.regexp_count(html, F.lit(p))
+    share = lambda x: (x % 1000).cast("double") / 1000
+    lcp = F.struct(F.struct((n + F.lit(0.5)).alias("numericValue"), F.concat(n, F.lit(" s")).alias("displayValue"), F.lit("ms").alias("numericUnit")).alias("largest-contentful-paint"))
+    form = F.when(F.contains(html, F.lit("viewport")), "mobile").otherwise("desktop")
+    settings = F.struct(F.when(n % 2 == 0, form).alias("formFactor"), F.when(n % 2 == 1, form).alias("emulatedFormFactor"))
+    inner = F.struct(settings.alias("configSettings"), F.struct(F.struct(share(n).alias("score")).alias("performance")).alias("categories"), lcp.alias("audits"))
+    field = F.struct(F.struct(F.struct(times("<img").alias("percentile"), F.lit("FAST").alias("category")).alias("LCP")).alias("metrics"))
+    own = F.struct(F.struct(share(n).alias("score")).alias("performance"), F.struct(share(times("<a ") * 5).alias("score")).alias("best-practices"), F.when(F.contains(html, F.lit('name="description"')), F.struct(F.lit(1).alias("score"))).alias("seo"))
+    whole = F.to_json(F.struct(F.col("url").alias("id"), F.col("url").alias("requestedUrl"), F.lit("12").alias("lighthouseVersion"), own.alias("categories"), lcp.alias("audits"), inner.alias("lighthouseResult"), field.alias("loadingExperience")))
+    return view(spark, sf_dir, "rich_pages").select("page_id", F.when(F.contains(F.lower(html), F.lit("noindex")), "").when(F.contains(html, F.lit("jquery")), '{"error": "quota"}').otherwise(whole).alias("document"))
 
 
-@query("lab_page_speed", "SELECT s_suppkey AS k, CASE WHEN s_suppkey % 5 > 1 THEN 'u' || s_suppkey END AS url, CASE WHEN s_suppkey % 5 > 1 THEN 'mobile' END AS strategy, CASE WHEN s_suppkey % 5 > 1 THEN CAST(10 + s_suppkey % 90 AS INT) END AS performance, CASE WHEN s_suppkey % 5 > 1 THEN s_suppkey + 0.5::DOUBLE END AS lcp, CASE WHEN s_suppkey % 5 > 1 THEN 'ms' END AS unit, CASE WHEN s_suppkey % 5 > 1 THEN 12::DOUBLE END AS field_lcp, CASE s_suppkey % 5 WHEN 0 THEN 'Empty or invalid response' WHEN 1 THEN 'quota' END AS error FROM supplier")
+def _measured(value: str) -> str:
+    return f"CASE WHEN NOT {_SILENT} AND NOT {_REFUSED} THEN {value} END"
+
+
+_SHARE = "CAST(round_even(({} % 1000) / 1000::DOUBLE * 100, 0) AS INT)"
+
+
+@query(
+    "lab_page_speed",
+    f"""SELECT page_id, {_measured("url")} AS url, {_measured("CASE WHEN contains(html, 'viewport') THEN 'mobile' ELSE 'desktop' END")} AS strategy, {_measured(_SHARE.format("length(html)"))} AS performance, {_measured("length(html) + 0.5::DOUBLE")} AS lcp, {_measured("'ms'")} AS unit, {_measured(f"CAST({_IMAGES} AS DOUBLE)")} AS field_lcp,
+ CASE WHEN {_SILENT} THEN 'Empty or invalid response' WHEN {_REFUSED} THEN 'quota' END AS error FROM rich_pages""",
+    RICH,
+)
 def lab_page_speed(spark, sf_dir):
-    rows = documents.page_speed(speed(spark, sf_dir), "k")
-    return rows.select("k", "url", "strategy", "performance", F.col("metrics")["LCP"]["value"].alias("lcp"), F.col("metrics")["LCP"]["unit"].alias("unit"), F.col("field")["LCP"]["percentile"].alias("field_lcp"), "error")
+    rows = documents.page_speed(speed(spark, sf_dir), "page_id")
+    return rows.select("page_id", "url", "strategy", "performance", F.col("metrics")["LCP"]["value"].alias("lcp"), F.col("metrics")["LCP"]["unit"].alias("unit"), F.col("field")["LCP"]["percentile"].alias("field_lcp"), "error")
 
 
-@query("lab_reports", "SELECT s_suppkey AS k, CASE WHEN s_suppkey % 5 > 1 THEN 50 END AS performance, CASE WHEN s_suppkey % 5 > 1 THEN 12 END AS best_practices, CAST(NULL AS INT) AS seo, CASE WHEN s_suppkey % 5 > 1 THEN 7.5::DOUBLE END AS lcp FROM supplier")
+@query("lab_reports", f"""SELECT page_id, {_measured(_SHARE.format("length(html)"))} AS performance, {_measured(_SHARE.format(f"({_ANCHORS} * 5)"))} AS best_practices, {_measured("CASE WHEN contains(html, 'name=\"description\"') THEN 100 END")} AS seo, {_measured("length(html) + 0.5::DOUBLE")} AS lcp FROM rich_pages""", RICH)
 def lab_reports(spark, sf_dir):
-    return documents.lab_report(speed(spark, sf_dir), "k").select("k", "performance", "best_practices", "seo", F.col("LCP").alias("lcp"))
+    return documents.lab_report(speed(spark, sf_dir), "page_id").select("page_id", "performance", "best_practices", "seo", F.col("LCP").alias("lcp"))
+
+
+_LISTED = r'<a [^>]*href="([^"]+)"[^>]*>([^<]*)</a>'
 
 
-@query("site_lists", "SELECT n_nationkey AS k, 'https://a' || n_nationkey AS url, CASE WHEN n_nationkey % 2 = 0 THEN n_name ELSE 'https://a' || n_nationkey END AS name FROM nation UNION ALL SELECT n_nationkey, 'b', 'b' FROM nation")
+@query("site_lists", f"SELECT page_id, regexp_extract(t, '{_LISTED}', 1) AS url, CASE WHEN regexp_extract(t, '{_LISTED}', 2) = '' THEN regexp_extract(t, '{_LISTED}', 1) ELSE regexp_extract(t, '{_LISTED}', 2) END AS name FROM (SELECT page_id, unnest(regexp_extract_all(html, '{_LISTED}')) AS t FROM pages)")
 def site_lists(spark, sf_dir):
-    name = F.when(F.col("n_nationkey") % 2 == 0, F.concat(F.lit(', "name": "'), "n_name", F.lit('"'))).otherwise(F.lit(""))
-    text = F.concat(F.lit('[{"url": "https://a'), "n_nationkey", F.lit('"'), name, F.lit('}, {"url": "b"}, {"name": "no url"}]'))
-    return table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k"), F.explode(documents.sites(text)).alias("s")).select("k", "s.url", "s.name")
+    """Each page's links as a list of sites, written as JSON and read back; a link without text has no name, and one entry has no url."""
+    found = F.regexp_extract_all("html", F.lit(_LISTED), F.lit(0))
+    entry = lambda t: F.struct(F.regexp_extract(t, _LISTED, 1).alias("url"), F.nullif(F.regexp_extract(t, _LISTED, 2), F.lit("")).alias("name"))
+    nameless = F.array(F.struct(F.lit(None).cast("string").alias("url"), F.lit("no url").alias("name")))
+    rows = table(spark, sf_dir, "pages").select("page_id", F.to_json(F.concat(F.transform(found, entry), nameless)).alias("document"))
+    return rows.select("page_id", F.explode(documents.sites(F.col("document"))).alias("s")).select("page_id", "s.url", "s.name")
 
 
-SITEMAPS = """SELECT 'root' AS sitemap, '<sitemapindex><sitemap><loc>a</loc></sitemap><sitemap><loc>b</loc></sitemap></sitemapindex>' AS xml UNION ALL SELECT 'a', '<sitemapindex><sitemap><loc>root</loc></sitemap><sitemap><loc>c</loc></sitemap></sitemapindex>'
-UNION ALL SELECT 'b', '<urlset><url><loc>https://x.example/1</loc></url><url><loc>https://x.example/2?a=1&amp;b=2</loc></url></urlset>' UNION ALL SELECT 'c', '<urlset><url><loc>https://x.example/1</loc></url><url><loc>https://x.example/3</loc></url></urlset>' UNION ALL SELECT 'd', '<urlset><url><loc>https://x.example/4</loc></url></urlset>'"""
+def site_sitemaps(spark, sf_dir):
+    """sitemap, xml: an index for each host of the pages, and its sitemaps of a hundred page numbers each, which name the index again."""
+    pages = table(spark, sf_dir, "pages").select("url", urls.netloc(F.col("url")).alias("host"), F.floor(F.col("page_id") / 100).alias("part"))
+    escaped = F.replace(F.col("url"), F.lit("&"), F.lit("&amp;"))
+    parts = pages.groupBy("host", "part").agg(F.array_join(F.collect_list(F.concat(F.lit("<url><loc>"), escaped, F.lit("</loc></url>"))), "").alias("locs"))
+    own = parts.select(F.concat("host", F.lit("-"), "part").alias("sitemap"), F.concat(F.lit("<urlset>"), "locs", F.lit("</urlset>")).alias("xml"))
+    listed = parts.groupBy("host").agg(F.array_join(F.collect_list(F.concat(F.lit("<sitemap><loc>"), "host", F.lit("-"), "part", F.lit("</loc></sitemap>"))), "").alias("locs"))
+    return own.unionByName(listed.select(F.col("host").alias("sitemap"), F.concat(F.lit("<sitemapindex>"), "locs", F.lit("<sitemap><loc>"), "host", F.lit("</loc></sitemap></sitemapindex>")).alias("xml")))
 
 
-@query("sitemap_expanded", "SELECT 'https://x.example/1' AS url, 'b' AS sitemap UNION ALL SELECT 'https://x.example/2?a=1&b=2', 'b' UNION ALL SELECT 'https://x.example/3', 'c'")
+@query("sitemap_expanded", "SELECT url, min(regexp_extract(url, '^[a-zA-Z]+://([^/?#]*)', 1) || '-' || CAST(page_id // 100 AS VARCHAR)) AS sitemap FROM pages GROUP BY url")
 def sitemap_expanded(spark, sf_dir):
-    return sitemaps.expanded(spark.sql(SITEMAPS), spark.createDataFrame([("root",)], "sitemap string"))
+    starts = table(spark, sf_dir, "pages").select(urls.netloc(F.col("url")).alias("sitemap")).distinct()
+    return sitemaps.expanded(site_sitemaps(spark, sf_dir), starts, None, None)
 
 
 @query("sitemap_membership", "SELECT p.page_id, CAST(CASE WHEN p.url IN (SELECT url FROM pages WHERE page_id % 3 = 0) THEN 1 ELSE 0 END AS INT) AS in_sitemap FROM pages p")

@@ -40,28 +40,32 @@ def entries(documents: DataFrame) -> DataFrame:
     return documents.select("sitemap", is_index(F.col("xml")).alias("child"), F.explode(locations(F.col("xml"))).alias("url"))
 
 
-def expanded(fetched: DataFrame, roots: DataFrame, most_files: int = 20, most_urls: int = 5000) -> DataFrame:
+def expanded(fetched: DataFrame, roots: DataFrame, most_files: int | None = 20, most_urls: int | None = 5000) -> DataFrame:
     """url, sitemap of the pages that the roots (sitemap) lead to, through indexes of indexes.
 
     fetched (sitemap, xml) holds the documents by address, as fetching is an input;
     a document is read once, so indexes that name each other end.  At most
     most_files documents, in order of address level by level, and most_urls pages,
-    in order of url, are kept.
+    in order of url, are kept; None sets no limit.
     """
+
+    def least(rows: DataFrame, column: str, most: int | None) -> DataFrame:
+        return rows if most is None else rows.orderBy(column).limit(max(0, most))
+
     known = written(fetched.select("sitemap", "xml").dropDuplicates(["sitemap"]), "sitemap-documents")
-    level = written(roots.select("sitemap").distinct().orderBy("sitemap").limit(most_files), "sitemap-level")
+    level = written(least(roots.select("sitemap").distinct(), "sitemap", most_files), "sitemap-level")
     seen, count, pages = level, level.count(), None
     while True:
         found = written(entries(known.join(level, "sitemap", "left_semi")), "sitemap-entries")
         own = found.filter("not child").select("url", "sitemap")
         pages = own if pages is None else pages.unionByName(own)
         ahead = found.filter("child").select(F.col("url").alias("sitemap")).distinct().join(seen, "sitemap", "left_anti")
-        level = written(ahead.orderBy("sitemap").limit(max(0, most_files - count)), "sitemap-level")
+        level = written(least(ahead, "sitemap", None if most_files is None else most_files - count), "sitemap-level")
         new = level.count()
         if not new:
             break
         seen, count = seen.unionByName(level), count + new
-    return pages.groupBy("url").agg(F.min("sitemap").alias("sitemap")).orderBy("url").limit(most_urls)
+    return least(pages.groupBy("url").agg(F.min("sitemap").alias("sitemap")), "url", most_urls)
 
 
 def from_robots(robots: Column) -> Column:
