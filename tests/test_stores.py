@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from webloom.operators import compare, state
-from webloom.sources import sinks, stores
+from webloom.sources import sinks, steps, stores
 
 
 def files(folder):
@@ -59,6 +59,13 @@ def test_a_version_without_manifest_does_not_exist(spark, tmp_path):
         stores.upsert(spark.range(1), folder, ["id"])
 
 
+def test_steps_are_cleared(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(steps, "shared_folder", lambda spark: f"file://{tmp_path}/run")
+    assert steps.written(spark.range(3), "some").count() == 3 and files(tmp_path)
+    steps.clear(spark)
+    assert not files(tmp_path)
+
+
 def test_baselines_rotate(spark, tmp_path):
     shots = lambda *rows: spark.createDataFrame(rows, "name string, pixels array<int>")
     got = [{r["name"]: r["difference"] for r in compare.rotated(s, str(tmp_path / "base")).collect()} for s in (shots(("a", [1, 2])), shots(("a", [1, 3]), ("b", [1])), shots(("a", [1, 3])))]
