@@ -92,3 +92,10 @@ def test_roadmap_actions(spark):
 def test_crawl_keys(spark, url, key):
     df = spark.createDataFrame([(url,)], "u string")
     assert df.select(urls.crawl_key(df["u"])).first()[0] == key
+
+
+def test_signals_are_evaluated_before_modules_are_listed(spark):
+    pages = spark.createDataFrame([(1, "https://a.example/", "<title>T</title><a href='#'>x</a>")], "page_id long, url string, html string")
+    plan = modules.evaluate(pages)._jdf.queryExecution().optimizedPlan().toString()
+    listing = [line for line in plan.splitlines() if "Generate explode" in line]
+    assert len(listing) == 1 and "regexp" not in listing[0] and "RLIKE" not in listing[0]
