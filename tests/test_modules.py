@@ -99,3 +99,12 @@ def test_signals_are_evaluated_before_modules_are_listed(spark):
     plan = modules.evaluate(pages)._jdf.queryExecution().optimizedPlan().toString()
     listing = [line for line in plan.splitlines() if "Generate explode" in line]
     assert len(listing) == 1 and "regexp" not in listing[0] and "RLIKE" not in listing[0]
+
+
+def test_inferred_pages_go_by_query_not_by_ordinal(spark):
+    rows = [("red ring", "", 7), ("blue bolt", "", 7), ("red ring", "", 8), ("old nut", "/kept", 9), ("ring", "", 10)]
+    pages = [("https://s.example/red-bolt", "B"), ("https://s.example/ring", "R"), ("https://s.example/a-ring", "A")]
+    out = roadmap.infer_pages(spark.createDataFrame(rows, "query string, page string, ordinal int"), spark.createDataFrame(pages, "url string, title string"))
+    assert sorted(map(tuple, out.select("query", "page", "ordinal", "inferred").collect())) == [
+        ("blue bolt", "", 7, False), ("old nut", "/kept", 9, False), ("red ring", "", 7, False), ("red ring", "", 8, False), ("ring", "https://s.example/a-ring", 10, True),
+    ]

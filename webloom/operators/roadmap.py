@@ -80,14 +80,18 @@ def roadmap(clustered: DataFrame, previous: DataFrame | None = None) -> DataFram
 def infer_pages(rows: DataFrame, pages: DataFrame) -> DataFrame:
     """Gives rows without a page the page (url, title) that shares most terms with the query, if it shares two or all of them.
 
-    Terms are joined by equality; ties go to the least url.
+    A term that several pages of one url offer counts once for each; ties go to the least
+    url.  Texts repeat, so each set of terms is compared once, however many queries ask
+    it, with the least url of those that offer the same.
     """
-    bare = rows.filter(F.coalesce("page", F.lit("")) == "")
-    wanted = bare.select("ordinal", F.explode(text.stemmed_terms(F.col("query"))).alias("term"))
-    size = bare.select("ordinal", F.size(text.stemmed_terms(F.col("query"))).alias("terms"))
-    offered = pages.select("url", F.explode(text.stemmed_terms(F.concat_ws(" ", F.replace(urls.path(F.col("url")), F.lit("-"), F.lit(" ")), "title"))).alias("term"))
-    shared = wanted.join(offered, "term").groupBy("ordinal", "url").agg(F.count("*").alias("n"))
-    best = shared.groupBy("ordinal").agg(F.min(F.struct((-F.col("n")).alias("minus"), "url")).alias("b")).select("ordinal", F.col("b.url").alias("found"), (-F.col("b.minus")).alias("n"))
-    good = best.join(size, "ordinal").filter("n >= 2 or n = terms").select("ordinal", "found")
-    out = rows.join(good, "ordinal", "left")
-    return out.withColumn("inferred", F.col("found").isNotNull()).withColumn("page", F.coalesce("found", "page")).drop("found")
+    none = F.coalesce("page", F.lit("")) == ""
+    bare = rows.filter(none).withColumn("_terms", text.stemmed_terms(F.col("query")))
+    asked = bare.select("_terms").distinct().select("_terms", F.explode("_terms").alias("term"))
+    terms = text.stemmed_terms(F.concat_ws(" ", F.replace(urls.path(F.col("url")), F.lit("-"), F.lit(" ")), "title"))
+    by_url = pages.select("url", F.explode(terms).alias("term")).groupBy("url", "term").agg(F.count("*").alias("times"))
+    alike = by_url.groupBy("url").agg(F.array_sort(F.collect_list(F.struct("term", "times"))).alias("offer")).groupBy("offer").agg(F.min("url").alias("url"))
+    shared = asked.join(alike.select("url", F.explode("offer").alias("o")).select("url", "o.*"), "term").groupBy("_terms", "url").agg(F.sum("times").alias("n"))
+    best = shared.groupBy("_terms").agg(F.min(F.struct((-F.col("n")).alias("minus"), "url")).alias("b")).select("_terms", F.col("b.url").alias("_found"), (-F.col("b.minus")).alias("_n"))
+    good = best.filter((F.col("_n") >= 2) | (F.col("_n") == F.size("_terms"))).select("_terms", "_found")
+    found = bare.join(good, "_terms", "left").withColumn("inferred", F.col("_found").isNotNull()).withColumn("page", F.coalesce("_found", "page"))
+    return found.select(*rows.columns, "inferred").unionByName(rows.filter(~none).withColumn("inferred", F.lit(False)))
