@@ -1,6 +1,7 @@
 """Site checks and findings state on small crawls."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from webloom.functions import text
 from webloom.operators import checks, graph, state
@@ -119,3 +120,9 @@ def test_reading_grade_needs_thirty_words(spark):
 def test_views_nest():
     sql = with_views("SELECT 1 FROM crawl_links", "crawl_links")
     assert sql.index("crawl_pages AS") < sql.index("crawl_links AS") and set(VIEWS) >= {"crawl_pages", "crawl_links"}
+
+
+def test_reading_grade_rounds_as_doubles_do(spark):
+    words = ". ".join(" ".join(["cat"] * n) for n in (10, 10, 10, 10, 10, 10, 8)) + "."
+    grade = spark.createDataFrame([(words,)], "t string").select(text.reading_grade(F.col("t"))).first()[0]
+    assert str(grade) == "-0.0"  # 0.39 * 68 / 7 + 11.8 - 15.59 = -0.0014

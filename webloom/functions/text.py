@@ -55,7 +55,7 @@ def reading_grade(text: Column) -> Column:
     # Syllables of all words at once: vowel groups, less a final e after another group, and one for a word without any; possessive, so a run of letters is gone through once.
     total = times(f"{VOWEL}+") - times(f"{VOWEL}{OTHER}++{VOWEL}++(?<=[eE]){WORD_END}") + times(f"{WORD_START}{OTHER}++{WORD_END}")
     grade = F.lit(0.39) * (n / sentences) + F.lit(11.8) * (total / n) - F.lit(15.59)
-    return F.when((n >= 30) & (sentences >= 1), F.bround(grade, 1))
+    return F.when((n >= 30) & (sentences >= 1), F.rint(grade * 10) / 10)  # bround goes by the shortest decimal of a double and has no -0.0
 
 
 def keywords(text: Column) -> Column:
