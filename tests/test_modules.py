@@ -1,6 +1,7 @@
 """Page modules, robots rules and topics on hand-written input."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from webloom.functions import robots, urls
 from webloom.operators import modules, roadmap
@@ -108,3 +109,10 @@ def test_inferred_pages_go_by_query_not_by_ordinal(spark):
     assert sorted(map(tuple, out.select("query", "page", "ordinal", "inferred").collect())) == [
         ("blue bolt", "", 7, False), ("old nut", "/kept", 9, False), ("red ring", "", 7, False), ("red ring", "", 8, False), ("ring", "https://s.example/a-ring", 10, True),
     ]
+
+
+def test_robots_rules_are_tried_once_and_by_their_beginning(spark):
+    rules = [("disallow", "/a*b$"), ("allow", "/a"), ("disallow", ""), ("disallow", "/x.y"), ("allow", "/x$y"), ("disallow", "/x")]
+    rows = spark.createDataFrame([(p, rules) for p in ("/acb", "/acbd", "/x.yz", "/xzy", "/x$yz", "/", None)], f"path string, rules {robots.RULES}")
+    blocked = robots.disallowed(F.col("rules"), F.col("path"))
+    assert [r[0] for r in rows.select(blocked).collect()] == [True, False, True, True, False, False, False]

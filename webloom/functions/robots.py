@@ -60,8 +60,18 @@ def _as_regex(path: Column) -> Column:
     return F.concat(F.lit("^"), F.regexp_replace(stars, r"\\\$$", r"\$"))
 
 
+def _matches(rule: Column, path: Column) -> Column:
+    """Whether a rule's pattern fits the path; a regular expression is only made where the beginning fits and there are signs in it."""
+    beginning, signs = F.substring_index(F.translate(rule, "$", "*"), "*", 1), F.contains(rule, F.lit("*")) | rule.endswith("$")
+    return (rule != "") & F.when(signs, path.startswith(beginning) & F.regexp_like(path, _as_regex(rule))).otherwise(path.startswith(rule))
+
+
 def disallowed(rules: Column, path: Column) -> Column:
-    """Whether the longest Disallow that matches is longer than the longest Allow that does."""
-    matching = F.filter(F.coalesce(rules, F.expr(f"cast(array() as {RULES})")), lambda r: (F.trim(r["path"]) != "") & F.regexp_like(path, _as_regex(r["path"])))
-    longest = lambda kind: F.coalesce(F.array_max(F.transform(F.filter(matching, lambda r: r["kind"] == kind), lambda r: F.length(F.rtrim(r["path"], F.lit("$"))))), F.lit(-1))
-    return longest("disallow") > longest("allow")
+    """Whether the longest Disallow that matches is longer than the longest Allow that does; each rule is tried once."""
+    start = F.struct(F.lit(-1).alias("disallow"), F.lit(-1).alias("allow"))
+
+    def step(s: Column, r: Column) -> Column:
+        longer = lambda kind: F.when((r["kind"] == kind) & (F.length(F.rtrim(r["path"], F.lit("$"))) > s[kind]) & _matches(F.trim(r["path"]), path), F.length(F.rtrim(r["path"], F.lit("$")))).otherwise(s[kind])
+        return F.struct(longer("disallow").alias("disallow"), longer("allow").alias("allow"))
+
+    return F.aggregate(F.coalesce(rules, F.expr(f"cast(array() as {RULES})")), start, step, lambda s: s["disallow"] > s["allow"])

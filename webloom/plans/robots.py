@@ -34,5 +34,6 @@ def postures(spark, sf_dir):
 FROM customer, (SELECT unnest(['/private', '/private/open', '/private/open/more', '/tmp9/x', '/tmp9']) AS path)""",
 )
 def paths(spark, sf_dir):
-    rows = files(spark, sf_dir).select("c_custkey", "groups", F.explode(F.array(*map(F.lit, ("/private", "/private/open", "/private/open/more", "/tmp9/x", "/tmp9")))).alias("path"))
-    return rows.select("c_custkey", "path", robots.disallowed(robots.rules_for(F.col("groups"), "perplexitybot"), F.col("path")).alias("disallowed"))
+    own = files(spark, sf_dir).select("c_custkey", robots.rules_for(F.col("groups"), "perplexitybot").alias("rules"))
+    rows = own.select("c_custkey", "rules", F.explode(F.array(*map(F.lit, ("/private", "/private/open", "/private/open/more", "/tmp9/x", "/tmp9")))).alias("path"))
+    return rows.select("c_custkey", "path", robots.disallowed(F.col("rules"), F.col("path")).alias("disallowed"))
