@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .columns import bound
+
 # Registries of special-purpose networks.  Private, loopback, link-local, reserved and multicast ones; parts of them that are public.
 BLOCKED_V4 = "0.0.0.0/8 10.0.0.0/8 127.0.0.0/8 169.254.0.0/16 172.16.0.0/12 192.0.0.0/24 192.0.2.0/24 192.168.0.0/16 198.18.0.0/15 198.51.100.0/24 203.0.113.0/24 224.0.0.0/4 240.0.0.0/4".split()
 PUBLIC_V4 = "192.0.0.9/32 192.0.0.10/32".split()
@@ -27,18 +29,33 @@ def _octets(v4: Column) -> Column:
 def address(text: Column) -> Column:
     """The address that text is, in any of its spellings (brackets around it and a zone are left out); null if it is none."""
     t = F.lower(F.trim(F.coalesce(text, F.lit("")), F.lit("[] \t")))
-    bare = F.regexp_replace(t, r"%[^%/]+$", "")
-    tail = F.regexp_extract(bare, f"(?<=:)({V4})$", 1)
-    digits = _octets(F.when(tail != "", tail).otherwise("0.0.0.0"))
-    whole = F.when(tail == "", bare).otherwise(F.concat(F.substring(bare, F.lit(1), F.length(bare) - F.length(tail)), F.substring(digits, 1, 4), F.lit(":"), F.substring(digits, 5, 4)))
+    return bound(F.regexp_replace(t, r"%[^%/]+$", ""), lambda bare: F.when(bare.rlike(f"^{V4}$"), F.concat(F.lit(_MAPPED), _octets(F.when(bare.rlike(f"^{V4}$"), bare).otherwise("0.0.0.0")))).otherwise(bound(_hexadecimal(bare), _v6)))
+
+
+def _hexadecimal(bare: Column) -> Column:
+    """An IPv6 address whose end, if that is an IPv4 address, is written in two hexadecimal groups."""
+
+    def ended(tail: Column) -> Column:
+        groups = lambda digits: F.concat(F.substring(bare, F.lit(1), F.length(bare) - F.length(tail)), F.substring(digits, 1, 4), F.lit(":"), F.substring(digits, 5, 4))
+        return F.when(tail == "", bare).otherwise(bound(_octets(F.when(tail != "", tail).otherwise("0.0.0.0")), groups))
+
+    return bound(F.regexp_extract(bare, f"(?<=:)({V4})$", 1), ended)
+
+
+def _v6(whole: Column) -> Column:
+    """The address that hexadecimal groups are; null if they are none."""
     groups = lambda side: F.filter(F.split(side, ":"), lambda g: g != "")
-    padded = lambda side: F.array_join(F.transform(groups(side), lambda g: F.lpad(g, 4, "0")), "")
+    padded = lambda side: F.array_join(F.transform(side, lambda g: F.lpad(g, 4, "0")), "")
     short = F.contains(whole, F.lit("::"))
-    left, right = F.substring_index(whole, "::", 1), F.when(short, F.substring_index(whole, "::", -1)).otherwise("")
-    count = F.size(groups(left)) + F.size(groups(right))
-    sound = whole.rlike(r"^(?:[0-9a-f]{1,4}(?::[0-9a-f]{1,4})*)?(?:::(?:[0-9a-f]{1,4}(?::[0-9a-f]{1,4})*)?)?$") & F.when(short, count <= 7).otherwise(count == 8)
-    v6 = F.concat(padded(left), F.when(short, F.repeat(F.lit("0"), 4 * (8 - count))).otherwise(""), padded(right))
-    return F.when(bare.rlike(f"^{V4}$"), F.concat(F.lit(_MAPPED), _octets(F.when(bare.rlike(f"^{V4}$"), bare).otherwise("0.0.0.0")))).when(sound, v6)
+    left, right = groups(F.substring_index(whole, "::", 1)), groups(F.when(short, F.substring_index(whole, "::", -1)).otherwise(""))
+    sound = whole.rlike(r"^(?:[0-9a-f]{1,4}(?::[0-9a-f]{1,4})*)?(?:::(?:[0-9a-f]{1,4}(?::[0-9a-f]{1,4})*)?)?$")
+
+    def joined(sides: Column) -> Column:
+        count = F.size(sides["left"]) + F.size(sides["right"])
+        filled = F.concat(padded(sides["left"]), F.when(short, F.repeat(F.lit("0"), 4 * (8 - count))).otherwise(""), padded(sides["right"]))
+        return F.when(F.when(short, count <= 7).otherwise(count == 8), filled)
+
+    return F.when(sound, bound(F.struct(left.alias("left"), right.alias("right")), joined))
 
 
 def network_range(network: str) -> tuple[int, int]:
@@ -74,14 +91,15 @@ _RANGES = flattened([(n, True) for n in (*BLOCKED_V4, *BLOCKED_V6)] + [(n, False
 def is_special(address_: Column) -> Column:
     """Whether an address (``address``) isn't public: the last range that begins before it says so; null for none."""
     starts = F.array(*[F.lit(start) for start, _ in _RANGES])
-    place = F.size(F.filter(starts, lambda s: s <= address_))
-    return F.when(address_.isNotNull(), F.element_at(F.array(*[F.lit(said) for _, said in _RANGES]), F.greatest(place, F.lit(1))))
+    place = lambda a: F.size(F.filter(starts, lambda s: s <= a))
+    said = F.array(*[F.lit(said) for _, said in _RANGES])
+    return bound(address_, lambda a: F.when(a.isNotNull(), F.element_at(said, F.greatest(place(a), F.lit(1)))))
 
 
 def bits(address_: Column) -> Column:
     """The 128 bits as text."""
-    half = lambda at: F.lpad(F.conv(F.substring(address_, at, 16), 16, 2), 64, "0")
-    return F.concat(half(1), half(17))
+    half = lambda a, at: F.lpad(F.conv(F.substring(a, at, 16), 16, 2), 64, "0")
+    return bound(address_, lambda a: F.concat(half(a, 1), half(a, 17)))
 
 
 def longest_match(addresses: DataFrame, networks: DataFrame, column: str = "address") -> DataFrame:
