@@ -12,3 +12,8 @@ def plan(df) -> str:
 
 def test_an_address_is_read_once_a_host(spark):
     assert plan(catalog.queries()["host_blocked"](spark, SF)).count("%[^%/]+$") == 1
+
+
+def test_a_recommendation_is_written_once_a_page(spark):
+    text = plan(catalog.queries()["schema_recommendations"](spark, SF))
+    assert text.count("REPLACE_section_url") == 1 and "Join" not in text

@@ -129,7 +129,8 @@ _ADVICE = [
 
 @query("schema_recommendations", " UNION ALL ".join(f"SELECT page_id, {t} AS type, {p} AS priority, {st} AS status, {n} AS needs_input FROM ({SIGNALS}) WHERE {c}" for t, p, c, st, n in _ADVICE), SHOP)
 def schema_recommendations(spark, sf_dir):
-    rows = advice(spark, sf_dir).select("page_id", F.explode("recommendations").alias("r"))
+    # An outer explode: for the other Spark adds a filter on the array, which works everything out once more.
+    rows = advice(spark, sf_dir).select("page_id", F.explode_outer("recommendations").alias("r")).filter("r is not null")
     return rows.select("page_id", "r.type", "r.priority", "r.status", F.array_join("r.needs_input", ",").alias("needs_input"))
 
 
