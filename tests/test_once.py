@@ -1,6 +1,9 @@
 """What is costly is worked out once a row: repeated expressions and steps show in the optimized plan."""
 
+import numpy as np
+
 from webloom import catalog
+from webloom.functions import pictures
 
 SF = "/root/testdata/sf0.001"
 
@@ -17,3 +20,14 @@ def test_an_address_is_read_once_a_host(spark):
 def test_a_recommendation_is_written_once_a_page(spark):
     text = plan(catalog.queries()["schema_recommendations"](spark, SF))
     assert text.count("REPLACE_section_url") == 1 and "Join" not in text
+
+
+def test_rows_of_many_pictures_are_inverted_together(monkeypatch):
+    rng, calls, inverted = np.random.default_rng(5), [], pictures._inverted
+    monkeypatch.setattr(pictures, "_inverted", lambda kinds, *more: (calls.append(len(kinds)), inverted(kinds, *more))[1])
+    shown = [rng.integers(0, 256, (height, 5, 3)).astype(np.uint8) for height in (7, 1, 40, 0, 30)]
+    pngs = [pictures.encode_png(p, (4, 3, 1, 4, 2, 0)) for p in shown]
+    got = pictures.decode_pngs([pngs[0], None, *pngs[1:], pngs[0][:-9]])
+    assert got[1] is None and got[-1] is None
+    assert all((a == b).all() and a.shape == b.shape for a, b in zip([got[0], *got[2:-1]], shown, strict=True))
+    assert calls == [78]
