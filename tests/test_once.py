@@ -1,9 +1,10 @@
 """What is costly is worked out once a row: repeated expressions and steps show in the optimized plan."""
 
 import numpy as np
+import pandas as pd
 
 from webloom import catalog
-from webloom.functions import pictures
+from webloom.functions import batches, pictures
 
 SF = "/root/testdata/sf0.001"
 
@@ -31,3 +32,13 @@ def test_rows_of_many_pictures_are_inverted_together(monkeypatch):
     assert got[1] is None and got[-1] is None
     assert all((a == b).all() and a.shape == b.shape for a, b in zip([got[0], *got[2:-1]], shown, strict=True))
     assert calls == [78]
+
+
+def test_a_scored_document_runs_each_module_once(spark):
+    assert plan(catalog.queries()["scanned_modules"](spark, SF)).count("MapInArrow") == 1
+
+
+def test_workers_hold_a_piece_of_a_batch():
+    rows = pd.DataFrame({"page_id": range(600)})
+    got = list(batches.pieces(iter([rows, rows[:1], rows[:0]])))
+    assert [len(p) for p in got] == [256, 256, 88, 1] and [p.index[0] for p in got] == [0, 0, 0, 0] and got[2]["page_id"].iloc[-1] == 599

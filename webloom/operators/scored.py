@@ -31,12 +31,12 @@ def evaluated(pages: DataFrame, ids: list[str], key: str = "page_id") -> DataFra
 def documents(pages: DataFrame, ids: list[str], key: str = "page_id") -> DataFrame:
     """key, document (VARIANT) of every page (key, url, html; beside them what modules may read)."""
     results = evaluated(pages, ids, key).filter("detected")
-    found = results.select(key, "module", F.explode("findings").alias("f")).select(key, "module", "f.priority", "f.title")
     categories = report.category_scores(report.analyse(pages)).select(key, "seo", "security", "security_assessed", "accessibility", "performance")
-    scored = detection.capped_scores(categories, found, key)
     entry = F.struct(F.col("module").alias("id"), F.col("total"), F.map_entries("points").alias("points"), F.transform("findings", lambda f: f.withField("module", F.col("module"))).alias("findings"), F.to_json("details").alias("details"), F.col("error"))
-    per_page = results.groupBy(key).agg(F.array_sort(F.collect_list(entry)).alias("results"))
-    rows = scored.join(per_page, key, "left").withColumn("results", F.coalesce("results", F.expr("array()").cast(per_page.schema["results"].dataType)))
+    # The findings that may cap the grade are counted where the results are gathered, so no module runs twice.
+    blocking = [F.sum(F.when(F.col("module").isin(*detection.CAPPING), _count(F.col("findings"), p)).otherwise(0)).alias(p.lower()) for p in ("P0", "P1")]
+    per_page = results.groupBy(key).agg(F.array_sort(F.collect_list(entry)).alias("results"), *blocking)
+    rows = detection.capped(categories.join(per_page, key, "left")).withColumn("results", F.coalesce("results", F.expr("array()").cast(per_page.schema["results"].dataType)))
     return rows.select(key, F.parse_json(_json(rows)).alias("document"))
 
 
@@ -73,4 +73,5 @@ def part(path: str, kind: str, document: str = "document") -> Column:
 def findings(documents_: DataFrame, key: str = "page_id") -> DataFrame:
     """key, module, priority, title, id of every finding in the documents."""
     listed = F.variant_get("document", "$.findings", "array<struct<module:string,priority:string,title:string,id:string>>")
-    return documents_.select(key, F.explode(listed).alias("f")).select(key, "f.*")
+    # An outer explode: for the other Spark adds a filter on the list, which makes every document once more.
+    return documents_.select(key, F.explode_outer(listed).alias("f")).filter("f is not null").select(key, "f.*")

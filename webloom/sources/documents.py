@@ -31,7 +31,8 @@ FINDING = "struct<module:string,priority:string,title:string,description:string,
 def findings(documents: DataFrame, key: str, text: str = "document") -> DataFrame:
     """key, module ("core"), priority ("P3"), title, description, fix, effort of a document's findings with a title."""
     listed = F.from_json(F.get_json_object(unwrapped(F.col(text)), "$.findings"), f"array<{FINDING}>")
-    rows = documents.select(key, F.explode(listed).alias("f")).select(key, "f.*").filter(F.coalesce("title", F.lit("")) != "")
+    # An outer explode: for the other Spark adds a filter on the list, which reads every document once more.
+    rows = documents.select(key, F.explode_outer(listed).alias("f")).filter("f is not null").select(key, "f.*").filter(F.coalesce("title", F.lit("")) != "")
     return rows.withColumns({c: F.coalesce(c, F.lit(d)) for c, d in (("module", "core"), ("priority", "P3"), ("description", ""), ("fix", ""), ("effort", ""))})
 
 
