@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.batches import pieces
+
 BLOCK = re.compile(r"""<script[^>]*type=["']application/ld\+json["'][^>]*>(.*?)</script>""", re.I | re.S)
 VOCABULARY = re.compile(r"https?://schema\.org/?", re.I)
 
@@ -85,9 +87,9 @@ def nodes(pages: DataFrame, key: str = "page_id") -> DataFrame:
     """key, blocks, invalid, has_context, nodes, products (at any depth), self_review, objects (all of them, with or without a type) of every page."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in pieces(batches):
             found = pd.DataFrame([page_nodes(h) for h in batch["html"]], columns=["blocks", "invalid", "has_context", "nodes", "products", "self_review", "objects"])
-            yield pd.concat([batch[[key]].reset_index(drop=True), found], axis=1)
+            yield pd.concat([batch[[key]], found], axis=1)
 
     return pages.select(key, "html").mapInPandas(run, f"{key} {pages.schema[key].dataType.simpleString()}, {SCHEMA}")
 

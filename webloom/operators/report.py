@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scores
+from ..functions.batches import pieces
 from . import headers
 
 # Fixed values of the rules.
@@ -330,9 +331,9 @@ def analyse(pages: DataFrame, key: str = "page_id") -> DataFrame:
     also = [n for n in ("headers", "frameworks", "analytics") if n in pages.columns]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in pieces(batches):
             rows = [signals_of(h, u) for h, u in zip(batch["html"], batch["url"])]
-            yield pd.concat([batch[[key, "url", *also]].reset_index(drop=True), pd.DataFrame(rows, columns=[*SIGNALS])], axis=1)
+            yield pd.concat([batch[[key, "url", *also]], pd.DataFrame(rows, columns=[*SIGNALS])], axis=1)
 
     kind = pages.schema[key].dataType.simpleString()
     passed = "".join(f"{n} {pages.schema[n].dataType.simpleString()}, " for n in also)
