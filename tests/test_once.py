@@ -42,3 +42,8 @@ def test_workers_hold_a_piece_of_a_batch():
     rows = pd.DataFrame({"page_id": range(600)})
     got = list(batches.pieces(iter([rows, rows[:1], rows[:0]])))
     assert [len(p) for p in got] == [256, 256, 88, 1] and [p.index[0] for p in got] == [0, 0, 0, 0] and got[2]["page_id"].iloc[-1] == 599
+
+
+def test_pages_are_looked_up_by_their_key_where_they_are_inferred(spark):
+    joins = [line for line in plan(catalog.queries()["queries_with_inferred_pages"](spark, SF)).splitlines() if " Join Inner" in line and "url#" in line]
+    assert not [line for line in joins if "page_id#" not in line]  # a filter on the page as a join's condition would pair every part with every page

@@ -82,16 +82,17 @@ def infer_pages(rows: DataFrame, pages: DataFrame) -> DataFrame:
 
     A term that several pages of one url offer counts once for each; ties go to the least
     url.  Texts repeat, so each set of terms is compared once, however many queries ask
-    it, with the least url of those that offer the same.
+    it, with the least url of those that offer the same.  Rows aren't filtered by their
+    page: where they come from a join, such a filter would become its condition.
     """
     none = F.coalesce("page", F.lit("")) == ""
-    bare = rows.filter(none).withColumn("_terms", text.stemmed_terms(F.col("query")))
-    asked = bare.select("_terms").distinct().select("_terms", F.explode("_terms").alias("term"))
+    own = rows.withColumn("_terms", text.stemmed_terms(F.col("query")))
+    asked = own.groupBy("_terms").agg(F.bool_or(none).alias("_bare")).filter("_bare").select("_terms", F.explode("_terms").alias("term"))
     terms = text.stemmed_terms(F.concat_ws(" ", F.replace(urls.path(F.col("url")), F.lit("-"), F.lit(" ")), "title"))
     by_url = pages.select("url", F.explode(terms).alias("term")).groupBy("url", "term").agg(F.count("*").alias("times"))
     alike = by_url.groupBy("url").agg(F.array_sort(F.collect_list(F.struct("term", "times"))).alias("offer")).groupBy("offer").agg(F.min("url").alias("url"))
     shared = asked.join(alike.select("url", F.explode("offer").alias("o")).select("url", "o.*"), "term").groupBy("_terms", "url").agg(F.sum("times").alias("n"))
     best = shared.groupBy("_terms").agg(F.min(F.struct((-F.col("n")).alias("minus"), "url")).alias("b")).select("_terms", F.col("b.url").alias("_found"), (-F.col("b.minus")).alias("_n"))
     good = best.filter((F.col("_n") >= 2) | (F.col("_n") == F.size("_terms"))).select("_terms", "_found")
-    found = bare.join(good, "_terms", "left").withColumn("inferred", F.col("_found").isNotNull()).withColumn("page", F.coalesce("_found", "page"))
-    return found.select(*rows.columns, "inferred").unionByName(rows.filter(~none).withColumn("inferred", F.lit(False)))
+    found = own.join(good, "_terms", "left").withColumn("inferred", none & F.col("_found").isNotNull()).withColumn("page", F.when(F.col("inferred"), F.col("_found")).otherwise(F.col("page")))
+    return found.select(*rows.columns, "inferred")
