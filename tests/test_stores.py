@@ -5,6 +5,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from webloom import catalog
 from webloom.operators import compare, state
 from webloom.sources import sinks, steps, stores
 
@@ -70,3 +71,10 @@ def test_baselines_rotate(spark, tmp_path):
     shots = lambda *rows: spark.createDataFrame(rows, "name string, pixels array<int>")
     got = [{r["name"]: r["difference"] for r in compare.rotated(s, str(tmp_path / "base")).collect()} for s in (shots(("a", [1, 2])), shots(("a", [1, 3]), ("b", [1])), shots(("a", [1, 3])))]
     assert got == [{"a": -1.0}, {"a": 50.0, "b": -1.0}, {"a": 0.0}]
+
+
+def test_of_pages_of_one_address_the_last_stays(spark, tmp_path):
+    rows = [(k, f"https://a.example/en/{k % 3}", f"<title>T{k}</title>") for k in range(9)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+    got = catalog.queries()["crawl_store_grown"](spark, str(tmp_path)).collect()
+    assert sorted((r["url"][-1], r["title"]) for r in got) == [("0", "T6"), ("1", "T7"), ("2", "T8")]

@@ -20,7 +20,7 @@ _COLUMNS = ("url", "title", "status", "in_sitemap")
 def grown(spark, sf_dir) -> str:
     """The folder of a store after two crawls."""
     folder = f"{shared_folder(spark)}/store-{uuid.uuid4().hex}"
-    pages, links = view(spark, sf_dir, "crawl_pages").select("url", "title", "status", "in_sitemap"), view(spark, sf_dir, "crawl_links")
+    pages, links = view(spark, sf_dir, "crawl_pages").select("url", "title", "status", "in_sitemap", F.col("page_id").alias("ordinal")), view(spark, sf_dir, "crawl_links")
     listed = pages.filter("in_sitemap = 1").select("url")
     sinks.crawl_store(pages, links, listed, {"start": "first"}, folder)
     again = pages.filter(F.col("url").rlike(r"^[a-z]+://[^/]*/de(/|\?|#|$)"))
