@@ -61,3 +61,10 @@ def test_state_grows_by_keys_not_by_batches(spark, tmp_path):
     arrive(spark, tmp_path, runs)
     rows = spark.read.format("statestore").option("stateVarName", "items").load(str(tmp_path / "punch" / "checkpoint"))
     assert rows.count() == 3
+
+
+def test_of_findings_of_one_id_the_first_counts(spark, tmp_path):
+    rows = [("a", "seo", "A", "P1", "later", 9), ("a", "seo", "A", "P2", "first", 3), ("b", "seo", "B", "P3", "", None), ("b", "seo", "B", "P2", "", None)]
+    stream.events(spark.createDataFrame(rows, "id string, module string, title string, priority string, description string, ordinal long"), ["seo"], 0, "t0").coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream.merge_stream(spark.readStream.schema(stream.EVENTS).parquet(str(tmp_path / "in")), str(tmp_path / "punch")).awaitTermination()
+    assert {r["id"]: (r["priority"], r["description"]) for r in stream.stored_state(spark, str(tmp_path / "punch")).collect()} == {"a": ("P2", "first"), "b": ("P2", None)}

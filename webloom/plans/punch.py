@@ -31,7 +31,7 @@ def page_findings(spark, sf_dir, pages: str):
     rows = view(spark, sf_dir, pages).select("page_id", "url", "html")
     hit = lambda p, wanted: F.contains("html", F.lit(p)) != F.lit(wanted)
     found = F.array_compact(F.array(*[F.when(hit(p, wanted), F.struct(F.lit(m).alias("module"), F.concat(F.lit(t), F.col("url")).alias("title"), F.lit(x).alias("priority"))) for m, t, x, p, wanted in RULES]))
-    rows = rows.select(F.explode(found).alias("f"), F.expr(_LENGTH.replace("VARCHAR(20)", "STRING")).alias("description")).select("f.*", "description")
+    rows = rows.select(F.explode(found).alias("f"), F.expr(_LENGTH.replace("VARCHAR(20)", "STRING")).alias("description"), F.col("page_id").alias("ordinal")).select("f.*", "description", "ordinal")
     return rows.withColumn("id", text.finding_id(F.col("module"), F.col("title")))
 
 

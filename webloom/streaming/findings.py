@@ -21,7 +21,7 @@ from ..operators.state import ABSENT, NOTES, OPEN, REAPPEARED, REFRESHED, RESOLV
 
 BUCKETS = 64
 _TEXTS = ("title", *REFRESHED)
-EVENTS = "run long, at string, module string, id string, " + ", ".join(f"{c} string" for c in _TEXTS)
+EVENTS = "run long, at string, module string, id string, " + ", ".join(f"{c} string" for c in _TEXTS) + ", ordinal long"
 _ITEM = "title string, priority string, description string, fix string, effort string, status string, first_seen string, last_seen string, resolved_at string"
 ITEM = f"{_ITEM}, notes {NOTES}"
 CHANGE = f"run long, id string, module string, {ITEM}, event string"
@@ -30,9 +30,14 @@ ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvide
 
 
 def events(findings: DataFrame, scanned: Iterable[str], run: int, at: str) -> DataFrame:
-    """The events of a run: its findings (id, module, title, priority and more) and the modules it looked at."""
+    """The events of a run: its findings (id, module, title, priority and more) and the modules it looked at.
+
+    Of findings of one id the first by ``ordinal`` counts, where there is one, else the
+    least by its texts.
+    """
     spark = findings.sparkSession
-    rows = completed(findings, *_TEXTS).select(F.lit(run).cast("long").alias("run"), F.lit(at).alias("at"), F.coalesce("module", F.lit("core")).alias("module"), "id", *_TEXTS).filter("id is not null")
+    ordinal = F.col("ordinal") if "ordinal" in findings.columns else F.lit(None)
+    rows = completed(findings, *_TEXTS).select(F.lit(run).cast("long").alias("run"), F.lit(at).alias("at"), F.coalesce("module", F.lit("core")).alias("module"), "id", *_TEXTS, ordinal.cast("long").alias("ordinal")).filter("id is not null")
     looked = spark.createDataFrame([(run, at, m) for m in sorted(set(scanned))], "run long, at string, module string")
     return rows.unionByName(looked, allowMissingColumns=True)
 
@@ -45,7 +50,7 @@ class _PunchList(StatefulProcessor):
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         module = key[0]
-        arrived = pd.concat(list(rows)).sort_values(["run", "id", "title"], na_position="last")
+        arrived = pd.concat(list(rows)).sort_values(["run", "id", "ordinal", *_TEXTS], na_position="last")
         out: list[tuple] = []
         for run, of_run in arrived.groupby("run", sort=True):
             at = of_run["at"].iloc[0]
